@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fresh_path
 from .fingerprints import as_string, fingerprint_pairs, resemblance
+from .line_dedup import line_dedup
 from .quality_rules import quality_rules
+from .warc import records, write_warc
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup(documents(spark, sf_dir))
+    return d.select("doc_id", "lines_before", "lines_removed", "text")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +37,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    r = records(spark, path)
+    return r.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 
