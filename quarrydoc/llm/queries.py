@@ -9,16 +9,41 @@ from pyspark.sql import functions as F
 
 from .common import documents, fresh_path
 from .fingerprints import as_string, fingerprint_pairs, resemblance
+from .kd_sharding import kd_shards
 from .line_dedup import line_dedup
+from .packing import best_fit_packing
 from .quality_rules import quality_rules
+from .token_counts import token_counts
 from .warc import records, write_warc
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files are; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_dedup(documents(spark, sf_dir))
     return d.select("doc_id", "lines_before", "lines_removed", "text")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = kd_shards(documents(spark, sf_dir), shards=8)
+    return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprint_pairs(documents(spark, sf_dir))
     return d.select(
@@ -46,6 +71,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_packing": op2_packing,
+    "op3_token_counts": op3_token_counts,
+    "op6_kd_sharding": op6_kd_sharding,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
