@@ -11,7 +11,9 @@ from .common import documents, fresh_path
 from .fingerprints import as_string, fingerprint_pairs, resemblance
 from .kd_sharding import kd_shards
 from .line_dedup import line_dedup
+from .mixing import mix
 from .packing import best_fit_packing
+from .pii import KINDS, find_pii, joined
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .warc import records, write_warc
@@ -39,6 +41,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mix(documents(spark, sf_dir), max_repeats=2.0)
+    return d.select("doc_id", F.col("__s").alias("source"), "tokens", "copy", "stream_start", "block")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = find_pii(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return d.select("doc_id", count("email"), count("ip"), count("card"), count("phone"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = kd_shards(documents(spark, sf_dir), shards=8)
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -73,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_pii": op5_pii,
     "op6_kd_sharding": op6_kd_sharding,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
