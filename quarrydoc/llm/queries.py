@@ -12,6 +12,7 @@ from .fingerprints import as_string, fingerprint_pairs, resemblance
 from .kd_sharding import kd_shards
 from .line_dedup import line_dedup
 from .mixing import mix
+from .ngram_join import jaccard_join
 from .packing import best_fit_packing
 from .pii import KINDS, find_pii, joined
 from .quality_rules import quality_rules
@@ -57,6 +58,10 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprint_pairs(documents(spark, sf_dir))
     return d.select(
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mixing": op4_source_mixing,
     "op5_pii": op5_pii,
     "op6_kd_sharding": op6_kd_sharding,
+    "op7_ngram_join": op7_ngram_join,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
