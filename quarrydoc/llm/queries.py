@@ -105,7 +105,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
-ORACLES: dict[str, str] = {}
+def line_dedup_sql(limit: int = 10) -> str:
+    """Every stretch of up to `limit` lines that holds `limit` words and occurs at an earlier place goes."""
+    frames = " UNION ALL ".join(
+        f"SELECT doc_id, p, {k} AS k, list(line) OVER w AS key, sum(n) OVER w AS words, count(*) OVER w AS c FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)" for k in range(1, limit + 1)
+    )
+    return f"""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+q AS (SELECT doc_id, no, line, n, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS p FROM (SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l) WHERE n > 0),
+win AS ({frames}),
+later AS (SELECT doc_id, p, k FROM (SELECT *, min((doc_id, p)) OVER (PARTITION BY key) AS first FROM win WHERE c = k AND words >= {limit}) WHERE (doc_id, p) > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS p FROM later),
+isle AS (SELECT g.doc_id, q.no, g.p - row_number() OVER (PARTITION BY g.doc_id ORDER BY g.p) AS g FROM gone g JOIN q USING (doc_id, p)),
+runs AS (SELECT doc_id, min(no) AS a, max(no) AS b FROM isle GROUP BY doc_id, g),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.no) AS text FROM l LEFT JOIN runs r ON r.doc_id = l.doc_id AND l.no BETWEEN a AND b WHERE r.doc_id IS NULL GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS c FROM q GROUP BY 1), g AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY 1)
+SELECT d.doc_id, coalesce(n.c, 0) AS lines_before, coalesce(g.c, 0) AS lines_removed, CASE WHEN d.text IS NULL THEN NULL WHEN g.c IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+#: The others have no SQL: their tests hold them against brute force, exact round trips or known outcomes.
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup_sql(), "op10_warc": WARC_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
