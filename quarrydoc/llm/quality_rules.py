@@ -29,6 +29,7 @@ DIMS = ("z_wordlen", "z_symbols", "z_repeat")
 VAR_FLOOR = 1e-2
 #: Makes the scatter of the nearest 75 % of three normal dimensions consistent: 0.75 / P(chi2_5 <= q), q the 0.75 quantile of chi2_3.
 CONSISTENCY = 1.61
+BROADCAST_GROUPS = 50_000
 
 
 def text_statistics(t: Column, tokens: Column) -> dict[str, Column]:
@@ -95,14 +96,14 @@ def _factor(params: DataFrame, p: int) -> DataFrame:
     return params
 
 
-def _distance(p: int) -> Column:
+def _distance(p: int, param=F.col) -> Column:
     """Squared Mahalanobis distance by forward substitution, as one expression over m*, l* and the dimensions."""
     ys: list[Column] = []
     for i in range(p):
-        part = F.col(DIMS[i]) - F.col(f"m{i}")
+        part = F.col(DIMS[i]) - param(f"m{i}")
         for k in range(i):
-            part = part - F.col(f"l{i}{k}") * ys[k]
-        ys.append(part / F.col(f"l{i}{i}"))
+            part = part - param(f"l{i}{k}") * ys[k]
+        ys.append(part / param(f"l{i}{i}"))
     return reduce(lambda a, b: a + b, [y * y for y in ys])
 
 
@@ -113,45 +114,71 @@ def _moments(rows: DataFrame, by: list[str], scale: float) -> DataFrame:
     return _factor(rows.groupBy(*by).agg(*cols), p)
 
 
+def _hinted(params: DataFrame) -> DataFrame:
+    """params to be broadcast where they are few rows (about 150 bytes each); beyond that both sides are dealt by key."""
+    return F.broadcast(params) if params.count() <= BROADCAST_GROUPS else params
+
+
 def mcd(vectors: DataFrame, by: list[str], support: float, steps: int) -> DataFrame:
     """MCD location and scatter per group `by`: C-steps from the coordinatewise median and MAD, checkpointed as small tables."""
     p = len(DIMS)
     med = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(DIMS[i], 0.5, 1000).alias(f"m{i}") for i in range(p)])
     med = table(med, "mcd-median")
-    dev = vectors.join(med, by).groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(DIMS[i]) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in range(p)])
+    dev = vectors.join(_hinted(med), by).groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(DIMS[i]) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in range(p)])
     start = med.join(dev, by)
     for i in range(p):
         for j in range(i + 1):
             start = start.withColumn(f"c{i}{j}", F.pow(F.col(f"s{i}") * 1.4826, 2) + VAR_FLOOR if i == j else F.lit(0.0))
     params = table(_factor(start.drop(*[f"s{i}" for i in range(p)]), p), "mcd-start")
     for _ in range(steps):
-        d = vectors.join(params, by).withColumn("_d", _distance(p)).select(*by, *DIMS, "_d")
-        cut = d.groupBy(*by).agg(F.percentile_approx("_d", support, 1000).alias("_q"))
-        kept = d.join(cut, by).where(F.col("_d") <= F.col("_q"))
+        d = vectors.join(_hinted(params), by).withColumn("_d", _distance(p)).select(*by, *DIMS, "_d")
+        cut = table(d.groupBy(*by).agg(F.percentile_approx("_d", support, 1000).alias("_q")), "mcd-cut")
+        kept = d.join(_hinted(cut), by).where(F.col("_d") <= F.col("_q"))
         params = table(_moments(kept, by, CONSISTENCY), "mcd-step")
     return params
 
 
-def judge(stats: DataFrame, keys: list[str] = ["lang", "source"], support: float = 0.75, steps: int = 3, cutoff: float = 27.0, min_group: int = 30) -> DataFrame:
-    """`stats` (from `statistics`) with distance (squared; null for base failures) and kept. One output row per input row."""
-    by = [f"_k{i}" for i in range(len(keys))]
-    v = transformed(stats)
-    for k, b in zip(keys, by):
-        v = v.withColumn(b, F.coalesce(F.col(k), F.lit(NULL_KEY)))
-    good = v.where(~F.col("base_failed")).select(*by, *DIMS)
+def _keyed(stats: DataFrame, keys: list[str]) -> DataFrame:
+    return transformed(stats).withColumns({f"__k{i}": F.coalesce(F.col(k), F.lit(NULL_KEY)) for i, k in enumerate(keys)})
+
+
+def fit(stats: DataFrame, keys: list[str], support: float, steps: int, min_group: int) -> tuple[DataFrame, DataFrame]:
+    """Estimates per group (__k*, __o struct) for groups of `min_group` rows or more, and over all rows (__w struct)."""
+    by, p = [f"__k{i}" for i in range(len(keys))], len(DIMS)
+    names = [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
+    good = _keyed(stats.where(~F.col("base_failed")), keys).select(*by, *DIMS)
     own = mcd(good, by, support, steps)
-    whole = mcd(good.select(F.lit(0).alias("_all"), *DIMS), ["_all"], support, steps)
-    p = len(DIMS)
+    # read back, the key is data and not a constant that would make its joins cross joins
+    whole = mcd(table(good.select(F.lit(0).alias("__all"), *DIMS), "mcd-all"), ["__all"], support, steps)
+    return own.where(F.col("n") >= min_group).select(*by, F.struct(*names).alias("__o")), whole.select(F.struct(*names).alias("__w"))
+
+
+def verdicts(stats: DataFrame, estimates: tuple[DataFrame, DataFrame], keys: list[str], cutoff: float) -> DataFrame:
+    """stats plus distance (squared; null for base failures) and kept. One output row per input row."""
+    by, p = [f"__k{i}" for i in range(len(keys))], len(DIMS)
+    own, whole = estimates
     names = [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
-    w = whole.select(F.struct(*names).alias("_w"))
-    own = own.where(F.col("n") >= min_group).select(*by, F.struct(*names).alias("_o"))
-    joined = v.join(own, by, "left").join(F.broadcast(w), how="left")  # one row
-    joined = joined.withColumn("_e", F.coalesce("_o", "_w")).select("*", *[F.col(f"_e.{n}").alias(n) for n in names])
-    joined = joined.withColumn("distance", F.when(~F.col("base_failed"), _distance(p)))
+    d = _keyed(stats, keys).join(_hinted(own), by, "left").join(F.broadcast(whole), how="left")  # one row
+    d = d.withColumn("__e", F.coalesce("__o", "__w"))
+    distance = _distance(p, lambda n: F.col("__e")[n])
+    d = d.withColumn("distance", F.when(~F.col("base_failed"), distance)).drop(*by, "__o", "__w", "__e", *DIMS)
     kept = F.when(F.col("base_failed"), False).otherwise(F.col("distance") <= cutoff)
-    return joined.withColumn("kept", F.coalesce(kept, F.lit(True))).drop(*by, "_o", "_w", "_e", *names, *DIMS)
+    return d.withColumn("kept", F.coalesce(kept, F.lit(True)))
+
+
+KEYS = ("lang", "source")
+
+
+def quality_rules(docs: DataFrame, keep: list[str] = ["doc_id", "lang", "source"], keys=KEYS, support: float = 0.75, steps: int = 3, cutoff: float = 27.0, min_group: int = 30) -> DataFrame:
+    """Statistics and verdict per document: `keep` columns (with `keys`), base statistics, base_failed, distance, kept."""
+    stats = table(statistics(docs, keep), "quality-stats")
+    return verdicts(stats, fit(stats, list(keys), support, steps, min_group), list(keys), cutoff)
 
 
-def quality_rules(docs: DataFrame, keep: list[str] = ["doc_id", "lang", "source"], **options) -> DataFrame:
-    """Statistics and verdict per document: `keep` columns, base statistics, base_failed, distance, kept."""
-    return judge(table(statistics(docs, keep), "quality-stats"), **options)
+def filter_documents(docs: DataFrame, keys=KEYS, support: float = 0.75, steps: int = 3, cutoff: float = 27.0, min_group: int = 30) -> DataFrame:
+    """The rows of docs that stay. Statistics are computed again where the rows are, so no text is shuffled and ids need not be unique."""
+    keys = list(keys)
+    stats = table(statistics(docs, keys), "quality-stats")
+    # the documents' own columns travel in one struct, whatever their names
+    rows = statistics(docs.withColumn("__row", F.struct(*docs.columns)), ["__row", *keys])
+    return verdicts(rows, fit(stats, keys, support, steps, min_group), keys, cutoff).where("kept").select("__row.*")
