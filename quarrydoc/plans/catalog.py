@@ -373,7 +373,7 @@ def table_markdown(spark, d):
 def visual_clusters(spark, d):
     e = views.read(spark, d, "events")
     x, y = F.pmod(T.portable_hash(F.col("event_id").cast("string")), F.lit(600)).cast("double"), F.pmod(T.portable_hash(F.col("props")), F.lit(800)).cast("double")
-    boxes = e.select(F.col("user_id").cast("string").alias("doc"), F.dayofmonth("ts").alias("page"), F.col("event_id").alias("seq"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1"))
+    boxes = e.select((F.col("user_id") % 5).cast("string").alias("doc"), F.dayofmonth("ts").alias("page"), F.col("event_id").alias("seq"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1"))
     return layout.drawing_clusters(boxes)
 
 
