@@ -19,6 +19,10 @@ COMPARISON = [r"\bcompare\b", r"\bcomparison\b", r"\bdifference(s)? between\b",
 #: Labels of element types and prefixes of captions.
 LABELS = {"table": "[Table]", "image": "[Image]", "chart": "[Chart]", "figure": "[Figure]"}
 SHORT_QUERY_WORDS = 4
+#: The question templates; their words decide the mode a rewritten question takes.
+BARE_TEMPLATE = ("What does the document say about ", "?")
+SIMPLER = " — explain it in simpler terms"
+SUMMARISED = "Summarize the answer to: "
 
 
 def strip(c: Column) -> Column:
@@ -128,7 +132,7 @@ def search_query(question: Column, has_history: Column, resolved: Column) -> Col
     w = bare_words(q)
     in_list = lambda words: F.arrays_overlap(w, F.array(*[F.lit(x) for x in words]))
     formed = in_list(QUESTION_WORDS + ACTION_WORDS) | (F.size(w) > SHORT_QUERY_WORDS)
-    return F.when(q == "", q).when(has_history & in_list(REFERENCE_WORDS), F.coalesce(resolved, q)).when(formed, q).otherwise(F.concat(F.lit("What does the document say about "), q, F.lit("?")))
+    return F.when(q == "", q).when(has_history & in_list(REFERENCE_WORDS), F.coalesce(resolved, q)).when(formed, q).otherwise(F.concat(F.lit(BARE_TEMPLATE[0]), q, F.lit(BARE_TEMPLATE[1])))
 
 
 def refers_back(question: Column) -> Column:
@@ -136,11 +140,11 @@ def refers_back(question: Column) -> Column:
 
 
 def simpler(question: Column) -> Column:
-    return F.concat(question, F.lit(" — explain it in simpler terms"))
+    return F.concat(question, F.lit(SIMPLER))
 
 
 def summarised(question: Column) -> Column:
-    return F.concat(F.lit("Summarize the answer to: "), question)
+    return F.concat(F.lit(SUMMARISED), question)
 
 
 def data_url(image: Column, mime: str = "image/png") -> Column:

@@ -14,7 +14,7 @@ MODE_NOTES = {
     "comparison": "Compare the documents named in the source labels: where they agree, where they differ.",
 }
 PROMPT = "Use only the passages below. If they hold no answer, say that the documents do not tell.\n%s\n\nPassages:\n%s\n\nQuestion:\n%s\n\nAnswer:"
-REFUSAL = "I couldn't find this in the uploaded documents."
+REFUSAL = "The documents do not tell."
 
 
 def citations(candidates: DataFrame) -> DataFrame:
