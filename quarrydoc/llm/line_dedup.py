@@ -79,16 +79,17 @@ def later_windows(start: DataFrame, limit: int) -> DataFrame:
     w = start.select(*DOC, F.explode(F.array_distinct(F.array(F.struct(F.col("p").alias("s"), F.col("fw").alias("len")), F.struct((F.col("p") - F.col("bw") + 1).alias("s"), F.col("bw").alias("len"))))).alias("x"), "p", "r").select(*DOC, "x.*", "p", "r").where("len is not null")
     single = w.where("len = 1").select(*DOC, "s", "len", F.col("r").alias("ra"), F.col("r").alias("rb"))
     wide = w.where("len > 1").select(*DOC, "s", "len").distinct()
-    wide = wide.withColumn("k", F.floor(F.log2("len") + 1e-9).cast("int"))
-    found = None
+    wide = wide.withColumn("k", F.floor(F.log2("len") + 1e-9).cast("int")).withColumn("q", F.col("s") + F.col("len") - F.expr("shiftleft(1, k)"))
+    ranks = None
     for k, level in enumerate(levels[1:], 1):
-        here = wide.where(F.col("k") == k)
-        first = level.select(*DOC, F.col("p").alias("s"), F.col("r").alias("ra"))
-        last = level.select(*DOC, F.col("p").alias("q"), F.col("r").alias("rb"))
-        here = here.join(first, [*DOC, "s"]).withColumn("q", F.col("s") + F.col("len") - 2**k)
-        here = here.join(last, [*DOC, "q"]).select(*DOC, "s", "len", "ra", "rb")
-        found = here if found is None else found.unionByName(here)
-    all_windows = single.distinct() if found is None else single.distinct().unionByName(found)
+        here = level.withColumn("k", F.lit(k))
+        ranks = here if ranks is None else ranks.unionByName(here)
+    all_windows = single.distinct()
+    if ranks is not None:
+        first = ranks.select(*DOC, "k", F.col("p").alias("s"), F.col("r").alias("ra"))
+        last = ranks.select(*DOC, "k", F.col("p").alias("q"), F.col("r").alias("rb"))
+        wide = wide.join(first, [*DOC, "k", "s"]).join(last, [*DOC, "k", "q"]).select(*DOC, "s", "len", "ra", "rb")
+        all_windows = all_windows.unionByName(wide)
     all_windows = table(all_windows, "line-windows")
     at = F.struct(*DOC, "s")
     classes = all_windows.groupBy("len", "ra", "rb").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
