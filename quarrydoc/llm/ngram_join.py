@@ -4,13 +4,14 @@ Every document's word shingles are hashed; its set of hashes is a point whose co
 are the numbers of hashes in `GROUPS` groups. For two points the summed coordinate minima
 bound the overlap from above, and for two tree nodes the minima of their upper corners do so
 for all pairs below, so an R-tree packed by size and widest coordinate prunes what cannot reach the similarity.
+Pairs of large sets that pass are bounded again by counts in finer groups, as many shingles in few groups all look alike.
 
 The forest. Equal sets are one point (the smallest id stands for all). Sets that reach the
 similarity share one of their first n - ceil(s n) + 1 hashes in hash order, so each of those
 hashes is a cell, and points are compared only within cells; cells of one point vanish
 in the first exchange. Cells and points are dealt to tasks, which hold a tree per cell.
 
-Round one pairs each point with its nearest earlier point in each cell (a forest of pairs,
+Round one pairs each point with its nearest earlier point in the cells of a task (a forest of pairs,
 not all of a group's). The pairs are verified on the full sets, and links give components.
 Round two searches the trees again for every pair within the bound whose ends are not yet
 connected (nodes that hold one and the same component are skipped whole), verifies them,
@@ -28,6 +29,7 @@ hash); null ids are taken as the smallest id; an empty table gives an empty resu
 from __future__ import annotations
 
 import functools
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .components import components
 
-GROUPS = 128
+#: Groups of the tree's points; groups of the finer counts that points of many shingles are held against one by one.
+GROUPS, FINE, FINEST = 128, 1024, 8192
 LEAF = 32
 FANOUT = 8
 BITS = 2**22
@@ -82,6 +85,21 @@ def shingle_set(text: str | None, width: int):
     return np.unique(out)
 
 
+def packed_counts(hashes) -> bytes:
+    """Counts per group, the finest that the size calls for; coarser ones are sums of strides of them."""
+    import numpy as np
+
+    size = FINE if len(hashes) < 16 * FINE else FINEST
+    return zlib.compress(np.bincount((hashes >> np.uint64(17)).astype(np.int64) % size, minlength=size).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes, size: int):
+    """The counts folded to `size` groups."""
+    import numpy as np
+
+    return np.frombuffer(zlib.decompress(data), "<u4").reshape(-1, size).sum(axis=0, dtype=np.int32)
+
+
 def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc, th (hash of the text), n, s1, s2 (signature of the set), vec (group counts), prefix (hashes); packed as little-endian bytes."""
 
@@ -99,8 +117,7 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 d = xxhash.xxh128_intdigest(s.tobytes())
                 s1.append((d >> 64) - 2**63)
                 s2.append((d & (2**64 - 1)) - 2**63)
-                groups = np.bincount((s >> np.uint64(17)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                vec.append(groups.astype("<u4").tobytes() if m > 60_000 else groups.astype("<u2").tobytes())
+                vec.append(packed_counts(s))
                 prefix.append(s[: m + (-percent * m // 100) + 1 if m else 0].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(vec, pa.binary()), pa.array(prefix, pa.binary())], names=["doc", "th", "n", "s1", "s2", "vec", "prefix"])
 
@@ -124,7 +141,10 @@ def cells(reps: DataFrame) -> DataFrame:
 
 
 def shared_cells(emitted: DataFrame, tasks: int) -> DataFrame:
-    """Rows of cells with two points or more; within a task, cells of the same points are one."""
+    """(h, doc, g): rows of cells with two points or more; within a task, cells of the same points are one.
+
+    g leads cells with the same first point (most cells of a group of near copies) to the same two tasks of the search.
+    """
 
     def keep(pdf):
         import numpy as np
@@ -134,7 +154,7 @@ def shared_cells(emitted: DataFrame, tasks: int) -> DataFrame:
         h, doc = pdf["h"].to_numpy(), pdf["doc"].to_numpy()
         cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, int)
         size = np.diff(np.append(cut, len(h)))
-        out_h, out_d, seen = [], [], set()
+        out_h, out_d, out_g, seen = [], [], [], set()
         for a, s in zip(cut[size > 1], size[size > 1]):
             members = doc[a : a + s]
             key = members.tobytes() if s < 64 else hash(members.tobytes())
@@ -143,10 +163,12 @@ def shared_cells(emitted: DataFrame, tasks: int) -> DataFrame:
             seen.add(key)
             out_h.append(h[a : a + s])
             out_d.append(members)
-        return pd.DataFrame({"h": np.concatenate(out_h) if out_h else np.empty(0, np.int64), "doc": np.concatenate(out_d) if out_d else np.empty(0, np.int64)})
+            out_g.append(np.full(s, members[0] ^ (h[a] & 1), np.int64))
+        flat = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
+        return pd.DataFrame({"h": flat(out_h), "doc": flat(out_d), "g": flat(out_g)})
 
     dealt = emitted.withColumn("_g", F.pmod(F.xxhash64("h"), F.lit(tasks)))
-    return dealt.groupBy("_g").applyInPandas(lambda pdf: keep(pdf), "h long, doc long")
+    return dealt.groupBy("_g").applyInPandas(lambda pdf: keep(pdf), "h long, doc long, g long")
 
 
 class CountTree:
@@ -216,20 +238,12 @@ class CountTree:
                 yield i + i0, j + j0, over[i, j]
 
 
-def _nearest(tree: CountTree, np):
-    """For every point the earlier point (in id order) of the greatest bound relative to the union."""
-    m = len(tree.n)
-    best, to = np.full(m, -1.0), np.full(m, -1)
-    for i, j, over in tree.pairs(False):
-        score = over / (tree.n[i] + tree.n[j] - over)
-        late, early = np.maximum(tree.order[i], tree.order[j]), np.minimum(tree.order[i], tree.order[j])
-        # of equal scores the earliest id wins, so that cells agree
-        for k in np.lexsort((early, -score)):
-            a, e, s = late[k], early[k], score[k]
-            if s > best[a] or (s == best[a] and e < to[a]):
-                best[a], to[a] = s, e
-    late = np.flatnonzero(to >= 0)
-    return late, to[late]
+def _first_best(late, early, score, np):
+    """Per late point the earlier one of the greatest score, of equal scores the smallest."""
+    order = np.lexsort((early, -score, late))
+    late, early, score = late[order], early[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]])) if len(late) else np.empty(0, int)
+    return late[first], early[first], score[first]
 
 
 def _blocks(members, n, size: int):
@@ -244,16 +258,30 @@ def candidate_pairs(shared: DataFrame, known: DataFrame, percent: int, tasks: in
         import numpy as np
         import pandas as pd
 
-        out: set[tuple[int, int]] = set()
+        found = [np.empty((0, 2), np.int64)]
+        near = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(cells_) and len(docs_):
             docs_ = docs_.drop_duplicates("doc").sort_values("doc")
             ids, n, comp = docs_["doc"].to_numpy(), docs_["n"].to_numpy().astype(np.int64), docs_["comp"].to_numpy()
-            vec = np.stack([np.frombuffer(v, "<u4" if len(v) == 4 * GROUPS else "<u2").astype(np.int32) for v in docs_["vec"]])
+            raw = docs_["vec"].to_numpy()
+            vec = np.stack([unpacked(v, GROUPS) for v in raw])
+            fine = functools.lru_cache(maxsize=4096)(lambda i, size: unpacked(raw[i], size))
             label = np.unique(comp, return_inverse=True)[1]
             cells_ = cells_.sort_values(["h", "doc"])
             h, at = cells_["h"].to_numpy(), np.searchsorted(ids, cells_["doc"].to_numpy())
             cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             seen = set()
+
+            def within(i, j, over):
+                """The pairs of points i, j that pass the finer bound too, and their bounds."""
+                over = over.copy()
+                for k in np.flatnonzero(n[i] + n[j] > 4 * GROUPS):
+                    a, b = int(i[k]), int(j[k])
+                    size = FINEST if min(n[a], n[b]) >= 16 * FINE else FINE
+                    over[k] = min(over[k], int(np.minimum(fine(a, size), fine(b, size)).sum()))
+                ok = 100 * over >= percent * (n[i] + n[j] - over)
+                return i[ok], j[ok], over[ok]
+
             for a, b in zip(cut, np.append(cut[1:], len(h))):
                 members = np.unique(at[a:b])
                 if across and (label[members] == label[members[0]]).all():
@@ -267,17 +295,23 @@ def candidate_pairs(shared: DataFrame, known: DataFrame, percent: int, tasks: in
                     parts.append(np.array([p[0] for p in parts]))
                 for part in parts:
                     tree = CountTree(n[part], vec[part], label[part], percent)
-                    if across:
-                        for i, j, _ in tree.pairs(True):
-                            x, y = ids[part[tree.order[i]]], ids[part[tree.order[j]]]
-                            out.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-                    else:
-                        late, early = _nearest(tree, np)
-                        out.update(zip(ids[part[early]].tolist(), ids[part[late]].tolist()))
-        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+                    for i, j, over in tree.pairs(across):
+                        x, y, over = within(part[tree.order[i]], part[tree.order[j]], over)
+                        early, late = np.minimum(x, y), np.maximum(x, y)
+                        if across:
+                            found.append(np.stack([ids[early], ids[late]], axis=1))
+                        else:
+                            near.append(_first_best(late, early, over / (n[x] + n[y] - over), np))
+                if len(found) > 1000:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                if len(near) > 1000:
+                    near = [_first_best(*(np.concatenate(c) for c in zip(*near)), np)]
+            late, early, _ = _first_best(*(np.concatenate(c) for c in zip(*near)), np)
+            found.append(np.stack([ids[early.astype(int)], ids[late.astype(int)]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = shared.withColumn("_g", F.pmod(F.xxhash64("h"), F.lit(tasks)))
+    dealt = shared.withColumn("_g", F.pmod(F.xxhash64("g"), F.lit(tasks))).drop("g")
     needed = dealt.select(F.col("_g").alias("_to"), F.col("doc").alias("_doc")).distinct()
     needed = needed.join(known, needed["_doc"] == known["doc"]).select("_to", F.col("_doc").alias("doc"), "n", "vec", "comp")
     found = dealt.groupBy("_g").cogroup(needed.groupBy("_to")).applyInPandas(search, "a long, b long")
