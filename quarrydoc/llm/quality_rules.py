@@ -9,8 +9,9 @@ expressions, so nothing leaves the JVM. Documents whose distance exceeds the cut
 are rejected.
 
 Defined results: null text counts as empty; documents that fail the base rule take no
-part in the estimates; a null lang or source is a group of its own; groups under
-`min_group` rows use the estimate over all documents; a flat dimension
+part in the estimates; a null lang or source is a group of its own; every group has its own
+estimate, drawn towards its language's and that one towards the estimate over all documents as rows
+are few (`_shrunk`; no switch by size); a flat dimension
 gets the variance floor; ties and repeated rows change nothing; an empty table gives
 an empty result; extra columns are carried by `filter_documents`, which joins nothing.
 """
@@ -135,33 +136,54 @@ def mcd(vectors: DataFrame, by: list[str], support: float, steps: int) -> DataFr
         cut = table(d.groupBy(*by).agg(F.percentile_approx("_d", support, 1000).alias("_q")), "mcd-cut")
         kept = d.join(_hinted(cut), by).where(F.col("_d") <= F.col("_q"))
         params = table(_moments(kept, by, CONSISTENCY), "mcd-step")
-    return params
+    return params.drop("n").join(med.select(*by, "n"), by)  # n: the group's rows, not those of the last support set
+
+
+def _shrunk(own: DataFrame, parent: DataFrame, up: list[str], min_group: int) -> DataFrame:
+    """Estimates drawn towards those of the group above, joined on `up`: the normal-inverse-Wishart posterior.
+
+    The parent counts as one row for the location and as `min_group` rows for the scatter; own rows count beyond
+    the p + 1 without which a scatter has no full rank. The distance of the two locations widens the scatter.
+    """
+    p = len(DIMS)
+    names = [f"m{i}" for i in range(p)] + [f"c{i}{j}" for i in range(p) for j in range(i + 1)]
+    above = parent.select(*up, F.struct(*names).alias("__p"))
+    d = own.drop(*[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    d = d.join(_hinted(above), up) if up else d.join(F.broadcast(above), how="left")  # one row
+    rows = F.greatest(F.col("n") - (p + 1), F.lit(0)).cast("double")
+    place, size = rows / (rows + 1), rows + max(min_group, 1)
+    gap = [F.col(f"m{i}") - F.col("__p")[f"m{i}"] for i in range(p)]
+    cols = {f"m{i}": F.col("__p")[f"m{i}"] + place * gap[i] for i in range(p)}
+    for i in range(p):
+        for j in range(i + 1):
+            above_c = F.col("__p")[f"c{i}{j}"]
+            cols[f"c{i}{j}"] = above_c + (F.col(f"c{i}{j}") - above_c) * rows / size + gap[i] * gap[j] * place / size
+    return _factor(d.withColumns(cols).drop("__p"), p)
 
 
 def _keyed(stats: DataFrame, keys: list[str]) -> DataFrame:
     return transformed(stats).withColumns({f"__k{i}": F.coalesce(F.col(k), F.lit(NULL_KEY)) for i, k in enumerate(keys)})
 
 
-def fit(stats: DataFrame, keys: list[str], support: float, steps: int, min_group: int) -> tuple[DataFrame, DataFrame]:
-    """Estimates per group (__k*, __o struct) for groups of `min_group` rows or more, and over all rows (__w struct)."""
+def fit(stats: DataFrame, keys: list[str], support: float, steps: int, min_group: int) -> DataFrame:
+    """Estimates (__k*, __e struct) per group with rows that pass the base rule: over all rows, by the first key, by the first two, ..."""
     by, p = [f"__k{i}" for i in range(len(keys))], len(DIMS)
     names = [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
     good = _keyed(stats.where(~F.col("base_failed")), keys).select(*by, *DIMS)
-    own = mcd(good, by, support, steps)
     # read back, the key is data and not a constant that would make its joins cross joins
-    whole = mcd(table(good.select(F.lit(0).alias("__all"), *DIMS), "mcd-all"), ["__all"], support, steps)
-    return own.where(F.col("n") >= min_group).select(*by, F.struct(*names).alias("__o")), whole.select(F.struct(*names).alias("__w"))
+    est = mcd(table(good.select(F.lit(0).alias("__all"), *DIMS), "mcd-all"), ["__all"], support, steps)
+    for depth in range(1, len(by) + 1):
+        est = table(_shrunk(mcd(good, by[:depth], support, steps), est, by[: depth - 1], min_group), "mcd-shrunk")
+    return est.select(*by, F.struct(*names).alias("__e"))
 
 
-def verdicts(stats: DataFrame, estimates: tuple[DataFrame, DataFrame], keys: list[str], cutoff: float) -> DataFrame:
+def verdicts(stats: DataFrame, estimates: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
     """stats plus distance (squared; null for base failures) and kept. One output row per input row."""
     by, p = [f"__k{i}" for i in range(len(keys))], len(DIMS)
-    own, whole = estimates
-    names = [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
-    d = _keyed(stats, keys).join(_hinted(own), by, "left").join(F.broadcast(whole), how="left")  # one row
-    d = d.withColumn("__e", F.coalesce("__o", "__w"))
+    d = _keyed(stats, keys)
+    d = d.join(_hinted(estimates), by, "left") if by else d.join(F.broadcast(estimates), how="left")  # one row
     distance = _distance(p, lambda n: F.col("__e")[n])
-    d = d.withColumn("distance", F.when(~F.col("base_failed"), distance)).drop(*by, "__o", "__w", "__e", *DIMS)
+    d = d.withColumn("distance", F.when(~F.col("base_failed"), distance)).drop(*by, "__e", *DIMS)
     kept = F.when(F.col("base_failed"), False).otherwise(F.col("distance") <= cutoff)
     return d.withColumn("kept", F.coalesce(kept, F.lit(True)))
 

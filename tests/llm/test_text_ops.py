@@ -245,6 +245,29 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert quality_rules(docs(spark, [])).count() == 0 and filter_documents(docs(spark, [])).count() == 0
 
 
+def test_small_groups_have_estimates_of_their_own(spark):
+    """A long tail: a small language whose words are long is not held against the others, and its junk still goes."""
+    rnd = random.Random(12)
+    word = lambda a, b: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(a, b)))
+    en = [" ".join(word(2, 8) for _ in range(rnd.randint(40, 90))) for _ in range(400)]
+    long_ = [" ".join(word(60, 140) for _ in range(rnd.randint(20, 40))) for _ in range(24)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(en)]
+    for n in (6, 24):  # too few to sway the estimate over all rows
+        rows += [(1000 * n + i, t, f"long{n}", "s0", len(t)) for i, t in enumerate(long_[:n])]
+        t = " ".join(w + "###$$$" * 5 for w in long_[n - 1].split())
+        rows.append((1000 * n + 999, t, f"long{n}", "s0", len(t)))
+    kept = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i, k in kept.items() if not k} == {6999, 24999}
+
+
+def test_mcd_counts_the_rows_of_the_group(spark):
+    from quarrydoc.llm.quality_rules import DIMS, mcd
+
+    rows = [(0, float(i % 7), float(i % 5), float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"{d} double" for d in DIMS)).withColumn("k", F.col("k") + F.floor(F.rand() * 0).cast("int"))
+    assert mcd(df, ["k"], 0.75, 3).head().n == 40
+
+
 def test_mcd_distance_against_numpy(spark):
     """The column arithmetic of one fit against the same steps in numpy."""
     from quarrydoc.llm.quality_rules import CONSISTENCY, DIMS, VAR_FLOOR, _distance, mcd
