@@ -70,9 +70,11 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit bytes."""
-        if UNUSUAL.search(text):
+        low = text.lower()
+        # some capitals of LATIN lower to letters outside it (U+018F to U+0259)
+        if UNUSUAL.search(text) or not text.isascii() and UNUSUAL.search(low):
             return self.whole(text)
-        words = WORD.findall(text.lower())
+        words = WORD.findall(low)
         if not words:
             return b""
         words.append("")

@@ -41,6 +41,13 @@ def test_word_tokenizer_equals_file():
             assert [x.id for x in w.tokenizer.model.tokenize(t[:-4])] == [i]
 
 
+def test_word_tokenizer_equals_file_for_every_latin_letter():
+    w = WordTokenizer(WORD_FILE)
+    for c in map(chr, range(0xC0, 0x250)):
+        for t in (c, f"{c}LI GELDI", f"ab{c}cd", f"AB{c}"):
+            assert w.encode(t) == np.array(w.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
 def test_packing_round_trip(spark):
     rnd = random.Random(3)
     texts = odd_texts() + [" ".join("word" for _ in range(rnd.randint(1, 5000))) for _ in range(30)]
