@@ -100,14 +100,19 @@ LEGS = "legs AS (SELECT query_id, 1 AS leg, rank, chunk_id FROM bm25 UNION ALL S
 DENSE = "dense AS (SELECT q.query_id, c.chunk_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_distance(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9), c.chunk_id)::INT AS rank FROM q JOIN embeddings v ON v.vec_id = q.query_id * 7 JOIN chunks c USING (chat_session_id) JOIN embeddings e ON e.vec_id = c.page QUALIFY rank <= 20)"
 
 
+def _vectors(spark, d, questions):
+    """Vectors of the chunks that have one, and of the questions: rows 7, 14, 21, 28 for questions 1 to 4."""
+    e = views.vectors(spark, d).select(F.col("vec_id").cast("int").alias("page"), "embedding")
+    have = views.chunks(spark, d).join(e, "page").select("chunk_id", "chat_session_id", "embedding")
+    qv = questions.join(views.vectors(spark, d), F.col("vec_id") == F.col("query_id") * 7).select("query_id", F.col("embedding").cast("array<double>").alias("query_vector"))
+    return have, qv
+
+
 def _dense_legs(spark, d):
-    """Dense legs of the four questions over the chunks of their sessions that have vectors: the query vectors are rows 7, 14, 21, 28."""
+    """Dense legs of the four questions over the chunks of their sessions that have vectors."""
     q = views.questions(spark)
-    c, e = views.chunks(spark, d), views.vectors(spark, d).select(F.col("vec_id").cast("int").alias("page"), "embedding")
-    have = c.join(e, "page")
-    qv = q.join(views.vectors(spark, d).withColumnRenamed("embedding", "query_vector"), F.col("vec_id") == F.col("query_id") * 7).select("query_id", "chat_session_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    near = dense.knn(have, qv, 20, "chunk_id", group="chat_session_id")
-    return near.join(q.select("query_id", "chat_session_id"), ["query_id", "chat_session_id"], "left_semi").select("query_id", F.lit(0).alias("leg"), "rank", "chunk_id")
+    have, qv = _vectors(spark, d, q)
+    return retrieval.dense_leg(have, q, qv, 20).select("query_id", F.lit(0).alias("leg"), "rank", "chunk_id")
 
 
 @query(bm25_sql(views.QUESTIONS, 20) + f", {DENSE}, {LEGS}, {RRF} SELECT query_id, fusion_key, round(score, 9) AS score, first_seen::BIGINT AS first_seen, rank FROM rrf")
@@ -128,6 +133,13 @@ def hybrid_topk(spark, d):
     return r.select("query_id", "rank", F.round("score", 9).alias("score"), "source", "page")
 
 
+@query(HYBRID.replace("legs AS (SELECT query_id, 1 AS leg, rank, chunk_id FROM bm25)", f"{DENSE}, {LEGS}") + " SELECT query_id, rank, round(score, 9) AS score, source, page FROM top")
+def hybrid_both_legs(spark, d):
+    q = views.questions(spark)
+    r = retrieval.hybrid(views.chunks(spark, d), q, 20, *_vectors(spark, d, q))
+    return r.select("query_id", "rank", F.round("score", 9).alias("score"), "source", "page")
+
+
 QTERMS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: x <> ''))"
 RERANK = HYBRID + f", scored AS (SELECT t.*, 10.0 * len(list_intersect({QTERMS.format('q.question')}, {QTERMS.format('t.text')})) / len({QTERMS.format('q.question')}) - 5.0 AS s FROM top t JOIN q USING (query_id)), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank)::INT AS rerank_rank FROM scored QUALIFY rerank_rank <= 5)"
 
@@ -455,4 +467,4 @@ def answer_contexts(spark, d):
     q = spark.createDataFrame([(1, "en", "What is the and attion", 20, False), (2, "en", "Compare src1 and src2 the", 20, False), (3, "de", "overview", 20, False)], "query_id int, chat_session_id string, question string, document_count int, has_history boolean").withColumn("resolved", F.lit(None).cast("string"))
     c = views.chunks(spark, d)
     meta = c.select("chat_session_id", "filename").distinct().withColumn("display_title", F.lit(None).cast("string"))
-    return retrieval.answer_contexts(c, q, meta)
+    return retrieval.answer_contexts(c, q, meta, *_vectors(spark, d, q))

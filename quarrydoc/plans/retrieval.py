@@ -10,27 +10,34 @@ from ..operators import context, dense, fusion, lexical, routing
 LEG_K = 20
 
 
+def dense_leg(vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, chunk_id): the k nearest chunks of each query's own session. vectors: chunk_id, chat_session_id, embedding."""
+    asked = queries.select("query_id", "chat_session_id")
+    near = dense.knn(vectors, query_vectors.join(asked, "query_id", "left_semi"), k, group="chat_session_id")
+    return near.join(asked, ["query_id", "chat_session_id"], "left_semi").select("query_id", "rank", "chunk_id")
+
+
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 20, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
-    """Fused candidates per query. The lexical leg is BM25; the dense leg is exact kNN over `vectors`, where there are any."""
+    """Fused candidates per query. The lexical leg is BM25; the dense leg is exact kNN over `vectors` of the session, where there are any."""
     meta = chunks.select("chunk_id", F.col("filename").alias("source"), "page", "text")
     leg = lexical.bm25_search(chunks, queries, LEG_K).select("query_id", F.lit(1).alias("leg"), "rank", "chunk_id")
     if vectors is not None:
-        near = dense.knn(vectors, query_vectors, LEG_K).select("query_id", F.lit(0).alias("leg"), "rank", "chunk_id")
+        near = dense_leg(vectors, queries, query_vectors, LEG_K).select("query_id", F.lit(0).alias("leg"), "rank", "chunk_id")
         leg = near.unionByName(leg)
     return fusion.rrf(leg.join(meta, "chunk_id").select("query_id", "leg", "rank", "source", "page", "text"), k)
 
 
-def answer_contexts(chunks: DataFrame, questions: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
+def answer_contexts(chunks: DataFrame, questions: DataFrame, documents: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, mode, rank, source, page, text, rerank_score) for all questions at once, each by its mode.
 
-    specific: hybrid candidates reranked; broad: a spread sample of every document; comparison: the k
-    best of every target document, by the lexical leg.
+    specific: hybrid candidates of both legs reranked; broad: a spread sample of every document; comparison: the k
+    nearest of every target document. vectors: chunk_id, chat_session_id, embedding; query_vectors: query_id, query_vector.
     """
     q = routing.route(questions)
     meta = chunks.select("chunk_id", "chat_session_id", F.col("filename").alias("source"), "page", "text")
     ask = q.select("query_id", "chat_session_id", F.col("search_query").alias("question"), "mode")
     specific = ask.where("mode = 'specific'")
-    fused = hybrid(chunks, specific).join(specific.select("query_id", "question"), "query_id")
+    fused = hybrid(chunks, specific, 20, vectors, query_vectors).join(specific.select("query_id", "question"), "query_id")
     best = fusion.rerank(fused, fusion.coverage_score(F.col("question"), F.col("text")), k)
     a = best.select("query_id", F.lit("specific").alias("mode"), F.col("rerank_rank").alias("rank"), "source", "page", "text", "rerank_score")
     a = a.where("rerank_score >= -3.0")
@@ -38,17 +45,19 @@ def answer_contexts(chunks: DataFrame, questions: DataFrame, documents: DataFram
     b = spread.join(ask.where("mode = 'broad'"), "chat_session_id").select("query_id", F.lit("broad").alias("mode"), F.row_number().over(_window("filename", "page")).alias("rank"), F.col("filename").alias("source"), "page", "text", F.lit(None).cast("double").alias("rerank_score"))
     compare = ask.where("mode = 'comparison'")
     targets = routing.comparison_targets(questions.join(compare.select("query_id"), "query_id"), documents)
-    per = chunks.withColumn("chat_session_id", F.col("filename"))
-    pairs = targets.join(compare.select("query_id", "question"), "query_id").select(F.struct("query_id", "filename").alias("query_id"), F.col("filename").alias("chat_session_id"), "question")
-    found = lexical.bm25_search(per, pairs, k).join(meta, "chunk_id")
-    c = found.select(F.col("query_id.query_id").alias("query_id"), F.lit("comparison").alias("mode"), F.row_number().over(_window("query_id.filename", "rank")).alias("rank"), "source", "page", "text", F.lit(None).cast("double").alias("rerank_score"))
+    pairs = targets.join(compare.select("query_id", "chat_session_id"), "query_id").withColumn("document", F.to_json(F.struct("chat_session_id", "filename")))
+    place = meta.select("chunk_id", F.to_json(F.struct("chat_session_id", F.col("source").alias("filename"))).alias("document"))
+    own = vectors.select("chunk_id", "embedding").join(place, "chunk_id").join(pairs.select("document").distinct(), "document", "left_semi")
+    near = dense.knn(own, query_vectors.join(compare.select("query_id"), "query_id", "left_semi"), k, group="document")
+    found = near.join(pairs.select("query_id", "document"), ["query_id", "document"], "left_semi").join(meta, "chunk_id")
+    c = found.select("query_id", F.lit("comparison").alias("mode"), F.row_number().over(_window("source", found["rank"])).alias("rank"), "source", "page", "text", F.lit(None).cast("double").alias("rerank_score"))
     return a.unionByName(b).unionByName(c)
 
 
-def _window(*order: str):
+def _window(*order):
     from pyspark.sql import Window
 
-    return Window.partitionBy("query_id" if "." not in order[0] else "query_id.query_id").orderBy(*order)
+    return Window.partitionBy("query_id").orderBy(*order)
 
 
 def prompts(contexts: DataFrame, questions: DataFrame) -> DataFrame:

@@ -216,6 +216,20 @@ def test_prompts(spark):
     assert [(r.ordinal, r.heading) for r in context.document_prompts(c, q).orderBy("ordinal").collect()] == [(1, "t"), (2, "s")]
 
 
+def test_dense_leg_reaches_hybrid_and_comparison(spark):
+    """Chunk z shares no word with the question and comes last by id, but is nearest; x is nearer still and of another session."""
+    rows = [(f"c{i:02}", "s", "a" if i % 2 else "b", i, "word here") for i in range(40)] + [("z", "s", "a", 90, "nothing alike"), ("x", "t", "a", 91, "other session")]
+    c = spark.createDataFrame(rows, "chunk_id string, chat_session_id string, filename string, page int, text string")
+    v = spark.createDataFrame([(r[0], r[1], [{"z": 0.1, "x": 0.0}.get(r[0], 5.0 + r[3])]) for r in rows], "chunk_id string, chat_session_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, "s", "What is the word", 2, False, None), (2, "s", "Compare the word", 2, False, None)], "query_id int, chat_session_id string, question string, document_count int, has_history boolean, resolved string")
+    qv = spark.createDataFrame([(1, [0.0]), (2, [0.0])], "query_id int, query_vector array<double>")
+    pages = [r.page for r in retrieval.hybrid(c, q.where("query_id = 1"), 60, v, qv).collect()]
+    assert 90 in pages and 91 not in pages
+    docs = c.select("chat_session_id", "filename").distinct().withColumn("display_title", F.lit(None).cast("string"))
+    got = retrieval.answer_contexts(c, q, docs, v, qv, 3).where("mode = 'comparison'").orderBy("rank").collect()
+    assert [(r.query_id, r.source, r.page) for r in got] == [(2, "a", 90), (2, "a", 1), (2, "a", 3), (2, "b", 0), (2, "b", 2), (2, "b", 4)]
+
+
 def test_metrics(spark):
     gold = spark.createDataFrame([(1, "s", 1), (2, "s", 2), (3, "s", 3)], "query_id int, expected_source string, expected_page int")
     c = spark.createDataFrame([("x", 1, 2, "s", 1), ("x", 2, 1, "s", 2), ("x", 3, 1, "t", 3), ("y", 1, 9, "s", 1)], "config string, query_id int, rank int, source string, page int")
