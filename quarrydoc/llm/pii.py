@@ -107,8 +107,7 @@ def candidate_spans(t: str) -> list[tuple[int, int, int]]:
     if DIGIT.search(t):
         out += [(m.start(), 3, m.end()) for m in LOOSE_PHONE.finditer(t) if 7 <= len(NOT_DIGIT.sub("", m.group())) <= 15]
         out += [(m.start(), 4, m.end()) for m in LONG_WORD.finditer(t) if DIGIT.search(m.group()) and not m.group().isdigit()]
-    low = "dot" in t or "DOT" in t or "(at)" in t or "[at]" in t
-    for m in AT.finditer(t) if low else ():
+    for m in AT.finditer(t):
         before = BEFORE_AT.search(t, max(0, m.start() - 64), m.start())
         after = AFTER_AT.match(t, m.end(), m.end() + 256)
         if before and after:

@@ -181,6 +181,13 @@ def test_pii_method_adds_and_keeps(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_obfuscated_emails_need_nothing_else_in_the_text():
+    for mail in ("joe {at} example.com", "joe [AT] example.com", "joe (AT) example.org", "joe at example.com", "joe(At)example {Dot} net"):
+        for rest in ("", " an anecdote"):
+            t = f"write to {mail} ,{rest}"
+            assert mail in [t[a:b] for a, k, b in pii.candidate_spans(t) if k == 0], t
+
+
 def test_em_recovers_reliable_labelers():
     rnd = random.Random(4)
     counts = {}
