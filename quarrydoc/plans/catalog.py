@@ -381,6 +381,19 @@ def table_markdown(spark, d):
     return _tables(spark).where("tbl in (1, 5, 6)").select("tbl", layout.table_markdown(F.col("rows")).alias("markdown"))
 
 
+MARKDOWN = [
+    *[(t, m) for t, _, ok, m in TABLES if ok or m == ""],
+    (2, "| only |\n| --- |\n| one |"),
+    (3, "\n".join(["| " + " | ".join(str(i) for i in range(13)) + " |", "| " + " | ".join(["---"] * 13) + " |", "| " + " | ".join(str(i) for i in range(13)) + " |"])),
+    (4, "| a | b |\n| --- | --- |\n| c |  |"),
+]
+
+
+@query(f"SELECT * FROM (VALUES {values(MARKDOWN)}) t(tbl, markdown)")
+def table_markdown_all(spark, d):
+    return _tables(spark).select("tbl", layout.table_markdown(F.col("rows")).alias("markdown"))
+
+
 @query()
 def visual_clusters(spark, d):
     e = views.read(spark, d, "events")
