@@ -6,42 +6,15 @@ the same class in Java, Python ``bytes.split`` and RE2.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import BROADCAST_ROWS, discard, fresh_path, hinted, shared_dir, table  # noqa: F401
+
 SPACE = r"[\x20\x09-\x0D]+"
 NULL_KEY = "\u0000null"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), f"quarrydoc-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return path
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor costs nothing done."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """array<string> of words; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -79,5 +52,10 @@ def hash_bucket(h: Column, bits: int) -> Column:
     return F.shiftright(h, 64 - bits)
 
 
+def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
+    """Bits of hash buckets of about `per_bucket` rows each, were all rows of one key."""
+    return max(1, (rows // per_bucket).bit_length())
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

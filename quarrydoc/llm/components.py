@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, table
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,6 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hop = told.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("comp"))
         nxt = table(hop, "cc-labels")
         changed = nxt.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
+        discard(labels)
         labels = nxt
         if not changed:
+            discard(edges)
             return labels

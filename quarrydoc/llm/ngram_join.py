@@ -1,21 +1,25 @@
 """N-gram Jaccard join by count-vector R-trees: exact links, components of near copies.
 
 Every document's word shingles are hashed; its set of hashes is a point whose coordinates
-are the numbers of hashes in `GROUPS` groups. For two points the summed coordinate minima
+are the numbers of hashes in groups, `GROUPS` or as many more as leave about `PER_GROUP` hashes to each. For two points the summed coordinate minima
 bound the overlap from above, and for two tree nodes the minima of their upper corners do so
 for all pairs below, so an R-tree packed by size and widest coordinate prunes what cannot reach the similarity.
-Pairs of large sets that pass are bounded again by counts in finer groups, as many shingles in few groups all look alike.
+Trees stand on `GROUPS` coordinates; pairs that pass are bounded again on all that both points have.
 
 The forest. Equal sets are one point (the smallest id stands for all). Sets that reach the
-similarity share one of their first n - ceil(s n) + 1 hashes in hash order, so each of those
-hashes is a cell, and points are compared only within cells; cells of one point vanish
-in the first exchange. Cells and points are dealt to tasks, which hold a tree per cell.
-
-Round one pairs each point with its nearest earlier point in the cells of a task (a forest of pairs,
-not all of a group's). The pairs are verified on the full sets, and links give components.
-Round two searches the trees again for every pair within the bound whose ends are not yet
+similarity share one of their first n - ceil(s n) + 1 hashes in any one order of all hashes, so each of those
+hashes is a cell, and points are compared only within cells; cells of one point vanish. The order is that of the hashes, but hot
+ones come last: those that at least half of `HOT_SHARE` of all documents hold. The first scan counts the hashes of all documents, chunk by chunk, and names those held by `HOT_SHARE` of a chunk,
+so none with that share of the whole is missed; documents with a hot hash among their first are scanned again. So a passage that a third
+of all documents share makes no cell, but in documents that hold little else. Cells of
+more than `UNIT` points are dealt out in units of about so many, by hash of the id, so no hash is one task's work.
+
+Round one pairs each point with its nearest earlier point in a unit (a forest of pairs,
+not all of a group's); the first points of a large cell's units meet in one unit more. The pairs are verified on the full sets, and links give components.
+Round two searches again for every pair within the bound whose ends are not yet
 connected (nodes that hold one and the same component are skipped whole), verifies them,
-and joins the components. A pair that links is thus either verified or inside a component
+and joins the components. In a large cell the points of its largest component need no comparison with each
+other: each of their units meets each unit of the other points, and those meet among themselves. A pair that links is thus either verified or inside a component
 already, so components are exact, and a group of g near copies costs about g pairs.
 
 Verification reads documents a second time: a fixed-size bitmap (`BITS`) of the ids in
@@ -31,14 +35,18 @@ from __future__ import annotations
 import functools
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, hinted, table
 from .components import components
 
-#: Groups of the tree's points; groups of the finer counts that points of many shingles are held against one by one.
-GROUPS, FINE, FINEST = 128, 1024, 8192
+#: Coordinates of the tree's points; hashes per group beyond which a set gets more groups.
+GROUPS, PER_GROUP = 128, 8
+#: Points of a unit of a large cell; rows of cells that one task of the search takes.
+UNIT, TASK_ROWS = 2048, 200_000
+#: Share of documents from which a hash is hot; hashes of a chunk.
+HOT_SHARE, CHUNK = 0.004, 2_000_000
 LEAF = 32
 FANOUT = 8
 BITS = 2**22
@@ -86,46 +94,105 @@ def shingle_set(text: str | None, width: int):
 
 
 def packed_counts(hashes) -> bytes:
-    """Counts per group, the finest that the size calls for; coarser ones are sums of strides of them."""
+    """Counts per group, as many groups as the size calls for; coarser ones are sums of strides of them."""
     import numpy as np
 
-    size = FINE if len(hashes) < 16 * FINE else FINEST
+    size = GROUPS
+    while size * PER_GROUP < len(hashes):
+        size *= 2
     return zlib.compress(np.bincount((hashes >> np.uint64(17)).astype(np.int64) % size, minlength=size).astype("<u4").tobytes(), 1)
 
 
-def unpacked(data: bytes, size: int):
-    """The counts folded to `size` groups."""
+def counts_of(data: bytes):
     import numpy as np
 
-    return np.frombuffer(zlib.decompress(data), "<u4").reshape(-1, size).sum(axis=0, dtype=np.int32)
+    return np.frombuffer(zlib.decompress(data), "<u4").astype(np.int32)
+
+
+def folded(counts, size: int):
+    """The counts of `size` groups, a divisor of theirs."""
+    return counts if len(counts) == size else counts.reshape(-1, size).sum(axis=0, dtype=counts.dtype)
+
+
+def prefix_size(n: int, percent: int) -> int:
+    return n + (-percent * n // 100) + 1 if n else 0
 
 
 def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc, th (hash of the text), n, s1, s2 (signature of the set), vec (group counts), prefix (hashes); packed as little-endian bytes."""
+    """doc, th (hash of the text), n, s1, s2 (signature of the set), vec (group counts), prefix (hashes); packed as little-endian bytes.
+
+    Rows with n = -1 are no documents: they hold hashes (prefix) that many documents of a chunk hold, and their numbers (vec).
+    """
+    share, chunk = HOT_SHARE, CHUNK
 
     def scan(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
+        names = ["doc", "th", "n", "s1", "s2", "vec", "prefix"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        held, size = [], 0
+
+        def heavy():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            ok = c >= max(2, share * len(held))
+            row = (None, None, -1, None, None, c[ok].astype("<i8").tobytes(), h[ok].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
         for batch in batches:
             n, s1, s2, vec, prefix = [], [], [], [], []
             for t in batch.column(2):
                 s = shingle_set(t.as_py(), width)
-                m = len(s)
-                n.append(m)
+                n.append(len(s))
                 d = xxhash.xxh128_intdigest(s.tobytes())
                 s1.append((d >> 64) - 2**63)
                 s2.append((d & (2**64 - 1)) - 2**63)
                 vec.append(packed_counts(s))
-                prefix.append(s[: m + (-percent * m // 100) + 1 if m else 0].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(vec, pa.binary()), pa.array(prefix, pa.binary())], names=["doc", "th", "n", "s1", "s2", "vec", "prefix"])
+                prefix.append(s[: prefix_size(len(s), percent)].tobytes())
+                held.append(s)
+                size += len(s)
+                if size >= chunk:
+                    yield heavy()
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip((n, s1, s2, vec, prefix), kinds[2:])]], names=names)
+        if size:
+            yield heavy()
 
     return docs.mapInArrow(scan, "doc long, th long, n int, s1 long, s2 long, vec binary, prefix binary")
 
 
-def cells(reps: DataFrame) -> DataFrame:
-    """(h, doc): one row per point and prefix hash."""
+def hot_hashes(every: DataFrame, n_docs: int):
+    """Ascending hashes (unsigned) that at least half of HOT_SHARE of all documents hold, two at least.
+
+    There are at most 2 / HOT_SHARE times as many as an average set has hashes, however many documents there are.
+    """
+    import numpy as np
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["h", "c"])
+
+    found = every.where("n < 0").select("vec", "prefix").mapInArrow(unpack, "h long, c long")
+    rows = found.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(2, HOT_SHARE * n_docs / 2)).collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
+def _among(values, ascending):
+    import numpy as np
+
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)
+    return ascending[at] == values
+
+
+def cells(reps: DataFrame, hot=None, touched: bool = False) -> DataFrame:
+    """(h, doc): one row per point and prefix hash, without the points that have hot ones; or, if touched, (doc) of just those."""
+    sent = reps.sparkSession.sparkContext.broadcast(hot) if hot is not None and len(hot) else None
 
     def spread(batches):
         import numpy as np
@@ -134,41 +201,81 @@ def cells(reps: DataFrame) -> DataFrame:
         for batch in batches:
             docs = np.asarray(batch.column(0))
             hs = [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
-            sizes = [len(x) for x in hs]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs) if hs else np.empty(0, np.int64)), pa.array(np.repeat(docs, sizes))], names=["h", "doc"])
+            flat = np.concatenate(hs) if hs else np.empty(0, np.int64)
+            at = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
+            if sent is not None:
+                hit = np.bincount(at, _among(flat.view(np.uint64), sent.value), minlength=len(hs)) > 0
+                if touched:
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[hit])], names=["doc"])
+                    continue
+                flat, at = flat[~hit[at]], at[~hit[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(docs[at])], names=["h", "doc"])
+
+    return reps.select("doc", "prefix").mapInArrow(spread, "doc long" if touched else "h long, doc long")
+
+
+def ordered_cells(vectors: DataFrame, base: DataFrame, live: DataFrame, hot, width: int, percent: int) -> DataFrame:
+    """(h, doc) with hot hashes last in the order: points without any among their first keep them, the others are scanned again."""
+    if not len(hot):
+        return cells(vectors)
+    sent = vectors.sparkSession.sparkContext.broadcast(hot)
+
+    def first(s):
+        import numpy as np
 
-    return reps.select("doc", "prefix").mapInArrow(spread, "h long, doc long")
+        late = _among(s, sent.value)
+        return np.concatenate([s[~late], s[late]])[: prefix_size(len(s), percent)]
 
+    ids = table(cells(vectors, hot, touched=True), "ngram-touched")
+    again = sets_of(base, ids, width, first).join(hinted(ids), "doc", "left_semi").join(live, ["doc", "th"], "left_semi").dropDuplicates(["doc"])
+    again = table(again.select(F.explode("set").alias("h"), "doc"), "ngram-late-cells")
+    discard(ids)
+    return cells(vectors, hot).unionByName(again)
 
-def shared_cells(emitted: DataFrame, tasks: int) -> DataFrame:
-    """(h, doc, g): rows of cells with two points or more; within a task, cells of the same points are one.
 
-    g leads cells with the same first point (most cells of a group of near copies) to the same two tasks of the search.
+def shared_cells(emitted: DataFrame) -> DataFrame:
+    """(h, doc, c, first): rows of cells of c points, two or more; first is the smallest of them.
+
+    Counted with map-side combine and joined back, so that a hot cell's rows can be split among tasks.
     """
+    by = emitted.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("first")).where("c > 1")
+    return emitted.join(by, "h")
 
-    def keep(pdf):
-        import numpy as np
-        import pandas as pd
 
-        pdf = pdf.sort_values(["h", "doc"])
-        h, doc = pdf["h"].to_numpy(), pdf["doc"].to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, int)
-        size = np.diff(np.append(cut, len(h)))
-        out_h, out_d, out_g, seen = [], [], [], set()
-        for a, s in zip(cut[size > 1], size[size > 1]):
-            members = doc[a : a + s]
-            key = members.tobytes() if s < 64 else hash(members.tobytes())
-            if key in seen and s < 64:
-                continue
-            seen.add(key)
-            out_h.append(h[a : a + s])
-            out_d.append(members)
-            out_g.append(np.full(s, members[0] ^ (h[a] & 1), np.int64))
-        flat = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
-        return pd.DataFrame({"h": flat(out_h), "doc": flat(out_d), "g": flat(out_g)})
+def _part(c: Column, doc: str = "doc") -> Column:
+    return F.pmod(F.xxhash64(doc, F.lit(7)), F.ceil(c / UNIT)).cast("int")
 
-    dealt = emitted.withColumn("_g", F.pmod(F.xxhash64("h"), F.lit(tasks)))
-    return dealt.groupBy("_g").applyInPandas(lambda pdf: keep(pdf), "h long, doc long, g long")
+
+def units_of_one(shared: DataFrame) -> DataFrame:
+    """(u, doc, g) for the first round: small cells whole, large ones in parts whose first points meet again.
+
+    g leads units with the same first point (most cells of a group of near copies) to the same two tasks of the search.
+    """
+    small = shared.where(F.col("c") <= UNIT).select(F.col("h").alias("u"), "doc", F.col("first").bitwiseXOR(F.col("h").bitwiseAND(1)).alias("g"))
+    large = shared.where(F.col("c") > UNIT).select("h", "doc", _part(F.col("c")).alias("i"))
+    parts = large.select(F.xxhash64("h", "i").alias("u"), "doc").withColumn("g", F.col("u"))
+    heads = large.groupBy("h", "i").agg(F.min("doc").alias("doc")).select(F.xxhash64("h", F.lit(-1)).alias("u"), "doc").withColumn("g", F.col("u"))
+    return small.unionByName(parts).unionByName(heads)
+
+
+def units_of_two(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(u, doc, g) for the second round; comp is (doc, comp). Large cells of one component vanish."""
+    small = shared.where(F.col("c") <= UNIT).select(F.col("h").alias("u"), "doc", F.col("first").bitwiseXOR(F.col("h").bitwiseAND(1)).alias("g"))
+    large = shared.where(F.col("c") > UNIT).select("h", "doc").join(comp, "doc")
+    by = large.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k"))
+    top = by.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("c")).where("m.k < c")
+    top = top.select("h", F.col("m.comp").alias("most"), F.ceil(F.col("m.k") / UNIT).cast("int").alias("p"), F.ceil((F.col("c") - F.col("m.k")) / UNIT).cast("int").alias("q"))
+    d = large.join(top, "h").withColumn("own", F.col("comp") == F.col("most"))
+    own = F.pmod(F.xxhash64("doc", F.lit(7)), F.when(F.col("own"), F.col("p")).otherwise(F.col("q"))).cast("int")
+    d = d.withColumn("i", own)
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    # points of the largest component: a unit with each part of the others; the others: with each of its parts and among themselves
+    across = F.transform(span(F.col("q")), lambda j: F.xxhash64("h", F.col("i"), j, F.lit(1)))
+    back = F.transform(span(F.col("p")), lambda j: F.xxhash64("h", j, F.col("i"), F.lit(1)))
+    among = F.transform(span(F.col("q")), lambda j: F.xxhash64("h", F.least(j, F.col("i")), F.greatest(j, F.col("i")), F.lit(2)))
+    units = F.when(F.col("own"), across).otherwise(F.concat(back, among))
+    large = d.select("doc", F.explode(units).alias("u")).select("u", "doc", F.col("u").alias("g"))
+    return small.unionByName(large)
 
 
 class CountTree:
@@ -251,8 +358,8 @@ def _blocks(members, n, size: int):
     return [members[a : a + size] for a in range(0, len(members), size)]
 
 
-def candidate_pairs(shared: DataFrame, known: DataFrame, percent: int, tasks: int, across: bool, block: int = 512) -> DataFrame:
-    """(a, b), a < b: pairs within the bound; shared is (h, doc), known is (doc, n, vec, comp)."""
+def candidate_pairs(units: DataFrame, known: DataFrame, percent: int, tasks: int, across: bool, block: int = 512) -> DataFrame:
+    """(a, b), a < b: pairs within the bound; units is (u, doc, g), known is (doc, n, vec, comp)."""
 
     def search(key, cells_, docs_):
         import numpy as np
@@ -261,32 +368,32 @@ def candidate_pairs(shared: DataFrame, known: DataFrame, percent: int, tasks: in
         found = [np.empty((0, 2), np.int64)]
         near = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(cells_) and len(docs_):
-            docs_ = docs_.drop_duplicates("doc").sort_values("doc")
+            docs_ = docs_.sort_values("doc")
             ids, n, comp = docs_["doc"].to_numpy(), docs_["n"].to_numpy().astype(np.int64), docs_["comp"].to_numpy()
             raw = docs_["vec"].to_numpy()
-            vec = np.stack([unpacked(v, GROUPS) for v in raw])
-            fine = functools.lru_cache(maxsize=4096)(lambda i, size: unpacked(raw[i], size))
+            vec = np.stack([folded(counts_of(v), GROUPS) for v in raw])
+            full = functools.lru_cache(maxsize=4096)(lambda i: counts_of(raw[i]))
             label = np.unique(comp, return_inverse=True)[1]
-            cells_ = cells_.sort_values(["h", "doc"])
-            h, at = cells_["h"].to_numpy(), np.searchsorted(ids, cells_["doc"].to_numpy())
-            cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            cells_ = cells_.sort_values(["u", "doc"])
+            u, at = cells_["u"].to_numpy(), np.searchsorted(ids, cells_["doc"].to_numpy())
+            cut = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
             seen = set()
 
             def within(i, j, over):
                 """The pairs of points i, j that pass the finer bound too, and their bounds."""
                 over = over.copy()
-                for k in np.flatnonzero(n[i] + n[j] > 4 * GROUPS):
-                    a, b = int(i[k]), int(j[k])
-                    size = FINEST if min(n[a], n[b]) >= 16 * FINE else FINE
-                    over[k] = min(over[k], int(np.minimum(fine(a, size), fine(b, size)).sum()))
+                for k in np.flatnonzero(np.minimum(n[i], n[j]) > GROUPS * PER_GROUP):
+                    a, b = full(int(i[k])), full(int(j[k]))
+                    size = min(len(a), len(b))
+                    over[k] = min(over[k], int(np.minimum(folded(a, size), folded(b, size)).sum()))
                 ok = 100 * over >= percent * (n[i] + n[j] - over)
                 return i[ok], j[ok], over[ok]
 
-            for a, b in zip(cut, np.append(cut[1:], len(h))):
+            for a, b in zip(cut, np.append(cut[1:], len(u))):
                 members = np.unique(at[a:b])
                 if across and (label[members] == label[members[0]]).all():
                     continue
-                k = hash(members.tobytes())
+                k = members.tobytes()
                 if k in seen:
                     continue
                 seen.add(k)
@@ -311,7 +418,7 @@ def candidate_pairs(shared: DataFrame, known: DataFrame, percent: int, tasks: in
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = shared.withColumn("_g", F.pmod(F.xxhash64("g"), F.lit(tasks))).drop("g")
+    dealt = units.withColumn("_g", F.pmod(F.xxhash64("g"), F.lit(tasks))).drop("g")
     needed = dealt.select(F.col("_g").alias("_to"), F.col("doc").alias("_doc")).distinct()
     needed = needed.join(known, needed["_doc"] == known["doc"]).select("_to", F.col("_doc").alias("doc"), "n", "vec", "comp")
     found = dealt.groupBy("_g").cogroup(needed.groupBy("_to")).applyInPandas(search, "a long, b long")
@@ -330,8 +437,8 @@ def _bitmap(ids: DataFrame):
     return bits
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc, th, set array<long>) of the documents in `ids` (doc); the bitmap may let others through."""
+def sets_of(docs: DataFrame, ids: DataFrame, width: int, part=lambda s: s) -> DataFrame:
+    """(doc, th, set array<long>) of the documents in `ids` (doc), or a part of the set; the bitmap may let others through."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))  # BITS / 8 bytes
 
     def scan(batches):
@@ -342,7 +449,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             p = np.asarray(batch.column(3)).astype(np.int64)
             hit = np.flatnonzero((bits.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1)
             text = batch.column(2)
-            sets = [shingle_set(text[int(i)].as_py(), width).view(np.int64) for i in hit]
+            sets = [part(shingle_set(text[int(i)].as_py(), width)).view(np.int64) for i in hit]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             take = pa.array(hit)
@@ -361,32 +468,46 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, tasks: int | None = None) -> DataFrame:
-    """Per document (doc_id): n_shingles, rep_id (smallest id with an equal set), component_id (smallest id reachable by links)."""
+    """Per document (doc_id): n_shingles, rep_id (smallest id with an equal set), component_id (smallest id reachable by links).
+
+    tasks: of the search; by default the shuffle partitions, and more where cells have more than TASK_ROWS rows for each.
+    """
     spark = docs.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(MIN_LONG)).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     every = table(points(base, width, percent), "ngram-points")
-    one = every.groupBy("doc").agg(F.min("th").alias("th"))  # rows with one id are one document
-    flat = every.select("doc", "th", "n", "s1", "s2").join(one, ["doc", "th"]).dropDuplicates(["doc"])
-    reps = flat.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
-    known = table(flat.join(reps, ["n", "s1", "s2"]).select("doc", "th", "n", F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("rep")).alias("rep")), "ngram-docs")
+    real = every.where("n >= 0")
+    one = real.groupBy("doc").agg(F.min("th").alias("th"))  # rows with one id are one document
+    flat = table(real.select("doc", "th", "n", "s1", "s2").join(one, ["doc", "th"]).dropDuplicates(["doc"]), "ngram-sets-known")
+    same = table(flat.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "ngram-same")
+    known = table(flat.join(hinted(same), ["n", "s1", "s2"], "left").select("doc", "th", "n", F.coalesce("rep", "doc").alias("rep")), "ngram-docs")
     live = known.where("doc = rep and n > 0").select("doc", "th")
-    shared = table(shared_cells(cells(every.join(live, ["doc", "th"])), tasks), "ngram-cells")
-    in_cells = shared.select("doc").distinct()
-    vectors = table(every.select("doc", "th", "n", "vec").join(live, ["doc", "th"]).join(in_cells, "doc").select("doc", "n", "vec"), "ngram-vectors")
-    pairs = table(candidate_pairs(shared, vectors.withColumn("comp", F.col("doc")), percent, tasks, False), "ngram-pairs")
+    vectors = table(real.select("doc", "th", "n", "vec", "prefix").join(live, ["doc", "th"]).dropDuplicates(["doc"]).drop("th"), "ngram-vectors")
+    hot = hot_hashes(every, known.count())
+    discard(every, flat, same)
+    shared = table(shared_cells(ordered_cells(vectors, base, live, hot, width, percent)), "ngram-cells")
+    vectors_ = vectors.select("doc", "n", "vec")
+    parts = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shared.count() // TASK_ROWS))
+    pairs = table(candidate_pairs(units_of_one(shared), vectors_.withColumn("comp", F.col("doc")), percent, parts, False), "ngram-pairs")
 
     def links_of(p: DataFrame) -> DataFrame:
-        ids = p.select(F.col("a").alias("doc")).unionByName(p.select(F.col("b").alias("doc"))).distinct()
-        sets = sets_of(base, ids, width).join(live, ["doc", "th"]).dropDuplicates(["doc"]).join(ids, "doc", "left_semi").select("doc", "set")
-        return table(verified(p, table(sets, "ngram-sets"), percent).select("a", "b"), "ngram-links")
+        ids = table(p.select(F.col("a").alias("doc")).unionByName(p.select(F.col("b").alias("doc"))).distinct(), "ngram-ids")
+        sets = table(sets_of(base, ids, width).join(ids, "doc", "left_semi").join(live, ["doc", "th"], "left_semi").dropDuplicates(["doc"]).select("doc", "set"), "ngram-sets")
+        links = table(verified(p, sets, percent).select("a", "b"), "ngram-links")
+        discard(ids, sets)
+        return links
 
     links = links_of(pairs)
     first = components(links)
-    labelled = vectors.join(first, vectors.doc == first.node, "left").select("doc", "n", "vec", F.coalesce("comp", "doc").alias("comp"))
-    rest = table(candidate_pairs(shared, table(labelled, "ngram-labelled"), percent, tasks, True), "ngram-rest").join(pairs, ["a", "b"], "left_anti")
-    rest = table(rest, "ngram-open")
-    final = components(links.unionByName(links_of(rest))) if rest.head(1) else first
+    labelled = table(vectors_.join(first, vectors_.doc == first.node, "left").select("doc", "n", "vec", F.coalesce("comp", "doc").alias("comp")), "ngram-labelled")
+    units = units_of_two(shared, labelled.select("doc", "comp"))
+    rest = table(candidate_pairs(units, labelled, percent, parts, True).join(pairs, ["a", "b"], "left_anti"), "ngram-open")
+    discard(vectors, shared, labelled, pairs)
+    final = first
+    if rest.head(1):
+        more = links_of(rest)
+        final = components(links.unionByName(more))
+        discard(first, more)
+    discard(rest, links)
     out = known.join(final, known.rep == final.node, "left").select("doc", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
     keyed = F.when(F.col("doc") == MIN_LONG, F.lit(None)).otherwise(F.col("doc"))
     return out.select(keyed.alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("rep_id"), F.col("comp").alias("component_id"))

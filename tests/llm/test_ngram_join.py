@@ -95,3 +95,61 @@ def test_components_of_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r.node: r.comp for r in components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 90, 90: 90, 95: 90}
+
+
+def test_large_cells_in_units_match_brute_force(spark, monkeypatch):
+    """With units of four points most shared cells are large, of one component or of several."""
+    from quarrydoc.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "UNIT", 4)
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for g in range(12):
+        ws = passage + [f"g{g}w{i}" for i in range(rnd.randint(10, 60))]
+        for _ in range(rnd.choice([1, 2, 7])):
+            v = list(ws)
+            for _ in range(rnd.randint(0, 3)):
+                v[rnd.randrange(len(v))] = f"x{rnd.random()}"
+            rows.append(" ".join(v))
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, tasks=3).collect()}
+    assert got == brute(rows, 5, 80)
+
+
+def test_hot_hashes_come_last_and_lose_no_link(spark, monkeypatch):
+    """Passages that most documents hold are hot, so prefixes are built anew; documents that hold little else still link."""
+    from quarrydoc.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "UNIT", 3)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(ngram_join, "CHUNK", 2_000)
+    rnd = random.Random(5)
+    passages = [[f"p{k}w{i}" for i in range(40)] for k in range(3)]
+    rows = []
+    for g in range(50):
+        own = [f"g{g}w{i}" for i in range(rnd.choice([0, 2, 5, 30, 80]))]
+        ws = [w for p in passages[: rnd.randint(0, 3)] for w in p] + own
+        for _ in range(rnd.choice([1, 1, 3])):
+            v = list(ws)
+            for _ in range(rnd.randint(0, 2)):
+                if v:
+                    v[rnd.randrange(len(v))] = f"x{rnd.random()}"
+            rows.append(" ".join(v))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    seen = []
+    plain = ngram_join.hot_hashes
+    monkeypatch.setattr(ngram_join, "hot_hashes", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, tasks=3).collect()}
+    assert len(seen[0]) >= 70  # those of two passages at least
+    assert got == brute(rows, 5, 80)
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(200_000))
+    df = spark.createDataFrame([(2, long, "en", "s", 0), (1, long + " one more", "en", "s", 0), (3, "w1 w2 w3 w4 w5 w6", "en", "s", 0)], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df).collect()}
+    assert got == {1: (70_002, 1), 2: (70_000, 1), 3: (2, 3)}
