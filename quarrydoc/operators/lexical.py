@@ -1,13 +1,23 @@
-"""BM25 over per-session corpora: statistics, postings, ranked search."""
+"""BM25 over per-session corpora: statistics, postings, a stored index, ranked search.
+
+The index is a folder of Parquet tables by session and version: postings with their document's length and the term's
+idf, split further into buckets of terms, and the chunks' lengths. A row per session in `sessions` names the version
+in force, so a refreshed session is seen whole or not at all, and an invalidated one has no chunks. A search reads
+the folders of its queries' sessions and term buckets and nothing else.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..scratch import BROADCAST_ROWS, discard, table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+BUCKETS = 32
 
 
 def postings(chunks: DataFrame, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -33,28 +43,95 @@ def term_stats(posts: DataFrame, stats: DataFrame, session: str = "chat_session_
     return raw.join(mean, session).select(session, "term", "df", idf.alias("idf"))
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text") -> DataFrame:
+def _bucket(session, term):
+    return F.pmod(F.xxhash64(session, term), F.lit(BUCKETS)).cast("int")
+
+
+def _layout(chunks: DataFrame, session: str, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(postings, lengths, sessions) as the index holds them, and the tables they are read from."""
+    c = chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), F.col(text).alias("text"))
+    terms = F.aggregate(tokens(F.col("text")), F.lit(0).cast("long"), lambda n, _: n + 1)
+    dl = table(c.select("session", "chunk", terms.alias("dl")), "bm25-lengths")
+    posts = table(postings(c, "session", "chunk", "text"), "bm25-postings")
+    stats = table(corpus_stats(dl, "session"), "bm25-stats")
+    idf = term_stats(posts, stats, "session")
+    full = posts.join(dl, ["session", "chunk"]).join(idf.select("session", "term", "df", "idf"), ["session", "term"])
+    return full.withColumn("bucket", _bucket("session", "term")), dl, stats, [dl, posts, stats]
+
+
+def build_index(chunks: DataFrame, path: str, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text") -> None:
+    """Write, or write anew, the index of all sessions in `chunks` under `path`. Other sessions stay as they are."""
+    posts, dl, stats, used = _layout(chunks, session, key, text)
+    version = time.time_ns()
+    at = lambda d: d.withColumn("version", F.lit(version))
+    by = ["version", "session"]
+    # rows of one folder lie together; a session's many postings are split by bucket and then by what AQE finds too large
+    at(posts).repartition("session", "bucket").write.mode("append").partitionBy(*by, "bucket").parquet(f"{path}/postings")
+    at(dl).repartition("session", F.pmod(F.xxhash64("chunk"), F.lit(BUCKETS))).write.mode("append").partitionBy(*by).parquet(f"{path}/lengths")
+    at(stats).write.mode("append").parquet(f"{path}/sessions")
+    discard(*used)
+
+
+def invalidate(spark: SparkSession, path: str, sessions: DataFrame, session: str = "chat_session_id") -> None:
+    """Take the sessions named out of the index; their tables are no longer read."""
+    gone = sessions.select(F.col(session).cast("string").alias("session"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("avgdl"), F.lit(time.time_ns()).alias("version"))
+    gone.distinct().write.mode("append").parquet(f"{path}/sessions")
+
+
+POSTINGS = "chunk string, term string, tf long, dl long, df long, idf double, version long, session string, bucket int"
+LENGTHS = "chunk string, dl long, version long, session string"
+SESSIONS = "session string, n long, avgdl double, version long"
+
+
+def in_force(spark: SparkSession, path: str) -> DataFrame:
+    """(session, n, avgdl, version): the latest row of each session that has chunks."""
+    d = spark.read.schema(SESSIONS).parquet(f"{path}/sessions")
+    last = d.groupBy("session").agg(F.max_by(F.struct("n", "avgdl", "version"), "version").alias("x"))
+    return last.select("session", "x.*").where("n > 0")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, session: str = "chat_session_id", key: str = "chunk_id", key_type: str = "string") -> DataFrame:
     """(query_id, chunk, score, rank) of the k best chunks of each query's session; chunks without a match score 0 and fill up.
 
-    Terms are counted for the queries only where the chunks are: postings join the few query
-    terms before any score is summed, and filling reads at most k + matches chunks of a session in key order.
-    Ties (at nine decimals) go to the lower chunk id.
+    queries: a stated set (query_id, session, question); the driver learns its sessions and term buckets, to name the folders
+    to read. Ties (at nine decimals) go to the lower chunk id.
     """
-    q = queries.select("query_id", session, F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", session, "term").agg(F.count(F.lit(1)).alias("times"))
-    posts, dl = postings(chunks, session, key, text), lengths(chunks, session, key, text)
-    stats = corpus_stats(dl, session)
-    idf = term_stats(posts, stats, session)
-    hits = posts.join(q, [session, "term"]).join(idf.select(session, "term", "idf"), [session, "term"]).join(dl, [session, key]).join(stats, session)
+    q = queries.select("query_id", F.col(session).cast("string").alias("session"), tokens(F.col("question")).alias("terms"))
+    q = table(q.join(in_force(spark, path), "session"), "bm25-queries")  # sessions without chunks have no answers
+    times = q.select("query_id", "session", "version", "avgdl", F.explode("terms").alias("term")).groupBy("query_id", "session", "version", "avgdl", "term").agg(F.count(F.lit(1)).alias("times"))
+    times = times.withColumn("bucket", _bucket("session", "term"))
+    live = [r[0] for r in q.select("version").distinct().collect()]
+    names = [r[0] for r in q.select("session").distinct().collect()]
+    buckets = [r[0] for r in times.select("bucket").distinct().collect()]
+    few = q.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda d: d)
+    posts = spark.read.schema(POSTINGS).parquet(f"{path}/postings").where(F.col("version").isin(live) & F.col("session").isin(names) & F.col("bucket").isin(buckets))
+    hits = posts.join(small(times), ["session", "version", "bucket", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", session, key).agg(F.sum(part).alias("score"))
-    # queries whose positive matches do not fill k ranks: the first chunks in key order that did not match
-    found = scored.groupBy("query_id").agg(F.sum((F.col("score") > 0).cast("int")).alias("positive"), F.count(F.lit(1)).alias("matched"))
-    short = queries.select("query_id", session).join(found, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k)
-    short = short.select("query_id", session, (F.coalesce("matched", F.lit(0)) + k).alias("need"))
-    order = chunks.select(session, key).join(short.select(session).distinct(), session, "left_semi")
-    order = order.withColumn("place", F.row_number().over(Window.partitionBy(session).orderBy(key)))
-    fill = order.join(short, session).where(F.col("place") <= F.col("need")).select("query_id", session, key)
-    fill = fill.join(scored.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
-    every = scored.select("query_id", session, key, "score").unionByName(fill.select("query_id", session, key, "score"))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
+    scored = hits.groupBy("query_id", "chunk").agg(F.sum(part).alias("score"))
+    scored = table(scored, "bm25-scored")
+    found = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("positive"))
+    short = q.select("query_id", "session", "version").join(found, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).drop("positive")
+    # queries whose positive matches do not fill k ranks: the first k chunks in key order that did not match, cut before they are shuffled
+    all_chunks = spark.read.schema(LENGTHS).parquet(f"{path}/lengths").where(F.col("version").isin(live) & F.col("session").isin(names))
+    fill = all_chunks.join(small(short), ["session", "version"]).select("query_id", "chunk")
+    fill = fill.join(scored.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
+    first = Window.partitionBy("query_id").orderBy(F.col("chunk").cast(key_type))
+    fill = fill.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("query_id", "chunk", F.lit(0.0).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("chunk").cast(key_type))
+    every = scored.unionByName(fill).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return every.select("query_id", F.col("chunk").cast(key_type).alias(key), "score", "rank")
+
+
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text", index: str | None = None) -> DataFrame:
+    """(query_id, chunk, score, rank) of the k best chunks of each query's session.
+
+    `index` names a folder of `build_index` that holds these chunks; without one, an index of the queries' sessions is made for this search.
+    """
+    from ..scratch import fresh_path
+
+    if index is None:
+        index = fresh_path(chunks.sparkSession, "bm25-index")
+        asked = queries.select(session).distinct()
+        build_index(chunks.join(asked, session, "left_semi"), index, session, key, text)
+    return search_index(chunks.sparkSession, index, queries, k, session, key, dict(chunks.dtypes)[key])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import context, dense, fusion, lexical, routing
+from ..scratch import hinted, table
 
 LEG_K = 20
 
@@ -17,17 +18,21 @@ def dense_leg(vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame,
     return near.join(asked, ["query_id", "chat_session_id"], "left_semi").select("query_id", "rank", "chunk_id")
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 20, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
-    """Fused candidates per query. The lexical leg is BM25; the dense leg is exact kNN over `vectors` of the session, where there are any."""
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 20, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """Fused candidates per query. The lexical leg is BM25; the dense leg is exact kNN over `vectors` of the session, where there are any.
+
+    index: a folder of lexical.build_index over `chunks`. Texts are read for the ranked chunks only.
+    """
     meta = chunks.select("chunk_id", F.col("filename").alias("source"), "page", "text")
-    leg = lexical.bm25_search(chunks, queries, LEG_K).select("query_id", F.lit(1).alias("leg"), "rank", "chunk_id")
+    leg = lexical.bm25_search(chunks, queries, LEG_K, index=index).select("query_id", F.lit(1).alias("leg"), "rank", "chunk_id")
     if vectors is not None:
         near = dense_leg(vectors, queries, query_vectors, LEG_K).select("query_id", F.lit(0).alias("leg"), "rank", "chunk_id")
         leg = near.unionByName(leg)
-    return fusion.rrf(leg.join(meta, "chunk_id").select("query_id", "leg", "rank", "source", "page", "text"), k)
+    leg = table(leg, "hybrid-legs")  # LEG_K rows per query and leg
+    return fusion.rrf(meta.join(hinted(leg), "chunk_id").select("query_id", "leg", "rank", "source", "page", "text"), k)
 
 
-def answer_contexts(chunks: DataFrame, questions: DataFrame, documents: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5) -> DataFrame:
+def answer_contexts(chunks: DataFrame, questions: DataFrame, documents: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5, index: str | None = None) -> DataFrame:
     """(query_id, mode, rank, source, page, text, rerank_score) for all questions at once, each by its mode.
 
     specific: hybrid candidates of both legs reranked; broad: a spread sample of every document; comparison: the k
@@ -37,7 +42,7 @@ def answer_contexts(chunks: DataFrame, questions: DataFrame, documents: DataFram
     meta = chunks.select("chunk_id", "chat_session_id", F.col("filename").alias("source"), "page", "text")
     ask = q.select("query_id", "chat_session_id", F.col("search_query").alias("question"), "mode")
     specific = ask.where("mode = 'specific'")
-    fused = hybrid(chunks, specific, 20, vectors, query_vectors).join(specific.select("query_id", "question"), "query_id")
+    fused = hybrid(chunks, specific, 20, vectors, query_vectors, index).join(specific.select("query_id", "question"), "query_id")
     best = fusion.rerank(fused, fusion.coverage_score(F.col("question"), F.col("text")), k)
     a = best.select("query_id", F.lit("specific").alias("mode"), F.col("rerank_rank").alias("rank"), "source", "page", "text", "rerank_score")
     a = a.where("rerank_score >= -3.0")

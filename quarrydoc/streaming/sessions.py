@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import lexical
+from ..scratch import fresh_path
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream over the event files of a folder or glob."""
@@ -25,12 +28,32 @@ def inactivity_sessions(events: DataFrame, gap: str = "24 hours", late: str = "1
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Read all that is there into a memory table and return it; for small results such as reports and tests."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Read all that is there into a Parquet table in the shared folder and return it.
+
+    In mode complete each batch replaces the table, in append each adds to it. A table per run: `name` is only its label.
+    """
+    spark, path = stream.sparkSession, fresh_path(stream.sparkSession, name)
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(path)
+    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def refresh_index(chunks: DataFrame, checkpoint: str, refresh: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Call `refresh` with each batch of new chunk rows: it rewrites the index tables of the sessions it names."""
     return chunks.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refresh_lexical(chunks: DataFrame, checkpoint: str, store: str, index: str, session: str = "chat_session_id") -> StreamingQuery:
+    """Bring a lexical index up to date with each batch of new chunk rows: the sessions it names are indexed anew from the chunk store.
+
+    chunks: a stream over the store's folder `store`; index: folder of lexical.build_index.
+    """
+
+    def refresh(batch: DataFrame, _: int) -> None:
+        named = batch.select(session).distinct()
+        every = batch.sparkSession.read.schema(chunks.schema).parquet(store)
+        lexical.build_index(every.join(named, session, "left_semi"), index, session)
+
+    return refresh_index(chunks, checkpoint, refresh)
