@@ -20,7 +20,7 @@ COMPARISON = [r"\bcompare\b", r"\bcomparison\b", r"\bdifference(s)? between\b",
 LABELS = {"table": "[Table]", "image": "[Image]", "chart": "[Chart]", "figure": "[Figure]"}
 SHORT_QUERY_WORDS = 4
 #: The question templates; their words decide the mode a rewritten question takes.
-BARE_TEMPLATE = ("What does the document say about ", "?")
+BARE_TEMPLATE = "What does the document say about {}?"
 SIMPLER = " — explain it in simpler terms"
 SUMMARISED = "Summarize the answer to: "
 
@@ -81,8 +81,8 @@ def renamed_title(title: Column) -> Column:
 
 
 def file_title(name: Column) -> Column:
-    """A file name as words: no .pdf, separators as spaces, lower case."""
-    bare = F.regexp_replace(F.regexp_replace(name, r"\.(pdf|PDF)", ""), "[_-]+", " ")
+    """A file name as words: no .pdf at its end, separators as spaces, lower case."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"\.(pdf|PDF)$", ""), "[_-]+", " ")
     return F.lower(strip(bare))
 
 
@@ -109,6 +109,10 @@ def iso_z(ts: Column) -> Column:
     return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit("")), F.lit("Z"))
 
 
+def six_digits(n: Column) -> Column:
+    return F.lpad(F.pmod(n, F.lit(1_000_000)).cast("string"), 6, "0")
+
+
 def minutes_left(seconds: Column) -> Column:
     return F.greatest(F.lit(1), (F.floor(seconds / 60) + 1).cast("int"))
 
@@ -126,13 +130,19 @@ def question_mode(question: Column, documents: Column) -> Column:
     return F.when((documents > 1) & any_match(question, COMPARISON), "comparison").when(any_match(question, BROAD), "broad").otherwise("specific")
 
 
+def _around(template: str) -> list[str]:
+    """The parts of a template, an empty one in place of its {}."""
+    head, tail = template.split("{}")
+    return [head, "", tail]
+
+
 def search_query(question: Column, has_history: Column, resolved: Column) -> Column:
     """What to search with: the question, its resolved form (where it refers back), or a template around a bare phrase."""
     q = strip(question)
     w = bare_words(q)
     in_list = lambda words: F.arrays_overlap(w, F.array(*[F.lit(x) for x in words]))
     formed = in_list(QUESTION_WORDS + ACTION_WORDS) | (F.size(w) > SHORT_QUERY_WORDS)
-    return F.when(q == "", q).when(has_history & in_list(REFERENCE_WORDS), F.coalesce(resolved, q)).when(formed, q).otherwise(F.concat(F.lit(BARE_TEMPLATE[0]), q, F.lit(BARE_TEMPLATE[1])))
+    return F.when(q == "", q).when(has_history & in_list(REFERENCE_WORDS), F.coalesce(resolved, q)).when(formed, q).otherwise(F.concat(*[F.lit(x) if x else q for x in _around(BARE_TEMPLATE)]))
 
 
 def refers_back(question: Column) -> Column:

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, section_prefix, strip
 
+#: Separators from coarse to fine, characters of a chunk, characters shared with the one before.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 SIZE, OVERLAP = 512, 100
 
 
 def sections(pages: DataFrame) -> DataFrame:
     """(source, page, sec, title, body): text before the first `# ` heading has a null title; an empty lead is dropped."""
-    heading = r"(?m)^# (.+)$"
+    heading = r"(?md)^# (.+)$"  # lines end with LF alone
     titles = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all("text", F.lit(heading), 1))
-    bodies = F.split("text", r"(?m)^# (?:.+)$")
+    bodies = F.split("text", r"(?md)^# (?:.+)$")
     d = pages.where(F.length(strip(F.col("text"))) > 0)
     d = d.select("source", "page", F.posexplode(F.arrays_zip(titles.alias("t"), bodies.alias("b"))).alias("sec", "x"))
     d = d.select("source", "page", "sec", strip(F.col("x.t")).alias("title"), strip(F.col("x.b")).alias("body"))
@@ -87,12 +88,12 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, seps: tuple[
     return [c for c in out if c]
 
 
-def split_column(size: int = SIZE, overlap: int = OVERLAP):
+def split_column(size: int = SIZE, overlap: int = OVERLAP, seps: tuple[str, ...] = SEPARATORS):
     from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf("array<string>")
     def split_series(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t or "", size, overlap))
+        return texts.map(lambda t: split_text(t or "", size, overlap, seps))
 
     return split_series
 

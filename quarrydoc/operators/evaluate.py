@@ -5,6 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import hinted, table
+
+#: White space between words for matching; a word is what lies between.
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+def holding(texts: DataFrame, items: DataFrame, text: str, item: str, width: int = 4) -> DataFrame:
+    """Pairs of rows whose `text` contains `item` as it stands.
+
+    An item's words but the first and the last are whole words of any text that contains it, so texts and items meet by
+    hash of their first `width` such words, and the pairs are verified. Only words that head some item are hashed in the
+    texts: their table is broadcast after a count, and joined by key beyond. Items of fewer words meet all texts one block of items at a time.
+    """
+    inner = F.filter(F.split(item, SPACES), lambda w: w != "")
+    its = items.withColumn("_w", F.slice(inner, 2, width)).withColumn("_last", F.size(inner) - 1)
+    long = table(its.where(F.col("_last") > width).withColumn("_h", F.xxhash64(*[F.xxhash64(F.get(F.col("_w"), F.lit(j))) for j in range(width)])).drop("_w", "_last"), "held-items")
+    short = table(its.where(F.col("_last") <= width).drop("_w", "_last"), "held-short")
+    words = F.filter(F.split(text, SPACES), lambda w: w != "")
+
+    def windows(h: Column) -> Column:
+        at = F.when(F.size(h) >= width, F.sequence(F.lit(0), F.size(h) - width))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)])))
+
+    # a one-element array binds the words' hashes to a variable, so that they are made once per text
+    d = texts.withColumn("_at", F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), windows)[0])
+    found = d.select("*", F.explode("_at").alias("_h")).drop("_at").join(hinted(long), "_h").drop("_h").where(F.col(text).contains(F.col(item)))
+    if not short.head(1):
+        return found
+    return found.unionByName(texts.join(hinted(short), F.col(text).contains(F.col(item))))
+
 
 def hits(text: Column, keywords: Column) -> Column:
     return F.size(F.filter(keywords, lambda k: F.lower(text).contains(F.lower(k))))

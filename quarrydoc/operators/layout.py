@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import heading_score, strip, tokens
 
 PAGE = ("doc", "page")
+#: Score and most words of a heading, body size where there is none.
 HEADING_SCORE, HEADING_WORDS, DEFAULT_SIZE = 3, 20, 10.0
 #: Caption prefixes.
 TABLE_CAPTIONS = ("table", "tab.", "tbl")
 FIGURE_CAPTIONS = ("figure", "fig.", "chart", "diagram")
+#: Limits of captions, tables and visuals.
 CAPTION_WORDS, CAPTION_REACH = 20, 60.0
-MIN_ROWS, MAX_COLS, EMPTY_SHARE, MIN_FULL_ROWS = 2, 12, 0.5, 2
+MIN_ROWS, MAX_COLS, EMPTY_SHARE, MIN_FULL_ROWS, ROW_BANDS = 2, 12, 0.5, 2, 3
 MIN_IMAGE, MERGE, MIN_DRAWINGS, MAX_VISUALS = 150, 15.0, 8, 20
 
 
@@ -116,8 +120,22 @@ def table_markdown(rows: Column) -> Column:
 
 
 def needs_text_columns(tables: DataFrame) -> DataFrame:
-    """Pages to parse again with text columns: only one-column tables were found and three row bands or more were drawn."""
-    return tables.groupBy(*PAGE).agg((F.bool_and(F.forall("rows", lambda r: F.size(r) <= 1)) & (F.max("n_rects") >= 3)).alias("retry"))
+    """Pages to parse again with text columns: only tables of one column (by their first row) were found and three row bands or more were drawn."""
+    narrow = F.bool_and(F.when(F.size("rows") > 0, F.size(F.get("rows", F.lit(0))) <= 1))
+    return tables.groupBy(*PAGE).agg((F.coalesce(narrow, F.lit(True)) & (F.max("n_rects") >= ROW_BANDS)).alias("retry"))
+
+
+def page_tables(pages: DataFrame, by_lines: Column, by_text: Column) -> DataFrame:
+    """(doc, page, tbl, rows): the tables a detector finds on each page, numbered from 1.
+
+    by_lines and by_text: what the detector gives for a page, array<array<array<string>>>, by ruling lines and by text columns. The
+    second is asked only for pages where the first found tables, all of one column, among three row bands or more (n_rects).
+    """
+    found = pages.withColumn("_t", by_lines)
+    narrow = F.forall("_t", lambda t: (F.size(t) == 0) | (F.size(F.get(t, F.lit(0))) <= 1))
+    retry = (F.size("_t") > 0) & (F.col("n_rects") >= ROW_BANDS) & narrow
+    d = found.withColumn("_t", F.when(F.coalesce(retry, F.lit(False)), by_text).otherwise(F.col("_t")))
+    return d.select(*PAGE, F.posexplode("_t").alias("_i", "rows")).select(*PAGE, (F.col("_i") + 1).alias("tbl"), "rows")
 
 
 def table_chunks(tables: DataFrame) -> DataFrame:
@@ -127,41 +145,65 @@ def table_chunks(tables: DataFrame) -> DataFrame:
 
 
 def drawing_clusters(drawings: DataFrame, merge: float = MERGE, least: int = MIN_DRAWINGS) -> DataFrame:
-    """(doc, page, cluster, x0, y0, x1, y1, n): drawings whose boxes touch when one is widened by `merge`; boxes grow as they merge.
+    """(doc, page, cluster, x0, y0, x1, y1, n): clusters of `least` drawings or more, numbered by their first drawing.
 
-    An order-dependent fixpoint per page: a page is one task's group and holds some thousands of drawings at most.
+    Two clusters merge when the box of one, widened by `merge` on all sides, meets that of the other; boxes grow as they
+    merge, and all are compared again until no two merge. Boxes that only touch the widened one merge too, and boxes
+    without height or width count as others do. The end is the same in whatever order clusters merge, as boxes only grow.
+    A page is one task's group and holds some thousands of drawings at most.
     """
     schema = "doc string, page int, cluster int, x0 double, y0 double, x1 double, y1 double, n int"
 
     def grow(key, pdf):
+        import numpy as np
         import pandas as pd
 
-        todo = list(pdf.sort_values("seq")[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-        boxes: list[tuple[tuple, int]] = []
-        while todo:
-            box, n = todo.pop(0), 1
-            grew = True
-            while grew:
-                grew, rest = False, []
-                for o in todo:
-                    near = box[0] - merge <= o[2] and o[0] <= box[2] + merge and box[1] - merge <= o[3] and o[1] <= box[3] + merge
-                    if near:
-                        box = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3]))
-                        n, grew = n + 1, True
-                    else:
-                        rest.append(o)
-                todo = rest
-            boxes.append((box, n))
-        kept = [(b, n) for b, n in boxes if n >= least]
-        return pd.DataFrame([(key[0], key[1], i, *b, n) for i, (b, n) in enumerate(kept)], columns=["doc", "page", "cluster", "x0", "y0", "x1", "y1", "n"])
+        pdf = pdf.sort_values("seq")
+        low, high = pdf[["x0", "y0"]].to_numpy(float), pdf[["x1", "y1"]].to_numpy(float)
+        n, first = np.ones(len(pdf), int), np.arange(len(pdf))
+        i = 0
+        while i < len(n):
+            near = ((low[i] - merge <= high) & (low <= high[i] + merge)).all(axis=1)
+            near[i] = True
+            if near.sum() == 1:
+                i += 1
+                continue
+            keep = ~near
+            low = np.vstack([low[near].min(axis=0), low[keep]])
+            high = np.vstack([high[near].max(axis=0), high[keep]])
+            n, first = np.append(n[near].sum(), n[keep]), np.append(first[near].min(), first[keep])
+            i = 0  # the grown box may reach any other, and any other it
+        order = np.argsort(first)
+        kept = [k for k in order if n[k] >= least]
+        return pd.DataFrame([(key[0], key[1], c, *low[k], *high[k], n[k]) for c, k in enumerate(kept)], columns=["doc", "page", "cluster", "x0", "y0", "x1", "y1", "n"])
 
     return drawings.groupBy(*PAGE).applyInPandas(grow, schema)
 
 
 def raster_candidates(images: DataFrame, least: int = MIN_IMAGE) -> DataFrame:
+    """Images of at least `least` pixels both ways; those that could not be decoded have no size and go."""
     return images.where((F.col("width") >= least) & (F.col("height") >= least))
 
 
+def chart_candidates(clusters: DataFrame, render: Callable[..., Column]) -> DataFrame:
+    """(doc, page, kind, seq, top, bottom, image): each drawing cluster as a chart, its box drawn at twice the size by `render`(doc, page, x0, y0, x1, y1, scale)."""
+    image = render(*[F.col(c) for c in ("doc", "page", "x0", "y0", "x1", "y1")], 2)
+    return clusters.select(*PAGE, F.lit("chart").alias("kind"), F.col("cluster").cast("long").alias("seq"), F.col("y0").alias("top"), F.col("y1").alias("bottom"), image.alias("image"))
+
+
+def visual_chunks(images: DataFrame, charts: DataFrame, words: DataFrame, describe: Callable[[Column, Column], Column]) -> DataFrame:
+    """(source, page, seq, text, element_type): the first visuals of each document as extras of the chunker.
+
+    images: doc, page, seq, width, height, top, bottom (null without a place on the page), image; charts: chart_candidates;
+    words: doc, page, seq, text, top. The text is the caption, where there is one, and what `describe`(image, caption) says.
+    """
+    raster = raster_candidates(images).select(*PAGE, F.lit("image").alias("kind"), "seq", "top", "bottom", "image")
+    chosen = first_visuals(raster.unionByName(charts)).withColumn("elem", F.col("position"))
+    d = captions(chosen, words, FIGURE_CAPTIONS)
+    text = F.concat_ws("\n\n", "caption", describe(F.col("image"), F.col("caption")))
+    return d.select(F.col("doc").alias("source"), "page", F.col("position").alias("seq"), text.alias("text"), F.col("kind").alias("element_type"))
+
+
 def first_visuals(visuals: DataFrame, most: int = MAX_VISUALS) -> DataFrame:
     """The first visuals of each document in page order, images before charts on a page."""
     kind = F.when(F.col("kind") == "image", 0).otherwise(1)

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import file_title, question_mode, search_query
+from ..functions.text import WS, file_title, question_mode, refers_back, search_query
+
 
+def route(questions: DataFrame, resolver: Callable[[Column], Column] | None = None) -> DataFrame:
+    """questions (question, document_count, has_history, resolved) plus mode and search_query; the mode reads the raw question.
 
-def route(questions: DataFrame) -> DataFrame:
-    """questions (question, document_count, has_history, resolved) plus mode and search_query; the mode reads the raw question."""
+    resolver: a model that names what a question refers back to; without one the column `resolved` tells, where it is not null.
+    """
+    if resolver is not None:
+        back = F.col("has_history") & F.coalesce(refers_back(F.col("question")), F.lit(False))
+        questions = questions.withColumn("resolved", F.when(back, F.nullif(resolver(F.col("question")), F.lit(""))))
     return questions.withColumn("mode", question_mode(F.col("question"), F.col("document_count"))).withColumn("search_query", search_query(F.col("question"), F.col("has_history"), F.col("resolved")))
 
 
 def mentions(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, filename): documents whose file name or display title occurs in the question, spaced or without spaces."""
-    q = questions.select("query_id", "chat_session_id", F.lower("question").alias("q"), F.regexp_replace(F.lower("question"), " ", "").alias("qc"))
+    """(query_id, filename): documents whose file name or display title occurs in the question, as it stands or with all white space left out."""
+    q = questions.select("query_id", "chat_session_id", F.lower("question").alias("q"), F.regexp_replace(F.lower("question"), WS, "").alias("qc"))
     name, title = file_title(F.col("filename")), file_title(F.col("display_title"))
     d = documents.select("chat_session_id", "filename", F.array_compact(F.array(name, title)).alias("names"))
     hit = F.exists("names", lambda n: F.col("q").contains(n) | F.col("qc").contains(F.regexp_replace(n, " ", "")))
