@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ MODE_NOTES = {
 }
 PROMPT = "Use only the passages below. If they hold no answer, say that the documents do not tell.\n%s\n\nPassages:\n%s\n\nQuestion:\n%s\n\nAnswer:"
 REFUSAL = "The documents do not tell."
+FAILURE = "The answer could not be made. Please ask again."
 
 
 def citations(candidates: DataFrame) -> DataFrame:
@@ -61,14 +64,46 @@ def parsed_sources(messages: DataFrame, column: str = "sources_json") -> DataFra
     return messages.withColumn("sources", F.coalesce(F.from_json(column, kind), F.array().cast(kind)))
 
 
+def refusal_answers(refused: DataFrame) -> DataFrame:
+    """(query_id, answer, sources_json) of refused queries: the refusal and no sources."""
+    return refused.select("query_id", F.lit(REFUSAL).alias("answer"), F.lit("[]").alias("sources_json"))
+
+
 def answer_events(answers: DataFrame) -> DataFrame:
-    """(query_id, seq, event, data) in the order of the wire: a token event per word, done, then sources. answers: query_id, answer, sources_json."""
-    words = answers.select("query_id", F.posexplode(F.split("answer", " ")).alias("seq", "w"))
-    tokens = words.select("query_id", "seq", F.lit("token").alias("event"), F.to_json(F.struct(F.concat("w", F.lit(" ")).alias("content"))).alias("data"))
-    n = F.size(F.split("answer", " "))
-    done = answers.select("query_id", n.alias("seq"), F.lit("done").alias("event"), F.lit("{}").alias("data"))
-    sources = answers.select("query_id", (n + 1).alias("seq"), F.lit("sources").alias("event"), F.concat(F.lit('{"sources":'), F.coalesce("sources_json", F.lit("[]")), F.lit("}")).alias("data"))
-    return tokens.unionByName(done).unionByName(sources)
+    """(query_id, seq, event, data) in the order of the wire: a token event per word, done, then sources.
+
+    answers: query_id, answer, sources_json; where there is a `confidence` it goes with the sources, and where a `failed` is true an error event
+    comes after what words there are, in place of done and sources.
+    """
+    has = answers.columns
+    failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in has else F.lit(False)
+    extra = F.when(F.col("confidence").isNotNull(), F.concat(F.lit(',"confidence":"'), F.col("confidence"), F.lit('"'))).otherwise("") if "confidence" in has else F.lit("")
+    words = F.split("answer", " ")
+    tokens = answers.select("query_id", F.posexplode(words).alias("seq", "w"))
+    tokens = tokens.select("query_id", "seq", F.lit("token").alias("event"), F.to_json(F.struct(F.concat("w", F.lit(" ")).alias("content"))).alias("data"))
+    n = F.coalesce(F.nullif(F.size(words), F.lit(-1)), F.lit(0))
+    done = answers.where(~failed).select("query_id", n.alias("seq"), F.lit("done").alias("event"), F.lit("{}").alias("data"))
+    payload = F.concat(F.lit('{"sources":'), F.coalesce("sources_json", F.lit("[]")), extra, F.lit("}"))
+    sources = answers.where(~failed).select("query_id", (n + 1).alias("seq"), F.lit("sources").alias("event"), payload.alias("data"))
+    error = answers.where(failed).select("query_id", n.alias("seq"), F.lit("error").alias("event"), F.to_json(F.struct(F.lit(FAILURE).alias("message"))).alias("data"))
+    return tokens.unionByName(done).unionByName(sources).unionByName(error)
+
+
+def flat_contexts(grouped: DataFrame) -> DataFrame:
+    """(query_id, rank, chunk fields) from contexts grouped by document: `groups` array<struct<filename, chunks array<struct>>>, in order. Flat contexts pass as they are."""
+    if "groups" not in grouped.columns:
+        return grouped
+    d = grouped.select("query_id", F.posexplode(F.flatten(F.transform("groups", lambda g: g["chunks"]))).alias("i", "c"))
+    return d.select("query_id", (F.col("i") + 1).alias("rank"), "c.*")
+
+
+def generated(prompts: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
+    """(query_id, answer) by a text model. Prompts with an ordinal and a heading are one part each, under the heading in bold, with an empty line between."""
+    if "ordinal" not in prompts.columns:
+        return prompts.select("query_id", model(F.col("prompt")).alias("answer"))
+    part = F.concat(F.lit("**"), F.col("heading"), F.lit("**\n\n"), model(F.col("prompt")))
+    d = prompts.select("query_id", "ordinal", part.alias("p")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "p"))).alias("ps"))
+    return d.select("query_id", F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n").alias("answer"))
 
 
 def wire(events: DataFrame) -> DataFrame:

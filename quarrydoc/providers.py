@@ -12,32 +12,50 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .functions.text import data_url, tokens
+from .functions.text import data_url, strip, tokens
 
 Provider = Callable[..., Column]
 
 
-def hashing_embedder(text: Column, dims: int = 64) -> Column:
-    """Unit vector of token counts by hash; a stand-in for a sentence model."""
-    slots = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-
+def model_column(load: Callable[[], Callable], kind: str, threads: int = 0) -> Provider:
+    """A column function around a model: `load` is called once per worker and returns a function of a list of inputs.
 
-def model_column(load: Callable[[], Callable], kind: str) -> Provider:
-    """A column function around a model: `load` is called once per worker and returns a function of a list of inputs."""
+    With `threads`, it returns a function of one input instead, called one by one (1, as for a model on this machine) or so many at once (a hosted one).
+    """
     from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf(kind)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from concurrent.futures import ThreadPoolExecutor
+
         model = load()
-        for texts in batches:
-            yield pd.Series(list(model(texts.tolist())))
+        with ThreadPoolExecutor(max(1, threads)) as pool:
+            for texts in batches:
+                yield pd.Series(list(pool.map(model, texts.tolist()) if threads else model(texts.tolist())))
 
     return apply
 
 
+def hashing_embedder(text: Column, dims: int = 64) -> Column:
+    """Unit vector of token counts by hash; a stand-in for a sentence model, with the batches and the one load per worker that such a model has."""
+
+    def load():
+        import zlib
+
+        import numpy as np
+
+        def embed(batch: list) -> list:
+            out = []
+            for words in batch:
+                v = np.bincount([zlib.crc32(w.encode()) % dims for w in words], minlength=dims).astype(float) if len(words) else np.zeros(dims)
+                out.append((v / (np.sqrt((v * v).sum()) or 1.0)).tolist())
+            return out
+
+        return embed
+
+    return model_column(load, "array<double>")(F.coalesce(tokens(text), F.array().cast("array<string>")))
+
+
 def described(image: Column, caption: Column) -> Column:
     """Stand-in for a vision model: the caption, or the image's size."""
     return F.coalesce(caption, F.concat(F.lit("image of "), F.length(image).cast("string"), F.lit(" bytes")))
@@ -61,7 +79,31 @@ def resolved_reference(question: Column, model: Provider | None = None) -> Colum
     return question if model is None else F.coalesce(F.nullif(model(question), F.lit("")), question)
 
 
-REGISTRY: dict[str, Provider] = {"embedder": hashing_embedder, "vision": described}
+def first_passage(prompt: Column) -> Column:
+    """Stand-in for a text model: the first line of the first passage in the prompt, else the first 40 characters of the prompt."""
+    line = F.regexp_extract(prompt, r"\[Source: [^\]]*\]\n([^\n]*)", 1)
+    return F.coalesce(F.nullif(strip(line), F.lit("")), F.left(prompt, F.lit(40)))
+
+
+def streamed(text: Column) -> Column:
+    """array<string>: what a text model sends piece by piece; here a word and its space each. Empty pieces are dropped."""
+    words = F.split(text, r"(?<= )")
+    return F.filter(words, lambda w: w != "")
+
+
+def read_as_text(image: Column) -> Column:
+    """Stand-in for OCR: the image's bytes as text."""
+    return F.decode(image, "UTF-8")
+
+
+def coverage(question: Column, text: Column) -> Column:
+    """Stand-in for a cross-encoder."""
+    from .operators.fusion import coverage_score
+
+    return coverage_score(question, text)
+
+
+REGISTRY: dict[str, Provider] = {"embedder": hashing_embedder, "vision": described, "text": first_passage, "stream": streamed, "ocr": read_as_text, "reranker": coverage}
 
 
 def provider(name: str) -> Provider:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, strip
+from ..operators.chunking import chunk_pages
+from ..operators.lexical import build_index
+from ..operators.sessions import titles
+from ..scratch import discard, table
 
 EVAL = "question string, expected_source string, expected_page int, expected_keywords array<string>"
 CHUNKS = "chunk_id string, filename string, page int, text string, embedding array<float>, element_type string, section_title string, chat_session_id string"
@@ -22,6 +26,46 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.repartition("chat_session_id").write.mode("append").partitionBy("chat_session_id").parquet(path)
 
 
+def add_chunks(chunks: DataFrame, path: str, embed: Callable[[Column], Column]) -> int:
+    """Embed chunks by `embed`, append them to the store, and return how many there were."""
+    d = chunks.withColumn("embedding", embed(F.col("text")).cast("array<float>"))
+    batch = table(d.select(*[c.split()[0] for c in CHUNKS.split(", ")]), "chunk-batch")
+    write_chunks(batch, path)
+    n = batch.count()
+    discard(batch)
+    return n
+
+
+def add_document(document: DataFrame, chunks: DataFrame, store: str, embed: Callable[[Column], Column]) -> int:
+    """Chunks, the document's row and its session's activity under `store`, in this order: a document row stands only over chunks that are there.
+
+    document: chat_session_id, filename, display_title, content_type, data, at (time). Returns the number of chunks.
+    """
+    n = add_chunks(chunks, f"{store}/chunks", embed)
+    document.write.mode("append").parquet(f"{store}/documents")
+    activity = document.select("chat_session_id", F.octet_length("data").cast("long").alias("bytes"), "at")
+    activity.write.mode("append").parquet(f"{store}/activity")
+    return n
+
+
+def add_messages(messages: DataFrame, store: str) -> None:
+    """Append messages (chat_session_id, created_at, role, content, sources_json) and touch their sessions. Titles and last activity follow by aggregation."""
+    messages.write.mode("append").parquet(f"{store}/messages")
+    messages.select("chat_session_id", F.lit(0).cast("long").alias("bytes"), F.col("created_at").alias("at")).write.mode("append").parquet(f"{store}/activity")
+
+
+def session_state(spark: SparkSession, store: str) -> DataFrame:
+    """(chat_session_id, total_bytes, last_active_at, title) from what was appended."""
+    a = spark.read.parquet(f"{store}/activity").groupBy("chat_session_id").agg(F.sum("bytes").alias("total_bytes"), F.max("at").alias("last_active_at"))
+    m = titles(spark.read.parquet(f"{store}/messages"))
+    return a.join(m, "chat_session_id", "left").withColumn("title", F.coalesce("title", F.lit("New chat")))
+
+
+def metadata(spark: SparkSession, store: str) -> DataFrame:
+    """(chat_session_id, filename, display_title) of the stored documents."""
+    return spark.read.parquet(f"{store}/documents").select("chat_session_id", "filename", "display_title")
+
+
 def read_chunks(spark: SparkSession, path: str, session: str | None = None, filenames: list[str] | None = None) -> DataFrame:
     d = spark.read.schema(CHUNKS).parquet(path)
     if session is not None:
@@ -48,6 +92,10 @@ def lookup(rows: DataFrame, column: str, value, order: str) -> DataFrame:
     return rows.where(F.col(column) == value).orderBy(order).limit(1)
 
 
+class PasswordProtected(Exception):
+    """Raised by a parser for a file that opens with a password only."""
+
+
 def parse_files(files: DataFrame, parser: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
     """Rows a parser finds in each file (spans, words, cells, drawings). A file it refuses gives one row with its error in `status`."""
     out = f"filename string, status string, item struct<{schema}>"
@@ -67,6 +115,26 @@ def parse_files(files: DataFrame, parser: Callable[[bytes], list[dict]], schema:
     return files.select("filename", "content").mapInPandas(run, out)
 
 
+def page_source(files: DataFrame, parser: Callable[[bytes], list[tuple[str, int, bytes]]], ocr: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(pages, refused): (source, page, text) of each file, numbered from 1 as the file has them, without blank ones; (filename, reason) of the others.
+
+    parser: gives (text, number of images, rendered page) for each page of a file in order; it raises PasswordProtected, or anything else for a file that is corrupt.
+    A page without text but with images takes the text that `ocr` reads off it. A file whose pages are all blank is refused as "no_text".
+    """
+
+    def numbered(data: bytes) -> list[dict]:
+        return [{"page": i, "text": t, "n_images": n, "image": image} for i, (t, n, image) in enumerate(parser(data), 1)]
+
+    found = table(parse_files(files, numbered, "page int, text string, n_images int, image binary"), "parsed-pages")
+    ok = found.where("status = 'ok'").select(F.col("filename").alias("source"), "item.*")
+    pages = with_ocr(ok, ocr(F.col("image"))).select("source", "page", "text")
+    status = found.groupBy("filename").agg(F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("status"))
+    kept = pages.select(F.col("source").alias("filename")).distinct()
+    reason = F.when(F.col("status") == "PasswordProtected", "password").when(F.col("status").isNotNull(), "corrupt").otherwise("no_text")
+    silent = files.select("filename").distinct().join(status, "filename", "left").join(kept, "filename", "left_anti")
+    return pages, silent.select("filename", reason.alias("reason"))
+
+
 def with_ocr(pages: DataFrame, ocr: Column) -> DataFrame:
     """Pages without text but with images take the text of `ocr`; blank pages go."""
     blank = F.length(strip(F.coalesce("text", F.lit("")))) == 0
@@ -77,3 +145,13 @@ def with_ocr(pages: DataFrame, ocr: Column) -> DataFrame:
 def ingested(chunks: DataFrame) -> DataFrame:
     """Chunk counts per file and in all (the row with a null file name)."""
     return chunks.rollup("filename").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def ingest(pages: DataFrame, store: str, session: str, embed: Callable[[Column], Column], extras: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """Pages of many files to stored chunks in one job; their counts per file and in all. With `index`, the session's lexical index is built anew."""
+    chunks = chunk_pages(pages, extras).withColumnRenamed("source", "filename").withColumn("chat_session_id", F.lit(session))
+    chunks = table(chunks, "ingest-chunks")
+    add_chunks(chunks, f"{store}/chunks", embed)
+    if index is not None:
+        build_index(read_chunks(chunks.sparkSession, f"{store}/chunks", session), index)
+    return ingested(chunks)
