@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, context, dense, evaluate, fusion, layout, lexical, routing, sessions
 from ..streaming.sessions import inactivity_sessions, read_events, run_available
+from ..scratch import hinted, table
 from . import retrieval, views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its own name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def values(rows: list[tuple]) -> str:
-    lit = lambda v: "NULL" if v is None else (str(v).lower() if isinstance(v, bool) else (str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"))
-    return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-
+from .registry import ORACLES, QUERIES, index_of, query, values
 
 CHUNKS = "chunks AS (SELECT left(md5(source), 8) || '_p' || doc_id || '_c1' AS chunk_id, lang AS chat_session_id, source AS filename, doc_id::INT AS page, text FROM documents)"
 POSTS = "tok AS (SELECT chat_session_id, chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM chunks), posts AS (SELECT chat_session_id, term, chunk_id, count(*) AS tf FROM tok GROUP BY ALL)"
@@ -68,12 +47,12 @@ def corpus_stats(spark, d):
 @query(bm25_sql(views.QUESTIONS[:1], 20) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25")
 def bm25_topk(spark, d):
     q = views.questions(spark).where("query_id = 1")
-    return lexical.bm25_search(views.chunks(spark, d), q).withColumn("score", F.round("score", 6))
+    return lexical.search_index(spark, index_of(spark, d), q).withColumn("score", F.round("score", 6))
 
 
 @query(bm25_sql(views.QUESTIONS, 20) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25")
 def bm25_topk_multi_query(spark, d):
-    return lexical.bm25_search(views.chunks(spark, d), views.questions(spark)).withColumn("score", F.round("score", 6))
+    return lexical.search_index(spark, index_of(spark, d), views.questions(spark)).withColumn("score", F.round("score", 6))
 
 
 KNN = "pair AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dist FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"
@@ -119,25 +98,23 @@ def _dense_legs(spark, d):
 def rrf_fusion(spark, d):
     c = views.chunks(spark, d)
     meta = c.select("chunk_id", F.col("filename").alias("source"), "page", "text")
-    leg = lexical.bm25_search(c, views.questions(spark)).select("query_id", F.lit(1).alias("leg"), "rank", "chunk_id").unionByName(_dense_legs(spark, d))
-    r = fusion.rrf(leg.join(meta, "chunk_id").select("query_id", "leg", "rank", "source", "page", "text"))
+    leg = lexical.search_index(spark, index_of(spark, d), views.questions(spark)).select("query_id", F.lit(1).alias("leg"), "rank", "chunk_id").unionByName(_dense_legs(spark, d))
+    r = fusion.rrf(meta.join(hinted(table(leg, "legs")), "chunk_id").select("query_id", "leg", "rank", "source", "page", "text"))
     return r.select("query_id", "fusion_key", F.round("score", 9).alias("score"), "first_seen", "rank")
 
 
-HYBRID = bm25_sql(views.QUESTIONS, 20) + f", legs AS (SELECT query_id, 1 AS leg, rank, chunk_id FROM bm25), {RRF}, top AS (SELECT r.query_id, r.rank, r.score, c.filename AS source, c.page, c.text FROM rrf r JOIN keyed k ON k.query_id = r.query_id AND k.fusion_key = r.fusion_key AND k.seen = r.first_seen JOIN chunks c USING (chunk_id))"
+HYBRID = bm25_sql(views.QUESTIONS, 20) + f", {DENSE}, {LEGS}, {RRF}, top AS (SELECT r.query_id, r.rank, r.score, c.filename AS source, c.page, c.text FROM rrf r JOIN keyed k ON k.query_id = r.query_id AND k.fusion_key = r.fusion_key AND k.seen = r.first_seen JOIN chunks c USING (chunk_id))"
 
 
 @query(HYBRID + " SELECT query_id, rank, round(score, 9) AS score, source, page FROM top")
 def hybrid_topk(spark, d):
-    r = retrieval.hybrid(views.chunks(spark, d), views.questions(spark))
-    return r.select("query_id", "rank", F.round("score", 9).alias("score"), "source", "page")
+    return _fused(spark, d).select("query_id", "rank", F.round("score", 9).alias("score"), "source", "page")
 
 
-@query(HYBRID.replace("legs AS (SELECT query_id, 1 AS leg, rank, chunk_id FROM bm25)", f"{DENSE}, {LEGS}") + " SELECT query_id, rank, round(score, 9) AS score, source, page FROM top")
-def hybrid_both_legs(spark, d):
+def _fused(spark, d):
+    """Both legs of the four questions, fused."""
     q = views.questions(spark)
-    r = retrieval.hybrid(views.chunks(spark, d), q, 20, *_vectors(spark, d, q))
-    return r.select("query_id", "rank", F.round("score", 9).alias("score"), "source", "page")
+    return retrieval.hybrid(views.chunks(spark, d), q, 20, *_vectors(spark, d, q), index_of(spark, d))
 
 
 QTERMS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: x <> ''))"
@@ -146,7 +123,7 @@ RERANK = HYBRID + f", scored AS (SELECT t.*, 10.0 * len(list_intersect({QTERMS.f
 
 def _reranked(spark, d):
     q = views.questions(spark)
-    r = retrieval.hybrid(views.chunks(spark, d), q).join(q.select("query_id", "question"), "query_id")
+    r = _fused(spark, d).join(F.broadcast(q.select("query_id", "question")), "query_id")  # four rows
     return fusion.rerank(r, fusion.coverage_score(F.col("question"), F.col("text")))
 
 
@@ -184,7 +161,7 @@ def document_counts(spark, d):
 
 
 ROUTED = f"r AS (SELECT * FROM (VALUES {values(views.ROUTED)}) t(query_id, question, document_count, has_history))"
-META = "meta AS (SELECT DISTINCT source || '.pdf' AS filename, CASE WHEN regexp_extract(source, '[0-9]+')::INT % 3 = 0 THEN 'Report_on-' || source END AS display_title FROM documents), names AS (SELECT filename, unnest([lower(trim(regexp_replace(regexp_replace(filename, '\\.(pdf|PDF)', '', 'g'), '[_-]+', ' ', 'g'))), lower(trim(regexp_replace(regexp_replace(display_title, '\\.(pdf|PDF)', '', 'g'), '[_-]+', ' ', 'g')))]) AS name FROM meta), said AS (SELECT DISTINCT query_id, filename FROM r, names WHERE name IS NOT NULL AND (contains(lower(question), name) OR contains(replace(lower(question), ' ', ''), replace(name, ' ', ''))))"
+META = "meta AS (SELECT DISTINCT source || '.pdf' AS filename, CASE WHEN regexp_extract(source, '[0-9]+')::INT % 3 = 0 THEN 'Report_on-' || source END AS display_title FROM documents), names AS (SELECT filename, unnest([lower(trim(regexp_replace(regexp_replace(filename, '\\.(pdf|PDF)$', ''), '[_-]+', ' ', 'g'))), lower(trim(regexp_replace(regexp_replace(display_title, '\\.(pdf|PDF)$', ''), '[_-]+', ' ', 'g')))]) AS name FROM meta), said AS (SELECT DISTINCT query_id, filename FROM r, names WHERE name IS NOT NULL AND (contains(lower(question), name) OR contains(regexp_replace(lower(question), '\\s+', '', 'g'), replace(name, ' ', ''))))"
 MODE = "CASE WHEN document_count > 1 AND regexp_matches(lower(question), '" + "|".join(f"(?:{p})" for p in T.COMPARISON) + "') THEN 'comparison' WHEN regexp_matches(lower(question), '" + "|".join(f"(?:{p})" for p in T.BROAD) + "') THEN 'broad' ELSE 'specific' END"
 
 
@@ -232,9 +209,12 @@ def table_section_lookup(spark, d):
     return chunking.with_sections(extras, chunking.sections(pages)).select("source", "page", "section_title")
 
 
-@query("SELECT doc_id, left(md5(source), 8) || '_p' || doc_id || '_c1' AS chunk_id FROM documents")
+@query("SELECT doc_id, left(md5(source), 8) || '_p' || doc_id % 7 || '_c' || row_number() OVER (PARTITION BY source, doc_id % 7 ORDER BY doc_id) AS chunk_id FROM documents")
 def chunk_ids(spark, d):
-    return views.read(spark, d, "documents").select("doc_id", T.chunk_id(F.col("source"), F.col("doc_id"), "c", F.lit(1)).alias("chunk_id"))
+    """Documents as pieces of pages: seven pages per source, numbered from 1 on each."""
+    c = views.read(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 7).alias("page"))
+    n = F.row_number().over(Window.partitionBy("source", "page").orderBy("doc_id"))
+    return c.withColumn("n", n).select("doc_id", T.chunk_id(F.col("source"), F.col("page"), "c", F.col("n")).alias("chunk_id"))
 
 
 @query("SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN '[Table]' || chr(10) || chr(10) ELSE '' END ELSE '[Section: ' || source || ']' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '[Table]' || chr(10) ELSE '' END || chr(10) END || text) AS prefixed FROM documents")
@@ -290,11 +270,11 @@ def chat_listing(spark, d):
     return sessions.listing(views.sessions(spark, d), F.lit(4)).select("chat_session_id", "user_id", "position")
 
 
-STALE = f"{SESSIONS}, stale AS (SELECT chat_session_id FROM s WHERE is_guest AND last_active_at < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 24 HOUR)"
+STALE = f"{SESSIONS}, stale AS (SELECT chat_session_id FROM s WHERE is_guest AND last_active_at < TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 24 HOUR)"
 
 
 def _stale(spark, d):
-    return sessions.stale_guests(views.sessions(spark, d), F.lit("2024-01-30 00:00:00").cast("timestamp"))
+    return sessions.stale_guests(views.sessions(spark, d), F.lit("2024-01-31 12:00:00").cast("timestamp"))
 
 
 @query(f"WITH {STALE} SELECT * FROM stale")
@@ -308,7 +288,10 @@ def cascade_delete(spark, d):
     return sessions.without_sessions(e, _stale(spark, d))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT user_id AS chat_session_id, event_id AS seq, floor(abs(value) * 100000)::BIGINT AS size, event_id % 11 <> 0 AS magic_ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (SELECT chat_session_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BIGINT AS size, NULL::BOOLEAN AS magic_ok, NULL::VARCHAR AS reason, 0::BIGINT AS used FROM v GROUP BY 1
+UNION ALL SELECT v.chat_session_id, v.i, v.seq, v.size, v.magic_ok, CASE WHEN v.size > 20971520 THEN 'too_large' WHEN w.used + v.size > 52428800 THEN 'quota' WHEN NOT v.magic_ok THEN 'bad_signature' END, w.used + CASE WHEN v.size <= 20971520 AND w.used + v.size <= 52428800 AND v.magic_ok THEN v.size ELSE 0 END FROM w JOIN v ON v.chat_session_id = w.chat_session_id AND v.i = w.i + 1)
+SELECT chat_session_id, seq, size, magic_ok, reason IS NULL AS accepted, reason, used FROM w WHERE i > 0""")
 def upload_quota(spark, d):
     e = views.read(spark, d, "events")
     u = e.select(F.col("user_id").alias("chat_session_id"), F.col("event_id").alias("seq"), (F.abs("value") * 100_000).cast("long").alias("size"), (F.col("event_id") % 11 != 0).alias("magic_ok"))
@@ -316,90 +299,76 @@ def upload_quota(spark, d):
     return sessions.admit_uploads(u)
 
 
-SPANS = [
-    ("a", 1, 0, 0, 0, 10.0, 5.0, 90.0, 15.0, 18.0, "Serif-Bold", "Results of", 200.0), ("a", 1, 0, 1, 0, 10.0, 16.0, 90.0, 26.0, 18.0, "Serif-Bold", "the study", 200.0),
-    ("a", 1, 1, 0, 0, 10.0, 30.0, 90.0, 40.0, 10.5, "Serif", "Body text that runs on for quite a while, so that it outweighs.", 200.0), ("a", 1, 1, 0, 1, 10.0, 30.0, 90.0, 40.0, 9.5, "Serif", " More text.", 200.0),
-    ("a", 1, 2, 0, 0, 110.0, 5.0, 190.0, 15.0, 10.0, "Serif", "Right column one.", 200.0), ("a", 1, 3, 0, 0, 110.0, 20.0, 190.0, 30.0, 10.0, "Serif", "Right column two.", 200.0),
-    ("a", 2, 0, 0, 0, 10.0, 5.0, 90.0, 15.0, 10.0, "Serif", "INTRODUCTION", 200.0), ("a", 2, 1, 0, 0, 10.0, 50.0, 90.0, 60.0, 10.0, "Serif", "Plain line", 200.0), ("a", 2, 2, 0, 0, 10.0, 20.0, 90.0, 30.0, 13.0, "Serif-bold", "Methods", 200.0), ("a", 2, 2, 1, 0, 10.0, 31.0, 90.0, 41.0, 10.0, "Serif", "  ", 200.0),
-]
-SPAN_COLS = "doc, page, block_no, line_no, span_no, x0, y0, x1, y1, size, font, text, page_width"
-SPAN_SQL = f"spans AS (SELECT * FROM (VALUES {values(SPANS)}) t({SPAN_COLS}))"
+#: A number from a string, the same in both engines.
+HASH = "('0x' || left(md5({}), 8))::BIGINT"
+TEXT_LINES = "tl AS (SELECT source AS doc, doc_id::INT AS page, (generate_subscripts(ls, 1) - 1)::INT AS i, unnest(ls) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))"
+SPAN_SQL = f"""{TEXT_LINES}, hl AS (SELECT *, {HASH.format("page || '/' || i")} AS h, {HASH.format("page || '|' || i // 3")} AS hb, string_split(line, ' ') AS ws FROM tl),
+spans AS (SELECT doc, page, i // 3 AS block_no, i % 3 AS line_no, s AS span_no, 10.0 + 120 * (hb % 2) + s AS x0, 12.0 * (hb % 40) + i % 3 AS y0, 9.0 + (h + s) % 9 * 0.5 AS size, CASE WHEN h % 4 = 0 THEN 'Serif-Bold' ELSE 'Serif' END AS font, CASE WHEN s = 0 THEN ws[1] || ' ' ELSE array_to_string(ws[2:], ' ') END AS text, 200.0 AS page_width FROM hl, (VALUES (0), (1)) v(s))"""
 LINE_SQL = SPAN_SQL + ", modes AS (SELECT doc, page, round_even(size, 0)::DOUBLE AS s, sum(length(text)) AS n, min((block_no, line_no, span_no)) AS seen FROM spans GROUP BY ALL), body AS (SELECT doc, page, s AS body_size FROM modes QUALIFY row_number() OVER (PARTITION BY doc, page ORDER BY n DESC, seen) = 1), ln AS (SELECT * FROM (SELECT doc, page, block_no, line_no, trim(string_agg(text, '' ORDER BY span_no)) AS text, avg(size) AS size, bool_or(contains(lower(font), 'bold')) AS bold FROM spans GROUP BY ALL) WHERE text <> ''), boxes AS (SELECT doc, page, block_no, min(x0) AS bx0, min(y0) AS by0, max(page_width) AS pw FROM spans GROUP BY ALL), kept AS (SELECT * FROM boxes SEMI JOIN ln USING (doc, page, block_no)), cols AS (SELECT doc, page, count(*) FILTER (bx0 < pw / 2) >= 2 AND count(*) FILTER (bx0 >= pw / 2) >= 2 AS two FROM kept GROUP BY ALL), placed AS (SELECT k.*, row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN two AND bx0 >= pw / 2 THEN 1 ELSE 0 END, by0, CASE WHEN two THEN 0 ELSE bx0 END, block_no) AS bo FROM kept k JOIN cols USING (doc, page)), ordered AS (SELECT ln.*, row_number() OVER (PARTITION BY doc, page ORDER BY bo, line_no)::INT AS ordinal FROM ln JOIN placed USING (doc, page, block_no))"
 
 
-def _spans(spark):
-    return spark.createDataFrame(SPANS, "doc string, page int, block_no int, line_no int, span_no int, x0 double, y0 double, x1 double, y1 double, size double, font string, text string, page_width double")
-
-
 @query(f"WITH {LINE_SQL} SELECT doc, page, body_size FROM body")
 def body_font_mode(spark, d):
-    return layout.body_size(_spans(spark))
+    return layout.body_size(views.spans(spark, d))
 
 
 @query(f"WITH {LINE_SQL}, sc AS (SELECT doc, page, ordinal, text, CASE WHEN size / body_size >= 1.3 THEN 3 WHEN size / body_size >= 1.15 THEN 2 WHEN size / body_size >= 1.05 THEN 1 ELSE 0 END + CASE WHEN bold THEN 1 ELSE 0 END + CASE WHEN len(string_split_regex(text, '\\s+')) <= 8 THEN 1 WHEN len(string_split_regex(text, '\\s+')) > 15 THEN -3 ELSE 0 END + CASE WHEN regexp_matches(text, '[.,;:]$') THEN -2 ELSE 0 END + CASE WHEN text = upper(text) AND text <> lower(text) AND len(string_split_regex(text, '\\s+')) <= 10 THEN 1 ELSE 0 END AS score FROM ordered JOIN body USING (doc, page)) SELECT doc, page, ordinal, text, score >= 3 AS is_heading FROM sc")
 def heading_lines(spark, d):
-    return layout.headings(_spans(spark)).select("doc", "page", "ordinal", "text", "is_heading")
+    return layout.headings(views.spans(spark, d)).select("doc", "page", "ordinal", "text", "is_heading")
 
 
 @query(f"WITH {LINE_SQL} SELECT doc, page, ordinal, block_no, line_no FROM ordered")
 def reading_order(spark, d):
-    return layout.reading_order(layout.lines(_spans(spark))).select("doc", "page", "ordinal", "block_no", "line_no")
+    return layout.reading_order(layout.lines(views.spans(spark, d))).select("doc", "page", "ordinal", "block_no", "line_no")
 
 
-WORDS = [("a", 1, 1, "Table", 100.4), ("a", 1, 2, "1:", 100.3), ("a", 1, 3, "counts", 99.6), ("a", 1, 4, "Tab.", 130.5), ("a", 1, 5, "two", 130.5), ("a", 1, 6, "table", 20.0), ("a", 1, 7, "far", 20.0), ("a", 1, 8, "Not", 150.0), ("a", 1, 9, "this", 150.0), ("a", 1, 10, "Table", 260.0), ("a", 1, 11, "below", 260.0)]
-ELEMENTS = [("a", 1, 1, 160.0, 200.0), ("a", 1, 2, 90.0, 95.0), ("a", 1, 3, 500.0, 600.0), ("a", 1, 4, 200.0, 250.0)]
+WORDS_SQL = f"""{TEXT_LINES}, ln AS (SELECT *, {HASH.format("page || '/' || i")} AS h FROM tl), lw AS (SELECT doc, page, i, h, list_filter(string_split(CASE WHEN h % 3 = 0 THEN 'Table ' ELSE '' END || CASE WHEN h % 3 = 1 THEN 'Fig. ' ELSE '' END || line, ' '), lambda x: x <> '') AS ws FROM ln), w AS (SELECT doc, page, (i * 100000 + generate_subscripts(ws, 1))::BIGINT AS seq, unnest(ws) AS text, 25.0 * i + h % 5 / 10.0 AS top FROM lw)"""
+ELEMENTS_SQL = f"e AS (SELECT source AS doc, doc_id::INT AS page, k AS elem, (10 + {HASH.format('doc_id || k')} % 200)::DOUBLE AS top, (30 + {HASH.format('doc_id || k')} % 200)::DOUBLE AS bottom FROM documents, (VALUES (1), (2)) v(k) WHERE text IS NOT NULL)"
 
 
-@query(f"WITH w AS (SELECT * FROM (VALUES {values(WORDS)}) t(doc, page, seq, text, top)), e AS (SELECT * FROM (VALUES {values(ELEMENTS)}) t(doc, page, elem, top, bottom)), l AS (SELECT doc, page, round_even(top, 0)::DOUBLE AS y, string_agg(text, ' ' ORDER BY seq) AS line FROM w GROUP BY 1, 2, 3), c AS (SELECT * FROM l WHERE regexp_matches(lower(line), '^(table|tab\\.|tbl)') AND len(string_split(line, ' ')) <= 20), m AS (SELECT e.doc, e.page, elem, line, CASE WHEN y < top THEN 0 ELSE 1 END AS side, CASE WHEN y < top THEN top - y ELSE y - bottom END AS dist FROM e JOIN c ON e.doc = c.doc AND e.page = c.page AND ((y >= top - 60 AND y < top) OR (y > bottom AND y <= bottom + 60)) QUALIFY row_number() OVER (PARTITION BY e.doc, e.page, elem ORDER BY side, dist, line) = 1) SELECT e.doc, e.page, e.elem, line AS caption FROM e LEFT JOIN m ON e.doc = m.doc AND e.page = m.page AND e.elem = m.elem")
-def caption_match(spark, d):
-    w = spark.createDataFrame(WORDS, "doc string, page int, seq int, text string, top double")
-    e = spark.createDataFrame(ELEMENTS, "doc string, page int, elem int, top double, bottom double")
-    return layout.captions(e, w).select("doc", "page", "elem", "caption")
+def caption_sql(prefix: str, elements: str = "e") -> str:
+    return f"l AS (SELECT doc, page, round_even(top, 0)::DOUBLE AS y, string_agg(text, ' ' ORDER BY seq) AS line FROM w GROUP BY 1, 2, 3), c AS (SELECT * FROM l WHERE regexp_matches(lower(line), '^({prefix})') AND len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) <= 20), m AS (SELECT e.doc, e.page, elem, line FROM {elements} e JOIN c ON e.doc = c.doc AND e.page = c.page AND ((y >= top - 60 AND y < top) OR (y > bottom AND y <= bottom + 60)) QUALIFY row_number() OVER (PARTITION BY e.doc, e.page, elem ORDER BY CASE WHEN y < top THEN 0 ELSE 1 END, CASE WHEN y < top THEN top - y ELSE y - bottom END, line) = 1)"
 
 
-TABLES = [
-    (1, [["a", "b"], ["1", None], ["", ""], ["x\ny", " 2 "]], True, "| a | b |\n| --- | --- |\n| 1 |  |\n| x y | 2 |"),
-    (2, [["only"], ["one"]], False, "| only |\n| --- |\n| only |".replace("| only |", "| only |", 1)),
-    (3, [[str(i) for i in range(13)]] * 2, False, None),
-    (4, [["a", "b"], ["c", None]], False, None),
-    (5, [["a", "b", "c"], ["1"], ["2", "3", "4", "5"]], True, "| a | b | c |\n| --- | --- | --- |\n| 1 |  |  |\n| 2 | 3 | 4 |"),
-    (6, [["", None]], False, ""),
-]
+@query(f"WITH {WORDS_SQL}, {ELEMENTS_SQL}, {caption_sql('table|tab\\.|tbl')} SELECT e.doc, e.page, e.elem, line AS caption FROM e LEFT JOIN m ON e.doc = m.doc AND e.page = m.page AND e.elem = m.elem")
+def caption_match(spark, d):
+    return layout.captions(views.elements(spark, d), views.page_words(spark, d)).select("doc", "page", "elem", "caption")
 
 
-def _tables(spark):
-    return spark.createDataFrame([(t, r) for t, r, _, _ in TABLES], "tbl int, rows array<array<string>>")
+#: Lines as table rows: cells are what stands between bars, each four lines are a table.
+ROWS_SQL = f"{TEXT_LINES}, tb AS (SELECT doc, page, i // 4 AS tbl, list(string_split(line, '|') ORDER BY i) AS rows FROM tl GROUP BY ALL)"
+STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+CLEAN = f"list_transform(rows, lambda r: list_transform(r, lambda x: replace({STRIPPED.format('x')}, chr(10), ' ')))"
+FULL = f"kept AS (SELECT doc, page, tbl, list_filter({CLEAN}, lambda r: len(list_filter(r, lambda x: x <> '')) > 0) AS rows FROM tb)"
+PLAUSIBLE = "coalesce(len(rows) >= 2 AND len(rows[1]) BETWEEN 2 AND 12 AND len(list_filter(flatten(rows), lambda x: x = '')) <= 0.5 * len(flatten(rows)) AND len(list_filter(rows, lambda r: len(list_filter(r, lambda x: x <> '')) >= 2)) >= 2, false)"
+PADDED = "list_resize(r, len(rows[1]), '')"
+MARKDOWN_SQL = "CASE WHEN len(rows) = 0 THEN '' ELSE array_to_string(list_transform(list_concat([rows[1], list_transform(rows[1], lambda x: '---')], rows[2:]), lambda r: '| ' || array_to_string(" + PADDED + ", ' | ') || ' |'), chr(10)) END"
 
 
-@query(f"SELECT * FROM (VALUES {values([(t, ok) for t, _, ok, _ in TABLES])}) t(tbl, plausible)")
+@query(f"WITH {ROWS_SQL}, {FULL} SELECT doc, page, tbl, {PLAUSIBLE} AS plausible FROM kept")
 def table_plausible(spark, d):
-    return _tables(spark).select("tbl", layout.plausible_table(F.col("rows")).alias("plausible"))
+    return views.line_tables(spark, d).select("doc", "page", "tbl", layout.plausible_table(F.col("rows")).alias("plausible"))
 
 
-@query(f"SELECT * FROM (VALUES {values([(t, m) for t, _, ok, m in TABLES if ok or m == ''])}) t(tbl, markdown)")
+@query(f"WITH {ROWS_SQL}, {FULL} SELECT doc, page, tbl, {MARKDOWN_SQL} AS markdown FROM kept")
 def table_markdown(spark, d):
-    return _tables(spark).where("tbl in (1, 5, 6)").select("tbl", layout.table_markdown(F.col("rows")).alias("markdown"))
-
-
-MARKDOWN = [
-    *[(t, m) for t, _, ok, m in TABLES if ok or m == ""],
-    (2, "| only |\n| --- |\n| one |"),
-    (3, "\n".join(["| " + " | ".join(str(i) for i in range(13)) + " |", "| " + " | ".join(["---"] * 13) + " |", "| " + " | ".join(str(i) for i in range(13)) + " |"])),
-    (4, "| a | b |\n| --- | --- |\n| c |  |"),
-]
+    return views.line_tables(spark, d).select("doc", "page", "tbl", layout.table_markdown(F.col("rows")).alias("markdown"))
 
 
-@query(f"SELECT * FROM (VALUES {values(MARKDOWN)}) t(tbl, markdown)")
-def table_markdown_all(spark, d):
-    return _tables(spark).select("tbl", layout.table_markdown(F.col("rows")).alias("markdown"))
+CLUSTERS_SQL = f"""RECURSIVE box AS (SELECT (user_id % 5)::VARCHAR AS doc, dayofmonth(ts)::INT AS page, event_id AS seq, ({HASH.format('event_id::VARCHAR')} % 600)::DOUBLE AS x0, ({HASH.format("props || event_id")} % 800)::DOUBLE AS y0 FROM events),
+step AS (SELECT 0 AS it, doc, page, seq, x0, y0, x0 + 40 AS x1, y0 + 30 AS y1, seq AS lab, true AS moved FROM box
+UNION ALL (WITH c AS (SELECT doc, page, lab, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM step GROUP BY ALL),
+near AS (SELECT a.doc, a.page, a.lab, min(b.lab) AS new FROM c a JOIN c b ON a.doc = b.doc AND a.page = b.page AND a.x0 - 15 <= b.x1 AND b.x0 <= a.x1 + 15 AND a.y0 - 15 <= b.y1 AND b.y0 <= a.y1 + 15 GROUP BY ALL),
+pages AS (SELECT doc, page FROM near GROUP BY ALL HAVING bool_or(new <> lab))
+SELECT it + 1, s.doc, s.page, seq, x0, y0, x1, y1, new, new <> s.lab FROM step s JOIN near USING (doc, page, lab) SEMI JOIN pages USING (doc, page))),
+last AS (SELECT *, max(it) OVER (PARTITION BY doc, page) AS m FROM step QUALIFY it = m),
+grp AS (SELECT doc, page, min(seq) AS f, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*)::INT AS n FROM last GROUP BY doc, page, lab HAVING count(*) >= 8),
+clusters AS (SELECT doc, page, (row_number() OVER (PARTITION BY doc, page ORDER BY f) - 1)::INT AS cluster, x0, y0, x1, y1, n FROM grp)"""
 
 
-@query()
+@query(f"WITH {CLUSTERS_SQL} SELECT * FROM clusters")
 def visual_clusters(spark, d):
-    e = views.read(spark, d, "events")
-    x, y = F.pmod(T.portable_hash(F.col("event_id").cast("string")), F.lit(600)).cast("double"), F.pmod(T.portable_hash(F.col("props")), F.lit(800)).cast("double")
-    boxes = e.select((F.col("user_id") % 5).cast("string").alias("doc"), F.dayofmonth("ts").alias("page"), F.col("event_id").alias("seq"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1"))
-    return layout.drawing_clusters(boxes)
+    return layout.drawing_clusters(views.drawings(spark, d))
 
 
 EVAL = bm25_sql([], 20).split("WITH ", 1)[1].split("q AS", 1)[0]
@@ -407,11 +376,12 @@ EVAL = bm25_sql([], 20).split("WITH ", 1)[1].split("q AS", 1)[0]
 
 def _gold_ranks(spark, d):
     """All chunks of one session; the benchmark items that occur in documents are the questions, asked of the whole collection."""
-    c = views.chunks(spark, d).withColumn("chat_session_id", F.lit("all"))
-    g = views.gold(spark, d)
+    c = views.chunks(spark, d)
+    g = table(views.gold(spark, d), "gold")
     first = g.groupBy("query_id", "question").agg(F.min(F.struct("expected_page", "expected_source")).alias("m")).select("query_id", "question", "m.*")
     q = first.select("query_id", F.lit("all").alias("chat_session_id"), "question")
-    ranked = lexical.bm25_search(c, q, 10).join(c.select("chunk_id", F.col("filename").alias("source"), "page", "text"), "chunk_id")
+    ranked = table(lexical.search_index(spark, index_of(spark, d, "all"), q, 10), "gold-ranks")
+    ranked = c.select("chunk_id", F.col("filename").alias("source"), "page", "text").join(hinted(ranked), "chunk_id")
     return ranked, first
 
 
@@ -480,4 +450,7 @@ def answer_contexts(spark, d):
     q = spark.createDataFrame([(1, "en", "What is the and attion", 20, False), (2, "en", "Compare src1 and src2 the", 20, False), (3, "de", "overview", 20, False)], "query_id int, chat_session_id string, question string, document_count int, has_history boolean").withColumn("resolved", F.lit(None).cast("string"))
     c = views.chunks(spark, d)
     meta = c.select("chat_session_id", "filename").distinct().withColumn("display_title", F.lit(None).cast("string"))
-    return retrieval.answer_contexts(c, q, meta, *_vectors(spark, d, q))
+    return retrieval.answer_contexts(c, q, meta, *_vectors(spark, d, q), index=index_of(spark, d))
+
+
+from . import dialogue, intake  # noqa: E402, F401  they register their queries

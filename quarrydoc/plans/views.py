@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id
+from ..functions.text import chunk_id, portable_hash
+from ..operators import evaluate
 
 #: Questions of the registered retrieval queries, with the session (language) they are asked in.
 QUESTIONS = [
@@ -81,10 +82,10 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark items with the documents that hold them: a theta join, the items (a stated set) in one block."""
+    """benchmark items with the documents that hold them."""
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     d = read(spark, sf_dir, "documents").select(F.col("source").alias("expected_source"), F.col("doc_id").cast("int").alias("expected_page"), "text")
-    return d.join(F.broadcast(b), F.col("text").contains(F.col("question"))).select("query_id", "question", "expected_source", "expected_page")
+    return evaluate.holding(d, b, "text", "question").select("query_id", "question", "expected_source", "expected_page")
 
 
 def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,3 +95,54 @@ def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), 1), "\n")
     text = F.when(F.col("page_id") % 3 == 0, body).otherwise(F.concat(F.lit("lead of the page\n# "), h1, F.lit("\n"), body))
     return p.select(F.concat(F.lit("site"), (F.col("page_id") % 7).cast("string")).alias("source"), F.col("page_id").cast("int").alias("page"), text.alias("text"))
+
+
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, page, i, line): the lines of documents; source -> file, doc_id -> page."""
+    d = read(spark, sf_dir, "documents").where("text is not null")
+    return d.select(F.col("source").alias("doc"), F.col("doc_id").cast("int").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+
+
+def _line_hash() -> Column:
+    return portable_hash(F.concat_ws("/", F.col("page").cast("string"), F.col("i").cast("string")))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as layout spans: three to a block, two spans to a line; sizes, fonts and places come from hashes."""
+    block = F.floor(F.col("i") / 3).cast("int")
+    hb = portable_hash(F.concat_ws("|", F.col("page").cast("string"), block.cast("string")))
+    d = text_lines(spark, sf_dir).withColumns({"h": _line_hash(), "hb": hb, "ws": F.split("line", " ")}).withColumn("s", F.explode(F.array(F.lit(0), F.lit(1))))
+    text = F.when(F.col("s") == 0, F.concat(F.get("ws", F.lit(0)), F.lit(" "))).otherwise(F.array_join(F.slice("ws", F.lit(2), F.size("ws")), " "))
+    x0, y0 = 10.0 + 120 * (F.col("hb") % 2) + F.col("s"), 12.0 * (F.col("hb") % 40) + F.col("i") % 3
+    font = F.when(F.col("h") % 4 == 0, "Serif-Bold").otherwise("Serif")
+    return d.select("doc", "page", block.alias("block_no"), (F.col("i") % 3).alias("line_no"), F.col("s").alias("span_no"), x0.alias("x0"), y0.alias("y0"), (9.0 + (F.col("h") + F.col("s")) % 9 * 0.5).alias("size"), font.alias("font"), text.alias("text"), F.lit(200.0).alias("page_width"))
+
+
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of lines with their height on the page; a third of the lines begins as table captions do, a third as those of figures."""
+    d = text_lines(spark, sf_dir).withColumn("h", _line_hash())
+    line = F.concat(F.when(F.col("h") % 3 == 0, "Table ").when(F.col("h") % 3 == 1, "Fig. ").otherwise(""), F.col("line"))
+    d = d.select("doc", "page", "i", "h", F.posexplode(F.filter(F.split(line, " "), lambda w: w != "")).alias("j", "text"))
+    return d.select("doc", "page", (F.col("i").cast("long") * 100_000 + F.col("j") + 1).alias("seq"), "text", (25.0 * F.col("i") + F.col("h") % 5 / 10.0).alias("top"))
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two boxes per page, of height 20."""
+    d = read(spark, sf_dir, "documents").where("text is not null").withColumn("elem", F.explode(F.array(F.lit(1), F.lit(2))))
+    top = 10 + portable_hash(F.concat(F.col("doc_id").cast("string"), F.col("elem").cast("string"))) % 200
+    return d.select(F.col("source").alias("doc"), F.col("doc_id").cast("int").alias("page"), "elem", top.cast("double").alias("top"), (top + 20).cast("double").alias("bottom"))
+
+
+def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, page, tbl, rows): each four lines of a page as a table, cells between bars."""
+    d = text_lines(spark, sf_dir).withColumn("tbl", F.floor(F.col("i") / 4).cast("int"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("i", F.split("line", r"\|").alias("r")))), lambda x: x["r"])
+    return d.groupBy("doc", "page", "tbl").agg(rows.alias("rows"))
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as drawings of 40 by 30 points, some hundreds to a page."""
+    e = read(spark, sf_dir, "events")
+    ident = F.col("event_id").cast("string")
+    x, y = (portable_hash(ident) % 600).cast("double"), (portable_hash(F.concat("props", ident)) % 800).cast("double")
+    return e.select((F.col("user_id") % 5).cast("string").alias("doc"), F.dayofmonth("ts").alias("page"), F.col("event_id").alias("seq"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1"))

@@ -288,3 +288,125 @@ def test_streaming_refresh(spark, tmp_path):
     assert seen == [1]
     e = spark.createDataFrame([(1, datetime(2024, 1, 1)), (1, datetime(2024, 1, 1, 5)), (1, datetime(2024, 1, 3))], "user_id long, ts timestamp")
     assert sorted(r.n_events for r in inactivity_sessions(e).collect()) == [1, 2]
+
+
+def test_titles_mentions_and_sections_follow_the_rules(spark):
+    df = spark.range(1)
+    assert one(df, T.file_title(F.lit("my.pdfs notes.pdf"))) == "my.pdfs notes"
+    d = spark.createDataFrame([("s", "annual_report.pdf", None)], "chat_session_id string, filename string, display_title string")
+    q = spark.createDataFrame([(1, "s", "compare annual\treport"), (2, "s", "compare annual\n report"), (3, "s", "annual reports? no: annualrep ort"), (4, "s", "anual report")], "query_id int, chat_session_id string, question string")
+    assert {r.query_id for r in routing.mentions(q, d).collect()} == {1, 2, 3}
+    text = "x\r# y # z\n# Real\rtitle   more\nbody\u0085# no"
+    got = [(r.title, r.body) for r in chunking.sections(spark.createDataFrame([("s", 1, text)], "source string, page int, text string")).orderBy("sec").collect()]
+    assert got == [(None, "x\r# y # z"), ("Real\rtitle   more", "body\u0085# no")]
+
+
+def test_drawing_clusters_merge_until_stable(spark):
+    import random
+
+    boxes = lambda rows: spark.createDataFrame([("d", 1, i, *map(float, b)) for i, b in enumerate(rows)], "doc string, page int, seq int, x0 double, y0 double, x1 double, y1 double")
+    got = layout.drawing_clusters(boxes([(100, 100, 110, 110), (50, 0, 60, 200), (60, 210, 200, 215)]), least=1).collect()
+    assert [(r.x0, r.y0, r.x1, r.y1, r.n) for r in got] == [(50, 0, 200, 215, 3)]
+    got = layout.drawing_clusters(boxes([(0, 0, 10, 10), (25, 0, 25, 0), (41, 0, 50, 10)]), least=1).collect()  # touching merges, a point counts, 16 apart stay apart
+    assert [r.n for r in got] == [2, 1]
+    rnd = random.Random(3)
+    for _ in range(3):
+        rows = [(x, y, x + rnd.randint(0, 60), y + rnd.randint(0, 40)) for x, y in ((rnd.randint(0, 900), rnd.randint(0, 900)) for _ in range(80))]
+        parts = [[r] for r in rows]
+        box = lambda p: (min(r[0] for r in p), min(r[1] for r in p), max(r[2] for r in p), max(r[3] for r in p))
+        merged = True
+        while merged:
+            merged = False
+            for i in range(len(parts)):
+                for j in range(i + 1, len(parts)):
+                    a, b = box(parts[i]), box(parts[j])
+                    if a[0] - 15 <= b[2] and b[0] <= a[2] + 15 and a[1] - 15 <= b[3] and b[1] <= a[3] + 15:
+                        parts[i] += parts.pop(j)
+                        merged = True
+                        break
+                if merged:
+                    break
+        want = sorted((*box(p), len(p)) for p in parts)
+        got = layout.drawing_clusters(boxes(rows), least=1).collect()
+        assert sorted((r.x0, r.y0, r.x1, r.y1, r.n) for r in got) == want
+
+
+def test_table_markdown_of_odd_tables(spark):
+    tables = {
+        1: ([["a", "b"], ["1", None], ["", ""], ["x\ny", " 2 "]], True, "| a | b |\n| --- | --- |\n| 1 |  |\n| x y | 2 |"),
+        2: ([["only"], ["one"]], False, "| only |\n| --- |\n| one |"),
+        3: ([[str(i) for i in range(13)]] * 2, False, "\n".join(["| " + " | ".join(str(i) for i in range(13)) + " |", "| " + " | ".join(["---"] * 13) + " |", "| " + " | ".join(str(i) for i in range(13)) + " |"])),
+        4: ([["a", "b"], ["c", None]], False, "| a | b |\n| --- | --- |\n| c |  |"),
+        5: ([["a", "b", "c"], ["1"], ["2", "3", "4", "5"]], True, "| a | b | c |\n| --- | --- | --- |\n| 1 |  |  |\n| 2 | 3 | 4 |"),
+        6: ([["", None]], False, ""),
+    }
+    df = spark.createDataFrame([(t, r[0]) for t, r in tables.items()], "tbl int, rows array<array<string>>")
+    for r in df.select("tbl", layout.plausible_table(F.col("rows")).alias("ok"), layout.table_markdown(F.col("rows")).alias("m")).collect():
+        assert (r.ok, r.m) == tables[r.tbl][1:]
+
+
+def test_page_tables_retry(spark):
+    p = spark.createDataFrame([("d", 1, 3), ("d", 2, 2), ("d", 3, 3), ("d", 4, 5)], "doc string, page int, n_rects int")
+    lines = F.when(F.col("page") < 3, F.array(F.array(F.array(F.lit("a b"))))).when(F.col("page") == 3, F.array(F.array(F.array(F.lit("a"), F.lit("b"))))).otherwise(F.array().cast("array<array<array<string>>>"))
+    text = F.array(F.array(F.array(F.lit("a"), F.lit("b"))), F.array(F.array(F.lit("c"))))
+    got = sorted((r.page, r.tbl, r.rows) for r in layout.page_tables(p, lines, text).collect())
+    assert got == [(1, 1, [["a", "b"]]), (1, 2, [["c"]]), (2, 1, [["a b"]]), (3, 1, [["a", "b"]])]
+
+
+def test_holding_equals_all_pairs(spark):
+    import random
+
+    rnd = random.Random(2)
+    ws = ["aa", "b", "cc.", "d", "ee"]
+    texts = [" ".join(rnd.choice(ws) for _ in range(rnd.randint(0, 60))) for _ in range(60)] + [None, "", "x\ny  z"]
+    items = [t[a : a + rnd.randint(1, 60)] for t in texts[:40] if t for a in [rnd.randint(0, len(t))]] + ["", "b d", "aa b cc. d ee"]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "t int, text string")
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "q int, item string")
+    got = sorted((r.t, r.q) for r in evaluate.holding(t, q, "text", "item").collect())
+    assert got == sorted((i, j) for i, x in enumerate(texts) if x is not None for j, y in enumerate(items) if y in x)
+
+
+def test_index_versions(spark, tmp_path):
+    rows = [("a", f"c{i}", "f", i, f"word{i} cat") for i in range(5)] + [("b", "z", "f", 1, "cat dog")]
+    q = spark.createDataFrame([(1, "a", "cat word9"), (2, "b", "dog")], "query_id int, chat_session_id string, question string")
+    index = str(tmp_path / "index")
+    lexical.build_index(chunks(spark, rows), index)
+    ask = lambda: sorted((r.query_id, r.chunk_id, round(r.score, 9), r.rank) for r in lexical.search_index(spark, index, q, 3).collect())
+    fresh = lambda rs: sorted((r.query_id, r.chunk_id, round(r.score, 9), r.rank) for r in lexical.bm25_search(chunks(spark, rs), q, 3).collect())
+    assert ask() == fresh(rows) and len(ask()) == 4
+    more = rows + [("a", "c9", "f", 9, "word9 word9 cat")]
+    lexical.build_index(chunks(spark, [r for r in more if r[0] == "a"]), index)  # session a anew, b as it was
+    assert ask() == fresh(more) and [x[1] for x in ask() if x[0] == 1 and x[3] == 1] == ["c9"]
+    lexical.invalidate(spark, index, spark.createDataFrame([("b",)], "chat_session_id string"))
+    assert ask() == [x for x in fresh(more) if x[0] == 1]
+
+
+def test_error_and_refusal_events(spark):
+    a = spark.createDataFrame([(1, "two words", None, True, "high"), (2, None, None, True, None), (3, "x", '[{"page":1}]', None, "low")], "query_id int, answer string, sources_json string, failed boolean, confidence string")
+    got = [(r.query_id, r.seq, r.event, r.data) for r in context.answer_events(a).orderBy("query_id", "seq").collect()]
+    error = '{"message":"' + context.FAILURE + '"}'
+    assert got == [(1, 0, "token", '{"content":"two "}'), (1, 1, "token", '{"content":"words "}'), (1, 2, "error", error), (2, 0, "error", error), (3, 0, "token", '{"content":"x "}'), (3, 1, "done", "{}"), (3, 2, "sources", '{"sources":[{"page":1}],"confidence":"low"}')]
+    r = context.answer_events(context.refusal_answers(spark.createDataFrame([(7,)], "query_id int"))).orderBy("seq").collect()
+    assert "".join(json.loads(x.data)["content"] for x in r if x.event == "token") == context.REFUSAL + " "
+    flat = spark.createDataFrame([(1, 1, "t")], "query_id int, rank int, text string")
+    assert context.flat_contexts(flat).collect() == flat.collect()
+
+
+def test_model_threads(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(20)], "i int, t string")
+    for threads in (0, 1, 5):
+        load = (lambda: lambda x: x + "!") if threads else (lambda: lambda xs: [x + "!" for x in xs])
+        got = df.select("i", providers.model_column(load, "string", threads)(F.col("t")).alias("m")).collect()
+        assert all(r.m == f"{r.i}!" for r in got)
+    assert one(df.limit(1), providers.provider("stream")(F.lit("two  words"))) == ["two ", " ", "words"]
+
+
+def test_run_available_writes_a_table(spark, tmp_path):
+    from quarrydoc.streaming.sessions import run_available
+
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int").write.parquet(src)
+    stream = lambda: spark.readStream.schema("k string, v int").parquet(src)
+    got = run_available(stream().groupBy("k").agg(F.sum("v").alias("s")), "sums")
+    assert sorted((r.k, r.s) for r in got.collect()) == [("a", 3), ("b", 3)]
+    assert run_available(stream(), "rows", "append").count() == 3
