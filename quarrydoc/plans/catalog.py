@@ -44,6 +44,12 @@ def corpus_stats(spark, d):
     return lexical.corpus_stats(lexical.lengths(views.chunks(spark, d))).withColumn("avgdl", F.round("avgdl", 6))
 
 
+@query(f"WITH {CHUNKS}, {STATS} SELECT chat_session_id AS session, n, round(avgdl, 6) AS avgdl FROM stats")
+def lexical_index(spark, d):
+    """The stored index that the retrieval queries share: built here if it is not there yet; its sessions."""
+    return lexical.in_force(spark, index_of(spark, d)).select("session", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @query(bm25_sql(views.QUESTIONS[:1], 20) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25")
 def bm25_topk(spark, d):
     q = views.questions(spark).where("query_id = 1")
@@ -445,12 +451,22 @@ def stream_session_ttl(spark, d):
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n_events")
 
 
-@query()
+#: One question for each mode.
+ASKED = [(1, "en", "What is the and attion", 20, False), (2, "en", "Compare src1 and src2 the", 20, False), (3, "de", "overview", 20, False)]
+SPECIFIC = RERANK.replace(values(views.QUESTIONS), values([ASKED[0][:3]]))
+
+
+@query(SPECIFIC + """, spread AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY page, chunk_id) - 1 AS i, count(*) OVER (PARTITION BY filename) AS c FROM chunks WHERE chat_session_id = 'de'),
+near AS (SELECT c.filename AS source, c.page, c.text, row_number() OVER (PARTITION BY c.filename ORDER BY round(list_distance(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9), c.chunk_id) AS r FROM chunks c JOIN embeddings e ON e.vec_id = c.page, embeddings v WHERE v.vec_id = 14 AND c.chat_session_id = 'en' AND c.filename IN ('src1', 'src2') QUALIFY r <= 5)
+SELECT query_id, 'specific' AS mode, rerank_rank AS rank, source, page, md5(text) AS text, round(s, 6) AS rerank_score FROM best WHERE s >= -3.0
+UNION ALL SELECT 3, 'broad', row_number() OVER (ORDER BY filename, page)::INT, filename, page, md5(text), NULL FROM spread WHERE i % greatest(1, c // least(8, c)) = 0 AND i // greatest(1, c // least(8, c)) < 8
+UNION ALL SELECT 2, 'comparison', row_number() OVER (ORDER BY source, r)::INT, source, page, md5(text), NULL FROM near""")
 def answer_contexts(spark, d):
-    q = spark.createDataFrame([(1, "en", "What is the and attion", 20, False), (2, "en", "Compare src1 and src2 the", 20, False), (3, "de", "overview", 20, False)], "query_id int, chat_session_id string, question string, document_count int, has_history boolean").withColumn("resolved", F.lit(None).cast("string"))
+    q = spark.createDataFrame(ASKED, "query_id int, chat_session_id string, question string, document_count int, has_history boolean").withColumn("resolved", F.lit(None).cast("string"))
     c = views.chunks(spark, d)
     meta = c.select("chat_session_id", "filename").distinct().withColumn("display_title", F.lit(None).cast("string"))
-    return retrieval.answer_contexts(c, q, meta, *_vectors(spark, d, q), index=index_of(spark, d))
+    r = retrieval.answer_contexts(c, q, meta, *_vectors(spark, d, q), index=index_of(spark, d))
+    return r.withColumns({"text": F.md5("text"), "rerank_score": F.round("rerank_score", 6)})
 
 
 from . import dialogue, intake  # noqa: E402, F401  they register their queries

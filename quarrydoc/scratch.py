@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many rows (some tens of bytes each), and dealt by key beyond.
 BROADCAST_ROWS = 200_000
+#: The same by the bytes of a written table, which memory takes a few times.
+BROADCAST_BYTES = 4 * 2**20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +57,7 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(hpath, True)
 
 
-def hinted(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table to be broadcast when its counted rows are few."""
-    return F.broadcast(side) if side.count() <= rows else side
+def hinted(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A table of `table` to be broadcast when its files are small."""
+    hpath, fs = hadoop(side.sparkSession, side.scratch_path)
+    return F.broadcast(side) if fs.getContentSummary(hpath).getLength() <= most else side
