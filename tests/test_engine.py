@@ -78,7 +78,7 @@ def test_bm25_fills_ranks_and_keeps_sessions_apart(spark):
     assert len([r for r in both if r.query_id == 3]) == 2 and not [r for r in both if r.query_id == 4]
 
 
-def test_knn_ties_and_groups(spark):
+def test_knn_ties_and_groups(spark, monkeypatch):
     v = spark.createDataFrame([(i, i % 2, [float(x), 0.0]) for i, x in enumerate([3, 1, 1, 2, 9, 0])] + [(9, 0, None)], "chunk_id int, g int, embedding array<double>")
     q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [9.0, 0.0])], "query_id int, query_vector array<double>")
     got = dense.knn(v, q, 3).orderBy("query_id", "rank").collect()
@@ -86,6 +86,11 @@ def test_knn_ties_and_groups(spark):
     got = dense.knn(v, q.where("query_id = 1"), 1, group="g").collect()
     assert {(r.g, r.chunk_id) for r in got} == {(0, 2), (1, 5)}
     assert dense.knn(v, q.limit(0), 3).count() == 0
+    named = q.withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    whole = sorted(map(tuple, dense.knn(v, named, 3).collect()))
+    assert [x[0] for x in whole] == ["q1"] * 3 + ["q2"] * 3
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 16)  # a block per query
+    assert sorted(map(tuple, dense.knn(v, named, 3).collect())) == whole
 
 
 def test_rrf_collisions(spark):
