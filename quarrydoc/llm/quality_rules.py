@@ -2,8 +2,9 @@
 
 Each document becomes a vector of transformed text statistics. Per (lang, source)
 the minimum-covariance-determinant (MCD) estimate is found by concentration steps
-(C-steps) from a median/MAD start: keep the `support` share nearest by Mahalanobis
-distance, re-estimate mean and covariance, repeat. Every step is a grouped
+(C-steps) from three robust starts: keep the `support` share nearest by Mahalanobis
+distance, re-estimate mean and covariance, repeat until no determinant falls, and take the start that ends
+with the smallest. Every step is a grouped
 aggregation with map-side combine; a p x p Cholesky factor is written as column
 expressions, so nothing leaves the JVM. Documents whose distance exceeds the cutoff
 are rejected.
@@ -23,14 +24,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, SPACE, hash_windows, table, words
+from .common import NULL_KEY, discard, hash_windows, table, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 DIMS = ("z_wordlen", "z_symbols", "z_repeat")
 VAR_FLOOR = 1e-2
 #: Makes the scatter of the nearest 75 % of three normal dimensions consistent: 0.75 / P(chi2_5 <= q), q the 0.75 quantile of chi2_3.
 CONSISTENCY = 1.61
 BROADCAST_GROUPS = 50_000
+#: Of approximate percentiles: ranks are right to a share of 1 / ACCURACY of the rows.
+ACCURACY = 10_000
 
 
 def text_statistics(t: Column, tokens: Column) -> dict[str, Column]:
@@ -38,8 +41,8 @@ def text_statistics(t: Column, tokens: Column) -> dict[str, Column]:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(tokens).cast("long"),
-        "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(tokens, "")).cast("long"),
+        "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
     }
@@ -59,10 +62,10 @@ def repeat_words(windows: Column, width: int) -> Column:
     def covered(pairs: Column) -> Column:
         same = lambda x, i: F.coalesce(F.get(pairs, i)["h"] == x["h"], no)
         hit = F.filter(pairs, lambda x, i: same(x, i - 1) | same(x, i + 1))
-        at = F.array_sort(F.transform(hit, lambda x: x["i"]))
+        at = F.sort_array(F.transform(hit, lambda x: x["i"]))
         return F.aggregate(F.array(at), zero, lambda s, bound: s + total(spans(bound)))
 
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     full = F.aggregate(F.array(pairs), zero, lambda s, bound: s + covered(bound))
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), zero).otherwise(full)
 
@@ -120,23 +123,73 @@ def _hinted(params: DataFrame) -> DataFrame:
     return F.broadcast(params) if params.count() <= BROADCAST_GROUPS else params
 
 
+def _starts(vectors: DataFrame, by: list[str], med: DataFrame, small, written) -> DataFrame:
+    """Three estimates per group to start from (by, __start, m*, c*): median and MAD; signs; the half nearest to the median.
+
+    Signs: the covariance of the vectors scaled by MAD and cut to length one, which no outlier sways. Half: mean and
+    covariance of the rows up to the median scaled length.
+    """
+    p = len(DIMS)
+    dev = vectors.join(small(med), by).groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(DIMS[i]) - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"s{i}") for i in range(p)])
+    scale = [F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + VAR_FLOOR).alias(f"s{i}") for i in range(p)]
+    spread = written(med.join(dev, by).select(*by, *[f"m{i}" for i in range(p)], *scale), "mcd-spread")
+    z = vectors.join(small(spread), by).withColumns({f"z{i}": (F.col(DIMS[i]) - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(p)})
+    z = z.withColumn("len", F.sqrt(reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)])))
+    mid = written(z.groupBy(*by).agg(F.percentile_approx("len", 0.5, ACCURACY).alias("mid")), "mcd-mid")
+    unit = lambda i: F.when(F.col("len") > 0, F.col(f"z{i}") / F.col("len")).otherwise(0.0)
+    near = F.col("len") <= F.col("mid")
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    got = z.join(small(mid), by).groupBy(*by).agg(
+        *[F.avg(F.when(near, F.col(DIMS[i]))).alias(f"a{i}") for i in range(p)],
+        *[F.avg(unit(i) * unit(j)).alias(f"u{i}{j}") for i, j in pairs],
+        *[F.covar_pop(F.when(near, F.col(DIMS[i])), F.when(near, F.col(DIMS[j]))).alias(f"h{i}{j}") for i, j in pairs],
+    )
+    got = spread.join(got, by)
+    floor = lambda i, j: VAR_FLOOR if i == j else 0.0
+    mad = [F.col(f"m{i}").alias(f"m{i}") for i in range(p)] + [(F.pow(F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs]
+    sign = [F.col(f"m{i}").alias(f"m{i}") for i in range(p)] + [(F.col(f"u{i}{j}") * p * F.col(f"s{i}") * F.col(f"s{j}") + floor(i, j)).alias(f"c{i}{j}") for i, j in pairs]
+    half = [F.col(f"a{i}").alias(f"m{i}") for i in range(p)] + [(F.coalesce(F.col(f"h{i}{j}"), F.lit(0.0)) + floor(i, j)).alias(f"c{i}{j}") for i, j in pairs]
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("__start"), *cols) for k, cols in enumerate((mad, sign, half))]))
+    started = written(_factor(got.select(*by, rows.alias("e")).select(*by, "e.*"), p), "mcd-start")
+    discard(spread, mid)
+    return started
+
+
 def mcd(vectors: DataFrame, by: list[str], support: float, steps: int) -> DataFrame:
-    """MCD location and scatter per group `by`: C-steps from the coordinatewise median and MAD, checkpointed as small tables."""
+    """MCD location and scatter per group `by`: C-steps from several starts until no determinant falls, `steps` at most; the smallest determinant wins.
+
+    The starts of all groups take each step together, and every step is a small written table.
+    """
     p = len(DIMS)
-    med = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(DIMS[i], 0.5, 1000).alias(f"m{i}") for i in range(p)])
-    med = table(med, "mcd-median")
-    dev = vectors.join(_hinted(med), by).groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(DIMS[i]) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in range(p)])
-    start = med.join(dev, by)
-    for i in range(p):
-        for j in range(i + 1):
-            start = start.withColumn(f"c{i}{j}", F.pow(F.col(f"s{i}") * 1.4826, 2) + VAR_FLOOR if i == j else F.lit(0.0))
-    params = table(_factor(start.drop(*[f"s{i}" for i in range(p)]), p), "mcd-start")
+    med = table(vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(DIMS[i], 0.5, ACCURACY).alias(f"m{i}") for i in range(p)]), "mcd-median")
+    # few groups, of about 150 bytes each and start, are broadcast and written as a few files; beyond that both sides are dealt by key
+    few = med.count() <= BROADCAST_GROUPS
+    small = F.broadcast if few else (lambda d: d)
+    written = lambda d, name: table(d.coalesce(4) if few else d, name)
+    params = _starts(vectors, by, med, small, written)
+    each = [*by, "__start"]
+    rows = vectors.withColumn("__start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     for _ in range(steps):
-        d = vectors.join(_hinted(params), by).withColumn("_d", _distance(p)).select(*by, *DIMS, "_d")
-        cut = table(d.groupBy(*by).agg(F.percentile_approx("_d", support, 1000).alias("_q")), "mcd-cut")
-        kept = d.join(_hinted(cut), by).where(F.col("_d") <= F.col("_q"))
-        params = table(_moments(kept, by, CONSISTENCY), "mcd-step")
-    return params.drop("n").join(med.select(*by, "n"), by)  # n: the group's rows, not those of the last support set
+        d = rows.join(small(params), each).withColumn("_d", _distance(p)).select(*each, *DIMS, "_d")
+        cut = written(d.groupBy(*each).agg(F.percentile_approx("_d", support, ACCURACY).alias("_q")), "mcd-cut")
+        kept = d.join(small(cut), each).where(F.col("_d") <= F.col("_q"))
+        after = written(_moments(kept, each, CONSISTENCY), "mcd-step")
+        fall = after.select(*each, _log_det(p).alias("new")).join(params.select(*each, _log_det(p).alias("old")), each)
+        falls = fall.where(F.abs(F.col("old") - F.col("new")) > 1e-4).limit(1).count()
+        discard(params, cut)
+        params = after
+        if not falls:
+            break
+    values = [f"m{i}" for i in range(p)] + [f"c{i}{j}" for i in range(p) for j in range(i + 1)]
+    best = params.groupBy(*by).agg(F.min_by(F.struct(*values), F.struct(_log_det(p).alias("d"), F.col("__start"))).alias("e"))
+    # n: the group's rows, not those of the last support set
+    out = table(_factor(best.select(*by, "e.*"), p).join(med.select(*by, "n"), by), "mcd")
+    discard(params, med)
+    return out
+
+
+def _log_det(p: int) -> Column:
+    return reduce(lambda a, b: a + b, [2 * F.log(F.col(f"l{i}{i}")) for i in range(p)])
 
 
 def _shrunk(own: DataFrame, parent: DataFrame, up: list[str], min_group: int) -> DataFrame:
@@ -166,15 +219,24 @@ def _keyed(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit(stats: DataFrame, keys: list[str], support: float, steps: int, min_group: int) -> DataFrame:
-    """Estimates (__k*, __e struct) per group with rows that pass the base rule: over all rows, by the first key, by the first two, ..."""
+    """Estimates (__k*, __e struct) per group with rows that pass the base rule: over all rows, by the first key, by the first two, ...
+
+    All levels are estimated together, each row once in each; then each is drawn towards the one above.
+    """
     by, p = [f"__k{i}" for i in range(len(keys))], len(DIMS)
     names = [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
     good = _keyed(stats.where(~F.col("base_failed")), keys).select(*by, *DIMS)
-    # read back, the key is data and not a constant that would make its joins cross joins
-    est = mcd(table(good.select(F.lit(0).alias("__all"), *DIMS), "mcd-all"), ["__all"], support, steps)
+    levels = good.withColumn("__level", F.explode(F.array(*[F.lit(i) for i in range(len(by) + 1)])))
+    levels = levels.withColumns({k: F.when(F.col("__level") > i, F.col(k)).otherwise("") for i, k in enumerate(by)})
+    levels = table(levels.select("__level", *by, *DIMS), "mcd-vectors")
+    each = mcd(levels, ["__level", *by], support, steps)
+    est = each.where("__level = 0").drop("__level", *by)
     for depth in range(1, len(by) + 1):
-        est = table(_shrunk(mcd(good, by[:depth], support, steps), est, by[: depth - 1], min_group), "mcd-shrunk")
-    return est.select(*by, F.struct(*names).alias("__e"))
+        own = each.where(F.col("__level") == depth).drop("__level", *by[depth:])
+        est = table(_shrunk(own, est, by[: depth - 1], min_group), "mcd-shrunk")
+    est = table(est.select(*by, F.struct(*names).alias("__e")), "mcd-estimates")
+    discard(levels, each)
+    return est
 
 
 def verdicts(stats: DataFrame, estimates: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
@@ -191,16 +253,18 @@ def verdicts(stats: DataFrame, estimates: DataFrame, keys: list[str], cutoff: fl
 KEYS = ("lang", "source")
 
 
-def quality_rules(docs: DataFrame, keep: list[str] = ["doc_id", "lang", "source"], keys=KEYS, support: float = 0.75, steps: int = 3, cutoff: float = 27.0, min_group: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, keep: list[str] = ["doc_id", "lang", "source"], keys=KEYS, support: float = 0.75, steps: int = 10, cutoff: float = 27.0, min_group: int = 30) -> DataFrame:
     """Statistics and verdict per document: `keep` columns (with `keys`), base statistics, base_failed, distance, kept."""
     stats = table(statistics(docs, keep), "quality-stats")
     return verdicts(stats, fit(stats, list(keys), support, steps, min_group), list(keys), cutoff)
 
 
-def filter_documents(docs: DataFrame, keys=KEYS, support: float = 0.75, steps: int = 3, cutoff: float = 27.0, min_group: int = 30) -> DataFrame:
+def filter_documents(docs: DataFrame, keys=KEYS, support: float = 0.75, steps: int = 10, cutoff: float = 27.0, min_group: int = 30) -> DataFrame:
     """The rows of docs that stay. Statistics are computed again where the rows are, so no text is shuffled and ids need not be unique."""
     keys = list(keys)
     stats = table(statistics(docs, keys), "quality-stats")
+    estimates = fit(stats, keys, support, steps, min_group)
+    discard(stats)
     # the documents' own columns travel in one struct, whatever their names
     rows = statistics(docs.withColumn("__row", F.struct(*docs.columns)), ["__row", *keys])
-    return verdicts(rows, fit(stats, keys, support, steps, min_group), keys, cutoff).where("kept").select("__row.*")
+    return verdicts(rows, estimates, keys, cutoff).where("kept").select("__row.*")
