@@ -1,18 +1,20 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
 Every document becomes its token ids and a closing id; only documents longer than a
-sequence are cut, into full pieces and one tail. Pieces are packed in groups dealt by hash:
-longest first, each goes where the sum over gaps g of N(g)^2 becomes smallest, N(g) being
-the number of open sequences with g free tokens (a new sequence is one of the choices, and full ones do
-not count). Only counts per gap steer the choice, so a step costs one
-vector operation over at most `length` gaps. After a round, sequences with more than
-`slack` of their room free are opened again and their pieces packed in the next round with fewer
-groups, until one group is left; so what groups leave half-empty shrinks to the rest of
-a single one, and no round's task holds more than about `group_rows` pieces.
-
-Defined results: null text is an empty document, one closing id; ties are broken by
-(length, id, piece, hash of the ids); repeated rows are packed each on their own; an empty table gives no
-sequences; other columns are ignored.
+sequence are cut, into full pieces and one tail. Longest first, each piece goes where the sum over gaps g of
+N(g)^2 becomes smallest, N(g) being the number of open sequences with g free tokens (a new
+sequence is one of the choices, and full ones do not count).
+
+Only counts steer the choice, and pieces of one length are alike: so the whole corpus is packed from its
+counts per length, at most `length` numbers on the driver, and each step places as many pieces of one
+length into one gap as the rule would place there in turn, at least `1 / grain` of the length's pieces. (A
+length of up to `grain` pieces is thus placed one by one.) Sequences of equal gap are intervals of numbers,
+so a step is one row: (length, first piece, how many, first sequence, offset), and steps do not grow with the corpus. Pieces find
+their step by their place among those of their length: running counts in hash buckets, so that no length is one task.
+
+Defined results: null text is an empty document, one closing id; pieces of one length take their places by
+(hash, id, piece, checksum); repeated rows are packed each on their own; an empty table gives no
+sequences; very long texts are cut into pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bucket_bits, hash_bucket, prefix_sums, table
 from .tokenizing import word_tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+BIG = 2**62
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -52,71 +55,114 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0,
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
 
+class _Open:
+    """Open sequences: how many per gap, and which, as intervals of numbers."""
+
+    def __init__(self, length: int) -> None:
+        import numpy as np
+
+        self.length, self.counts = length, np.zeros(length + 1, np.int64)
+        self.intervals: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]
+
+    def put(self, gap: int, start: int, n: int) -> None:
+        if gap:
+            self.counts[gap] += n
+            self.intervals[gap].append((start, n))
+
+    def take(self, gap: int, n: int):
+        """Intervals of n sequences of that gap, no longer open."""
+        self.counts[gap] -= n
+        while n:
+            start, have = self.intervals[gap].pop()
+            got = min(n, have)
+            if have > got:
+                self.intervals[gap].append((start + got, have - got))
+            yield start, got
+            n -= got
+
+
+def _choice(at: _Open, s: int) -> tuple[int, int, int]:
+    """Where a piece of size s goes: (gap, change of the sum of squares, change at the next best gap). A gap of `length` is a new sequence."""
+    n, length = at.counts, at.length
+    # N(g) falls by one, N(g - s) rises (not at 0)
+    change = 2 * (n[: length + 1 - s] - n[s:]) + 2
+    change[0] = 1 - 2 * n[s]
+    change[n[s:] == 0] = BIG
+    best = int(change.argmin())
+    cost, fresh = int(change[best]), 2 * int(n[length - s]) + 1 if s < length else 0
+    if cost > fresh:
+        return length, fresh, cost
+    change[best] = BIG
+    return best + s, cost, min(int(change.min()), fresh)
+
+
 def sum_of_squares(sizes, length: int):
-    """Sequence number and offset for each of `sizes`, given in the order of placing."""
+    """Sequence number and offset for each of `sizes`, in the order given, and how full each sequence is."""
     import numpy as np
 
-    counts = np.zeros(length + 1, dtype=np.int64)  # open sequences per gap
-    stacks: list[list[int]] = [[] for _ in range(length + 1)]
-    fill: list[int] = []
-    big = np.iinfo(np.int64).max
-    out_seq, out_off = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-    for i, s in enumerate(sizes):
-        # change of the sum of squares when the piece goes to gap g: N(g) falls by one, N(g - s) rises (not at 0)
-        change = 2 * (counts[: length + 1 - s] - counts[s:]) + 2
-        change[0] = 1 - 2 * counts[s]
-        change[counts[s:] == 0] = big
-        g = int(change.argmin()) + s
-        best = change[g - s]
-        fresh = 2 * counts[length - s] + 1 if s < length else 0
-        if best <= fresh and best != big:
-            seq = stacks[g].pop()
-            counts[g] -= 1
-        else:
-            seq, g = len(fill), length
+    at, seqs, offsets, fill = _Open(length), [], [], []
+    for s in map(int, sizes):
+        gap, _, _ = _choice(at, s)
+        if gap == length:
             fill.append(0)
-        out_seq[i], out_off[i] = seq, fill[seq]
+            seq = len(fill) - 1
+        else:
+            ((seq, _),) = at.take(gap, 1)
+        seqs.append(seq)
+        offsets.append(length - gap)
         fill[seq] += s
-        if g > s:
-            counts[g - s] += 1
-            stacks[g - s].append(seq)
-    return out_seq, out_off, np.array(fill, np.int64)
+        at.put(gap - s, seq, 1)
+    return np.array(seqs, np.int64), np.array(offsets, np.int64), np.array(fill, np.int64)
+
+
+def plan(counts: dict[int, int], length: int, grain: int = 64) -> list[tuple[int, int, int, int, int]]:
+    """Steps (size, first piece, how many, first sequence, offset) that place counts[size] pieces of each size, longest first."""
+    at, fresh = _Open(length), 0
+    steps = []
+    for s in sorted(counts, reverse=True):
+        left, least = counts[s], max(1, counts[s] // grain)
+        while left:
+            gap, cost, other = _choice(at, s)
+            # each piece raises the cost of its gap by four, of new sequences by two, until another choice is cheaper
+            k = min(left, max(least, (other - cost) // (2 if gap == length else 4) + 1))
+            if gap == length:
+                taken = [(fresh, k)]
+                fresh += k
+            else:
+                taken = list(at.take(gap, min(k, int(at.counts[gap]))))
+            for start, got in taken:
+                steps.append((s, counts[s] - left, got, start, length - gap))
+                at.put(gap - s, start, got)
+                left -= got
+    return steps
+
+
+def pack(found: DataFrame, length: int = 2048, grain: int = 64) -> DataFrame:
+    """found (PIECES) plus sequence_id and offset."""
+    import numpy as np
 
+    sizes = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `length` rows
+    steps = plan(sizes, length, grain)
+    # one key for size and place among its pieces, so that one search finds the step
+    rows = np.array([(s << 44) + first for s, first, *_ in steps], np.int64)
+    order = np.argsort(rows, kind="stable")
+    sent = found.sparkSession.sparkContext.broadcast((rows[order], np.array([x[3] for x in steps], np.int64)[order], np.array([x[4] for x in steps], np.int64)[order]))
 
-def pack(found: DataFrame, length: int = 2048, group_rows: int = 100_000, slack: float = 0.01) -> DataFrame:
-    """found (PIECES) plus sequence_id and offset."""
-    spark = found.sparkSession
-    schema = PIECES + ", sequence_id long, offset long, free long"
-
-    def placed(level: int):
-        def run(key, pdf):
-            pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-            seq, off, fill = sum_of_squares(pdf["length"].to_numpy(), length)
-            group = int(key[0])
-            return pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=(level << 56) + (group << 32) + seq, offset=off, free=length - fill[seq])
-
-        return run
-
-    done, level, rest = [], 0, found
-    n = rest.count()
-    while True:
-        groups = max(1, -(-n // group_rows))
-        dealt = rest.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)))
-        got = table(dealt.groupBy("_g").applyInPandas(placed(level), schema), "packed")
-        if groups == 1:
-            done.append(got)
-            break
-        done.append(got.where(F.col("free") <= slack * length))
-        rest = got.where(F.col("free") > slack * length).select("doc_id", "piece", "start", "length", "ids_crc32")
-        left = rest.count()
-        if left == 0:
-            break
-        # a round that closes little must not be repeated with as many groups
-        n, level = min(left, (groups - 1) * group_rows), level + 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.drop("free")
+    def place(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        first, seq, offset = sent.value
+        for batch in batches:
+            key = (np.asarray(batch.column(3)) << 44) + np.asarray(batch.column(5))
+            step = np.searchsorted(first, key, "right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq[step] + key - first[step]), pa.array(offset[step])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+
+    d = found.withColumns({"_h": F.xxhash64("doc_id", "piece", "ids_crc32"), "_one": F.lit(1).cast("long")})
+    bits = bucket_bits(sum(sizes.values()))
+    d = prefix_sums(d, ["length"], "_h", "_one", "_place", hash_bucket(F.col("_h"), bits), ["doc_id", "piece", "ids_crc32"])
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    return d.select(*names, F.col("_place").cast("long")).mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, **options) -> DataFrame:
