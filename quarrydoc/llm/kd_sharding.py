@@ -1,9 +1,10 @@
 """Sharding: a k-d tree over document metadata with distributed weighted medians.
 
-Points are groups of equal texts (same digest and length), so that copies travel together; a group larger than
-`split_share` of a shard's target is split into bounded parts by row hash, so that one huge group
-cannot unbalance the shards. A point carries the coordinates of its smallest document and
-the bytes of all its rows. The tree is split from the root: a node that shall become n
+Points are groups of equal texts (same digest and length), so that copies travel together; only a group that alone
+is larger than a shard's target is split, into parts by row hash. A point carries the coordinates of its smallest document and
+the bytes of all its rows. A large point, of more than `LARGE` of the target, lies at the low or high end of every dimension, by its
+hash, as its rows lie all over anyway: there hardly any cut meets it, and the shards come out even.
+The target is given, or the table's bytes over the number of shards, and so many leaves are cut that each holds about the target. The tree is split from the root: a node that shall become n
 leaves takes its widest dimension (range as a share of the whole table's range) and is cut
 where the bytes below reach floor(n/2)/n. The cut is a weighted quantile of a 63-bit key,
 31 bits of the coordinate followed by 32 hash bits that order equal coordinates. It is found by
@@ -27,12 +28,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, prefix_sums, table
+from .common import bucket_bits, hash_bucket, prefix_sums, table
 
 BINS = 1024
 COORD = 2**31 - 1
 HASH_SPAN = 2**32
 LOW = -(2**63)
+#: Share of the target: of a large point, and of a part of a group that is split.
+LARGE, PART = 0.01, 0.05
 
 
 @dataclass
@@ -68,14 +71,19 @@ def coordinates() -> dict[str, Column]:
 
 
 def kd_leaves(points: DataFrame, dims: list[str], leaves: int, tolerance: float = 1e-4) -> DataFrame:
-    """points (dims double, h long in [0, 2^32), w long) plus `leaf`, 0 to leaves - 1."""
+    """points (dims double, h long in [0, 2^32), w long, end: -1, 0 or 1) plus `leaf`, 0 to leaves - 1.
+
+    end: -1 and 1 put a point at the low or high end of every dimension.
+    """
     spark = points.sparkSession
     span = points.agg(*[f(d).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).head()
     keys = []
     for i, d in enumerate(dims):
         lo, hi = span[f"lo{d}"] or 0.0, span[f"hi{d}"] or 0.0
         scaled = F.lit(0.0) if hi <= lo else (F.coalesce(F.col(d), F.lit(lo)) - lo) / (hi - lo)
-        keys.append((F.floor(scaled * COORD).cast("long") * HASH_SPAN + F.col("h")).alias(f"k{i}"))
+        inner = F.floor(scaled * (COORD - 2)).cast("long") + 1
+        place = F.when(F.col("end") < 0, F.lit(0)).when(F.col("end") > 0, F.lit(COORD)).otherwise(inner)
+        keys.append((place.cast("long") * HASH_SPAN + F.col("h")).alias(f"k{i}"))
     names = [f"k{i}" for i in range(len(dims))]
     base = table(points.select("*", *keys), "kd-points")
     cuts: dict[int, tuple[Node, int]] = {}
@@ -95,11 +103,12 @@ def kd_leaves(points: DataFrame, dims: list[str], leaves: int, tolerance: float
     while any(n.leaves > 1 for n in level):
         nodes = {n.first: n for n in level if n.leaves > 1}
         rows = node_of(base)
-        stats = rows.groupBy("leaf").agg(F.sum("w").alias("w"), *[f(k).alias(f"{n}{k}") for k in names for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+        inner = [f(F.when(F.col("end") == 0, F.col(k))).alias(f"{n}{k}") for k in names for n, f in (("ilo", F.min), ("ihi", F.max))]
+        stats = rows.groupBy("leaf").agg(F.sum("w").alias("w"), *inner, *[f(k).alias(f"{n}{k}") for k in names for n, f in (("lo", F.min), ("hi", F.max))]).collect()
         for r in stats:
             if r["leaf"] in nodes:
                 n = nodes[r["leaf"]]
-                widths = [(r[f"hi{k}"] - r[f"lo{k}"]) // HASH_SPAN for k in names]
+                widths = [((r[f"ihi{k}"] or 0) - (r[f"ilo{k}"] or 0)) // HASH_SPAN for k in names]
                 n.dim = max(range(len(names)), key=lambda i: widths[i])
                 n.lo, n.hi, n.total = r[f"lo{names[n.dim]}"], r[f"hi{names[n.dim]}"], float(r["w"])
         live = {f: n for f, n in nodes.items() if n.total > 0}
@@ -141,22 +150,27 @@ def kd_leaves(points: DataFrame, dims: list[str], leaves: int, tolerance: float
     return node_of(base).drop(*names)
 
 
-def kd_shards(docs: DataFrame, shards: int = 8, split_share: float = 0.05, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: key, size (UTF-8 bytes + 1), text_crc32, shard, slot."""
+def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: key, size (UTF-8 bytes + 1), text_crc32, shard, slot. Give `shards`, or `target_bytes` of a leaf."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias(key), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(F.encode(t, "utf-8")).alias("text_crc32"), F.xxhash64(t).alias("g"), *[c.alias(n) for n, c in coordinates().items()])
     rows = table(rows.withColumn("row", F.xxhash64(key, "g")), "shard-rows")
-    total = rows.agg(F.sum("size")).head()[0] or 0
-    part = max(1, int(total / shards * split_share))  # bytes of a point, so that no cut is coarser
+    total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).head()
+    total = total or 0
+    if target_bytes is not None:
+        shards = max(1, -(-total // target_bytes))
+    target = max(1, total / shards)
     group = ["g", "text_crc32", "size"]
-    per = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("c"))
-    # groups of more bytes than a part are dealt to several points by row hash
-    parts = per.select(*group, F.greatest(F.ceil(F.col("c") * F.col("size") / part), F.lit(1)).cast("int").alias("parts")).where("parts > 1")
-    few = table(parts, "shard-large-groups")  # at most shards / split_share groups
-    rows = rows.join(F.broadcast(few), group, "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod("row", F.col("parts")).cast("int")).otherwise(0)).drop("parts")
+    # groups of more bytes than a shard are dealt to several points by row hash
+    weight = F.col("c") * F.col("size")
+    parts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).where(weight > target).select(*group, F.ceil(weight / (target * PART)).cast("int").alias("parts"))
+    few = table(parts, "shard-large-groups")  # at most `shards` groups
+    rows = rows.join(F.broadcast(few), group, "left").withColumn("part", F.coalesce(F.pmod("row", F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     dims = [c for c in coordinates()]
     points = rows.groupBy(*group, "part").agg(F.sum("size").alias("w"), F.min(F.struct(key, *dims)).alias("m"))
-    points = points.select(*group, "part", "w", F.xxhash64("g", "part", "text_crc32").bitwiseAND(HASH_SPAN - 1).alias("h"), *[F.col(f"m.{d}").alias(d) for d in dims])
+    h = F.xxhash64("g", "part", "text_crc32").bitwiseAND(HASH_SPAN - 1)
+    end = F.when(F.col("w") <= target * LARGE, 0).when(h.bitwiseAND(1) == 0, -1).otherwise(1)
+    points = points.select(*group, "part", "w", h.alias("h"), end.alias("end"), *[F.col(f"m.{d}").alias(d) for d in dims])
     leaves = kd_leaves(points, dims, shards).select(*group, "part", F.col("leaf").alias("shard"))
     placed = rows.join(leaves, [*group, "part"]).select(key, "size", "text_crc32", "shard", "row", F.lit(1).alias("one"))
-    return prefix_sums(placed, ["shard"], "row", "one", "slot", hash_bucket(F.col("row"), 14)).drop("one", "row")
+    return prefix_sums(placed, ["shard"], "row", "one", "slot", hash_bucket(F.col("row"), bucket_bits(count))).drop("one", "row")
