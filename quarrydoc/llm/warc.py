@@ -9,9 +9,10 @@ Reading. The text reader splits files at the magic `WARC/1.0 CR LF` in parallel
 ranges; every piece is a candidate record and its header names the offset of its
 successor. Payloads may hold the magic, even whole forged headers, so candidates prove
 nothing. Chains are verified by pointer jumping from the start of each file: tasks first
-contract stretches in which each candidate's successor is the next candidate and no other
+contract stretches, block by block, in which each candidate's successor is the next candidate and no other
 candidate points into, then successors of successors are followed in logarithmically many
-rounds, and only candidates reached from offset 0 are records.
+rounds, and only candidates reached from offset 0 are records. Pieces of payloads that hold the magic are
+fetched in a second read by file, size and hash, so that nothing hangs on how a read splits the files.
 
 Defined results: null html is an empty payload; pages with a null id are written with an
 empty id and read as null; repeated rows are separate records of which the first by (id, row hash)
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shared_dir, table
+from .common import discard, fresh_path, hinted, prefix_sums, table
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -81,33 +82,37 @@ def _field(head: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(head, rf"(?i)(?:^|\n){name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """One row per magic found: file, blk, row (place of the piece), size (bytes up to the next magic), header fields, own digest."""
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, blk, row, value, hash: the files cut at every magic. blk and row tell the order, within one read only; file, size and hash tell the content."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), F.monotonically_increasing_id().alias("row"), "value")
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), F.monotonically_increasing_id().alias("row"), "value", F.xxhash64("value").alias("hash"))
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """One row per magic found: file, blk and row (order of the pieces within one read), size (bytes up to the next magic), hash, header fields, own digest."""
+    raw = pieces(spark, path)
     cut = F.instr("value", END)
     d = raw.withColumn("head", F.when(cut > 0, F.substring("value", F.lit(1), cut - 1))).withColumn("size", F.octet_length("value").cast("long"))
     d = d.withColumn("hbytes", (F.octet_length("head") + 4).cast("long")).withColumn("clen", F.expr("try_cast(regexp_extract(head, '(?i)(?:^|\\n)Content-Length:[ \\t]*([0-9]+)', 1) as bigint)"))
     whole = F.col("size") >= F.col("hbytes") + F.col("clen")
     body = F.substring(F.encode("value", "utf-8"), (F.col("hbytes") + 1).cast("int"), F.col("clen").cast("int"))
     names = {"kind": "WARC-Type", "id": "WARC-Record-ID", "uri": "WARC-Target-URI", "refers": "WARC-Refers-To", "digest": "WARC-Payload-Digest", "plen": "WARC-Payload-Length"}
-    return d.select("file", "blk", "row", "size", "hbytes", "clen", *[_field(F.col("head"), n).alias(a) for a, n in names.items()], F.when(whole, base32_sha1(body)).alias("own"))
+    return d.select("file", "blk", "row", "size", "hash", "hbytes", "clen", *[_field(F.col("head"), n).alias(a) for a, n in names.items()], F.when(whole, base32_sha1(body)).alias("own"))
 
 
 def with_links(found: DataFrame) -> DataFrame:
     """candidates with their offset in the file and that of their successor; only those whose header parses."""
-    w = Window.partitionBy("file").orderBy("blk", "row")
-    d = found.withColumn("_n", F.row_number().over(w)).withColumn("_before", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = prefix_sums(found.withColumn("_bytes", F.col("size") + len(MAGIC)), ["file"], "row", "_bytes", "_before", F.col("blk"))
     # the piece before the first magic is no candidate; a magic ends where its piece begins
-    d = d.where("_n > 1").withColumn("offset", F.col("_before") - len(MAGIC)).drop("_n", "_before")
+    d = d.where("_before > 0").withColumn("offset", F.col("_before") - len(MAGIC)).drop("_bytes", "_before")
     return d.withColumn("next", F.col("offset") + len(MAGIC) + F.col("hbytes") + F.col("clen") + len(END))
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """Rows of links (file, offset, next, ...) on the chain from offset 0 of their file, by pointer jumping over contracted stretches."""
+    """Rows of links (file, blk, offset, next, ...) on the chain from offset 0 of their file, by pointer jumping over stretches contracted within a block."""
     good = links.where("clen is not null")
-    w = Window.partitionBy("file").orderBy("offset")
-    d = good.select("file", "offset", "next").withColumn("_prev", F.lag("next").over(w)).withColumn("_far", F.col("next") != F.coalesce(F.lead("offset").over(w), F.lit(-1)))
+    w = Window.partitionBy("file", "blk").orderBy("offset")
+    d = good.select("file", "blk", "offset", "next").withColumn("_prev", F.lag("next").over(w)).withColumn("_far", F.col("next") != F.coalesce(F.lead("offset").over(w), F.lit(-1)))
     aimed = d.where("_far").select("file", F.col("next").alias("offset"), F.lit(1).alias("_aim")).distinct()
     d = d.join(aimed, ["file", "offset"], "left")
     head = F.col("_aim").isNotNull() | ~F.coalesce(F.col("_prev") == F.col("offset"), F.lit(False))
@@ -115,26 +120,30 @@ def reachable(links: DataFrame) -> DataFrame:
     d = table(d.select("file", "offset", "next", "_run"), "warc-links")
     jump = table(d.groupBy("file", F.col("_run").alias("at")).agg(F.max_by("next", "offset").alias("to")), "warc-jumps")
     starts = jump.select("file", "at")
-    jump = jump.join(starts.withColumnRenamed("at", "to"), ["file", "to"])  # arrows into the void end a chain
     seen = table(starts.where("at = 0"), "warc-seen")
+    used, jump = [jump], jump.join(starts.withColumnRenamed("at", "to"), ["file", "to"])  # arrows into the void end a chain
     count = seen.count()
     while True:
         step = seen.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
-        seen = table(seen.unionByName(step).distinct(), "warc-seen")
-        now = seen.count()
+        reached = table(seen.unionByName(step).distinct(), "warc-seen")
+        discard(seen)
+        seen, now = reached, reached.count()
         if now == count:
             break
         count = now
         over = jump.select("file", F.col("at").alias("to"), F.col("to").alias("far"))
         jump = table(jump.join(over, ["file", "to"]).select("file", "at", F.col("far").alias("to")), "warc-jumps")
-    on_chain = d.join(seen.withColumnRenamed("at", "_run"), ["file", "_run"]).select("file", "offset")
+        used.append(jump)
+    on_chain = table(d.join(seen.withColumnRenamed("at", "_run"), ["file", "_run"]).select("file", "offset"), "warc-chain")
+    discard(d, seen, *used)
     return links.join(on_chain, ["file", "offset"])
 
 
 def records(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFrame:
     """The verified records under `path`: id, uri, kind, refers_to, payload_bytes, payload_digest, file, offset, verified.
 
-    verified: the stored bytes hash to the recorded digest (null for revisits, which store none). Payloads
+    payload_bytes: the stored bytes; of revisits, which store none, as their header names them.
+    verified: the stored bytes hash to the recorded digest (null for revisits). Payloads
     that hold the magic lie in several pieces; those, and only those, are gathered in a second read.
     """
     links = table(with_links(candidates(spark, path)), "warc-candidates")
@@ -146,7 +155,7 @@ def records(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFra
         own = chain.join(_gathered(spark, path, links, spans), ["file", "offset"], "left").withColumn("_own", F.coalesce("own", "_late"))
     urn = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1), F.lit("")).cast(key_type)
     return own.select(
-        urn("id").alias("id"), "uri", "kind", urn("refers").alias("refers_to"), F.coalesce(F.col("plen").cast("bigint"), F.col("clen")).alias("payload_bytes"),
+        urn("id").alias("id"), "uri", "kind", urn("refers").alias("refers_to"), F.when(F.col("kind") == "revisit", F.coalesce(F.col("plen").cast("bigint"), F.col("clen"))).otherwise(F.col("clen")).alias("payload_bytes"),
         F.when(F.col("kind") == "revisit", F.regexp_extract("digest", "^sha1:(.*)$", 1)).otherwise(F.col("_own")).alias("payload_digest"),
         "file", "offset", F.when(F.col("kind") != "revisit", F.col("_own") == F.regexp_extract("digest", "^sha1:(.*)$", 1)).alias("verified"),
     )
@@ -155,10 +164,12 @@ def records(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFra
 def _gathered(spark: SparkSession, path: str, links: DataFrame, spans: DataFrame) -> DataFrame:
     """file, offset, _late: digests of payloads that several pieces hold, joined from their pieces in order."""
     parts = links.join(spans.select("file", F.col("offset").alias("of"), F.col("next").alias("until"), F.col("hbytes").alias("hb"), F.col("clen").alias("cl")), "file").where("offset >= of and offset < until")
-    parts = table(parts.select("file", "blk", "row", "offset", "of", "hb", "cl"), "warc-parts")
-    raw = spark.read.option("lineSep", MAGIC).text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), F.monotonically_increasing_id().alias("row"), F.encode("value", "utf-8").alias("value"))
-    got = parts.join(raw, ["file", "blk", "row"]).groupBy("file", "of", "hb", "cl").agg(F.array_sort(F.collect_list(F.struct("offset", F.hex("value").alias("v")))).alias("ps"))
+    parts = table(parts.select("file", "size", "hash", "offset", "of", "hb", "cl"), "warc-parts")
+    by = ["file", "size", "hash"]
+    raw = pieces(spark, path).select("file", F.octet_length("value").cast("long").alias("size"), "hash", F.encode("value", "utf-8").alias("value"))
+    wanted = table(parts.select(*by).distinct(), "warc-wanted")
+    raw = raw.join(hinted(wanted), by, "left_semi").dropDuplicates(by)  # equal pieces of a file are one text
+    got = parts.join(raw, by).groupBy("file", "of", "hb", "cl").agg(F.sort_array(F.collect_list(F.struct("offset", F.hex("value").alias("v")))).alias("ps"))
     joined = F.unhex(F.array_join(F.transform("ps", lambda p: p["v"]), MAGIC.encode().hex().upper()))
     body = F.substring(joined, (F.col("hb") + 1).cast("int"), F.col("cl").cast("int"))
     return got.select("file", F.col("of").alias("offset"), base32_sha1(body).alias("_late"))
