@@ -7,8 +7,10 @@ below k. Sketches of parts merge by taking the k smallest of their union, so a c
 or a document in pieces can be sketched in any grouping. From two sketches:
 resemblance (Jaccard), containment and distinct shingle counts.
 
-Defined results: two empty sketches resemble each other by 1, an empty and a non-empty
-one by 0; equal texts have equal sketches; ties and repeated rows change nothing.
+Defined results: null text is empty; null ids come first; two empty sketches resemble each other by 1, an empty and a non-empty
+one by 0; equal texts have equal sketches; rows with one id follow each other by the hash of their text, and repeated rows are rows of their own; the
+row after the last is the first, so a table's only row is its own next; an empty table gives no rows;
+very long texts are sketched whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_windows, words
+from .common import discard, hash_windows, table, words
 
 #: 2^64, the size of the hash space.
 SPACE_SIZE = 18446744073709551616.0
@@ -39,11 +41,11 @@ def shingle_hashes(text: Column, width: int = 5) -> Column:
 
 def sketch(text: Column, k: int = 128, width: int = 5) -> Column:
     """array<long>: the k smallest distinct shingle hashes, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(shingle_hashes(text, width))), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(shingle_hashes(text, width))), 1, k)
 
 
 def merge(a: Column, b: Column, k: int = 128) -> Column:
-    return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def merged(df: DataFrame, by: list[str], col: str, k: int = 128) -> DataFrame:
@@ -51,7 +53,7 @@ def merged(df: DataFrame, by: list[str], col: str, k: int = 128) -> DataFrame:
     h = df.select(*by, F.explode(col).alias("_h")).distinct()
     w = Window.partitionBy(*by).orderBy("_h")
     small = h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    return small.groupBy(*by).agg(F.array_sort(F.collect_list("_h")).alias(col))
+    return small.groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias(col))
 
 
 def distinct_count(s: Column, k: int = 128) -> Column:
@@ -81,31 +83,55 @@ def as_string(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, order: str, columns: list[str], buckets: int) -> DataFrame:
-    """docs plus next_<column> of the following row in ascending `order` (cyclic), in bounded tasks.
+def range_bounds(docs: DataFrame, order: str, size: str, target: int, least: int = 1) -> list[int]:
+    """Ascending upper bounds of ranges of `order`, at least `least`, that hold about `target` of the column `size` each at most.
 
-    Rows are dealt to ranges of `order` whose bounds are quantiles; each range also gets a
-    copy of the first row of the range after it, so the lead never leaves a task. Ties of
-    `order` are broken by the columns' hash.
+    Quantiles of the rows cut the table finely, sixteen to a range; sums per piece join neighbours up to the target. The driver
+    holds a few numbers per range.
     """
-    spark = docs.sparkSession
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(docs.select(F.percentile_approx(order, probs, 10 * buckets)).head()[0] or [])) if buckets > 1 else []
+    total = docs.agg(F.sum(size)).head()[0] or 0
+    ranges = max(least, -(-total // target))
+    fine, target = 16 * ranges, total / ranges
+    probs = [i / fine for i in range(1, fine)]
+    cuts = sorted(set(docs.select(F.percentile_approx(order, probs, 10 * fine)).head()[0] or []))
+    sums = {r["b"]: r["s"] for r in docs.groupBy(place_of(F.col(order), cuts).alias("b")).agg(F.sum(size).alias("s")).collect()}
+    bounds, held = [], 0
+    for i, c in enumerate(cuts):
+        held += sums.get(i, 0)
+        if held + sums.get(i + 1, 0) / 2 >= target:
+            bounds.append(c)
+            held = 0
+    return bounds
+
+
+def place_of(value: Column, bounds: list[int]) -> Column:
+    """Number of bounds below the value, by binary search; null lies below all."""
     cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    # number of bounds below the value; binary search is not needed for a few hundred
-    at = F.size(F.filter(cuts, lambda b: b < F.col(order))) if bounds else F.lit(0)
-    tie = F.xxhash64(*columns)
-    d = docs.withColumn("_b", F.coalesce(at, F.lit(0))).withColumn("_tie", tie)
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(len(bounds).bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(cuts, at + s - 1) < value, F.lit(False)), at + s).otherwise(at))
+
+
+def with_next(docs: DataFrame, order: str, columns: list[str], buckets: int = 1, bounds: list[int] | None = None, derived: dict[str, Column] | None = None) -> DataFrame:
+    """docs plus `derived` columns, and next_<column> of both of the following row in ascending `order` (cyclic), in bounded tasks.
+
+    Rows are dealt to the ranges of `order` that `bounds` end (by default `buckets` of about as many rows), one task each; each range also gets a
+    copy of the first row of the range after it, so the lead never leaves a task. Ties of
+    `order` are broken by the columns' hash. Derived columns are made once per row, in its task.
+    """
+    spark, derived = docs.sparkSession, derived or {}
+    if bounds is None:
+        bounds = range_bounds(docs.select(order, F.lit(1).alias("_size")), order, "_size", 2**62, buckets)
+    d = docs.withColumn("_b", place_of(F.col(order), bounds)).withColumn("_tie", F.xxhash64(*columns))
     heads = d.groupBy("_b").agg(F.min(F.struct(order, "_tie")).alias("_m")).orderBy("_b").collect()  # one small row per range
     if not heads:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return docs.withColumns(derived).select("*", *[F.col(c).alias(f"next_{c}") for c in [*columns, *derived]])
     follow = [(heads[i]["_b"], heads[i]["_m"][order], heads[i]["_m"]["_tie"], heads[i - 1]["_b"]) for i in range(len(heads))]
     f = spark.createDataFrame(follow, "_b int, _o bigint, _t bigint, _to int")
     ghosts = d.join(F.broadcast(f), "_b").where(F.col(order).eqNullSafe(F.col("_o")) & (F.col("_tie") == F.col("_t")))
     ghosts = ghosts.dropDuplicates(["_b"]).withColumn("_b", F.col("_to")).drop("_o", "_t", "_to").withColumn("_ghost", F.lit(1))
     w = Window.partitionBy("_b").orderBy("_ghost", F.col(order).asc_nulls_first(), "_tie")
-    both = d.withColumn("_ghost", F.lit(0)).unionByName(ghosts)
-    out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    both = d.withColumn("_ghost", F.lit(0)).unionByName(ghosts).repartitionById(len(bounds) + 1, F.col("_b")).withColumns(derived)
+    out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in [*columns, *derived]])
     return out.where(F.col("_ghost") == 0).drop("_ghost", "_b", "_tie")
 
 
@@ -116,11 +142,16 @@ def edited_text(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
 
 
-def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", k: int = 128, width: int = 5, buckets: int | None = None) -> DataFrame:
-    """Per document: key, n_chars, edited (text), sketch, edited_sketch, next_sketch."""
-    if buckets is None:
-        buckets = max(1, min(2000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", k: int = 128, width: int = 5, buckets: int | None = None, range_bytes: int = 128 * 2**20) -> DataFrame:
+    """Per document: key, n_chars, edited (text), sketch, edited_sketch, next_sketch.
+
+    The lead's tasks are ranges of ids with about equally many bytes of text: `buckets` (by default the shuffle partitions), and more where a range would have more than `range_bytes`.
+    """
+    sizes = docs.select(F.col(key), (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("_size"))
+    sizes = table(sizes, "fingerprint-sizes")
+    bounds = range_bounds(sizes, key, "_size", range_bytes, buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    discard(sizes)
     base = docs.select(F.col(key), F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(base, key, ["text"], buckets)
-    d = d.select(key, F.length("text").cast("long").alias("n_chars"), edited_text(F.col("text"), F.col("next_text")).alias("edited"), sketch(F.col("text"), k, width).alias("sketch"), sketch(F.col("next_text"), k, width).alias("next_sketch"))
+    d = with_next(base, key, ["text"], bounds=bounds, derived={"sketch": sketch(F.col("text"), k, width)})
+    d = d.select(key, F.length("text").cast("long").alias("n_chars"), edited_text(F.col("text"), F.col("next_text")).alias("edited"), "sketch", "next_sketch")
     return d.select("*", sketch(F.col("edited"), k, width).alias("edited_sketch"))
