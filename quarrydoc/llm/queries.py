@@ -49,8 +49,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = find_pii(documents(spark, sf_dir))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return d.select("doc_id", count("email"), count("ip"), count("card"), count("phone"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    count = lambda k, of="base": F.size(F.filter(of, lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    own = [count("email"), count("ip"), count("card"), count("phone")]
+    added = [count("secret", "spans"), count("name", "spans"), F.size("spans").cast("long").alias("n_spans")]
+    return d.select("doc_id", *own, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *added)
 
 
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
