@@ -17,7 +17,8 @@ NULL_KEY = "\u0000null"
 
 def words(text: Column) -> Column:
     """array<string> of words; null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE))
 
 
 def n_words(text: Column) -> Column:
@@ -52,7 +53,7 @@ def hash_bucket(h: Column, bits: int) -> Column:
     return F.shiftright(h, 64 - bits)
 
 
-def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
+def bucket_bits(rows: int, per_bucket: int = 2_000) -> int:
     """Bits of hash buckets of about `per_bucket` rows each, were all rows of one key."""
     return max(1, (rows // per_bucket).bit_length())
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, prefix_sums, table, words
+from .common import bucket_bits, discard, hash_bucket, hinted, prefix_sums, table, words
 
 DOC = ["__d", "__t"]
 MIN_LONG = -(2**63)
@@ -56,9 +56,11 @@ def line_table(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
 
 def repeated_lines(lines: DataFrame) -> DataFrame:
     """Lines that occur twice or more, with rank r: the number of such lines that sort before."""
-    classes = lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    ranked = prefix_sums(classes, [], "h", "c", "r", hash_bucket(F.col("h"), 12), ["h2"]).select("h", "h2", "r")
-    return lines.join(ranked, ["h", "h2"]).select(*DOC, "p", "no", "w", "fw", "bw", "r").dropDuplicates([*DOC, "p"])
+    classes = table(lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-classes")
+    ranked = prefix_sums(classes, [], "h", "c", "r", hash_bucket(F.col("h"), bucket_bits(classes.count())), ["h2"]).select("h", "h2", "r")
+    start = table(lines.join(ranked, ["h", "h2"]).select(*DOC, "p", "no", "w", "fw", "bw", "r").dropDuplicates([*DOC, "p"]), "line-repeats")
+    discard(classes)
+    return start
 
 
 def doubled(level: DataFrame, span: int) -> DataFrame:
@@ -66,7 +68,7 @@ def doubled(level: DataFrame, span: int) -> DataFrame:
     ahead = level.select(*DOC, (F.col("p") - span).alias("p"), F.col("r").alias("r2"))
     pairs = level.join(ahead, [*DOC, "p"])
     classes = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    ranked = prefix_sums(classes, ["r"], "r2", "c", "before", F.shiftright("r2", 16))
+    ranked = prefix_sums(classes, ["r"], "r2", "c", "before", F.shiftright("r2", 10))
     ranked = ranked.select("r", "r2", (F.col("r") + F.col("before")).alias("new"))
     return pairs.join(ranked, ["r", "r2"]).select(*DOC, "p", F.col("new").alias("r"))
 
@@ -91,27 +93,35 @@ def later_windows(start: DataFrame, limit: int) -> DataFrame:
         wide = wide.join(first, [*DOC, "k", "s"]).join(last, [*DOC, "k", "q"]).select(*DOC, "s", "len", "ra", "rb")
         all_windows = all_windows.unionByName(wide)
     all_windows = table(all_windows, "line-windows")
+    discard(*levels[1:])
     at = F.struct(*DOC, "s")
-    classes = all_windows.groupBy("len", "ra", "rb").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return all_windows.join(classes, ["len", "ra", "rb"]).where(at > F.col("first")).select(*DOC, "s", "len")
+    by = ["len", "ra", "rb"]
+    # written on its own, so that the rows of a class that a third of all documents share can be split among tasks
+    classes = table(all_windows.groupBy(*by).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "line-window-classes")
+    later = table(all_windows.join(hinted(classes), by).where(at > F.col("first")).select(*DOC, "s", "len"), "line-later")
+    discard(all_windows, classes)
+    return later
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run_words: int = 10) -> DataFrame:
     """Maximal runs to delete: __d, __t, runs array<struct<from, to (line numbers), lines, words>>, in order."""
     lines = table(line_table(docs, key, text, min_run_words), "lines")
-    start = table(repeated_lines(lines), "line-repeats")
+    start = repeated_lines(lines)
+    discard(lines)
     later = later_windows(start, min_run_words)
     gone = later.select(*DOC, F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)).alias("p")).distinct()
     gone = gone.join(start.select(*DOC, "p", "no", "w"), [*DOC, "p"])
     island = F.col("p") - F.row_number().over(Window.partitionBy(*DOC).orderBy("p"))
     runs = gone.withColumn("g", island).groupBy(*DOC, "g").agg(F.min("no").alias("from"), F.max("no").alias("to"), F.count(F.lit(1)).alias("lines"), F.sum("w").alias("words"))
-    return runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("from", "to", "lines", "words"))).alias("__runs"))
+    runs = table(runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("from", "to", "lines", "words"))).alias("__runs")), "line-runs")
+    discard(start, later)
+    return runs
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run_words: int = 10) -> DataFrame:
     """docs with later copies of repeated line runs deleted from `text`, plus lines_before and lines_removed (lines with a word)."""
     runs = repeated_runs(docs, key, text, min_run_words)
-    d = docs.withColumns(_identity(docs, key, text)).join(runs, DOC, "left")
+    d = docs.withColumns(_identity(docs, key, text)).join(hinted(runs), DOC, "left")
     lines = F.split(F.col(text), "\n")
     # the stretches between runs: from the end of one to the start of the next
     ends = F.concat(F.array(F.lit(-1)), F.transform("__runs", lambda x: x["to"]))

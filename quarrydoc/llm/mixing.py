@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, hash_bucket, n_words, prefix_sums, table
+from .common import NULL_KEY, bucket_bits, hash_bucket, n_words, prefix_sums, table
 
 WAYS = 33
 
@@ -82,10 +82,13 @@ def weights(totals: DataFrame, a: float, budget: float | None) -> DataFrame:
     return d.select("__s", "t", (F.col("q") / F.col("z")).alias("weight"), (F.col("q") / F.col("z") * tokens).alias("quota"))
 
 
-def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, blocks: int = 64, seed: int = 17) -> DataFrame:
-    """Rows (key, __s, __row, tokens, copy, stream_start, block): one per reading of a document, in no physical order."""
+def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, blocks: int = 64, seed: int = 17, row: Column | None = None, bucket_rows: int = 2_000) -> DataFrame:
+    """Rows (key, __s, __row, tokens, copy, stream_start, block): one per reading of a document, in no physical order.
+
+    row: the hash that tells rows apart and orders them, by default that of key and text.
+    """
     tokens = F.greatest(n_words(F.col(text)), F.lit(1)).cast("long")
-    d = docs.select(F.col(key), F.coalesce(F.col(source), F.lit(NULL_KEY)).alias("__s"), tokens.alias("tokens"), F.xxhash64(key, text).alias("__row"))
+    d = docs.select(F.col(key), F.coalesce(F.col(source), F.lit(NULL_KEY)).alias("__s"), tokens.alias("tokens"), (F.xxhash64(key, text) if row is None else row).alias("__row"))
     d = table(d, "mix-rows")
     totals = table(token_totals(d, "__s", "tokens"), "mix-totals")
     if not totals.head(1):
@@ -95,7 +98,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     quotas = table(weights(totals, a, budget), "mix-weights")
     passes = d.join(quotas.select("__s", "t", "quota"), "__s").withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("quota") / F.col("t") - 1e-9) - 1, F.lit(0)).cast("int"))))
     passes = passes.withColumn("h", F.xxhash64(F.lit(seed), "copy", "__row"))
-    run = prefix_sums(passes, ["__s", "copy"], "h", "tokens", "before", hash_bucket(F.col("h"), 8), [key])
+    run = prefix_sums(passes, ["__s", "copy"], "h", "tokens", "before", hash_bucket(F.col("h"), bucket_bits(d.count(), bucket_rows)), [key])
     run = run.withColumn("stream_start", (F.col("copy") * F.col("t")).cast("long") + F.col("before"))
     # a reading counts when it starts within the quota; of the first pass of a source read in full all do, whatever the rounding
     whole = (F.col("copy") == 0) & (F.col("quota") >= F.col("t") * (1 - 1e-9))

@@ -246,12 +246,17 @@ def _part(c: Column, doc: str = "doc") -> Column:
     return F.pmod(F.xxhash64(doc, F.lit(7)), F.ceil(c / UNIT)).cast("int")
 
 
+def _whole_cells(shared: DataFrame) -> DataFrame:
+    spread = F.col("h").bitwiseAND(F.when(F.col("c") <= LEAF, 1).otherwise(15).cast("long"))
+    return shared.where(F.col("c") <= UNIT).select(F.col("h").alias("u"), "doc", F.col("first").bitwiseXOR(spread).alias("g"))
+
+
 def units_of_one(shared: DataFrame) -> DataFrame:
     """(u, doc, g) for the first round: small cells whole, large ones in parts whose first points meet again.
 
-    g leads units with the same first point (most cells of a group of near copies) to the same two tasks of the search.
+    g leads units with the same first point (most cells of a group of near copies) to the same two tasks of the search, or sixteen if they are not small.
     """
-    small = shared.where(F.col("c") <= UNIT).select(F.col("h").alias("u"), "doc", F.col("first").bitwiseXOR(F.col("h").bitwiseAND(1)).alias("g"))
+    small = _whole_cells(shared)
     large = shared.where(F.col("c") > UNIT).select("h", "doc", _part(F.col("c")).alias("i"))
     parts = large.select(F.xxhash64("h", "i").alias("u"), "doc").withColumn("g", F.col("u"))
     heads = large.groupBy("h", "i").agg(F.min("doc").alias("doc")).select(F.xxhash64("h", F.lit(-1)).alias("u"), "doc").withColumn("g", F.col("u"))
@@ -260,7 +265,7 @@ def units_of_one(shared: DataFrame) -> DataFrame:
 
 def units_of_two(shared: DataFrame, comp: DataFrame) -> DataFrame:
     """(u, doc, g) for the second round; comp is (doc, comp). Large cells of one component vanish."""
-    small = shared.where(F.col("c") <= UNIT).select(F.col("h").alias("u"), "doc", F.col("first").bitwiseXOR(F.col("h").bitwiseAND(1)).alias("g"))
+    small = _whole_cells(shared)
     large = shared.where(F.col("c") > UNIT).select("h", "doc").join(comp, "doc")
     by = large.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k"))
     top = by.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("c")).where("m.k < c")
