@@ -2,6 +2,8 @@ import base64
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from quarrydoc.llm.common import fresh_path
 from quarrydoc.llm.line_dedup import line_dedup, repeated_runs
 from quarrydoc.llm.warc import MAGIC, records, write_warc
@@ -102,3 +104,54 @@ def test_warc_threshold_and_empty(spark):
     path = fresh_path(spark, "warc-test")
     write_warc(pages.limit(0), path)
     assert records(spark, path).count() == 0
+
+
+def test_warc_reads_may_split_files_differently(spark, monkeypatch):
+    """The second read, of payloads in several pieces, comes with another layout of splits, as when executors are lost."""
+    from quarrydoc.llm import warc
+
+    rnd = random.Random(1)
+    html = [("x" * rnd.randint(0, 900) + MAGIC) * (i % 4) + f"page {i % 150}" + "é" * rnd.randint(0, 400) for i in range(200)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    path = fresh_path(spark, "warc-test")
+    write_warc(pages.repartition(2), path)
+    whole, old = warc._gathered, {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def other_layout(*a):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return whole(*a)
+
+    monkeypatch.setattr(warc, "_gathered", other_layout)
+    try:
+        got = {r.id: r for r in records(spark, path).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 200
+    for i, h in enumerate(html):
+        assert (got[i].payload_digest, got[i].payload_bytes) == (sha(h), len(h.encode()))
+
+
+def test_warc_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "a", "x", 5)], "page_id long, url string, html string, file string, offset long").withColumn("__x", F.lit(1)).withColumn("__id", F.lit(2))
+    path = fresh_path(spark, "warc-test")
+    write_warc(pages, path)
+    assert [(r.id, r.payload_bytes) for r in records(spark, path).collect()] == [(1, 1)]
+
+
+def test_line_dedup_very_long_text_and_null_ids(spark):
+    lines = [f"line {i} has five words" for i in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["new start of this text"] + lines[5_000:15_000])), (None, "\n".join(lines[:4])), (None, None), (1, "one two three four five six seven eight nine ten other text")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {(r.doc_id, r.lines_before): (r.lines_removed, r.text) for r in line_dedup(d).collect()}
+    assert got[None, 4][0] == 0 and got[None, 0] == (0, None)  # a null id is the smallest, so its lines come first
+    assert got[1, 20_000][0] == 4 and got[2, 10_001] == (10_000, "new start of this text") and got[1, 1][0] == 0
+
+
+def test_line_dedup_hot_run(spark):
+    """One run in half of all documents, another window class of thousands."""
+    run = "this run of words is\nin very many documents of all"
+    d = docs(spark, [f"own words of {i}\n{run}" if i % 2 else f"alone {i}" for i in range(3_000)])
+    got = line_dedup(d).where("lines_removed > 0").collect()
+    assert len(got) == 1_499 and all(r.lines_removed == 2 and r.text.startswith("own words") for r in got)

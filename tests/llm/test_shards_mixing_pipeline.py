@@ -43,6 +43,71 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert kd_shards(frame(spark, []), 4).count() == 0
 
 
+def test_equal_texts_stay_together_unless_larger_than_a_shard(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(str(rnd.random()) for _ in range(rnd.randint(5, 40))), "en", f"s{i % 5}", 0) for i in range(3_000)]
+    big = "copy " * 800  # 24 copies are about 5 % of all bytes, less than a shard of 8
+    rows += [(10_000 + i, big, "de", "s1", 0) for i in range(24)] + [(20_000 + i, "pair " * 2_000, "de", "s2", 0) for i in range(2)]
+    got = kd_shards(frame(spark, rows), 8).collect()
+    sizes, by_text = [0] * 8, {}
+    for r in got:
+        sizes[r.shard] += r["size"]
+        by_text.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
+    assert all(len(s) == 1 for s in by_text.values())
+    assert max(sizes) <= 1.05 * min(sizes)
+    rows += [(30_000 + i, big, "fr", "s3", 0) for i in range(300)]  # now larger than a shard
+    sizes = [0] * 8
+    for r in kd_shards(frame(spark, rows), 8).collect():
+        sizes[r.shard] += r["size"]
+    assert max(sizes) <= 1.15 * min(sizes)
+
+
+def test_tree_against_brute_force(spark):
+    """Weighted medians along the widest dimension, recursively, on distinct coordinates."""
+    from quarrydoc.llm.kd_sharding import kd_leaves
+
+    rnd = random.Random(9)
+    pts = [(i, rnd.random() * 50, rnd.random() * 80, rnd.randint(1, 9)) for i in range(500)]
+    lo, hi = [min(p[k] for p in pts) for k in (1, 2)], [max(p[k] for p in pts) for k in (1, 2)]
+
+    def cut(part, n):
+        if n == 1:
+            return [part]
+        wide = max((0, 1), key=lambda k: (max(p[k + 1] for p in part) - min(p[k + 1] for p in part)) / (hi[k] - lo[k]))
+        part = sorted(part, key=lambda p: p[wide + 1])
+        total, goal, run, at = sum(p[3] for p in part), sum(p[3] for p in part) * (n // 2) / n, 0, 0
+        while run < goal:
+            run, at = run + part[at][3], at + 1
+        if abs(run - goal) > abs(run - part[at - 1][3] - goal):
+            at -= 1
+        return cut(part[:at], n // 2) + cut(part[at:], n - n // 2)
+
+    df = spark.createDataFrame([(i, x, y, w, i, 0) for i, x, y, w in pts], "id int, x double, y double, w long, h long, end int")
+    for leaves in (2, 8, 5):
+        want = {p[0]: k for k, part in enumerate(cut(pts, leaves)) for p in part}
+        got = {r.id: r.leaf for r in kd_leaves(df, ["x", "y"], leaves, tolerance=0.0).collect()}
+        assert got == want
+
+
+def test_target_bytes_decide_the_number_of_shards(spark):
+    rows = corpus()
+    total = sum(len((r[1] or "").encode()) + 1 for r in rows)
+    got = kd_shards(frame(spark, rows), target_bytes=total // 11).collect()
+    assert {r.shard for r in got} == set(range(12))
+
+
+def test_blocks_hold_the_target_mix(spark):
+    """Brute force over the readings: every block has each source's share of tokens, up to a document or two."""
+    rows = corpus(3_000)
+    got = mix(frame(spark, rows), max_repeats=2.0, blocks=8).collect()
+    sources = {r["__s"] for r in got}
+    whole = {s: sum(r.tokens for r in got if r["__s"] == s) for s in sources}
+    for b in range(8):
+        for s in sources:
+            part = sum(r.tokens for r in got if r.block == b and r["__s"] == s)
+            assert abs(part - whole[s] / 8) <= 2 * 200 + 0.02 * whole[s], (b, s)
+
+
 def test_exponent_meets_the_target(spark):
     df = spark.createDataFrame([("a", 10_000), ("b", 1_000), ("c", 100), (None, 50)], "source string, n long")
     t = token_totals(df, "source", "n")
@@ -115,6 +180,34 @@ def test_pipeline_stages(spark, data):
         assert stage(spark, frame(spark, []), data).count() == 0, name
 
 
+def test_run_equals_its_stages_one_by_one(spark, tmp_path):
+    """run() over a small documents table with nulls, repeated rows and equal ids, against the stages applied by hand."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(rnd.randint(30, 80))), rnd.choice(["en", None]), rnd.choice(["s0", "s1", None]), 5) for i in range(80)]
+    rows += [rows[3], rows[3], (None, rows[4][1], None, None, None), (None, None, None, None, None), (7, "another text with the id seven that has enough words to be kept by the rules", "en", "s0", 1), (500, "", "en", "s0", 0)]
+    df = frame(spark, rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs_, counts = df, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs_, str(tmp_path))
+        if name != "best_fit_packing":
+            assert out.columns == df.columns
+        docs_ = spark.createDataFrame(out.collect(), out.schema)
+        counts.append(docs_.count())
+    want = sorted((r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in docs_.collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(got) > 80
+    assert {r[0] for r in got} >= set(range(80)) - {4}  # the null id is the smallest, so its copy of 4 comes first
+
+
+def test_mixing_keeps_the_columns_of_each_row(spark, data):
+    """Rows with one id and text but other columns are rows of their own."""
+    rows = [(1, "same text here", "en", "a", 1), (1, "same text here", "de", "b", 2), (1, "same text here", "en", "a", 1), (None, "x", None, None, None), (2, None, "en", "a", None)]
+    got = corpus_pipeline.mixing(spark, frame(spark, rows), data).distinct().collect()
+    assert sorted(map(str, {tuple(r) for r in got})) == sorted(map(str, set(rows)))
+
+
 def test_registered_queries():
     q = queries.queries()
     assert [next(n for n in q if n.startswith(f"op{i}_")) for i in range(1, 11)]

@@ -10,7 +10,7 @@ import pytest
 
 from quarrydoc.llm import pii
 from quarrydoc.llm.fingerprints import as_string, containment, distinct_count, edited_text, fingerprint_pairs, merge, resemblance, sketch, with_next
-from quarrydoc.llm.packing import pack, pieces, sum_of_squares
+from quarrydoc.llm.packing import pack, pieces, plan, sum_of_squares
 from quarrydoc.llm.quality_rules import filter_documents, quality_rules, statistics
 from quarrydoc.llm.token_counts import attribute, token_counts
 from quarrydoc.llm.tokenizing import WordTokenizer
@@ -54,8 +54,8 @@ def test_packing_round_trip(spark):
     df = docs(spark, texts)
     df = df.unionByName(df.limit(3)).withColumn("piece", F.lit("clash"))
     found = pieces(df, WORD_FILE)
-    for size in (10_000, 12):  # one round, and many
-        rows = pack(found, group_rows=size).collect()
+    for grain in (64, 1):  # pieces of a length one by one, and all at once
+        rows = pack(found, grain=grain).collect()
         assert len(rows) == found.count()
         by_seq, by_doc = {}, {}
         for r in rows:
@@ -104,6 +104,34 @@ def test_sum_of_squares_follows_the_rule():
     assert len(empty[0]) == 0
 
 
+def test_plan_places_every_piece_once_and_follows_the_rule():
+    rnd = random.Random(2)
+    counts = {s: rnd.randint(1, 60) for s in rnd.sample(range(1, 129), 70)}
+    steps = plan(counts, 128)  # no length has more pieces than the grain, so each goes alone or as the rule would place it in turn
+    sizes = [s for s in sorted(counts, reverse=True) for _ in range(counts[s])]
+    fill = sum_of_squares(sizes, 128)[2]
+    used, places = {}, {}
+    for s, first, k, seq, off in steps:
+        assert first == places.get(s, 0)
+        places[s] = first + k
+        for i in range(seq, seq + k):
+            assert used.get(i, 0) == off
+            used[i] = off + s
+    assert places == counts and max(used.values()) <= 128
+    assert abs(len(used) - len(fill)) <= 2
+
+
+def test_plan_does_not_grow_with_the_corpus(spark):
+    counts = {s: 1 + 5000 // s for s in range(1, 2049, 7)}
+    small, large = plan(counts, 2048), plan({s: n * 10**9 for s, n in counts.items()}, 2048)
+    assert len(large) <= 64 * 6 * len(counts) and len(small) <= len(large)
+    total = sum(s * n for s, n in counts.items()) * 10**9
+    assert max(x[3] + x[2] for x in large) <= 1.01 * total / 2048
+    assert plan({1100: 1200}, 2048) == [(1100, 0, 1200, 0, 0)]  # none fits beside another: one step, one sequence each
+    found = spark.range(1200).selectExpr("id as doc_id", "0 as piece", "0L as start", "1100L as length", "id as ids_crc32")
+    assert pack(found).select("sequence_id").distinct().count() == 1200
+
+
 def test_packing_empty(spark):
     assert pack(pieces(docs(spark, []), WORD_FILE)).count() == 0
 
@@ -207,6 +235,53 @@ def test_em_recovers_reliable_labelers():
     assert pii.train({}) == []
 
 
+def test_pii_accepts_nothing_where_there_is_nothing(spark):
+    for t in ("see the-2024-annual-report-on-climate-change for more", "on 2024-01-02 12 people came", "the sum is 123 456 789 in all", "we met in John Street and James Road", "version 10_20_30/build-2024-01-05-nightly-x", "look at the end. Of it and at that. Then"):
+        got = pii.find_pii(docs(spark, [t] * 50)).where("size(spans) > 0").collect()
+        assert not got, (t, got[0].spans)
+
+
+def test_pii_recall_on_planted_spans(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghi") for _ in range(rnd.randint(2, 8)))
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    num = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    makers = {
+        "secret": lambda: f'token = "{hexes(40)}"',
+        "key": lambda: "AKIA" + "".join(rnd.choice("ABCDEFGHIJ0123456789") for _ in range(16)),
+        "phone": lambda: f"call ({num(3)}) 555-{num(4)}",
+        "email": lambda: f"mail {word()} (at) {word()} dot com",
+        "name": lambda: rnd.choice(["Dr. Müller", "Prof. Jürgen Weiß", "signed María González", "dear Juan Pérez", "Frau Schröder", "by John Smith"]),
+        "base": lambda: rnd.choice([f"{word()}@{word()}.com", f"{rnd.randint(1, 255)}.1.2.3", f"+1 ({num(3)}) 555-{num(4)}", "4111 1111 1111 1111"]),
+    }
+    noise = [lambda: "the-2024-annual-report-on-climate-change", lambda: "2024-01-02 12", lambda: "James Road", lambda: num(9), lambda: "it ended at noon. Then", lambda: "https://a.org/one/two-three/four_five/six7"]
+    plain = lambda: [rnd.choice(noise)() if rnd.random() < 0.02 else word() for _ in range(60)]
+    texts, kinds = [], []
+    for i in range(900):
+        ws, kind = plain(), None
+        if i % 3 == 0:
+            kind = rnd.choice(list(makers))
+            ws.insert(rnd.randint(0, 60), makers[kind]())
+        texts.append(" ".join(ws))
+        kinds.append(kind)
+    found = {r.doc_id: len(r.spans) > 0 for r in pii.find_pii(docs(spark, texts)).collect()}
+    for kind in makers:
+        own = [found[i] for i, k in enumerate(kinds) if k == kind]
+        assert sum(own) >= 0.9 * len(own), kind
+    clean = [found[i] for i, k in enumerate(kinds) if k is None]
+    assert sum(clean) <= 0.02 * len(clean)
+
+
+def test_pii_gazetteer_tables_and_odd_rows(spark):
+    more = spark.createDataFrame([("name", "Quintus"), ("name", None), ("email", "museum")], "kind string, entry string")
+    rows = [(None, "dear Quintus Fabius of Rome", "en", "s", 0), (None, "dear Quintus Fabius of Rome", "en", "s", 0), (4, "plain " * 50_000 + "by Quintus Fabius", "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(len(r.spans) for r in pii.find_pii(df, gazetteer=more).collect())
+    assert got == [1, 1, 1]
+    with pytest.raises(ValueError):
+        pii.gazetteers(spark.range(pii.GAZETTEER_ROWS + 1).selectExpr("'name' as kind", "string(id) as entry"))
+
+
 def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
@@ -282,6 +357,30 @@ def test_mcd_counts_the_rows_of_the_group(spark):
     assert mcd(df, ["k"], 0.75, 3).head().n == 40
 
 
+def test_mcd_finds_the_smallest_determinant(spark):
+    """A third of the rows lie in one far cluster: the estimate's determinant is as small as the best of many random starts in numpy."""
+    from quarrydoc.llm.quality_rules import CONSISTENCY, DIMS, VAR_FLOOR, mcd
+
+    rnd = np.random.default_rng(3)
+    p = len(DIMS)
+    x = np.concatenate([rnd.normal(size=(210, p)), rnd.normal(size=(70, p)) * 0.6 + 5])
+    df = spark.createDataFrame([(i % 2, *map(float, r)) for i, r in enumerate(np.repeat(x, 2, axis=0))], "k int, " + ", ".join(f"{d} double" for d in DIMS))
+    best = np.inf
+    for _ in range(200):
+        s = x[rnd.choice(len(x), p + 2, replace=False)]
+        for _ in range(30):
+            mean, cov = s.mean(0), np.cov(s.T, bias=True) * CONSISTENCY + VAR_FLOOR * np.eye(p)
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            s = x[d <= np.quantile(d, 0.75, method="lower")]
+        best = min(best, np.linalg.slogdet(np.cov(s.T, bias=True) * CONSISTENCY + VAR_FLOOR * np.eye(p))[1])
+    got = mcd(df, ["k"], 0.75, 30).collect()
+    assert len(got) == 2
+    for r in got:
+        assert r.n == 280
+        assert 2 * sum(np.log(r[f"l{i}{i}"]) for i in range(p)) <= best + 0.05
+        assert all(abs(r[f"m{i}"]) < 0.4 for i in range(p))
+
+
 def test_mcd_distance_against_numpy(spark):
     """The column arithmetic of one fit against the same steps in numpy."""
     from quarrydoc.llm.quality_rules import CONSISTENCY, DIMS, VAR_FLOOR, _distance, mcd
@@ -290,12 +389,20 @@ def test_mcd_distance_against_numpy(spark):
     x = rnd.normal(size=(400, len(DIMS))) @ rnd.normal(size=(len(DIMS), len(DIMS)))
     df = spark.createDataFrame([(0, *map(float, r)) for r in x], "k int, " + ", ".join(f"{d} double" for d in DIMS)).withColumn("k", F.col("k") + F.floor(F.rand() * 0).cast("int"))
     p = mcd(df, ["k"], 0.75, 3).head()
-    med = np.median(x, axis=0)
-    mean, cov = med, np.diag((1.4826 * np.median(np.abs(x - med), axis=0)) ** 2 + VAR_FLOOR)
-    for _ in range(3):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        s = x[d <= np.quantile(d, 0.75, method="lower")]
-        mean, cov = s.mean(0), np.cov(s.T, bias=True) * CONSISTENCY + VAR_FLOOR * np.eye(len(DIMS))
+    dims, med = len(DIMS), np.median(x, axis=0)
+    scale = np.sqrt((1.4826 * np.median(np.abs(x - med), axis=0)) ** 2 + VAR_FLOOR)
+    z = (x - med) / scale
+    size = np.sqrt((z**2).sum(1))
+    unit, near = z / size[:, None], x[size <= np.quantile(size, 0.5, method="lower")]
+    starts = [(med, np.diag(scale**2)), (med, unit.T @ unit / len(x) * dims * np.outer(scale, scale) + VAR_FLOOR * np.eye(dims)), (near.mean(0), np.cov(near.T, bias=True) + VAR_FLOOR * np.eye(dims))]
+    ends = []
+    for mean, cov in starts:
+        for _ in range(3):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            s = x[d <= np.quantile(d, 0.75, method="lower")]
+            mean, cov = s.mean(0), np.cov(s.T, bias=True) * CONSISTENCY + VAR_FLOOR * np.eye(dims)
+        ends.append((np.linalg.slogdet(cov)[1], mean, cov))
+    _, mean, cov = min(ends, key=lambda e: e[0])
     low = np.array([[p[f"l{i}{j}"] if j <= i else 0.0 for j in range(len(DIMS))] for i in range(len(DIMS))])
     assert np.allclose(low @ low.T, cov, rtol=0.15, atol=0.05)
     assert np.allclose([p[f"m{i}"] for i in range(len(DIMS))], mean, atol=0.1)
@@ -335,6 +442,19 @@ def test_fingerprints(spark):
     assert with_next(docs(spark, []), "doc_id", ["text"], 3).count() == 0
 
 
+def test_ranges_hold_about_as_many_bytes_each(spark):
+    from quarrydoc.llm.fingerprints import place_of, range_bounds
+
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, 1000).otherwise(10).cast("long").alias("size"))
+    bounds = range_bounds(df, "doc_id", "size", 10**9, 8)
+    sums = [r.s for r in df.groupBy(place_of(F.col("doc_id"), bounds).alias("b")).agg(F.sum("size").alias("s")).collect()]
+    assert 6 <= len(sums) <= 9 and max(sums) <= 2 * 436_000 / 8
+    assert len(range_bounds(df, "doc_id", "size", 4360, 1)) >= 60  # no cap on the number of ranges
+    assert range_bounds(df.limit(0), "doc_id", "size", 100, 4) == []
+    rows = spark.createDataFrame([(None,), (1,), (5,), (5,), (9,)], "x long").select(place_of(F.col("x"), [1, 5, 7]).alias("b")).collect()
+    assert sorted(r.b for r in rows) == [0, 0, 1, 1, 3]
+
+
 def test_edited_hash(spark):
     r = spark.createDataFrame([("abcdefgh", "12")], "t string, n string").select(F.sha2(edited_text(F.col("t"), F.col("n")), 256).alias("h")).head()
     assert r.h == hashlib.sha256(b"abcdef12").hexdigest()
