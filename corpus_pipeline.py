@@ -7,11 +7,11 @@ stage's rows to the shared folder before the next one reads them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrydoc.llm.common import documents, table
-from quarrydoc.llm.line_dedup import line_dedup
+from quarrydoc.llm.common import documents, hinted, table
+from quarrydoc.llm.line_dedup import MIN_LONG, line_dedup
 from quarrydoc.llm.mixing import mix
 from quarrydoc.llm.ngram_join import jaccard_join
 from quarrydoc.llm.packing import best_fit_packing
@@ -32,18 +32,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked at 0.8 over five-word shingles the one with the smallest id stays."""
+    """Of each component of documents linked at 0.8 over five-word shingles the one with the smallest id stays (null ids all stay)."""
     groups = jaccard_join(docs, width=5, percent=80)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    gone = table(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")), "pipeline-gone")
+    return docs.join(hinted(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources nearer to equal weights: every document once, small sources up to twice, in block order."""
-    readings = mix(docs, max_repeats=2.0).select(F.col("doc_id").alias("__id"), "__row", "block", F.xxhash64("__row", "copy").alias("__place"))
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "__row"]).withColumnRenamed("__row", "__own")
-    d = rows.join(readings, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row")))
-    return d.orderBy("block", "__place").select(docs.columns)
+    """Sources nearer to equal weights: every document once, small sources up to twice, in block order.
+
+    Rows equal in every column have equal readings, so any of them stands for all: texts move once to
+    their readings and once to their places.
+    """
+    row = F.xxhash64(*docs.columns)
+    ident = F.coalesce(F.col("doc_id"), F.lit(MIN_LONG))
+    readings = mix(docs, max_repeats=2.0, row=row).select(ident.alias("__id"), "__row", "block", F.xxhash64("__row", "copy").alias("__place"))
+    once = Window.partitionBy("__id", "__row").orderBy(F.lit(1))
+    rows = docs.withColumns({"__id": ident, "__row": row}).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    return rows.join(readings, ["__id", "__row"]).orderBy("block", "__place").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
