@@ -114,6 +114,20 @@ def character_windows(spark, d):
     return t.groupBy("doc_id", F.md5("part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH RECURSIVE q AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE text <> '')),
+n AS (SELECT doc_id, i, length(w) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS n FROM q WHERE i > 1 OR w <> ''),
+c AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS e, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS s FROM n),
+win AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM c WHERE e <= 512 GROUP BY 1
+UNION ALL (WITH nxt AS (SELECT w.doc_id, min(c.s) AS s FROM win w JOIN c f ON f.doc_id = w.doc_id AND f.s = w.e JOIN c ON c.doc_id = w.doc_id AND c.s >= w.s AND c.s <= w.e WHERE w.e - c.s <= 100 AND f.e - c.s <= 512 GROUP BY 1)
+SELECT nxt.doc_id, any_value(nxt.s), max(c.e) FROM nxt JOIN c ON c.doc_id = nxt.doc_id AND c.s >= nxt.s AND c.e - nxt.s <= 512 GROUP BY 1)),
+t AS (SELECT doc_id, regexp_replace(substr(text, (s + 1)::BIGINT, (e - s)::BIGINT), '^\\s+|\\s+$', '', 'g') AS part FROM win JOIN documents USING (doc_id))
+SELECT doc_id, md5(part) AS part, count(*) AS n FROM t WHERE part <> '' GROUP BY ALL""")
+def word_windows(spark, d):
+    """Splitting at spaces: greedy windows of 512 characters that share up to 100 with the one before."""
+    t = views.read(spark, d, "documents").select("doc_id", F.explode(chunking.split_column(512, 100, (" ",))(F.col("text"))).alias("part"))
+    return t.groupBy("doc_id", F.md5("part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT 'en' AS chat_session_id, source AS filename, left(md5(source), 8) || '_p' || doc_id || '_c1' AS chunk_id, CASE WHEN regexp_replace(text, '\\s+', '', 'g') = '' THEN 0.0 ELSE 1.0 END AS length, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS stored FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3') AND text IS NOT NULL")
 def chunk_store(spark, d):
     """Chunks embedded and stored, then read back for one session and three files."""
