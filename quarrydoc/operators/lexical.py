@@ -34,9 +34,14 @@ def corpus_stats(dl: DataFrame, session: str = "chat_session_id") -> DataFrame:
     return dl.groupBy(session).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def document_frequency(chunks: DataFrame, session: str = "chat_session_id", text: str = "text") -> DataFrame:
+    """(session, term, df): each chunk's terms are made distinct where the chunk is, so only counts are shuffled."""
+    return chunks.select(session, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy(session, "term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def term_stats(posts: DataFrame, stats: DataFrame, session: str = "chat_session_id") -> DataFrame:
-    """(session, term, df, idf); negative idf becomes a quarter of the session's mean idf."""
-    df = posts.groupBy(session, "term").agg(F.count(F.lit(1)).alias("df"))
+    """(session, term, df, idf); negative idf becomes a quarter of the session's mean idf. posts: postings, or document_frequency."""
+    df = posts if "df" in posts.columns else posts.groupBy(session, "term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(stats.select(session, "n"), session).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(session).agg(F.avg("idf0").alias("mean_idf"))
     idf = F.when(F.col("idf0") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("idf0"))

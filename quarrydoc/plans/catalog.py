@@ -36,7 +36,7 @@ def tokenize_terms(spark, d):
 def term_stats(spark, d):
     c = views.chunks(spark, d)
     s = lexical.corpus_stats(lexical.lengths(c))
-    return lexical.term_stats(lexical.postings(c), s).withColumn("idf", F.round("idf", 6))
+    return lexical.term_stats(lexical.document_frequency(c), s).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {CHUNKS}, {STATS} SELECT chat_session_id, n, round(avgdl, 6) AS avgdl FROM stats")
