@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..scratch import BROADCAST_ROWS, discard, table
+from ..scratch import discard, hadoop, is_small, table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BUCKETS = 32
@@ -88,6 +88,18 @@ LENGTHS = "chunk string, dl long, version long, session string"
 SESSIONS = "session string, n long, avgdl double, version long"
 
 
+def _folders(spark: SparkSession, root: str, schema: str, folders: set[tuple]) -> DataFrame:
+    """The rows of the named partitions alone, (version, session[, bucket]) each: no other folder is listed."""
+    escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    paths = []
+    for version, session, *bucket in sorted(folders):
+        path = f"{root}/version={version}/session={escaped(session)}" + "".join(f"/bucket={b}" for b in bucket)
+        hpath, fs = hadoop(spark, path)
+        if fs.exists(hpath):
+            paths.append(path)
+    return spark.read.schema(schema).option("basePath", root).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def in_force(spark: SparkSession, path: str) -> DataFrame:
     """(session, n, avgdl, version): the latest row of each session that has chunks."""
     d = spark.read.schema(SESSIONS).parquet(f"{path}/sessions")
@@ -101,16 +113,14 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 20
     queries: a stated set (query_id, session, question); the driver learns its sessions and term buckets, to name the folders
     to read. Ties (at nine decimals) go to the lower chunk id.
     """
-    q = queries.select("query_id", F.col(session).cast("string").alias("session"), tokens(F.col("question")).alias("terms"))
+    q = queries.select("query_id", F.col(session).cast("string").alias("session"), F.coalesce(tokens(F.col("question")), F.array().cast("array<string>")).alias("terms"))
     q = table(q.join(in_force(spark, path), "session"), "bm25-queries")  # sessions without chunks have no answers
     times = q.select("query_id", "session", "version", "avgdl", F.explode("terms").alias("term")).groupBy("query_id", "session", "version", "avgdl", "term").agg(F.count(F.lit(1)).alias("times"))
     times = times.withColumn("bucket", _bucket("session", "term"))
-    live = [r[0] for r in q.select("version").distinct().collect()]
-    names = [r[0] for r in q.select("session").distinct().collect()]
-    buckets = [r[0] for r in times.select("bucket").distinct().collect()]
-    few = q.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else (lambda d: d)
-    posts = spark.read.schema(POSTINGS).parquet(f"{path}/postings").where(F.col("version").isin(live) & F.col("session").isin(names) & F.col("bucket").isin(buckets))
+    named = q.select("version", "session", F.explode(F.concat(F.transform("terms", lambda t: _bucket("session", t)), F.array(F.lit(-1)))).alias("bucket")).distinct().collect()
+    read = {(r["version"], r["session"], r["bucket"]) for r in named}
+    small = F.broadcast if is_small(q) else (lambda d: d)
+    posts = _folders(spark, f"{path}/postings", POSTINGS, {x for x in read if x[2] >= 0})
     hits = posts.join(small(times), ["session", "version", "bucket", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk").agg(F.sum(part).alias("score"))
@@ -118,7 +128,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 20
     found = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("positive"))
     short = q.select("query_id", "session", "version").join(found, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).drop("positive")
     # queries whose positive matches do not fill k ranks: the first k chunks in key order that did not match, cut before they are shuffled
-    all_chunks = spark.read.schema(LENGTHS).parquet(f"{path}/lengths").where(F.col("version").isin(live) & F.col("session").isin(names))
+    all_chunks = _folders(spark, f"{path}/lengths", LENGTHS, {x[:2] for x in read})
     fill = all_chunks.join(small(short), ["session", "version"]).select("query_id", "chunk")
     fill = fill.join(scored.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
     first = Window.partitionBy("query_id").orderBy(F.col("chunk").cast(key_type))

@@ -9,9 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast up to so many rows (some tens of bytes each), and dealt by key beyond.
-BROADCAST_ROWS = 200_000
-#: The same by the bytes of a written table, which memory takes a few times.
+#: A side of a join is broadcast up to so many bytes of its written table, which memory takes a few times, and dealt by key beyond.
 BROADCAST_BYTES = 4 * 2**20
 
 
@@ -57,7 +55,12 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(hpath, True)
 
 
+def is_small(side: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the files of a table of `table` are small."""
+    hpath, fs = hadoop(side.sparkSession, side.scratch_path)
+    return fs.getContentSummary(hpath).getLength() <= most
+
+
 def hinted(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A table of `table` to be broadcast when its files are small."""
-    hpath, fs = hadoop(side.sparkSession, side.scratch_path)
-    return F.broadcast(side) if fs.getContentSummary(hpath).getLength() <= most else side
+    return F.broadcast(side) if is_small(side, most) else side
