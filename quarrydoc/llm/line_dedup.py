@@ -56,11 +56,9 @@ def line_table(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
 
 def repeated_lines(lines: DataFrame) -> DataFrame:
     """Lines that occur twice or more, with rank r: the number of such lines that sort before."""
-    classes = table(lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-classes")
-    ranked = prefix_sums(classes, [], "h", "c", "r", hash_bucket(F.col("h"), bucket_bits(classes.count())), ["h2"]).select("h", "h2", "r")
-    start = table(lines.join(ranked, ["h", "h2"]).select(*DOC, "p", "no", "w", "fw", "bw", "r").dropDuplicates([*DOC, "p"]), "line-repeats")
-    discard(classes)
-    return start
+    classes = lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ranked = prefix_sums(classes, [], "h", "c", "r", hash_bucket(F.col("h"), bucket_bits(lines.count())), ["h2"]).select("h", "h2", "r")
+    return table(lines.join(ranked, ["h", "h2"]).select(*DOC, "p", "no", "w", "fw", "bw", "r").dropDuplicates([*DOC, "p"]), "line-repeats")
 
 
 def doubled(level: DataFrame, span: int) -> DataFrame:
@@ -73,8 +71,8 @@ def doubled(level: DataFrame, span: int) -> DataFrame:
     return pairs.join(ranked, ["r", "r2"]).select(*DOC, "p", F.col("new").alias("r"))
 
 
-def later_windows(start: DataFrame, limit: int) -> DataFrame:
-    """Windows (document, s, len) with an earlier equal window, given the repeated lines."""
+def later_windows(start: DataFrame, limit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Windows (document, s, len) with an earlier equal window, given the repeated lines; and the tables they are read from."""
     levels = [start.select(*DOC, "p", "r")]
     while 2 ** len(levels) <= limit:
         levels.append(table(doubled(levels[-1], 2 ** (len(levels) - 1)), "line-ranks"))
@@ -98,9 +96,7 @@ def later_windows(start: DataFrame, limit: int) -> DataFrame:
     by = ["len", "ra", "rb"]
     # written on its own, so that the rows of a class that a third of all documents share can be split among tasks
     classes = table(all_windows.groupBy(*by).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "line-window-classes")
-    later = table(all_windows.join(hinted(classes), by).where(at > F.col("first")).select(*DOC, "s", "len"), "line-later")
-    discard(all_windows, classes)
-    return later
+    return all_windows.join(hinted(classes), by).where(at > F.col("first")).select(*DOC, "s", "len"), [all_windows, classes]
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run_words: int = 10) -> DataFrame:
@@ -108,13 +104,13 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     lines = table(line_table(docs, key, text, min_run_words), "lines")
     start = repeated_lines(lines)
     discard(lines)
-    later = later_windows(start, min_run_words)
+    later, used = later_windows(start, min_run_words)
     gone = later.select(*DOC, F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)).alias("p")).distinct()
     gone = gone.join(start.select(*DOC, "p", "no", "w"), [*DOC, "p"])
     island = F.col("p") - F.row_number().over(Window.partitionBy(*DOC).orderBy("p"))
     runs = gone.withColumn("g", island).groupBy(*DOC, "g").agg(F.min("no").alias("from"), F.max("no").alias("to"), F.count(F.lit(1)).alias("lines"), F.sum("w").alias("words"))
     runs = table(runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("from", "to", "lines", "words"))).alias("__runs")), "line-runs")
-    discard(start, later)
+    discard(start, *used)
     return runs
 
 
