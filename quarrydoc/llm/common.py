@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scratch import discard, fresh_path, hinted, shared_dir, table  # noqa: F401
+from ..scratch import discard, fresh_path, hinted, is_small, shared_dir, table  # noqa: F401
 
 SPACE = r"[\x20\x09-\x0D]+"
 NULL_KEY = "\u0000null"
