@@ -6,6 +6,8 @@ the same class in Java, Python ``bytes.split`` and RE2.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_windows(hashes: Column, width: int) -> Column:
     """64-bit hash of every `width` consecutive elements of an array<long> (empty when shorter)."""
     at = F.sequence(F.lit(0), F.size(hashes) - width)

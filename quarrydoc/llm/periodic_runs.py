@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import let, table, words
 
 #: Comparisons of one unit of work, and the lags that one has at least.
 UNIT, SHIFTS = 2**25, 1024
@@ -133,7 +133,7 @@ def periodic_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     work = lambda n: n * n * (2 * min_exponent - 1) / (2 * min_exponent * min_exponent)
     most = F.floor((F.length("text") + 1) / 2)
     n = F.when(work(most) > unit, F.size(words(F.col("text")))).otherwise(F.lit(0)).cast("double")
-    units = F.least(F.ceil(work(n) / unit), F.ceil(n / (min_exponent * SHIFTS))).cast("int")
+    units = let(n, lambda n: F.least(F.ceil(work(n) / unit), F.ceil(n / (min_exponent * SHIFTS))).cast("int"))
     sized = d.withColumn("units", units)
     long = table(sized.where("units > 1").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "units"), "runs-long")
     short = sized.where("units <= 1").select("doc_id", "text").mapInArrow(whole, result)
@@ -158,11 +158,13 @@ def runs_text(runs: Column) -> Column:
 def planted(docs: DataFrame) -> DataFrame:
     """doc_id and text with periods planted by the checksum of the id, in a tenth of the documents; the others stay as they are."""
     h = F.crc32(F.col("doc_id").cast("string"))
-    ws, g = F.col("ws"), F.floor(F.col("h") / 10)
-    d = docs.select("doc_id", "text", h.alias("h")).withColumn("ws", F.when(F.col("h") % 10 == 0, words(F.col("text"))))
-    d = d.withColumn("n", F.size("ws")).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
-    d = d.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
-    copies = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
-    tail = F.flatten(F.array_repeat(F.slice(ws, F.col("a") + 1, F.col("p")), copies))
-    text = F.array_join(F.concat(F.slice(ws, F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a"))), " ")
-    return d.select("doc_id", F.when(F.col("p").isNotNull() & (F.col("n") > 0), text).otherwise(F.col("text")).alias("text"))
+
+    def text(x: Column) -> Column:
+        ws, n, g = x["ws"], F.size(x["ws"]), x["g"]
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(ws, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(ws, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " "))
+
+    changed = let(F.struct(words(F.col("text")).alias("ws"), F.floor(h / 10).alias("g")), text)
+    return docs.select("doc_id", F.coalesce(F.when(h % 10 == 0, changed), F.col("text")).alias("text"))
