@@ -329,10 +329,10 @@ def confirmed_spans(t: str) -> list[tuple[int, int, int]]:
     for m in ANY_HEX.finditer(t):
         for begin in re.finditer(r"30|6f70656e7373682d6b65792d763100", m.group(), re.I):
             s = m.group()[begin.start() : begin.start() + 2 * KEY_BYTES]
+            s = s[: len(s) // 2 * 2]
             try:
                 if begin.group() != "30":
-                    data = bytes.fromhex(s[: len(s) // 2 * 2])
-                    found.append((m.start() + begin.start(), KINDS.index("ssh"), m.start() + begin.start() + 2 * openssh_key(data)))
+                    found.append((m.start() + begin.start(), KINDS.index("ssh"), m.start() + begin.start() + 2 * openssh_key(bytes.fromhex(s))))
                 else:
                     size = hex_key(s)
                     found.append((m.start() + begin.start(), KINDS.index("der"), m.start() + begin.start() + 2 * size))
