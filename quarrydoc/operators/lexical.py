@@ -1,23 +1,36 @@
-"""BM25 over per-session corpora: statistics, postings, a stored index, ranked search.
+"""BM25 over per-session corpora: statistics, a stored index that grows by segments, search by block bounds.
 
-The index is a folder of Parquet tables by session and version: postings with their document's length and the term's
-idf, split further into buckets of terms, and the chunks' lengths. A row per session in `sessions` names the version
-in force, so a refreshed session is seen whole or not at all, and an invalidated one has no chunks. A search reads
-the folders of its queries' sessions and term buckets and nothing else.
+The index is made of tables of a snapshot store (`sources.snapshots`). Chunks come in as segments: only their texts are split into tokens, once. A
+session's chunks of a segment are cut into slices of about `SLICE` chunks of similar length. A posting block is a row per term and
+slice: the chunks with their counts and lengths, and over them the highest count and the least length, which bound what any of them can score under
+whatever statistics are in force. Statistics are sums over segments; a row per session and version gives its chunks, tokens and mean idf.
+Deleted sessions are hidden at once and go with `compact_index`.
+
+A search first reads block heads alone. The slices with the highest bounds give each query k scores to beat; blocks of slices whose summed bound stays
+below are skipped, as nothing in them can enter the first k. Results are those of scoring every posting.
 """
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..scratch import discard, hadoop, is_small, table
+from ..scratch import discard, fresh_path, hinted, is_small, table
+from ..sources import snapshots
+from ..sources.snapshots import GONE, Snapshot
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-BUCKETS = 32
+#: Chunks of a slice; tokens of a task of the build; folders of a segment's blocks, by session; slices per query that are scored for a first bound.
+SLICE, TASK_TOKENS, PARTS, SEEDS = 128, 2_000_000, 256, 4
+#: More names than these are joined, not listed in a filter.
+LISTED = 500
+POSTINGS = "part int, session string, term string, slice long, n int, max_tf int, min_dl long, docs array<struct<chunk:string,tf:int,dl:bigint>>"
+LENGTHS = "session string, chunk string, dl long"
+STATS = "session string, n long, tokens long, mean_idf double"
+TABLES = ("postings", "lengths", "stats")
 
 
 def postings(chunks: DataFrame, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -39,103 +52,250 @@ def document_frequency(chunks: DataFrame, session: str = "chat_session_id", text
     return chunks.select(session, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy(session, "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def plain_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def floored_idf(idf: Column, mean: Column) -> Column:
+    """Negative idf becomes a quarter of the session's mean idf."""
+    return F.when(idf < 0, mean * EPSILON).otherwise(idf)
+
+
 def term_stats(posts: DataFrame, stats: DataFrame, session: str = "chat_session_id") -> DataFrame:
     """(session, term, df, idf); negative idf becomes a quarter of the session's mean idf. posts: postings, or document_frequency."""
     df = posts if "df" in posts.columns else posts.groupBy(session, "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(stats.select(session, "n"), session).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.join(stats.select(session, "n"), session).withColumn("idf0", plain_idf(F.col("n"), F.col("df")))
     mean = raw.groupBy(session).agg(F.avg("idf0").alias("mean_idf"))
-    idf = F.when(F.col("idf0") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("idf0"))
-    return raw.join(mean, session).select(session, "term", "df", idf.alias("idf"))
+    return raw.join(mean, session).select(session, "term", "df", floored_idf(F.col("idf0"), F.col("mean_idf")).alias("idf"))
 
 
-def _bucket(session, term):
-    return F.pmod(F.xxhash64(session, term), F.lit(BUCKETS)).cast("int")
+def part_score(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """A term's part of a score, without its idf: rises with tf, falls with dl."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _layout(chunks: DataFrame, session: str, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """(postings, lengths, sessions) as the index holds them, and the tables they are read from."""
-    c = chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), F.col(text).alias("text"))
-    terms = F.aggregate(tokens(F.col("text")), F.lit(0).cast("long"), lambda n, _: n + 1)
-    dl = table(c.select("session", "chunk", terms.alias("dl")), "bm25-lengths")
-    posts = table(postings(c, "session", "chunk", "text"), "bm25-postings")
-    stats = table(corpus_stats(dl, "session"), "bm25-stats")
-    idf = term_stats(posts, stats, "session")
-    full = posts.join(dl, ["session", "chunk"]).join(idf.select("session", "term", "df", "idf"), ["session", "term"])
-    return full.withColumn("bucket", _bucket("session", "term")), dl, stats, [dl, posts, stats]
+def term_counts(text: Column) -> Column:
+    """array<struct<term, tf>> of a text, counted in its row: sorted tokens, cut where they change."""
 
+    def counted(x: Column) -> Column:
+        changes = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+        pairs = F.transform(F.array(changes), lambda at: F.transform(at, lambda i, j: F.struct(F.get(x, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(x)) - i).alias("tf"))))
+        return F.when(F.size(x) > 0, F.get(pairs, F.lit(0)))
 
-def build_index(chunks: DataFrame, path: str, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text") -> None:
-    """Write, or write anew, the index of all sessions in `chunks` under `path`. Other sessions stay as they are."""
-    posts, dl, stats, used = _layout(chunks, session, key, text)
-    version = time.time_ns()
-    at = lambda d: d.withColumn("version", F.lit(version))
-    by = ["version", "session"]
-    # rows of one folder lie together; a session's many postings are split by bucket and then by what AQE finds too large
-    at(posts).repartition("session", "bucket").write.mode("append").partitionBy(*by, "bucket").parquet(f"{path}/postings")
-    at(dl).repartition("session", F.pmod(F.xxhash64("chunk"), F.lit(BUCKETS))).write.mode("append").partitionBy(*by).parquet(f"{path}/lengths")
-    at(stats).write.mode("append").parquet(f"{path}/sessions")
-    discard(*used)
+    return F.get(F.transform(F.array(F.sort_array(tokens(text))), counted), F.lit(0))
 
 
-def invalidate(spark: SparkSession, path: str, sessions: DataFrame, session: str = "chat_session_id") -> None:
-    """Take the sessions named out of the index; their tables are no longer read."""
-    gone = sessions.select(F.col(session).cast("string").alias("session"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("avgdl"), F.lit(time.time_ns()).alias("version"))
-    gone.distinct().write.mode("append").parquet(f"{path}/sessions")
+def _class(dl: Column) -> Column:
+    """Chunks of one class differ in length by less than half."""
+    return F.floor(2 * F.log2(dl + 1.0)).cast("long")
+
 
+def _placed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (session, chunk, dl, ...) with their slice, dealt so that a slice lies in one task and a task holds about TASK_TOKENS tokens.
 
-POSTINGS = "chunk string, term string, tf long, dl long, df long, idf double, version long, session string, bucket int"
-LENGTHS = "chunk string, dl long, version long, session string"
-SESSIONS = "session string, n long, avgdl double, version long"
+    sizes: a table (session, class, chunks, tokens) over the same chunks.
+    """
+    part = F.pmod(F.xxhash64("session"), F.lit(PARTS)).cast("int")
+    shards = sizes.groupBy(part.alias("part")).agg(F.ceil(F.sum("tokens") / TASK_TOKENS).alias("shards"))  # PARTS rows at most
+    known = sizes.select("session", "class", F.greatest(F.lit(1), F.ceil(F.col("chunks") / SLICE)).alias("slices"))
+    known = F.broadcast(known) if is_small(sizes) else known
+    d = rows.withColumns({"class": _class(F.col("dl")), "part": part}).join(known, ["session", "class"]).join(F.broadcast(shards), "part")
+    d = d.withColumn("slice", F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk"), F.col("slices")))
+    return d.withColumn("shard", F.pmod(F.xxhash64("session", "slice"), F.greatest(F.lit(1), F.col("shards")))).repartition("part", "shard").drop("class", "slices", "shards")
 
 
-def _folders(spark: SparkSession, root: str, schema: str, folders: set[tuple]) -> DataFrame:
-    """The rows of the named partitions alone, (version, session[, bucket]) each: no other folder is listed."""
-    escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    paths = []
-    for version, session, *bucket in sorted(folders):
-        path = f"{root}/version={version}/session={escaped(session)}" + "".join(f"/bucket={b}" for b in bucket)
-        hpath, fs = hadoop(spark, path)
-        if fs.exists(hpath):
-            paths.append(path)
-    return spark.read.schema(schema).option("basePath", root).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def _blocks(entries: DataFrame) -> Callable[[str], None]:
+    """A writer of posting blocks from placed entries (part, shard, session, slice, term, chunk, tf, dl); no further shuffle."""
+    doc = F.struct("chunk", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("long").alias("dl"))
+    agg = [F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("long").alias("min_dl"), F.collect_list(doc).alias("docs")]
+    d = entries.groupBy("part", "shard", "session", "slice", "term").agg(*agg).select("part", "session", "term", "slice", "n", "max_tf", "min_dl", "docs")
+    return lambda path: d.sortWithinPartitions("part", "session", "term", "slice").write.partitionBy("part").parquet(path)
 
 
-def in_force(spark: SparkSession, path: str) -> DataFrame:
-    """(session, n, avgdl, version): the latest row of each session that has chunks."""
-    d = spark.read.schema(SESSIONS).parquet(f"{path}/sessions")
-    last = d.groupBy("session").agg(F.max_by(F.struct("n", "avgdl", "version"), "version").alias("x"))
-    return last.select("session", "x.*").where("n > 0")
+def _merged_stats(spark: SparkSession, path: str, touched: DataFrame, fresh: DataFrame) -> Callable[[Snapshot, Snapshot], dict[str, DataFrame]]:
+    """The rows of `stats` after a segment came in: sums over all segments of the sessions touched; postings give their counts, no text is read.
+
+    touched: a table (session) of the sessions; fresh: (session, n, tokens) of the new segment.
+    """
+
+    def derive(base: Snapshot, new: Snapshot) -> dict[str, DataFrame]:
+        named = hinted(touched)
+        before = in_force(spark, path, _without_gone(base, new), raw=True).join(named, "session", "left_semi").select("session", "n", "tokens")
+        sums = before.unionByName(fresh).groupBy("session").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+        df = _postings(spark, path, new).select("session", "term", "n").join(named, "session", "left_semi").groupBy("session", "term").agg(F.sum("n").alias("df"))
+        mean = df.join(sums, "session").groupBy("session").agg(F.avg(plain_idf(F.col("n"), F.col("df"))).alias("mean_idf"))
+        return {"stats": sums.join(mean, "session", "left").select("session", "n", "tokens", "mean_idf")}
+
+    return derive
+
+
+def _without_gone(base: Snapshot, new: Snapshot) -> Snapshot:
+    """The older batches under the deletions of the newer snapshot."""
+    return Snapshot(new.version, base.batches | {GONE: new.of(GONE)}, new.done)
+
+
+def segment(chunks: DataFrame, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text"):
+    """(rows for `snapshots.publish`, derive, tables to discard afterwards) that add chunks to the index of a store."""
+    c = chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), term_counts(F.col(text)).alias("terms"))
+    dl = F.coalesce(F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]), F.lit(0).cast("long"))
+    c = table(c.withColumn("dl", dl), "bm25-terms")
+    sizes = table(c.groupBy("session", _class(F.col("dl")).alias("class")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens")), "bm25-sizes")
+    entries = _placed(c, sizes).select("part", "shard", "session", "slice", "chunk", "dl", F.explode("terms").alias("t")).select("*", "t.*").drop("t")
+    fresh = sizes.groupBy("session").agg(F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens"))
+    touched = table(fresh.select("session"), "bm25-sessions")
+    rows = {"postings": _blocks(entries), "lengths": c.select("session", "chunk", "dl")}
+    return rows, lambda path: _merged_stats(chunks.sparkSession, path, touched, fresh), [c, sizes, touched]
+
+
+def add_to_index(chunks: DataFrame, path: str, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text", once: tuple[str, int] | None = None, anew: bool = False) -> Snapshot:
+    """Add chunks that are not in the index yet as a segment. once: as in `snapshots.publish`. anew: their sessions hold these chunks alone from now on."""
+    spark = chunks.sparkSession
+    if once and snapshots.current(spark, path).done.get(once[0], -1) >= once[1]:
+        return snapshots.current(spark, path)
+    rows, derive, used = segment(chunks, session, key, text)
+    if anew:
+        rows[GONE] = used[2].select("session")
+    s = snapshots.publish(spark, path, rows, derive(path), once)
+    discard(*used)
+    return s
+
+
+def build_index(chunks: DataFrame, path: str, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text") -> None:
+    """Write, or write anew, the index of all sessions in `chunks` under `path`. Other sessions stay as they are."""
+    add_to_index(chunks, path, session, key, text, anew=bool(snapshots.versions(chunks.sparkSession, path)))
+
+
+def invalidate(spark: SparkSession, path: str, sessions: DataFrame, session: str = "chat_session_id") -> None:
+    """Take the sessions named out of the index."""
+    snapshots.delete_sessions(spark, path, sessions.select(session))
+
+
+def rewritten(spark: SparkSession, path: str) -> dict[str, Callable[[Snapshot], snapshots.Rows]]:
+    """For `snapshots.compact`: the index tables as one segment, blocks cut anew from the postings that are left."""
+
+    def blocks(s: Snapshot) -> Callable[[str], None]:
+        left = snapshots.scan(spark, path, "lengths", LENGTHS, s)
+        sizes = table(left.groupBy("session", _class(F.col("dl")).alias("class")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens")), "bm25-sizes")
+        docs = _postings(spark, path, s).select("session", "term", F.explode("docs").alias("d")).select("session", "term", "d.*")
+        return _blocks(_placed(docs, sizes))
+
+    return {
+        "postings": blocks,
+        "lengths": lambda s: snapshots.scan(spark, path, "lengths", LENGTHS, s).drop("batch", "since"),
+        "stats": lambda s: in_force(spark, path, s, raw=True).drop("since"),
+    }
+
+
+def compact_index(spark: SparkSession, path: str, keep: int = 1) -> Snapshot:
+    """One segment in place of all; versions but the last `keep`, and what only they name, go."""
+    s = snapshots.compact(spark, path, rewritten(spark, path))
+    snapshots.vacuum(spark, path, keep)
+    return s
+
+
+def segments(spark: SparkSession, path: str) -> int:
+    return len(snapshots.current(spark, path).of("postings"))
+
+
+def _postings(spark: SparkSession, path: str, s: Snapshot) -> DataFrame:
+    return snapshots.scan(spark, path, "postings", POSTINGS, s)
+
+
+def in_force(spark: SparkSession, path: str, snapshot: Snapshot | None = None, raw: bool = False) -> DataFrame:
+    """(session, n, avgdl): the statistics in force of each session that has chunks; raw: with tokens, mean_idf and since in place of avgdl."""
+    d = snapshots.scan(spark, path, "stats", STATS, snapshot)
+    last = d.groupBy("session").agg(F.max_by(F.struct("n", "tokens", "mean_idf", "since"), "since").alias("x")).select("session", "x.*").where("n > 0")
+    return last if raw else last.select("session", "n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+
+
+def _listed(d: DataFrame, column: str, values: set) -> DataFrame:
+    """A filter that reaches the files, where the values are few."""
+    return d.where(F.col(column).isin(*sorted(values))) if 0 < len(values) <= LISTED else d
+
+
+class Search:
+    """One search of a stated query set: heads of blocks, bounds, the slices that can matter, scores."""
+
+    def __init__(self, spark: SparkSession, path: str, queries: DataFrame, k: int, session: str):
+        self.spark, self.path, self.k = spark, path, k
+        self.snapshot = snapshots.current(spark, path)
+        q = queries.select("query_id", F.col(session).cast("string").alias("session"), F.coalesce(tokens(F.col("question")), F.array().cast("array<string>")).alias("terms"))
+        self.q = table(q.join(in_force(spark, path, self.snapshot, raw=True).drop("since"), "session"), "bm25-queries")  # sessions without chunks have no answers
+        named = self.q.select("session", F.explode_outer("terms").alias("term")).distinct().collect()  # the stated questions' own words
+        self.sessions, self.terms = {r["session"] for r in named}, {r["term"] for r in named if r["term"] is not None}
+        self.small = F.broadcast if is_small(self.q) else (lambda d: d)
+        self._read_heads()
+
+    def _blocks(self) -> DataFrame:
+        d = _postings(self.spark, self.path, self.snapshot)
+        if len(self.sessions) <= LISTED:
+            parts = self.spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(s)), F.lit(PARTS)).cast("int") for s in sorted(self.sessions)] or [F.lit(-1)])).alias("p"))
+            d = d.where(F.col("part").isin(*{r["p"] for r in parts.collect()}))
+        return _listed(_listed(d, "session", self.sessions), "term", self.terms)
+
+    def _read_heads(self) -> None:
+        """heads (query_id, batch, session, slice, term, weight, avgdl, bound, n): a row per query and block of one of its terms."""
+        times = self.q.select("query_id", "session", F.col("n").alias("chunks"), (F.col("tokens") / F.col("n")).alias("avgdl"), "mean_idf", F.explode("terms").alias("term"))
+        times = times.groupBy("query_id", "session", "chunks", "avgdl", "mean_idf", "term").agg(F.count(F.lit(1)).alias("times"))
+        asked = self.small(times.select("session", "term").distinct())
+        self.raw = table(self._blocks().select("batch", "session", "slice", "term", "n", "max_tf", "min_dl").join(asked, ["session", "term"]), "bm25-heads")
+        df = self.raw.groupBy("session", "term").agg(F.sum("n").alias("df"))
+        weight = F.col("times") * floored_idf(plain_idf(F.col("chunks"), F.col("df")), F.col("mean_idf"))
+        weighed = table(times.join(df, ["session", "term"]).select("query_id", "session", "term", "avgdl", weight.alias("weight")), "bm25-weights")
+        bound = F.greatest(F.col("weight"), F.lit(0.0)) * part_score(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"))
+        self.heads = self.raw.join(hinted(weighed), ["session", "term"]).select("query_id", "batch", "session", "slice", "term", "weight", "avgdl", bound.alias("bound"), "n")
+
+    def slices(self) -> DataFrame:
+        """(query_id, batch, slice, bound, n): what the chunks of a slice can score at most, and their postings."""
+        return self.heads.groupBy("query_id", "batch", "slice").agg(F.sum("bound").alias("bound"), F.sum("n").alias("n"))
+
+    def scored(self, wanted: DataFrame) -> DataFrame:
+        """(query_id, chunk, score) of the chunks of wanted slices (a table query_id, batch, slice)."""
+        heads = self.heads.join(hinted(wanted), ["query_id", "batch", "slice"]).select("query_id", "batch", "session", "slice", "term", "weight", "avgdl")
+        heads = F.broadcast(heads) if is_small(self.raw) and is_small(self.q) else heads
+        d = self._blocks().select("batch", "session", "slice", "term", "docs").join(heads, ["batch", "session", "slice", "term"])
+        d = d.select("query_id", "weight", "avgdl", F.explode("docs").alias("d"))
+        return d.groupBy("query_id", F.col("d.chunk").alias("chunk")).agg(F.sum(F.col("weight") * part_score(F.col("d.tf"), F.col("d.dl"), F.col("avgdl"))).alias("score"))
+
+    def needed(self) -> DataFrame:
+        """(query_id, batch, slice, n) of the slices that can hold one of the first k: those whose bound reaches the k-th score of the first slices."""
+        slices = table(self.slices(), "bm25-slices")
+        first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "batch", "slice")
+        seeds = table(slices.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SEEDS).select("query_id", "batch", "slice"), "bm25-seeds")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        kth = self.scored(seeds).where("score > 0").withColumn("_r", F.row_number().over(best)).where(F.col("_r") == self.k).select("query_id", F.col("score").alias("beat"))
+        # ranks are by nine decimals, and sums differ in their last bits with the order of their parts
+        return slices.join(self.small(kth), "query_id", "left").where(F.col("beat").isNull() | (F.col("bound") >= F.col("beat") - 1e-8)).select("query_id", "batch", "slice", "n")
+
+    def ranked(self, key: str, key_type: str) -> DataFrame:
+        """(query_id, chunk, score, rank); chunks without a match score 0 and fill up the first k."""
+        k = self.k
+        scored = table(self.scored(table(self.needed(), "bm25-needed")), "bm25-scored")
+        found = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("positive"))
+        short = self.q.select("query_id", "session").join(self.small(found), "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).drop("positive")
+        # queries whose positive matches do not fill k ranks: the first k chunks in key order that did not match, cut before they are shuffled
+        fill = _listed(snapshots.scan(self.spark, self.path, "lengths", LENGTHS, self.snapshot), "session", self.sessions).join(self.small(short), "session").select("query_id", "chunk")
+        fill = fill.join(hinted(scored).select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
+        first = Window.partitionBy("query_id").orderBy(F.col("chunk").cast(key_type))
+        fill = fill.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("query_id", "chunk", F.lit(0.0).alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("chunk").cast(key_type))
+        every = scored.unionByName(fill).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return every.select("query_id", F.col("chunk").cast(key_type).alias(key), "score", "rank")
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, session: str = "chat_session_id", key: str = "chunk_id", key_type: str = "string") -> DataFrame:
     """(query_id, chunk, score, rank) of the k best chunks of each query's session; chunks without a match score 0 and fill up.
 
-    queries: a stated set (query_id, session, question); the driver learns its sessions and term buckets, to name the folders
-    to read. Ties (at nine decimals) go to the lower chunk id.
+    queries: a stated set (query_id, session, question); the driver learns its sessions and words. Ties (at nine decimals) go to the lower chunk id.
     """
-    q = queries.select("query_id", F.col(session).cast("string").alias("session"), F.coalesce(tokens(F.col("question")), F.array().cast("array<string>")).alias("terms"))
-    q = table(q.join(in_force(spark, path), "session"), "bm25-queries")  # sessions without chunks have no answers
-    times = q.select("query_id", "session", "version", "avgdl", F.explode("terms").alias("term")).groupBy("query_id", "session", "version", "avgdl", "term").agg(F.count(F.lit(1)).alias("times"))
-    times = times.withColumn("bucket", _bucket("session", "term"))
-    named = q.select("version", "session", F.explode(F.concat(F.transform("terms", lambda t: _bucket("session", t)), F.array(F.lit(-1)))).alias("bucket")).distinct().collect()
-    read = {(r["version"], r["session"], r["bucket"]) for r in named}
-    small = F.broadcast if is_small(q) else (lambda d: d)
-    posts = _folders(spark, f"{path}/postings", POSTINGS, {x for x in read if x[2] >= 0})
-    hits = posts.join(small(times), ["session", "version", "bucket", "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk").agg(F.sum(part).alias("score"))
-    scored = table(scored, "bm25-scored")
-    found = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("positive"))
-    short = q.select("query_id", "session", "version").join(found, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).drop("positive")
-    # queries whose positive matches do not fill k ranks: the first k chunks in key order that did not match, cut before they are shuffled
-    all_chunks = _folders(spark, f"{path}/lengths", LENGTHS, {x[:2] for x in read})
-    fill = all_chunks.join(small(short), ["session", "version"]).select("query_id", "chunk")
-    fill = fill.join(scored.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
-    first = Window.partitionBy("query_id").orderBy(F.col("chunk").cast(key_type))
-    fill = fill.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("query_id", "chunk", F.lit(0.0).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("chunk").cast(key_type))
-    every = scored.unionByName(fill).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return every.select("query_id", F.col("chunk").cast(key_type).alias(key), "score", "rank")
+    return Search(spark, path, queries, k, session).ranked(key, key_type)
+
+
+def postings_read(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, session: str = "chat_session_id") -> DataFrame:
+    """(query_id, postings, read): the postings of a query's terms, and those of the blocks that a search scores."""
+    s = Search(spark, path, queries, k, session)
+    read = s.needed().groupBy("query_id").agg(F.sum("n").alias("read"))
+    return s.slices().groupBy("query_id").agg(F.sum("n").alias("postings")).join(read, "query_id")
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text", index: str | None = None) -> DataFrame:
@@ -143,8 +303,6 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, session: str
 
     `index` names a folder of `build_index` that holds these chunks; without one, an index of the queries' sessions is made for this search.
     """
-    from ..scratch import fresh_path
-
     if index is None:
         index = fresh_path(chunks.sparkSession, "bm25-index")
         asked = queries.select(session).distinct()

@@ -27,7 +27,7 @@ def message_store(spark, d):
     late = F.unix_timestamp("created_at") > 2
     stores.add_messages(m.where(~late), store)
     stores.add_messages(m.where(late), store)
-    s = stores.session_state(spark, store)
+    s = stores.session_state(spark, store).withColumn("chat_session_id", F.col("chat_session_id").cast(m.schema["chat_session_id"].dataType))
     return s.withColumn("last_active_at", F.date_format("last_active_at", "yyyy-MM-dd HH:mm:ss"))
 
 

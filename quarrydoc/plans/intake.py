@@ -134,7 +134,7 @@ def chunk_store(spark, d):
     path = fresh_path(spark, "chunk-store")
     c = views.chunks(spark, d).where("text is not null").withColumns({"element_type": F.lit("text"), "section_title": F.lit(None).cast("string")})
     stored = stores.add_chunks(c, path, provider("embedder"))
-    r = stores.read_chunks(spark, path, "en", ["src1", "src2", "src3"])
+    r = stores.rows_of(spark, path, "chunks").where(F.col("chat_session_id") == "en").where(F.col("filename").isin("src1", "src2", "src3"))
     size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     return r.select("chat_session_id", "filename", "chunk_id", F.round(size, 4).alias("length"), F.lit(stored).cast("long").alias("stored"))
 
@@ -150,7 +150,7 @@ def document_store(spark, d):
     stored = stores.add_document(docs, c, store, provider("embedder"))
     by = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.regexp_extract("filename", "_([0-9]+)$", 1).cast("long").alias("i"), "filename"))), lambda x: x["filename"]), ",")
     listed = stores.metadata(spark, store).groupBy("chat_session_id").agg(F.count(F.lit(1)).alias("n_documents"), by.alias("names"))
-    size = spark.read.parquet(f"{store}/activity").groupBy("chat_session_id").agg(F.sum("bytes").alias("total_bytes"))
+    size = stores.rows_of(spark, store, "activity").groupBy("chat_session_id").agg(F.sum("bytes").alias("total_bytes"))
     return listed.join(size, "chat_session_id").withColumn("stored", F.lit(stored).cast("long"))
 
 
@@ -189,22 +189,69 @@ def ingest_counts(spark, d):
     """Many files to chunks, store and index in one job; a page's text is its address, which makes one chunk."""
     store = fresh_path(spark, "ingest")
     p = views.read(spark, d, "pages").select(F.concat(F.lit("site"), (F.col("page_id") % 7).cast("string")).alias("source"), F.col("page_id").cast("int").alias("page"), F.col("url").alias("text"))
-    counts = stores.ingest(p, store, "all", provider("embedder"), index=f"{store}/index")
-    indexed = lexical.in_force(spark, f"{store}/index").agg(F.sum("n").alias("n")).head()["n"] or 0
+    counts = stores.ingest(p, store, "all", provider("embedder"))
+    indexed = lexical.in_force(spark, store).agg(F.sum("n").alias("n")).head()["n"] or 0
     return counts.where(F.col("filename").isNotNull() | (F.col("n_chunks") == indexed))
 
 
+STORED_SQL = "st AS (SELECT source AS s, doc_id AS i, coalesce(text, '') AS t, regexp_extract(source, '[0-9]+')::INT AS no FROM documents), act AS (SELECT s, any_value(no) % 2 = 1 AS guest, max(i) AS last FROM st GROUP BY 1), keep AS (SELECT s FROM act WHERE NOT (guest AND last < (SELECT max(i) FROM st) - 10))"
+
+
+def _stored(spark, d):
+    """A store that documents entered in two steps, every source a session and odd ones guests; a third step stopped before it was published."""
+    store = fresh_path(spark, "session-store")
+    rows = views.read(spark, d, "documents").withColumns({"chat_session_id": F.col("source"), "t": F.coalesce("text", F.lit("")), "at": F.timestamp_seconds(F.col("doc_id") * 3600)})
+    name = F.concat_ws("_", "source", F.col("doc_id").cast("string"))
+    docs = rows.select("chat_session_id", name.alias("filename"), F.lit(None).cast("string").alias("display_title"), F.lit("application/pdf").alias("content_type"), F.encode("t", "UTF-8").alias("data"), "at", "doc_id")
+    chunks = rows.select(T.chunk_id(F.col("source"), F.col("doc_id"), "c", F.lit(1)).alias("chunk_id"), name.alias("filename"), F.col("doc_id").cast("int").alias("page"), F.col("t").alias("text"), F.lit("text").alias("element_type"), F.lit(None).cast("string").alias("section_title"), "chat_session_id", "doc_id")
+    no = F.regexp_extract("chat_session_id", "[0-9]+", 0).cast("int")
+    who = rows.groupBy("chat_session_id").agg(F.min("at").alias("created_at")).select("chat_session_id", (no % 2 == 1).alias("is_guest"), F.lit(None).cast("string").alias("user_id"), "created_at")
+    stores.add_sessions(who, store)
+    for part in (0, 1):
+        half = F.col("doc_id") % 2 == part
+        stores.add_document(docs.where(half), chunks.where(half), store, provider("embedder"))
+    docs.where("doc_id < 50").write.parquet(f"{store}/documents/batch=stopped")
+    return store, rows.agg(F.max("at").alias("now")).head()["now"]
+
+
+def _contents(spark, store):
+    """Per session what each table of the store and its index hold."""
+    tables = [stores.rows_of(spark, store, "chunks").select("chat_session_id", F.lit("chunks").alias("what")), stores.rows_of(spark, store, "documents").select("chat_session_id", F.lit("documents").alias("what"))]
+    counts = tables[0].unionByName(tables[1]).groupBy("chat_session_id").pivot("what", ["chunks", "documents"]).count()
+    size = stores.session_state(spark, store).select("chat_session_id", "total_bytes")
+    indexed = lexical.in_force(spark, store).select(F.col("session").alias("chat_session_id"), F.col("n").alias("indexed"), F.round("avgdl", 6).alias("avgdl"))
+    return counts.join(size, "chat_session_id").join(indexed, "chat_session_id")
+
+
+CONTENTS_SQL = "SELECT s AS chat_session_id, count(*) AS chunks, count(*) AS documents, sum(strlen(t))::BIGINT AS total_bytes, count(*) AS indexed, round(avg(len(list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> ''))), 6) AS avgdl FROM st"
+
+
+@query(f"WITH {STORED_SQL} {CONTENTS_SQL} GROUP BY 1")
+def store_after_commit(spark, d):
+    """Documents, chunks, activity and postings of a store: all of each published step, nothing of the one that stopped."""
+    return _contents(spark, _stored(spark, d)[0])
+
+
+@query(f"WITH {STORED_SQL} {CONTENTS_SQL} WHERE s IN (FROM keep) GROUP BY 1")
+def store_after_deletion(spark, d):
+    """Guests without activity in the last ten hours are gone from every table and the index, and from the files after compaction."""
+    store, now = _stored(spark, d)
+    stores.expire_guests(spark, store, F.lit(now), 10)
+    stores.compact_store(spark, store)
+    return _contents(spark, store)
+
+
 @query(bm25_sql(views.QUESTIONS, 20) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25")
 def index_refresh(spark, d):
-    """A lexical index over half of the chunks, brought up to date by a stream over the store when the other half arrives."""
+    """A lexical index over half of the chunks, brought up to date by a stream when the other half arrives: a second segment, no chunk is read twice."""
     store = fresh_path(spark, "refresh")
     c = views.chunks(spark, d).select("chat_session_id", "chunk_id", "text")
     half = F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == 0
     c.where(half).write.parquet(f"{store}/chunks")
     stream = lambda: spark.readStream.schema(c.schema).parquet(f"{store}/chunks")
-    refresh_lexical(stream(), f"{store}/checkpoint", f"{store}/chunks", f"{store}/index").awaitTermination()
+    refresh_lexical(stream(), f"{store}/checkpoint", f"{store}/index").awaitTermination()
     c.where(~half).write.mode("append").parquet(f"{store}/chunks")
-    refresh_lexical(stream(), f"{store}/checkpoint", f"{store}/chunks", f"{store}/index").awaitTermination()
+    refresh_lexical(stream(), f"{store}/checkpoint", f"{store}/index").awaitTermination()
     return lexical.search_index(spark, f"{store}/index", views.questions(spark)).withColumn("score", F.round("score", 6))
 
 

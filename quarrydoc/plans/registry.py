@@ -8,20 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical
-from ..scratch import fresh_path
+from ..scratch import fresh_path, hadoop
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Lexical indexes made by this process: (application, folder of tables, scope) -> path. Tables of a folder do not change.
-_INDEXES: dict[tuple[str, str, str], str] = {}
+#: Lexical indexes made by this process: (application, files of the chunks, scope) -> path.
+_INDEXES: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: another table at the same path has others."""
+    hpath, fs = hadoop(spark, path)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(hpath)))
 
 
 def index_of(spark: SparkSession, d: str, scope: str = "") -> str:
-    """The stored index over the chunks of `d`, built once: by session, or with scope "all" over one session of all chunks."""
-    at = (spark.sparkContext.applicationId, d, scope)
+    """The stored index over the chunks of `d`, built once while their files stay: by session, or with scope "all" over one session of all chunks."""
+    at = (spark.sparkContext.applicationId, _files(spark, f"{d}/documents.parquet"), scope)
     if at not in _INDEXES:
         path = fresh_path(spark, "bm25-index")
         c = views.chunks(spark, d)

@@ -1,4 +1,8 @@
-"""Sources and sinks: chunk store, evaluation files, binaries, metrics, validated page sources."""
+"""Sources and sinks: the store of documents, chunks, messages and their index, evaluation files, binaries, metrics, validated page sources.
+
+A store is a folder of snapshots (`sources.snapshots`). What belongs together is published in one step: a document with its chunks, their postings and
+its session's activity; the deletion of a session from all tables and the index.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, strip
+from ..operators import lexical
 from ..operators.chunking import chunk_pages
-from ..operators.lexical import build_index
-from ..operators.sessions import titles
+from ..operators.sessions import stale_guests, titles
 from ..scratch import discard, table
+from . import snapshots
+from .snapshots import Snapshot
 
 EVAL = "question string, expected_source string, expected_page int, expected_keywords array<string>"
 CHUNKS = "chunk_id string, filename string, page int, text string, embedding array<float>, element_type string, section_title string, chat_session_id string"
+#: Tables of a store besides those of its index; all have their session in `chat_session_id`.
+TABLES = {
+    "chunks": CHUNKS,
+    "documents": "chat_session_id string, filename string, display_title string, content_type string, data binary, at timestamp",
+    "activity": "chat_session_id string, bytes long, at timestamp",
+    "messages": "chat_session_id string, created_at timestamp, role string, content string, sources_json string",
+    "sessions": "chat_session_id string, is_guest boolean, user_id string, created_at timestamp",
+}
 
 
 def read_eval(spark: SparkSession, path: str) -> DataFrame:
@@ -22,48 +36,95 @@ def read_eval(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Append chunks, laid out by session so that session filters prune folders."""
-    chunks.repartition("chat_session_id").write.mode("append").partitionBy("chat_session_id").parquet(path)
+    """Append chunks to a plain table, laid out by session so that session filters prune folders; large sessions are split, small ones lie together."""
+    chunks.hint("rebalance", "chat_session_id").write.mode("append").partitionBy("chat_session_id").parquet(path)
+
+
+def rows_of(spark: SparkSession, store: str, name: str, snapshot: Snapshot | None = None) -> DataFrame:
+    """The rows of a table of a store that are in force."""
+    return snapshots.scan(spark, store, name, TABLES[name], snapshot, "chat_session_id").drop("batch", "since")
+
+
+def _batch(rows: DataFrame, name: str) -> snapshots.Writer:
+    """Rows in the columns of their table; a session's rows lie together, so that session filters skip most of the files' parts."""
+    columns = [F.col(n).cast(kind).alias(n) for n, kind in (c.split() for c in TABLES[name].split(", "))]
+    return lambda path: rows.select(*columns).hint("rebalance", "chat_session_id").sortWithinPartitions("chat_session_id").write.parquet(path)
 
 
-def add_chunks(chunks: DataFrame, path: str, embed: Callable[[Column], Column]) -> int:
-    """Embed chunks by `embed`, append them to the store, and return how many there were."""
+def _chunk_rows(chunks: DataFrame, embed: Callable[[Column], Column]):
+    """(rows to publish, derive, tables to discard, number) of chunks with their vectors and postings."""
     d = chunks.withColumn("embedding", embed(F.col("text")).cast("array<float>"))
     batch = table(d.select(*[c.split()[0] for c in CHUNKS.split(", ")]), "chunk-batch")
-    write_chunks(batch, path)
-    n = batch.count()
-    discard(batch)
+    rows, derive, used = lexical.segment(batch)
+    return {"chunks": _batch(batch, "chunks")} | rows, derive, [batch, *used], batch.count()
+
+
+def add_chunks(chunks: DataFrame, store: str, embed: Callable[[Column], Column], more: dict[str, snapshots.Rows] | None = None) -> int:
+    """Embed chunks by `embed`, add them and their postings to the store in one step (with rows of other tables, `more`), and return how many there were."""
+    rows, derive, used, n = _chunk_rows(chunks, embed)
+    snapshots.publish(chunks.sparkSession, store, rows | (more or {}), derive(store))
+    discard(*used)
     return n
 
 
 def add_document(document: DataFrame, chunks: DataFrame, store: str, embed: Callable[[Column], Column]) -> int:
-    """Chunks, the document's row and its session's activity under `store`, in this order: a document row stands only over chunks that are there.
+    """A document's row, its chunks, their postings and its session's activity, in one step. Returns the number of chunks.
 
-    document: chat_session_id, filename, display_title, content_type, data, at (time). Returns the number of chunks.
+    document: chat_session_id, filename, display_title, content_type, data, at (time).
     """
-    n = add_chunks(chunks, f"{store}/chunks", embed)
-    document.write.mode("append").parquet(f"{store}/documents")
     activity = document.select("chat_session_id", F.octet_length("data").cast("long").alias("bytes"), "at")
-    activity.write.mode("append").parquet(f"{store}/activity")
-    return n
+    return add_chunks(chunks, store, embed, {"documents": _batch(document, "documents"), "activity": _batch(activity, "activity")})
+
+
+def add_sessions(sessions: DataFrame, store: str) -> None:
+    """Sessions (chat_session_id, is_guest, user_id, created_at) and their first activity."""
+    activity = sessions.select("chat_session_id", F.lit(0).cast("long").alias("bytes"), F.col("created_at").alias("at"))
+    snapshots.publish(sessions.sparkSession, store, {"sessions": _batch(sessions, "sessions"), "activity": _batch(activity, "activity")})
 
 
 def add_messages(messages: DataFrame, store: str) -> None:
-    """Append messages (chat_session_id, created_at, role, content, sources_json) and touch their sessions. Titles and last activity follow by aggregation."""
-    messages.write.mode("append").parquet(f"{store}/messages")
-    messages.select("chat_session_id", F.lit(0).cast("long").alias("bytes"), F.col("created_at").alias("at")).write.mode("append").parquet(f"{store}/activity")
+    """Messages (chat_session_id, created_at, role, content, sources_json) and the activity of their sessions, in one step. Titles and last activity follow by aggregation."""
+    activity = messages.select("chat_session_id", F.lit(0).cast("long").alias("bytes"), F.col("created_at").alias("at"))
+    snapshots.publish(messages.sparkSession, store, {"messages": _batch(messages, "messages"), "activity": _batch(activity, "activity")})
 
 
 def session_state(spark: SparkSession, store: str) -> DataFrame:
     """(chat_session_id, total_bytes, last_active_at, title) from what was appended."""
-    a = spark.read.parquet(f"{store}/activity").groupBy("chat_session_id").agg(F.sum("bytes").alias("total_bytes"), F.max("at").alias("last_active_at"))
-    m = titles(spark.read.parquet(f"{store}/messages"))
+    s = snapshots.current(spark, store)
+    a = rows_of(spark, store, "activity", s).groupBy("chat_session_id").agg(F.sum("bytes").alias("total_bytes"), F.max("at").alias("last_active_at"))
+    m = titles(rows_of(spark, store, "messages", s))
     return a.join(m, "chat_session_id", "left").withColumn("title", F.coalesce("title", F.lit("New chat")))
 
 
 def metadata(spark: SparkSession, store: str) -> DataFrame:
     """(chat_session_id, filename, display_title) of the stored documents."""
-    return spark.read.parquet(f"{store}/documents").select("chat_session_id", "filename", "display_title")
+    return rows_of(spark, store, "documents").select("chat_session_id", "filename", "display_title")
+
+
+def delete_sessions(spark: SparkSession, store: str, sessions: DataFrame) -> None:
+    """Sessions (chat_session_id) go with their documents, chunks, messages, activity and postings, in one step."""
+    snapshots.delete_sessions(spark, store, sessions.select("chat_session_id"))
+
+
+def expire_guests(spark: SparkSession, store: str, now: Column, hours: int = 24) -> int:
+    """Delete the guest sessions without activity for so many hours before `now`; how many went."""
+    s = snapshots.current(spark, store)
+    last = rows_of(spark, store, "activity", s).groupBy("chat_session_id").agg(F.max("at").alias("last_active_at"))
+    known = rows_of(spark, store, "sessions", s).select("chat_session_id", "is_guest").join(last, "chat_session_id")
+    gone = table(stale_guests(known, now, hours).select("chat_session_id").distinct(), "stale-guests")
+    n = gone.count()
+    if n:
+        delete_sessions(spark, store, gone)
+    discard(gone)
+    return n
+
+
+def compact_store(spark: SparkSession, store: str, keep: int = 1) -> Snapshot:
+    """One batch per table in place of all: deleted sessions leave the files, the index becomes one segment; versions but the last `keep` go."""
+    rewrite = {name: (lambda s, name=name: _batch(rows_of(spark, store, name, s), name)) for name in TABLES}
+    s = snapshots.compact(spark, store, rewrite | lexical.rewritten(spark, store))
+    snapshots.vacuum(spark, store, keep)
+    return s
 
 
 def read_chunks(spark: SparkSession, path: str, session: str | None = None, filenames: list[str] | None = None) -> DataFrame:
@@ -147,11 +208,9 @@ def ingested(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("filename").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-def ingest(pages: DataFrame, store: str, session: str, embed: Callable[[Column], Column], extras: DataFrame | None = None, index: str | None = None) -> DataFrame:
-    """Pages of many files to stored chunks in one job; their counts per file and in all. With `index`, the session's lexical index is built anew."""
+def ingest(pages: DataFrame, store: str, session: str, embed: Callable[[Column], Column], extras: DataFrame | None = None) -> DataFrame:
+    """Pages of many files to stored and indexed chunks in one step; their counts per file and in all."""
     chunks = chunk_pages(pages, extras).withColumnRenamed("source", "filename").withColumn("chat_session_id", F.lit(session))
     chunks = table(chunks, "ingest-chunks")
-    add_chunks(chunks, f"{store}/chunks", embed)
-    if index is not None:
-        build_index(read_chunks(chunks.sparkSession, f"{store}/chunks", session), index)
+    add_chunks(chunks, store, embed)
     return ingested(chunks)

@@ -45,15 +45,17 @@ def refresh_index(chunks: DataFrame, checkpoint: str, refresh: Callable[[DataFra
     return chunks.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh_lexical(chunks: DataFrame, checkpoint: str, store: str, index: str, session: str = "chat_session_id") -> StreamingQuery:
-    """Bring a lexical index up to date with each batch of new chunk rows: the sessions it names are indexed anew from the chunk store.
+def refresh_lexical(chunks: DataFrame, checkpoint: str, index: str, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text", most_segments: int = 8) -> StreamingQuery:
+    """Bring a lexical index up to date with each batch of new chunk rows: they become a segment; beyond `most_segments` all segments become one.
 
-    chunks: a stream over the store's folder `store`; index: folder of lexical.build_index.
+    chunks: a stream of new chunks; index: folder of lexical.build_index. A batch that is sent again after a failure is known by its number.
     """
 
-    def refresh(batch: DataFrame, _: int) -> None:
-        named = batch.select(session).distinct()
-        every = batch.sparkSession.read.schema(chunks.schema).parquet(store)
-        lexical.build_index(every.join(named, session, "left_semi"), index, session)
+    def refresh(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        lexical.add_to_index(batch, index, session, key, text, once=(checkpoint, number))
+        if lexical.segments(batch.sparkSession, index) > most_segments:
+            lexical.compact_index(batch.sparkSession, index)
 
     return refresh_index(chunks, checkpoint, refresh)
