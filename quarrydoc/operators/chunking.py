@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, section_prefix, strip
+from .prefix import carry_forward, page_bucket
 
 #: Separators from coarse to fine, characters of a chunk, characters shared with the one before.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -27,9 +28,8 @@ def sections(pages: DataFrame) -> DataFrame:
 
 
 def carried(found: DataFrame) -> DataFrame:
-    """Sections with the title in force: the latest one before, over the pages of a source."""
-    w = Window.partitionBy("source").orderBy("page", "sec").rowsBetween(Window.unboundedPreceding, 0)
-    return found.withColumn("section_title", F.last("title", ignorenulls=True).over(w))
+    """Sections with the title in force: the latest one before, over the pages of a source, which many tasks share."""
+    return carry_forward(found, ["source"], page_bucket(), ["page", "sec"], "title", "section_title")
 
 
 def page_sections(found: DataFrame) -> DataFrame:

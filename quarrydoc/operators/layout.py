@@ -73,7 +73,7 @@ def page_text(spans: DataFrame) -> DataFrame:
 
 
 def captions(elements: DataFrame, words: DataFrame, prefixes: tuple[str, ...] = TABLE_CAPTIONS) -> DataFrame:
-    """elements plus caption: the nearest caption-like line within 60 points above, else below. A band join on the page."""
+    """elements plus caption: the nearest caption-like line within 60 points above, else below. A range join by bins of a page's height."""
     text = words.groupBy(*PAGE, F.bround("top").alias("y")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("line"))
     text = text.withColumn("line", strip(F.col("line")))
     starts = None
@@ -83,7 +83,12 @@ def captions(elements: DataFrame, words: DataFrame, prefixes: tuple[str, ...] =
     text = text.where(starts & (F.size(tokens(F.col("line"))) <= CAPTION_WORDS))
     above = (F.col("y") >= F.col("top") - CAPTION_REACH) & (F.col("y") < F.col("top"))
     below = (F.col("y") > F.col("bottom")) & (F.col("y") <= F.col("bottom") + CAPTION_REACH)
-    d = elements.select(*PAGE, "elem", "top", "bottom").join(text, list(PAGE)).where(above | below)
+    # a line lies in one bin of the reach's height; what is near an element's top or bottom lies in two bins at each
+    place = lambda y: F.floor(y / CAPTION_REACH).cast("long")
+    edges = F.array_compact(F.array(F.col("top").cast("double"), F.col("bottom").cast("double") + CAPTION_REACH))
+    near = F.array_distinct(F.flatten(F.transform(edges, lambda y: F.array(place(y) - 1, place(y)))))
+    boxes = elements.select(*PAGE, "elem", "top", "bottom", F.explode(near).alias("bin"))
+    d = boxes.join(text.withColumn("bin", place(F.col("y"))), [*PAGE, "bin"]).where(above | below)
     d = d.withColumn("side", F.when(above, 0).otherwise(1)).withColumn("dist", F.when(above, F.col("top") - F.col("y")).otherwise(F.col("y") - F.col("bottom")))
     w = Window.partitionBy(*PAGE, "elem").orderBy("side", "dist", "line")
     best = d.withColumn("r", F.row_number().over(w)).where("r = 1").select(*PAGE, "elem", F.col("line").alias("caption"))

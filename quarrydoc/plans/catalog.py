@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, dense, evaluate, fusion, layout, lexical, routing, sessions
+from ..operators import chunking, context, dense, evaluate, fusion, layout, lexical, pivots, routing, sessions
 from ..streaming.sessions import inactivity_sessions, read_events, run_available
 from ..scratch import hinted, table
 from . import retrieval, views
@@ -75,6 +75,14 @@ def knn_multi_query(spark, d):
     return dense.knn(views.vectors(spark, d), views.query_vectors(spark, d), 20, "vec_id").select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
 
 
+@query(f"WITH {KNN} SELECT query_id, vec_id, round(dist, 6) AS dist, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id)::INT AS rank FROM pair QUALIFY rank <= 20")
+def knn_pivot_topk(spark, d):
+    """The same neighbours from vectors stored by pivot and ring, without the rings that the triangle inequality rules out."""
+    index = pivots.build(spark, views.vectors(spark, d), "vec_id")
+    near, _ = pivots.search(spark, index, views.query_vectors(spark, d), 20)
+    return near.select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
+
+
 @query(f"WITH {KNN} SELECT query_id, vec_id, label, round(dist, 6) AS dist, row_number() OVER (PARTITION BY query_id, label ORDER BY round(dist, 9), vec_id)::INT AS rank FROM pair QUALIFY rank <= 5")
 def knn_per_document(spark, d):
     return dense.knn(views.vectors(spark, d), views.query_vectors(spark, d), 5, "vec_id", group="label").select("query_id", "vec_id", "label", F.round("dist", 6).alias("dist"), "rank")
@@ -153,7 +161,7 @@ def confidence_label(spark, d):
 
 @query(f"WITH {CHUNKS}, n AS (SELECT *, row_number() OVER (PARTITION BY chat_session_id, filename ORDER BY page, chunk_id) - 1 AS i, count(*) OVER (PARTITION BY chat_session_id, filename) AS c FROM chunks) SELECT chat_session_id, filename, chunk_id, i::INT AS i FROM n WHERE i % greatest(1, c // least(8, c)) = 0 AND i // greatest(1, c // least(8, c)) < 8")
 def spread_sample(spark, d):
-    return routing.spread_sample(views.chunks(spark, d)).select("chat_session_id", "filename", "chunk_id", "i")
+    return routing.spread_sample(views.chunks(spark, d).drop("text")).select("chat_session_id", "filename", "chunk_id", "i")
 
 
 @query("SELECT DISTINCT lang AS chat_session_id, source AS filename FROM documents")

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import chunking, layout, lexical
 from ..providers import provider
 from ..scratch import fresh_path
-from ..sources import stores
+from ..sources import files, stores
 from ..streaming.sessions import refresh_lexical
 from . import views
 from .catalog import CLUSTERS_SQL, FULL, HASH, MARKDOWN_SQL, PAGES, PLAUSIBLE, TEXT_LINES, bm25_sql, caption_sql
@@ -23,16 +23,6 @@ def ocr_pages(spark, d):
     return stores.with_ocr(p, provider("ocr")(F.encode(F.concat(F.lit("seen "), "url"), "UTF-8"))).select("page", "text")
 
 
-def line_parser(data: bytes) -> list[tuple[str, int, bytes]]:
-    """A parser of plain files: a line is a page, one without text is an image that says so."""
-    if data.startswith(b"LOCKED"):
-        raise stores.PasswordProtected
-    if not data.startswith(b"%PDF-"):
-        raise ValueError("no PDF")
-    pages = data[5:].decode().split("\n")
-    return [(t, 0 if t.strip() else 1, b"" if t.strip() else f"image {i}".encode()) for i, t in enumerate(pages)]
-
-
 def _files(spark, d):
     p = views.read(spark, d, "pages")
     head = F.when(F.col("page_id") % 7 == 0, "LOCKED").when(F.col("page_id") % 7 == 1, "BROKEN").otherwise("%PDF-")
@@ -40,15 +30,22 @@ def _files(spark, d):
     return p.select(F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("filename"), F.encode(F.concat(head, body), "UTF-8").alias("content"))
 
 
+def _items(spark, d):
+    """Page items of files written from `pages`, as the data source reads them."""
+    path = fresh_path(spark, "page-files")
+    files.write_files(_files(spark, d), path)
+    return files.read_items(spark, path, "quarrydoc.plans.parsers:line_pages", stores.PAGE_ITEMS)
+
+
 @query("WITH f AS (SELECT 'f' || page_id AS source, url FROM pages WHERE page_id % 7 > 2) SELECT source, 1 AS page, url AS text FROM f UNION ALL SELECT source, 2, 'image 1' FROM f UNION ALL SELECT source, 3, reverse(url) FROM f UNION ALL SELECT 'f' || page_id, 1, 'image 0' FROM pages WHERE page_id % 7 = 2")
 def parsed_pages(spark, d):
     """Pages of files numbered from 1; pages without text are read by OCR."""
-    return stores.page_source(_files(spark, d), line_parser, provider("ocr"))[0]
+    return stores.pages_of(_items(spark, d), provider("ocr"))[0]
 
 
 @query("SELECT 'f' || page_id AS filename, CASE page_id % 7 WHEN 0 THEN 'password' ELSE 'corrupt' END AS reason FROM pages WHERE page_id % 7 < 2")
 def refused_files(spark, d):
-    return stores.page_source(_files(spark, d), line_parser, provider("ocr"))[1]
+    return stores.pages_of(_items(spark, d), provider("ocr"))[1]
 
 
 @query(f"""WITH {TEXT_LINES}, pg AS (SELECT doc, page, page % 5 AS n_rects, list(line ORDER BY i) AS ls FROM tl GROUP BY ALL),
@@ -57,10 +54,13 @@ tb AS (SELECT doc, page, 1 AS tbl, CASE WHEN n_rects >= 3 AND len(a[1]) <= 1 THE
 SELECT doc AS source, page, tbl AS seq, md5(CASE WHEN page % 3 = 0 THEN 'Table of ' || doc || chr(10) || chr(10) ELSE '' END || {MARKDOWN_SQL}) AS text, 'table' AS element_type FROM kept WHERE {PLAUSIBLE}""")
 def table_source(spark, d):
     """A table per page; where ruling lines give one column among three row bands or more, text columns are taken."""
-    p = views.text_lines(spark, d).groupBy("doc", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("ls"))
-    p = p.withColumn("n_rects", F.col("page") % 5)
-    lines = F.when(F.col("page") % 2 == 0, F.transform("ls", lambda x: F.array(x))).otherwise(F.transform("ls", lambda x: F.split(x, r"\|")))
-    found = layout.page_tables(p, F.array(lines), F.array(F.transform("ls", lambda x: F.split(x, " "))))
+    path = fresh_path(spark, "table-files")
+    t = views.read(spark, d, "documents").where("text is not null")
+    head = F.concat_ws(" ", "source", F.col("doc_id").cast("string"))
+    files.write_files(t.select(F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("filename"), F.encode(F.concat_ws("\n", head, "text"), "UTF-8").alias("content")), path)
+    cells = "array<array<array<string>>>"
+    p = files.read_items(spark, path, "quarrydoc.plans.parsers:line_tables", f"doc string, page int, n_rects int, by_lines {cells}, by_text {cells}")
+    found = layout.page_tables(p, F.col("by_lines"), F.col("by_text"))
     found = found.withColumn("caption", F.when(F.col("page") % 3 == 0, F.concat(F.lit("Table of "), F.col("doc"))))
     return layout.table_chunks(found).withColumn("text", F.md5("text"))
 

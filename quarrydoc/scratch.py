@@ -39,10 +39,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor costs nothing done."""
+def table(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor costs nothing done. codec: other than the session's."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -186,14 +186,25 @@ def page_source(files: DataFrame, parser: Callable[[bytes], list[tuple[str, int,
     def numbered(data: bytes) -> list[dict]:
         return [{"page": i, "text": t, "n_images": n, "image": image} for i, (t, n, image) in enumerate(parser(data), 1)]
 
-    found = table(parse_files(files, numbered, "page int, text string, n_images int, image binary"), "parsed-pages")
-    ok = found.where("status = 'ok'").select(F.col("filename").alias("source"), "item.*")
+    found = parse_files(files, numbered, "page int, text string, n_images int, image binary").select("filename", "status", "item.*")
+    pages, refused = pages_of(found, ocr)
+    silent = files.select("filename").distinct().join(found.select("filename").distinct(), "filename", "left_anti")
+    return pages, refused.unionByName(silent.select("filename", F.lit("no_text").alias("reason")))
+
+
+#: Columns of page items, as the data source `document_items` reads them.
+PAGE_ITEMS = "filename string, status string, page int, text string, n_images int, image binary"
+
+
+def pages_of(found: DataFrame, ocr: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(pages, refused), as `page_source`, of page items (the columns of PAGE_ITEMS)."""
+    found = table(found, "parsed-pages")
+    ok = found.where("status = 'ok'").select(F.col("filename").alias("source"), "page", "text", "n_images", "image")
     pages = with_ocr(ok, ocr(F.col("image"))).select("source", "page", "text")
-    status = found.groupBy("filename").agg(F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("status"))
+    status = found.groupBy("filename").agg(F.max(F.when(~F.col("status").isin("ok", "empty"), F.col("status"))).alias("status"))
     kept = pages.select(F.col("source").alias("filename")).distinct()
     reason = F.when(F.col("status") == "PasswordProtected", "password").when(F.col("status").isNotNull(), "corrupt").otherwise("no_text")
-    silent = files.select("filename").distinct().join(status, "filename", "left").join(kept, "filename", "left_anti")
-    return pages, silent.select("filename", reason.alias("reason"))
+    return pages, status.join(kept, "filename", "left_anti").select("filename", reason.alias("reason"))
 
 
 def with_ocr(pages: DataFrame, ocr: Column) -> DataFrame:
