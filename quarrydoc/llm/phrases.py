@@ -1,14 +1,13 @@
 """Phrase collocations: frequent phrases grown word by word over vertical positional lists.
 
-The corpus is cut into blocks of about `BLOCK_WORDS` words, at the ends of pieces. A block holds an inverted list per phrase: the
-ascending positions at which it occurs. A phrase of k words is extended by merging its positions, moved by k, with
-the postings of single words, and only where the phrase without its first word is frequent too. The length of a list is the
-phrase's count in the block, the sum over the blocks its exact frequency; only phrases that reach `min_count` in the whole
-corpus of their language are kept and extended. So every level's lists are bounded by the corpus, its tables by the distinct phrases per block,
-and no task sees more than some blocks.
+The corpus is cut into blocks of about `BLOCK_WORDS` words of one language, at the ends of pieces. A block is a row: an inverted list per phrase, which holds the
+ascending positions of the phrase, and the phrase's last word. Phrases of k words are extended by merging positions: where one stands at p
+and another at p + 1, the first goes on with the last word of the second, and all other extensions hold a rarer phrase. A first pass
+over the blocks counts the extensions, by the lengths of their lists; sums over the blocks are exact frequencies, and those of `min_count` or more in the
+whole corpus of their language get a number. A second pass keeps their lists as the blocks of the next level. Only counts are shuffled, summed per block before.
 
-A phrase is a number of the written table of its level; it holds for one language. Numbers become words again for the frequent
-phrases alone, of which there are at most n / min_count per length.
+Frequent phrases are sent to all blocks where their table is small; beyond, each block is joined with those of its own phrases that are frequent.
+Numbers become words again for frequent phrases alone, of which there are at most n / min_count per length.
 
 Defined results: null text is empty, null language is `und`; repeated rows count each time, whatever their ids; pieces without words are nothing;
 an empty table gives no rows; very long texts are read whole (a piece longer than a block lies in one block); ties follow the order of the phrases' bytes;
@@ -22,15 +21,16 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_small, table
+from .common import discard, is_small, table
 
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: Bytes that end a piece (become LF) and the tab that separates words as a space does.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 PIECES = bytes(10 if b in ENDS else (32 if b == 9 else b) for b in range(256))
 PIECE_END = re.compile("[.,;:!?\x0a-\x0d]")
-POSTINGS = "block long, lang string, word string, positions array<int>"
-EXTENDED = "block long, phrase long, word long, positions array<int>"
+WORD_LISTS = "block long, lang string, words array<string>, sizes array<int>, gaps array<int>"
+LISTS = "block long, phrases array<bigint>, lasts array<bigint>, sizes array<int>, gaps array<int>"
+COUNTS = "phrase long, word long, n long"
 UNKNOWN = "und"
 
 
@@ -50,23 +50,18 @@ def piece_tokens(text: str) -> list[bytes]:
     return [w for w in b.split(b" ") if w]
 
 
-def lists_of(keys, positions):
-    """(distinct keys, an Arrow array of each key's positions) of parallel arrays with ascending positions."""
+def lists_of(ids, positions):
+    """(distinct ids, sizes of their lists, gaps) of parallel arrays with ascending positions. The lists stand one after the other; gaps are small numbers."""
     import numpy as np
-    import pyarrow as pa
 
-    order = np.lexsort(keys[::-1])  # stable, so positions stay ascending
-    cols, at = [k[order] for k in keys], positions[order].astype(np.int32)
-    new = np.ones(len(at), bool)
-    if len(at):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-    starts = np.flatnonzero(new)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(at))
-    return [c[starts] for c in cols], lists
+    order = np.argsort(ids, kind="stable")
+    ids, positions = ids[order], positions[order]
+    last = np.flatnonzero(np.append(ids[1:] != ids[:-1], True)) if len(ids) else np.zeros(0, np.int64)
+    return ids[last], np.diff(last, prepend=-1).astype(np.int32), np.diff(positions, prepend=0).astype(np.int32)
 
 
-def word_postings(docs: DataFrame, block_words: int) -> DataFrame:
-    """(block, lang, word, positions): the inverted lists of single words. Positions of two pieces never follow each other."""
+def word_lists(docs: DataFrame, block_words: int) -> DataFrame:
+    """A row per block: its words and their inverted lists. Positions of two pieces never follow each other."""
 
     def scan(batches):
         import numpy as np
@@ -74,111 +69,180 @@ def word_postings(docs: DataFrame, block_words: int) -> DataFrame:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        numbers: dict[tuple, int] = {}
-        parts: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            nonlocal block, size
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            at = np.flatnonzero(ids >= 0)
-            (used,), lists = lists_of([ids[at]], at)
+        open_: dict[str, tuple[dict, list, list]] = {}  # language -> numbers of words, arrays of them, their sizes
+
+        def row(lang):
+            nonlocal block
+            numbers, parts, _ = open_.pop(lang)
+            every = np.concatenate(parts)
+            at = np.flatnonzero(every >= 0)
+            used, sizes, gaps = lists_of(every[at], at)
             names = list(numbers)
-            out = [names[i] for i in used.tolist()]
-            rows = [pa.array(np.full(len(out), block, np.int64)), pa.array([n for n, _ in out], pa.string()), pa.array([w.decode("utf-8", "replace") for _, w in out], pa.string()), lists]
-            block, size = block + 1, 0
-            parts.clear()
-            numbers.clear()
-            return pa.RecordBatch.from_arrays(rows, names=["block", "lang", "word", "positions"])
+            spelt = pa.array([names[i].decode("utf-8", "replace") for i in used.tolist()], pa.string())
+            block += 1
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), one(spelt), one(pa.array(sizes)), one(pa.array(gaps))], names=["block", "lang", "words", "sizes", "gaps"])
 
         for batch in batches:
             for lang, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for part in slices(t.as_py()):
+                    numbers, parts, size = open_.setdefault(lang, ({}, [], []))
                     tokens = piece_tokens(part)
-                    ids = np.fromiter((-1 if w == b"\n" else numbers.setdefault((lang, w), len(numbers)) for w in tokens), np.int32, len(tokens))
-                    parts += [ids, np.array([-1], np.int32)]
-                    size += len(ids)
-                    if size >= block_words:
-                        yield flush()
-        if size:
-            yield flush()
+                    parts += [np.fromiter((-1 if w == b"\n" else numbers.setdefault(w, len(numbers)) for w in tokens), np.int32, len(tokens)), np.array([-1], np.int32)]
+                    size.append(len(tokens))
+                    if sum(size) >= block_words:
+                        yield row(lang)
+        for lang in list(open_):
+            yield row(lang)
 
     d = docs.select(F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return d.mapInArrow(scan, POSTINGS)
+    return d.mapInArrow(scan, WORD_LISTS)
+
+
+def one(values):
+    """A list array of one list."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def arrays(batch, names: list[str]):
+    """The named list columns of each row as numpy arrays."""
+    for i in range(batch.num_rows):
+        yield [batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in names]
 
 
-def frequent(lists: DataFrame, keys: list[str], min_count: int, name: str) -> DataFrame:
-    """A table (keys, f, id) of the keys whose lists have min_count positions or more in all blocks together."""
-    f = lists.groupBy(*keys).agg(F.sum(F.size("positions").cast("long")).alias("f")).where(F.col("f") >= min_count)
+def neighbours(lasts, sizes, gaps):
+    """(position, phrase there, last word of the phrase one further) wherever two phrases follow each other; phrases and words by their place in the block."""
+    import numpy as np
+
+    owner, positions = np.repeat(np.arange(len(lasts)), sizes), np.cumsum(gaps)
+    order = np.argsort(positions, kind="stable")
+    at, owner = positions[order], owner[order]
+    i = np.flatnonzero(at[1:] == at[:-1] + 1)
+    words, place = np.unique(lasts, return_inverse=True)
+    return at[i], owner[i], place[owner[i + 1]], words
+
+
+def numbered(keys: DataFrame, by: list[str], min_count: int, name: str) -> DataFrame:
+    """A table (by, f, id) of the keys whose counts n sum up to min_count or more."""
+    f = keys.groupBy(*by).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     return table(f.withColumn("id", F.monotonically_increasing_id()), name)
 
 
-def kept_lists(lists: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
-    """(block, phrase, positions): the lists of frequent keys under their numbers.
+def with_known(blocks: DataFrame, keys: DataFrame, found: DataFrame, by: list[str], known: DataFrame):
+    """(blocks, what is sent to all of them): frequent keys that are few are sent, else each block gets those of its own keys as the column `known`.
 
-    A frequent key has a list in every block; the lists themselves are never dealt by key. Where the frequent keys are not small enough to be sent
-    everywhere, (block, key) pairs alone meet them, and lists are dealt by block and key.
+    keys: (block, by) of the blocks; known: the columns of `found` that blocks need.
     """
-    new = found.select(*keys, F.col("id").alias("phrase_id"))
     if is_small(found):
-        d = lists.join(F.broadcast(new), keys)
-    else:
-        d = lists.join(lists.select("block", *keys).join(new, keys), ["block", *keys])
-    return d.select("block", F.col("phrase_id").alias("phrase"), "positions")
+        return blocks, blocks.sparkSession.sparkContext.broadcast(known.toPandas())
+    own = keys.join(known, by).groupBy("block").agg(F.collect_list(F.struct(*known.columns)).alias("known"))
+    return blocks.join(own, "block"), None
 
 
-def extended(phrases: DataFrame, single: DataFrame, k: int) -> DataFrame:
-    """(block, phrase, word, positions): all extensions of phrases of k words by one word, block by block."""
+def first_lists(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """Blocks of frequent words under their numbers."""
+    keys = posts.select("block", "lang", F.explode("words").alias("word"))
+    blocks, sent = with_known(posts, keys, found, ["lang", "word"], found.select("lang", "word", "id"))
 
-    def merge(left, right):
+    def renumber(batches):
         import numpy as np
         import pyarrow as pa
 
-        def flat(t):
-            lists = t.column("positions").combine_chunks()
-            lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-            n = np.diff(lists.offsets.to_numpy())
-            ids, at = np.repeat(t.column("phrase").to_numpy(), n), lists.flatten().to_numpy(zero_copy_only=False)
-            order = np.argsort(at, kind="stable")
-            return ids[order], at[order]
+        ids: dict[tuple, int] = {(lang, w): i for lang, w, i in sent.value.itertuples(index=False)} if sent else {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = ids if sent else {(k["lang"], k["word"]): k["id"] for k in batch.column("known")[i].as_py()}
+                lang = batch.column("lang")[i].as_py()
+                new = np.array([own.get((lang, w), -1) for w in batch.column("words")[i].as_py()], np.int64)
+                sizes, gaps = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("sizes", "gaps"))
+                each = np.repeat(new, sizes)
+                phrases, sizes, gaps = lists_of(each[each >= 0], np.cumsum(gaps)[each >= 0])
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), one(pa.array(phrases)), one(pa.array(phrases)), one(pa.array(sizes)), one(pa.array(gaps))], names=["block", "phrases", "lasts", "sizes", "gaps"])
+
+    return blocks.mapInArrow(renumber, LISTS)
 
-        def meet(at, where):
-            """Where sorted positions `at` stand in sorted positions `where`, and whether they do."""
-            i = np.searchsorted(where, at)
-            ok = i < len(where)
-            ok[ok] = where[i[ok]] == at[ok]
-            return i, ok
 
-        (block,) = set(left.column("block").to_pylist()[:1]) or {0}
-        (p, at), (w, places) = flat(left), flat(right)
-        i, ok = meet(at + k, places)
-        if k > 1:
-            ok &= meet(at + 1, at)[1]
-        (a, b), lists = lists_of([p[ok], w[i[ok]]], at[ok])
-        return pa.Table.from_arrays([pa.array(np.full(len(a), block, np.int64)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], names=["block", "phrase", "word", "positions"])
+def extensions(blocks: DataFrame, with_block: bool = False) -> DataFrame:
+    """(phrase, word, n): how often each phrase of a block goes on with which word."""
 
-    return phrases.groupBy("block").cogroup(single.groupBy("block")).applyInArrow(merge, EXTENDED)
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, (phrases, lasts, sizes, gaps) in enumerate(arrays(batch, ["phrases", "lasts", "sizes", "gaps"])):
+                _, a, b, words = neighbours(lasts, sizes, gaps)
+                pairs, n = np.unique(a.astype(np.int64) * max(1, len(words)) + b, return_counts=True)
+                rows = [pa.array(phrases[pairs // max(1, len(words))]), pa.array(words[pairs % max(1, len(words))]), pa.array(n.astype(np.int64))]
+                if with_block:
+                    rows = [pa.array(np.full(len(pairs), batch.column("block")[i].as_py(), np.int64)), *rows]
+                yield pa.RecordBatch.from_arrays(rows, names=[*(["block"] if with_block else []), "phrase", "word", "n"])
+
+    return blocks.mapInArrow(count, ("block long, " if with_block else "") + COUNTS)
+
+
+def longer_lists(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """Blocks of the frequent extensions under their numbers."""
+    by = ["phrase", "word"]
+    keys = None if is_small(found) else extensions(blocks, with_block=True).select("block", *by)
+    blocks, sent = with_known(blocks, keys, found, by, found.select(*by, "id"))
+
+    def grow(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def index(phrase, word, new):
+            heads, tails = np.unique(phrase), np.unique(word)
+            keys = np.searchsorted(heads, phrase) * len(tails) + np.searchsorted(tails, word)
+            order = np.argsort(keys)
+            return heads, tails, keys[order], new[order]
+
+        def find(values, where):
+            i = np.minimum(np.searchsorted(where, values), max(0, len(where) - 1))
+            return i, (where[i] == values if len(where) else np.zeros(len(values), bool))
+
+        known = index(*(sent.value[c].to_numpy(np.int64) for c in ("phrase", "word", "id"))) if sent else None
+        for batch in batches:
+            for i, (phrases, lasts, sizes, gaps) in enumerate(arrays(batch, ["phrases", "lasts", "sizes", "gaps"])):
+                if not sent:
+                    own = batch.column("known")[i].values
+                    known = index(*(own.field(c).to_numpy(zero_copy_only=False) for c in ("phrase", "word", "id")))
+                heads, tails, keys, new = known
+                at, a, b, words = neighbours(lasts, sizes, gaps)
+                h, ok_h = find(phrases, heads)
+                t, ok_t = find(words, tails)
+                k, ok = find(h[a] * len(tails) + t[b], keys)
+                ok &= ok_h[a] & ok_t[b]
+                ids, sizes, gaps = lists_of(new[k[ok]], at[ok])
+                last = np.empty(len(ids), np.int64)
+                last[np.searchsorted(ids, new[k[ok]])] = words[b[ok]]
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), one(pa.array(ids)), one(pa.array(last)), one(pa.array(sizes)), one(pa.array(gaps))], names=["block", "phrases", "lasts", "sizes", "gaps"])
+
+    return blocks.mapInArrow(grow, LISTS)
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = 5, min_count: int = 100, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """((lang, n): words per language, (lang, phrase, k, f): all phrases of up to max_words words with min_count occurrences)."""
-    posts = table(word_postings(docs, block_words), "phrase-postings")
-    totals = table(posts.groupBy("lang").agg(F.sum(F.size("positions").cast("long")).alias("n")), "phrase-totals")
-    found = frequent(posts, ["lang", "word"], min_count, "phrase-words")
-    single = table(kept_lists(posts, ["lang", "word"], found), "phrase-lists")
+    posts = table(word_lists(docs, block_words), "phrase-words", "zstd")
+    totals = table(posts.groupBy("lang").agg(F.sum(F.size("gaps").cast("long")).alias("n")), "phrase-totals")
+    size = F.arrays_zip(F.col("words").alias("word"), F.col("sizes").alias("n"))
+    found = numbered(posts.select("lang", F.explode(size).alias("w")).select("lang", "w.*"), ["lang", "word"], min_count, "phrase-frequent-1")
     words = found.select(F.col("id").alias("word"), F.col("word").alias("spelt"))
     words = F.broadcast(words) if is_small(found) else words
     names = found.select("id", "lang", F.col("word").alias("text"), F.lit(1).alias("k"), "f")
-    levels, lists = [names], single
-    for k in range(1, max_words):
-        longer = table(extended(lists, single, k), f"phrase-extended-{k + 1}")
-        found = frequent(longer, ["phrase", "word"], min_count, f"phrase-frequent-{k + 1}")
+    levels, blocks = [names], table(first_lists(posts, found), "phrase-lists-1", "zstd")
+    discard(posts)
+    for k in range(2, max_words + 1):
+        found = numbered(extensions(blocks), ["phrase", "word"], min_count, f"phrase-frequent-{k}")
         parent = names.select(F.col("id").alias("phrase"), "lang", F.col("text").alias("head"))
         named = found.join(parent, "phrase").join(words, "word")
-        names = table(named.select("id", "lang", F.concat_ws(" ", "head", "spelt").alias("text"), F.lit(k + 1).alias("k"), "f"), f"phrase-names-{k + 1}")
+        names = table(named.select("id", "lang", F.concat_ws(" ", "head", "spelt").alias("text"), F.lit(k).alias("k"), "f"), f"phrase-names-{k}")
         levels.append(names)
-        if k + 1 < max_words:
-            lists = table(kept_lists(longer, ["phrase", "word"], found), f"phrase-lists-{k + 1}")
+        longer = table(longer_lists(blocks, found), f"phrase-lists-{k}", "zstd") if k < max_words else None
+        discard(blocks)
+        blocks = longer
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
