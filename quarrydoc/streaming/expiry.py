@@ -25,7 +25,7 @@ class Inactivity(StatefulProcessor):
         self.handle = handle
         self.session = handle.getValueState("session", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         first = last = None
         n = 0
         for r in rows:
@@ -38,10 +38,10 @@ class Inactivity(StatefulProcessor):
         self.session.update((first, last, n))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.ttl_ms)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
         return iter(())
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         first, last, n = self.session.get()
         self.session.clear()
         yield Row(key=key[0], first=first, last=last, n_events=n)
