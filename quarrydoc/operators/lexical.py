@@ -23,8 +23,10 @@ from ..sources import snapshots
 from ..sources.snapshots import GONE, Snapshot
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Chunks of a slice; tokens of a task of the build; folders of a segment's blocks, by session; slices per query that are scored for a first bound.
-SLICE, TASK_TOKENS, PARTS, SEEDS = 128, 2_000_000, 256, 4
+#: Chunks of a slice; folders of a segment's blocks, by session; slices per query that are scored for a first bound.
+SLICE, PARTS, SEEDS = 128, 256, 4
+#: Tokens of a task of the build: some tasks per core, between these bounds.
+TASK_TOKENS = (250_000, 4_000_000)
 #: More names than these are joined, not listed in a filter.
 LISTED = 500
 POSTINGS = "part int, session string, term string, slice long, n int, max_tf int, min_dl long, docs array<struct<chunk:string,tf:int,dl:bigint>>"
@@ -91,17 +93,20 @@ def _class(dl: Column) -> Column:
 
 
 def _placed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows (session, chunk, dl, ...) with their slice, dealt so that a slice lies in one task and a task holds about TASK_TOKENS tokens.
+    """rows (session, chunk, dl, ...) with their slice, dealt so that a slice lies in one task and tasks hold about equally many tokens.
 
     sizes: a table (session, class, chunks, tokens) over the same chunks.
     """
     part = F.pmod(F.xxhash64("session"), F.lit(PARTS)).cast("int")
-    shards = sizes.groupBy(part.alias("part")).agg(F.ceil(F.sum("tokens") / TASK_TOKENS).alias("shards"))  # PARTS rows at most
+    least, most = TASK_TOKENS
+    total = sizes.agg(F.sum("tokens")).head()[0] or 0
+    share = max(least, min(most, total // (4 * rows.sparkSession.sparkContext.defaultParallelism)))
+    shards = sizes.groupBy(part.alias("part")).agg(F.ceil(F.sum("tokens") / share).alias("shards"))  # PARTS rows at most
     known = sizes.select("session", "class", F.greatest(F.lit(1), F.ceil(F.col("chunks") / SLICE)).alias("slices"))
     known = F.broadcast(known) if is_small(sizes) else known
     d = rows.withColumns({"class": _class(F.col("dl")), "part": part}).join(known, ["session", "class"]).join(F.broadcast(shards), "part")
     d = d.withColumn("slice", F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk"), F.col("slices")))
-    return d.withColumn("shard", F.pmod(F.xxhash64("session", "slice"), F.greatest(F.lit(1), F.col("shards")))).repartition("part", "shard").drop("class", "slices", "shards")
+    return d.withColumn("shard", F.pmod(F.xxhash64("session", "slice"), F.greatest(F.lit(1), F.col("shards")))).repartition(int(2 * total // share + 1), "part", "shard").drop("class", "slices", "shards")
 
 
 def _blocks(entries: DataFrame) -> Callable[[str], None]:
@@ -241,17 +246,17 @@ class Search:
         self.raw = table(self._blocks().select("batch", "session", "slice", "term", "n", "max_tf", "min_dl").join(asked, ["session", "term"]), "bm25-heads")
         df = self.raw.groupBy("session", "term").agg(F.sum("n").alias("df"))
         weight = F.col("times") * floored_idf(plain_idf(F.col("chunks"), F.col("df")), F.col("mean_idf"))
-        weighed = table(times.join(df, ["session", "term"]).select("query_id", "session", "term", "avgdl", weight.alias("weight")), "bm25-weights")
+        weighed = times.join(self.small(df), ["session", "term"]).select("query_id", "session", "term", "avgdl", weight.alias("weight"))
         bound = F.greatest(F.col("weight"), F.lit(0.0)) * part_score(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"))
-        self.heads = self.raw.join(hinted(weighed), ["session", "term"]).select("query_id", "batch", "session", "slice", "term", "weight", "avgdl", bound.alias("bound"), "n")
+        self.heads = self.raw.join(self.small(weighed), ["session", "term"]).select("query_id", "batch", "session", "slice", "term", "weight", "avgdl", bound.alias("bound"), "n")
 
     def slices(self) -> DataFrame:
         """(query_id, batch, slice, bound, n): what the chunks of a slice can score at most, and their postings."""
         return self.heads.groupBy("query_id", "batch", "slice").agg(F.sum("bound").alias("bound"), F.sum("n").alias("n"))
 
-    def scored(self, wanted: DataFrame) -> DataFrame:
-        """(query_id, chunk, score) of the chunks of wanted slices (a table query_id, batch, slice)."""
-        heads = self.heads.join(hinted(wanted), ["query_id", "batch", "slice"]).select("query_id", "batch", "session", "slice", "term", "weight", "avgdl")
+    def scored(self, wanted: DataFrame, few: bool) -> DataFrame:
+        """(query_id, chunk, score) of the chunks of wanted slices (query_id, batch, slice). few: whether these are small."""
+        heads = self.heads.join(F.broadcast(wanted) if few else wanted, ["query_id", "batch", "slice"]).select("query_id", "batch", "session", "slice", "term", "weight", "avgdl")
         heads = F.broadcast(heads) if is_small(self.raw) and is_small(self.q) else heads
         d = self._blocks().select("batch", "session", "slice", "term", "docs").join(heads, ["batch", "session", "slice", "term"])
         d = d.select("query_id", "weight", "avgdl", F.explode("docs").alias("d"))
@@ -259,18 +264,20 @@ class Search:
 
     def needed(self) -> DataFrame:
         """(query_id, batch, slice, n) of the slices that can hold one of the first k: those whose bound reaches the k-th score of the first slices."""
+        self.few = is_small(self.raw) and is_small(self.q)
         slices = table(self.slices(), "bm25-slices")
         first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "batch", "slice")
-        seeds = table(slices.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SEEDS).select("query_id", "batch", "slice"), "bm25-seeds")
+        seeds = slices.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SEEDS).select("query_id", "batch", "slice")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"))
-        kth = self.scored(seeds).where("score > 0").withColumn("_r", F.row_number().over(best)).where(F.col("_r") == self.k).select("query_id", F.col("score").alias("beat"))
+        kth = self.scored(seeds, is_small(self.q)).where("score > 0").withColumn("_r", F.row_number().over(best)).where(F.col("_r") == self.k).select("query_id", F.col("score").alias("beat"))
         # ranks are by nine decimals, and sums differ in their last bits with the order of their parts
         return slices.join(self.small(kth), "query_id", "left").where(F.col("beat").isNull() | (F.col("bound") >= F.col("beat") - 1e-8)).select("query_id", "batch", "slice", "n")
 
     def ranked(self, key: str, key_type: str) -> DataFrame:
         """(query_id, chunk, score, rank); chunks without a match score 0 and fill up the first k."""
         k = self.k
-        scored = table(self.scored(table(self.needed(), "bm25-needed")), "bm25-scored")
+        wanted = self.needed().drop("n")
+        scored = table(self.scored(wanted, self.few), "bm25-scored")
         found = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("positive"))
         short = self.q.select("query_id", "session").join(self.small(found), "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).drop("positive")
         # queries whose positive matches do not fill k ranks: the first k chunks in key order that did not match, cut before they are shuffled
