@@ -15,8 +15,8 @@ rounds, and only candidates reached from offset 0 are records. Pieces of payload
 fetched in a second read by file, size and hash, so that nothing hangs on how a read splits the files.
 
 Defined results: null html is an empty payload; pages with a null id are written with an
-empty id and read as null; repeated rows are separate records of which the first by (id, row hash)
-is the response; an empty table gives an empty archive and no rows; archives that break
+empty id and read as null; repeated rows are separate records of which one, the first by (id, row hash) or any of
+several equal to it, is the response; an empty table gives an empty archive and no rows; archives that break
 off keep the records before the break.
 """
 
@@ -33,6 +33,7 @@ END = "\r\n\r\n"
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BROADCAST_ROWS = 100_000
+BIN_BYTES = 2**20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -43,11 +44,29 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def record_kinds(pages: DataFrame, key: str, payload: str, min_bytes: int) -> DataFrame:
-    """key, __x (row hash), refers_to for the pages that revisit another."""
+    """key, __x (row hash), refers_to for the pages that revisit another; rows equal to the first are not among them."""
     p = pages.select(F.col(key).alias("id"), "__x", F.octet_length(payload).alias("n"), base32_sha1(F.col(payload)).alias("digest")).where(F.col("n") >= min_bytes)
     first = p.groupBy("digest", "n").agg(F.min(F.struct("id", "__x")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     d = p.join(first, ["digest", "n"]).where(~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.__x") == F.col("__x"))))
-    return d.select(F.col("id").alias("__id"), "__x", F.col("first.id").alias("__refers")).distinct()
+    return d.select(F.col("id").alias("__id"), "__x", F.col("first.id").alias("__refers"), F.lit(True).alias("__hit")).distinct()
+
+
+def numbered_copies(p: DataFrame, key: str, payload: str, min_bytes: int) -> DataFrame:
+    """Pages plus __later: whether an equal row (key, url and payload) was taken for the first already.
+
+    Only rows that are repeated are numbered: within the part they were read in, then the first ones of the parts, so that no task gets all copies of a row.
+    """
+    many = p.where(F.octet_length(payload) >= min_bytes).groupBy(F.col(key).alias("__k"), F.col("__x").alias("__y")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__k", "__y")
+    many = table(many, "warc-repeated")
+    if not many.head(1):
+        return p.withColumn("__later", F.lit(False))
+    on = p[key].eqNullSafe(many["__k"]) & (p["__x"] == many["__y"])
+    by, any_order = [F.col(key), F.col("__x")], F.lit(1)
+    d = p.join(hinted(many), on).drop("__k", "__y").withColumn("__part", F.spark_partition_id())
+    d = d.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(any_order)))
+    heads = d.where("__n = 1").withColumn("__later", F.row_number().over(Window.partitionBy(*by).orderBy(any_order)) > 1)
+    rest = d.where("__n > 1").withColumn("__later", F.lit(True))
+    return p.join(hinted(many), on, "left_anti").withColumn("__later", F.lit(False)).unionByName(heads.unionByName(rest).drop("__part", "__n"))
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> None:
@@ -56,10 +75,12 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     p = pages.select(F.col(key).alias(key), F.coalesce(F.col(url).cast("string"), F.lit("")).alias(url), F.coalesce(F.col(payload), F.lit("")).alias(payload))
     p = p.withColumn("__x", F.xxhash64(url, payload))
     revisits = table(record_kinds(p, key, payload, min_bytes), "warc-revisits")
+    p = numbered_copies(p, key, payload, min_bytes)
     small = revisits.count() <= BROADCAST_ROWS  # a few MB; else both sides are dealt by key
     on = p[key].eqNullSafe(F.col("__id")) & (p["__x"] == revisits["__x"])
     d = p.join(F.broadcast(revisits) if small else revisits, on, "left").drop(revisits["__x"])
-    again = F.col("__id").isNotNull()
+    again = F.coalesce("__hit", "__later")
+    refers = F.coalesce("__refers", F.when(F.col("__hit").isNull(), F.col(key)))
     body = F.when(again, F.lit("")).otherwise(F.col(payload))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     clean = F.regexp_replace(F.col(url), r"[\r\n]", "%0A")
@@ -69,7 +90,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), ident, F.lit(">"))),
         line("WARC-Target-URI", clean),
-        F.when(again, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("__refers").cast("string"), F.lit("")), F.lit(">")))).otherwise(F.lit("")),
+        F.when(again, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(refers.cast("string"), F.lit("")), F.lit(">")))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col(payload)))),
         line("WARC-Payload-Length", F.octet_length(payload).cast("string")),
         line("Content-Length", F.octet_length(body).cast("string")),
@@ -163,7 +184,9 @@ def records(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFra
 
 def _gathered(spark: SparkSession, path: str, links: DataFrame, spans: DataFrame) -> DataFrame:
     """file, offset, _late: digests of payloads that several pieces hold, joined from their pieces in order."""
-    parts = links.join(spans.select("file", F.col("offset").alias("of"), F.col("next").alias("until"), F.col("hbytes").alias("hb"), F.col("clen").alias("cl")), "file").where("offset >= of and offset < until")
+    # a piece lies in one bin of its file, a record in as many as it reaches into
+    reach = spans.select("file", F.col("offset").alias("of"), F.col("next").alias("until"), F.col("hbytes").alias("hb"), F.col("clen").alias("cl"), F.explode(F.expr(f"sequence(offset div {BIN_BYTES}, (next - 1) div {BIN_BYTES})")).alias("bin"))
+    parts = links.withColumn("bin", F.expr(f"offset div {BIN_BYTES}")).join(reach, ["file", "bin"]).where("offset >= of and offset < until")
     parts = table(parts.select("file", "size", "hash", "offset", "of", "hb", "cl"), "warc-parts")
     by = ["file", "size", "hash"]
     raw = pieces(spark, path).select("file", F.octet_length("value").cast("long").alias("size"), "hash", F.encode("value", "utf-8").alias("value"))

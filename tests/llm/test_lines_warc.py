@@ -133,6 +133,26 @@ def test_warc_reads_may_split_files_differently(spark, monkeypatch):
         assert (got[i].payload_digest, got[i].payload_bytes) == (sha(h), len(h.encode()))
 
 
+def test_warc_repeated_rows(spark, tmp_path):
+    """Of equal payloads one record is the response, however often a row is repeated."""
+    rows = [(1, "abc"), (1, "abc"), (2, "abc"), (3, "abc"), (5, "x"), (5, "x"), (6, None), (6, None), (7, "x"), (None, "nul"), (None, "nul"), (8, "nul")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows] + [(9, f"u{i}", "other") for i in range(3)], "page_id long, url string, html string").repartition(3)
+    for n, min_bytes in enumerate((0, 2)):
+        path = str(tmp_path / f"w{n}")
+        write_warc(pages, path, min_bytes=min_bytes)
+        got = {}
+        for r in records(spark, path).collect():
+            got.setdefault((r.id, r.payload_bytes), []).append((r.kind, r.refers_to))
+        first = ("response", None)
+        some = lambda key, n: sorted(got[key], key=str) == sorted([first] + [("revisit", key[0])] * (n - 1), key=str)
+        assert some((1, 3), 2) and got[2, 3] == got[3, 3] == [("revisit", 1)] and some((9, 5), 3)
+        assert sorted(k for k, _ in got[None, 3]) == ["response", "revisit"] and got[8, 3] == [("revisit", None)]
+        if min_bytes:
+            assert got[5, 1] == [first] * 2 and got[7, 1] == [first] and got[6, 0] == [first] * 2
+        else:
+            assert some((5, 1), 2) and got[7, 1] == [("revisit", 5)] and some((6, 0), 2)
+
+
 def test_warc_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "u", "a", "x", 5)], "page_id long, url string, html string, file string, offset long").withColumn("__x", F.lit(1)).withColumn("__id", F.lit(2))
     path = fresh_path(spark, "warc-test")
