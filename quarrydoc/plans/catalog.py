@@ -179,9 +179,10 @@ META = "meta AS (SELECT DISTINCT source || '.pdf' AS filename, CASE WHEN regexp_
 MODE = "CASE WHEN document_count > 1 AND regexp_matches(lower(question), '" + "|".join(f"(?:{p})" for p in T.COMPARISON) + "') THEN 'comparison' WHEN regexp_matches(lower(question), '" + "|".join(f"(?:{p})" for p in T.BROAD) + "') THEN 'broad' ELSE 'specific' END"
 
 
-@query(f"WITH {ROUTED} SELECT query_id, {MODE} AS mode FROM r")
+@query(f"WITH {views.TURNS_SQL} SELECT query_id, {MODE} AS mode FROM r")
 def classify_questions(spark, d):
-    return routing.route(views.routed(spark)).select("query_id", "mode")
+    """The modes of the questions asked in conversations."""
+    return routing.route(views.turns(spark, d)).select("query_id", "mode")
 
 
 @query(f"WITH {ROUTED}, {META} SELECT * FROM said")
@@ -198,9 +199,13 @@ def _overlap(words: list[str]) -> str:
     return f"list_has_any(w, [{', '.join(repr(x) for x in words)}])"
 
 
-@query(f"WITH {ROUTED}, w AS (SELECT *, trim(question) AS t, list_transform(list_filter(regexp_split_to_array(lower(trim(question)), '\\s+'), lambda x: x <> ''), lambda x: trim(x, '.,!?;:\"''()[]{{}}')) AS w FROM r) SELECT query_id, CASE WHEN t = '' THEN t WHEN has_history AND {_overlap(T.REFERENCE_WORDS)} THEN t WHEN {_overlap(T.QUESTION_WORDS + T.ACTION_WORDS)} OR len(w) > 4 THEN t ELSE 'What does the document say about ' || t || '?' END AS search_query FROM w")
+BARE = "list_transform(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: x <> ''), lambda x: trim(x, '.,!?;:\"''()[]{{}}'))"
+
+
+@query(f"WITH {views.TURNS_SQL}, t AS (SELECT *, regexp_replace(question, '^\\s+|\\s+$', '', 'g') AS t FROM r), w AS (SELECT *, {BARE.format('t')} AS w FROM t) SELECT query_id, CASE WHEN t = '' THEN t WHEN has_history AND {_overlap(T.REFERENCE_WORDS)} THEN t WHEN {_overlap(T.QUESTION_WORDS + T.ACTION_WORDS)} OR len(w) > 4 THEN t ELSE 'What does the document say about ' || t || '?' END AS search_query FROM w")
 def search_query_template(spark, d):
-    return routing.route(views.routed(spark)).select("query_id", "search_query")
+    """What is searched for when the questions of conversations are asked."""
+    return routing.route(views.turns(spark, d)).select("query_id", "search_query")
 
 
 PAGES = "pt AS (SELECT 'site' || page_id % 7 AS source, page_id::INT AS page, CASE WHEN page_id % 3 = 0 THEN b ELSE 'lead of the page' || chr(10) || '# ' || h || chr(10) || b END AS text FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h, array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), chr(10)) AS b FROM pages)), lead AS (SELECT source, page, 0 AS sec, NULL AS title, CASE WHEN page % 3 = 0 THEN text ELSE 'lead of the page' END AS body FROM pt WHERE trim(text) <> ''), head AS (SELECT source, page, 1 AS sec, trim(regexp_extract(text, '(?m)^# (.+)$', 1)) AS title, text[strpos(text, chr(10) || '# ') + 3 + length(regexp_extract(text, '(?m)^# (.+)$', 1)):] AS body FROM pt WHERE page % 3 <> 0), secs AS (SELECT source, page, sec, title, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS body FROM (FROM lead UNION ALL FROM head) WHERE sec > 0 OR body <> '')"

@@ -11,7 +11,7 @@ from ..providers import provider
 from ..scratch import fresh_path
 from ..sources import stores
 from . import retrieval, views
-from .catalog import MODE, ROUTED, SESSIONS
+from .catalog import BARE, MODE, SESSIONS
 from .registry import query
 
 STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -160,9 +160,9 @@ def answer_prompts(spark, d):
     return retrieval.prompts(flat.withColumn("mode", mode), q)
 
 
-@query(f"WITH {ROUTED} SELECT query_id, {MODE} AS mode, CASE WHEN has_history AND list_has_any(list_transform(string_split(lower(trim(question)), ' '), lambda x: trim(x, '.,!?;:\"''()[]{{}}')), {T.REFERENCE_WORDS!r}) THEN 'Of ' || question ELSE NULL END AS resolved FROM r")
+@query(f"WITH {views.TURNS_SQL}, w AS (SELECT *, {BARE.format('question')} AS w FROM r) SELECT query_id, {MODE} AS mode, CASE WHEN has_history AND list_has_any(w, {T.REFERENCE_WORDS!r}) THEN 'Of ' || question ELSE NULL END AS resolved FROM w")
 def resolved_questions(spark, d):
-    """Questions that refer back, resolved by a model: here one that puts a word before them."""
+    """Questions of conversations that refer back, resolved by a model: here one that puts a word before them."""
     model = lambda c: F.concat(F.lit("Of "), c)
-    r = routing.route(views.routed(spark).drop("resolved"), model)
+    r = routing.route(views.turns(spark, d).drop("resolved"), model)
     return r.select("query_id", "mode", "resolved")

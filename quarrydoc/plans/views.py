@@ -54,6 +54,22 @@ def routed(spark: SparkSession) -> DataFrame:
     return d.withColumn("resolved", F.lit(None).cast("string")).withColumn("chat_session_id", F.lit("s"))
 
 
+#: The questions of conversations as SQL: user turns, most of them led by words that routing looks for.
+TURNS_SQL = """r AS (SELECT conv_id * 100 + turn AS query_id, CASE (conv_id * 3 + turn) % 8 WHEN 0 THEN 'Compare ' || left(text, 40) WHEN 1 THEN 'Give me an overview of ' || left(text, 30) WHEN 2 THEN left(text, 15)
+WHEN 3 THEN 'tell it again: ' || left(text, 12) WHEN 4 THEN '  ' WHEN 5 THEN 'What is this document about, ' || left(text, 9) WHEN 6 THEN left(text, 10) || ' they?' ELSE text END AS question, conv_id % 3 AS document_count, turn > 0 AS has_history FROM conversations WHERE role = 'user')"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of TURNS_SQL."""
+    c, t = read(spark, sf_dir, "conversations").where("role = 'user'"), lambda n: F.left("text", F.lit(n))
+    k = (F.col("conv_id") * 3 + F.col("turn")) % 8
+    led = [F.concat(F.lit("Compare "), t(40)), F.concat(F.lit("Give me an overview of "), t(30)), t(15), F.concat(F.lit("tell it again: "), t(12)), F.lit("  "), F.concat(F.lit("What is this document about, "), t(9)), F.concat(t(10), F.lit(" they?"))]
+    question = F.col("text")
+    for i, q in enumerate(led):
+        question = F.when(k == i, q).otherwise(question)
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), question.alias("question"), (F.col("conv_id") % 3).cast("int").alias("document_count"), (F.col("turn") > 0).alias("has_history"), F.lit(None).cast("string").alias("resolved"))
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one session: a file per source, titles on every third."""
     d = read(spark, sf_dir, "documents").select("source").distinct()
