@@ -7,6 +7,8 @@ import __spark_entry__ as e
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = [n for n in e.catalog.QUERIES]
+#: Its default separators make a recursion that SQL does not express; test_engine holds it against hand-worked results.
+NO_SQL = {"recursive_chunks"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +30,7 @@ def test_query(spark, data, sql, name):
     df = e.queries()[name](spark, data)
     columns = sorted(df.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    if name not in e.oracle_sql():
+    if name in NO_SQL:
         return
     cur = sql.execute(e.oracle_sql()[name])
     names = [d[0] for d in cur.description]
