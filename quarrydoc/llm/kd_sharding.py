@@ -11,7 +11,8 @@ where the bytes below reach floor(n/2)/n. The cut is a weighted quantile of a 63
 narrowing: each pass counts bytes in `BINS` equal bins of the interval, grouped in the
 executors, and keeps the bin that holds the quantile, until the bin is one key or carries
 under `tolerance` of the node. All nodes of a level share each pass, so passes do not grow
-with the data; the driver holds one interval per node, at most the number of shards.
+with the data; the driver holds one interval per node, at most the number of shards. A point's node is a column of the
+written points, and each level's cuts reach it by a join, so that plans do not grow with the tree.
 
 Slots number a shard's rows from 0 without gaps: rows are bucketed by hash, bucket counts
 give each bucket its start, and ranks within buckets are bounded work.
@@ -25,10 +26,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, hash_bucket, prefix_sums, table
+from .common import bucket_bits, discard, hash_bucket, prefix_sums, table
 
 BINS = 1024
 COORD = 2**31 - 1
@@ -85,26 +86,14 @@ def kd_leaves(points: DataFrame, dims: list[str], leaves: int, tolerance: float
         place = F.when(F.col("end") < 0, F.lit(0)).when(F.col("end") > 0, F.lit(COORD)).otherwise(inner)
         keys.append((place.cast("long") * HASH_SPAN + F.col("h")).alias(f"k{i}"))
     names = [f"k{i}" for i in range(len(dims))]
-    base = table(points.select("*", *keys), "kd-points")
-    cuts: dict[int, tuple[Node, int]] = {}
+    base = table(points.select("*", *keys, F.lit(0).alias("leaf")), "kd-points")
     level = [Node(0, leaves)]
-    tree: list[dict[int, tuple[int, int, int]]] = []  # per level: node -> dimension, cut, first leaf of the upper half
-
-    def node_of(rows: DataFrame) -> DataFrame:
-        """The node of each row, by walking the cuts found so far as one expression."""
-        at = F.lit(0)
-        for cut in tree:
-            nxt = at
-            for first, (dim, key, upper) in cut.items():
-                nxt = F.when((at == first) & (F.col(names[dim]) > key), F.lit(upper)).otherwise(nxt)
-            at = nxt
-        return rows.withColumn("leaf", at)
+    key_of = F.get(F.array(*names), F.col("_dim"))
 
     while any(n.leaves > 1 for n in level):
         nodes = {n.first: n for n in level if n.leaves > 1}
-        rows = node_of(base)
         inner = [f(F.when(F.col("end") == 0, F.col(k))).alias(f"{n}{k}") for k in names for n, f in (("ilo", F.min), ("ihi", F.max))]
-        stats = rows.groupBy("leaf").agg(F.sum("w").alias("w"), *inner, *[f(k).alias(f"{n}{k}") for k in names for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+        stats = base.groupBy("leaf").agg(F.sum("w").alias("w"), *inner, *[f(k).alias(f"{n}{k}") for k in names for n, f in (("lo", F.min), ("hi", F.max))]).collect()
         for r in stats:
             if r["leaf"] in nodes:
                 n = nodes[r["leaf"]]
@@ -113,41 +102,38 @@ def kd_leaves(points: DataFrame, dims: list[str], leaves: int, tolerance: float
                 n.lo, n.hi, n.total = r[f"lo{names[n.dim]}"], r[f"hi{names[n.dim]}"], float(r["w"])
         live = {f: n for f, n in nodes.items() if n.total > 0}
         while narrowing := [n for n in live.values() if n.open and n.hi > n.lo]:
+            by_leaf = {n.first: n for n in narrowing}
             width = {n.first: (n.hi - n.lo) // BINS + 1 for n in narrowing}
-            which = F.lit(None).cast("int")
-            for n in narrowing:
-                k = F.col(names[n.dim])
-                inside = (F.col("leaf") == n.first) & k.between(n.lo, n.hi)
-                which = F.when(inside, F.expr(f"int((k{n.dim} - {n.lo}L) div {width[n.first]}L)")).otherwise(which)
-            bins = rows.withColumn("bin", which).where("bin is not null").groupBy("leaf", "bin").agg(F.sum("w").alias("w"))
-            got: dict[int, dict[int, float]] = {}
-            for r in bins.collect():  # at most BINS rows per node
-                got.setdefault(r["leaf"], {})[r["bin"]] = float(r["w"])
-            for n in narrowing:
-                at, below, chosen = n.below, n.below, None
-                for b in sorted(got.get(n.first, {})):
-                    chosen, below = b, at
-                    at += got[n.first][b]
-                    if at >= n.goal:
-                        break
-                step = width[n.first]
-                n.below, n.lo, n.hi = below, n.lo + chosen * step, min(n.hi, n.lo + (chosen + 1) * step - 1)
+            nodes_ = spark.createDataFrame([(n.first, n.dim, n.lo, n.hi, width[n.first], n.goal - n.below) for n in narrowing], "leaf int, _dim int, _lo long, _hi long, _width long, _goal double")
+            inside = base.join(F.broadcast(nodes_), "leaf").withColumn("_k", key_of).where("_k between _lo and _hi")  # one row per node
+            bins = inside.groupBy("leaf", F.expr("int((_k - _lo) div _width)").alias("bin"), "_goal").agg(F.sum("w").alias("w"))
+            upto = F.sum("w").over(Window.partitionBy("leaf").orderBy("bin"))  # at most BINS rows
+            bins = bins.withColumn("upto", upto).withColumn("at", F.struct("bin", F.col("upto").alias("upto"), "w"))
+            chosen = bins.groupBy("leaf").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("_goal"), F.col("at"))), F.max("at")).alias("at"))
+            for r in chosen.select("leaf", "at.*").collect():
+                n, step = by_leaf[r["leaf"]], width[r["leaf"]]
+                at = n.below + float(r["upto"])
+                below = at - float(r["w"])
+                n.below, n.lo, n.hi = below, n.lo + r["bin"] * step, min(n.hi, n.lo + (r["bin"] + 1) * step - 1)
                 if step == 1 or at - below <= tolerance * n.total:
                     n.open = False
                     # the nearer end of the bin
                     n.hi = n.hi if at - n.goal <= n.goal - below else n.lo - 1
-        cut, level_next = {}, []
+        cuts, level_next = [], []
         for n in level:
             if n.leaves == 1:
                 level_next.append(n)
                 continue
             upper = n.first + n.half
             key = n.hi if n.first in live else LOW
-            cut[n.first] = (n.dim, key, upper)
+            cuts.append((n.first, n.dim, key, upper))
             level_next += [Node(n.first, n.half), Node(upper, n.leaves - n.half)]
-        tree.append(cut)
-        level = level_next
-    return node_of(base).drop(*names)
+        cut = F.broadcast(spark.createDataFrame(cuts, "leaf int, _dim int, _key long, _upper int"))  # one row per node
+        moved = base.join(cut, "leaf", "left").withColumn("leaf", F.when(key_of > F.col("_key"), F.col("_upper")).otherwise(F.col("leaf")))
+        moved = table(moved.select(base.columns), "kd-points")
+        discard(base)
+        base, level = moved, level_next
+    return base.drop(*names)
 
 
 def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

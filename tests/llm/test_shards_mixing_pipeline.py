@@ -83,7 +83,7 @@ def test_tree_against_brute_force(spark):
         return cut(part[:at], n // 2) + cut(part[at:], n - n // 2)
 
     df = spark.createDataFrame([(i, x, y, w, i, 0) for i, x, y, w in pts], "id int, x double, y double, w long, h long, end int")
-    for leaves in (2, 8, 5):
+    for leaves in (2, 8, 5, 30):
         want = {p[0]: k for k, part in enumerate(cut(pts, leaves)) for p in part}
         got = {r.id: r.leaf for r in kd_leaves(df, ["x", "y"], leaves, tolerance=0.0).collect()}
         assert got == want
