@@ -1,15 +1,17 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
 Every document becomes its token ids and a closing id; only documents longer than a
-sequence are cut, into full pieces and one tail. Longest first, each piece goes where the sum over gaps g of
+sequence are cut, into full pieces and one tail. Each piece goes where the sum over gaps g of
 N(g)^2 becomes smallest, N(g) being the number of open sequences with g free tokens (a new
 sequence is one of the choices, and full ones do not count).
 
 Only counts steer the choice, and pieces of one length are alike: so the whole corpus is packed from its
-counts per length, at most `length` numbers on the driver, and each step places as many pieces of one
-length into one gap as the rule would place there in turn, at least `1 / grain` of the length's pieces. (A
-length of up to `grain` pieces is thus placed one by one.) Sequences of equal gap are intervals of numbers,
-so a step is one row: (length, first piece, how many, first sequence, offset), and steps do not grow with the corpus. Pieces find
+counts per length, at most `length` numbers on the driver. Up to `grain` * `length` pieces are placed one by one. Of larger corpora
+the rule places lumps: so many pieces of one length at once, a power of two, that no more than `grain` * `length` lumps are
+made; what that leaves of each length follows in lumps a 32nd of the size, down to single pieces. A lump is placed by the change
+that all its pieces make. So there are at most (grain + 32 * rounds) * length lumps, and rounds grow with the logarithm of the
+corpus. The rule does not say in which order pieces come; the plan is made in each of ORDERS, and the one with fewest sequences holds.
+Sequences of equal gap are intervals of numbers, so a step is one row: (length, first piece, how many, first sequence, offset). Pieces find
 their step by their place among those of their length: running counts in hash buckets, so that no length is one task.
 
 Defined results: null text is an empty document, one closing id; pieces of one length take their places by
@@ -29,6 +31,10 @@ from .tokenizing import word_tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BIG = 2**62
+#: Orders in which a plan is tried, as (share, tail) of `lumps`.
+ORDERS = ((1, 0.0), (4, 0.1), (6, 0.1), (8, 0.1))
+#: Lumps become smaller by this factor from round to round.
+FALL = 32
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -81,19 +87,16 @@ class _Open:
             n -= got
 
 
-def _choice(at: _Open, s: int) -> tuple[int, int, int]:
-    """Where a piece of size s goes: (gap, change of the sum of squares, change at the next best gap). A gap of `length` is a new sequence."""
+def _choice(at: _Open, s: int, k: int = 1) -> int:
+    """The gap that k pieces of size s go to, so that the sum of squares becomes smallest; a gap of `length` is k new sequences."""
     n, length = at.counts, at.length
-    # N(g) falls by one, N(g - s) rises (not at 0)
-    change = 2 * (n[: length + 1 - s] - n[s:]) + 2
-    change[0] = 1 - 2 * n[s]
+    # half the change over k: N(g) falls by k, N(g - s) rises by k (not at 0)
+    change = 2 * (n[: length + 1 - s] - n[s:]) + 2 * k
+    change[0] = k - 2 * n[s]
     change[n[s:] == 0] = BIG
     best = int(change.argmin())
-    cost, fresh = int(change[best]), 2 * int(n[length - s]) + 1 if s < length else 0
-    if cost > fresh:
-        return length, fresh, cost
-    change[best] = BIG
-    return best + s, cost, min(int(change.min()), fresh)
+    fresh = 2 * int(n[length - s]) + k if s < length else 0
+    return length if change[best] > fresh else best + s
 
 
 def sum_of_squares(sizes, length: int):
@@ -102,7 +105,7 @@ def sum_of_squares(sizes, length: int):
 
     at, seqs, offsets, fill = _Open(length), [], [], []
     for s in map(int, sizes):
-        gap, _, _ = _choice(at, s)
+        gap = _choice(at, s)
         if gap == length:
             fill.append(0)
             seq = len(fill) - 1
@@ -115,29 +118,51 @@ def sum_of_squares(sizes, length: int):
     return np.array(seqs, np.int64), np.array(offsets, np.int64), np.array(fill, np.int64)
 
 
-def plan(counts: dict[int, int], length: int, grain: int = 64) -> list[tuple[int, int, int, int, int]]:
-    """Steps (size, first piece, how many, first sequence, offset) that place counts[size] pieces of each size, longest first."""
-    at, fresh = _Open(length), 0
-    steps = []
-    for s in sorted(counts, reverse=True):
-        left, least = counts[s], max(1, counts[s] // grain)
-        while left:
-            gap, cost, other = _choice(at, s)
-            # each piece raises the cost of its gap by four, of new sequences by two, until another choice is cheaper
-            k = min(left, max(least, (other - cost) // (2 if gap == length else 4) + 1))
+def lumps(counts: dict[int, int], unit: int, length: int, share: int, tail: float):
+    """(size, unit) for every `unit` pieces of a size: sizes above length / share longest first, the others evenly mixed, but for their
+    last `tail`, longest first again. A share of 1 is longest first throughout."""
+    out = []
+    for s, n in counts.items():
+        many = n // unit
+        for i in range(many):
+            at = (2 * i + 1) / (2 * many)
+            out.append((0, 0.0, -s) if share == 1 or s * share > length else (1, at, -s) if at < 1 - tail else (2, 0.0, -s))
+    return [(-s, unit) for _, _, s in sorted(out)]
+
+
+def _planned(counts: dict[int, int], length: int, grain: int, share: int, tail: float) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Sequences used, and the steps of `plan`, in one order."""
+    at, fresh, steps = _Open(length), 0, []
+    unit, placed = 1, dict.fromkeys(counts, 0)
+    while sum(counts.values()) > unit * grain * length:
+        unit *= 2
+    while unit:
+        for s, k in lumps({s: n - placed[s] for s, n in counts.items()}, unit, length, share, tail):
+            # counts of open sequences are multiples of the unit, so the gap has room for all k
+            gap = _choice(at, s, k)
             if gap == length:
                 taken = [(fresh, k)]
                 fresh += k
             else:
-                taken = list(at.take(gap, min(k, int(at.counts[gap]))))
+                taken = list(at.take(gap, k))
             for start, got in taken:
-                steps.append((s, counts[s] - left, got, start, length - gap))
                 at.put(gap - s, start, got)
-                left -= got
-    return steps
+                last = steps[-1] if steps else None
+                if last and last[0] == s and last[1] + last[2] == placed[s] and last[3] + last[2] == start and last[4] == length - gap:
+                    steps[-1] = (s, last[1], last[2] + got, last[3], last[4])
+                else:
+                    steps.append((s, placed[s], got, start, length - gap))
+                placed[s] += got
+        unit = unit // FALL or (1 if unit > 1 else 0)
+    return fresh, steps
 
 
-def pack(found: DataFrame, length: int = 2048, grain: int = 64) -> DataFrame:
+def plan(counts: dict[int, int], length: int, grain: int = 32, orders=ORDERS) -> list[tuple[int, int, int, int, int]]:
+    """Steps (size, first piece, how many, first sequence, offset) that place counts[size] pieces of each size, in the order of `orders` that takes fewest sequences."""
+    return min((_planned(counts, length, grain, *o) for o in orders), key=lambda p: p[0])[1]
+
+
+def pack(found: DataFrame, length: int = 2048, grain: int = 32) -> DataFrame:
     """found (PIECES) plus sequence_id and offset."""
     import numpy as np
 

@@ -132,6 +132,35 @@ def test_plan_does_not_grow_with_the_corpus(spark):
     assert pack(found).select("sequence_id").distinct().count() == 1200
 
 
+def test_one_order_is_the_rule_piece_by_piece():
+    rnd = random.Random(4)
+    counts = {s: rnd.randint(1, 40) for s in rnd.sample(range(1, 257), 90)}
+    seq, off, fill = sum_of_squares([s for s in sorted(counts, reverse=True) for _ in range(counts[s])], 256)
+    steps = plan(counts, 256, orders=[(1, 0.0)])
+    assert max(x[3] + x[2] for x in steps) == len(fill)
+    assert [s for x in steps for s in [x[4]] * x[2]] == off.tolist()
+
+
+@pytest.mark.parametrize("times", [1, 100, 10**7])
+def test_plan_stays_near_the_lower_bound(times):
+    """Prose-like lengths: within a fifth of a percent of the lower bound at any size."""
+    rnd = random.Random(5)
+    counts = {}
+    for _ in range(9000):
+        s = 2048 if rnd.random() < 0.15 else min(2048, max(1, int(rnd.lognormvariate(5.6, 1.1))))
+        counts[s] = counts.get(s, 0) + times
+    bound = -(-sum(s * n for s, n in counts.items()) // 2048)
+    steps = plan(counts, 2048)
+    placed, used = {}, max(x[3] + x[2] for x in steps)
+    for s, first, k, _, _ in steps:
+        assert first == placed.get(s, 0)
+        placed[s] = first + k
+    assert placed == counts
+    longest_first = plan(counts, 2048, orders=[(1, 0.0)])
+    assert used <= max(x[3] + x[2] for x in longest_first)
+    assert used <= bound * 1.002 + 1
+
+
 def test_packing_empty(spark):
     assert pack(pieces(docs(spark, []), WORD_FILE)).count() == 0
 
