@@ -8,13 +8,15 @@ or a document in pieces can be sketched in any grouping. From two sketches:
 resemblance (Jaccard), containment and distinct shingle counts.
 
 Defined results: null text is empty; null ids come first; two empty sketches resemble each other by 1, an empty and a non-empty
-one by 0; equal texts have equal sketches; rows with one id follow each other by the hash of their text, and repeated rows are rows of their own; the
-row after the last is the first, so a table's only row is its own next; an empty table gives no rows;
+one by 0; equal texts have equal sketches; rows with one id follow each other by the hash of their text, and repeated rows are rows of their own (rows equal in id and
+text lie in one range); the row after the last is the first, so a table's only row is its own next; an empty table gives no rows;
 very long texts are sketched whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,56 +85,60 @@ def as_string(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def range_bounds(docs: DataFrame, order: str, size: str, target: int, least: int = 1) -> list[int]:
-    """Ascending upper bounds of ranges of `order`, at least `least`, that hold about `target` of the column `size` each at most.
+#: At most so many ranges, so that their first keys, three numbers each, stay small in a plan; larger corpora have longer ranges.
+MOST_RANGES = 2**16
+
+
+def place_key(order: str, tie: Column) -> Column:
+    """What rows are ordered by: nulls first, then `order`, then `tie`."""
+    return F.struct(F.col(order).isNotNull().cast("int").alias("f"), F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("o"), tie.alias("t"))
+
 
-    Quantiles of the rows cut the table finely, sixteen to a range; sums per piece join neighbours up to the target. The driver
-    holds a few numbers per range.
+def range_heads(sizes: DataFrame, target: int, least: int = 1, most: int = MOST_RANGES) -> list:
+    """Ascending first keys of ranges of `sizes` (_key, _size), about `least` at least, that hold about `target` of _size each at most.
+
+    A range exchange orders the keys; each of its parts is cut where its running sum passes a multiple of the target. The driver
+    holds one key per range.
     """
-    total = docs.agg(F.sum(size)).head()[0] or 0
-    ranges = max(least, -(-total // target))
-    fine, target = 16 * ranges, total / ranges
-    probs = [i / fine for i in range(1, fine)]
-    cuts = sorted(set(docs.select(F.percentile_approx(order, probs, 10 * fine)).head()[0] or []))
-    sums = {r["b"]: r["s"] for r in docs.groupBy(place_of(F.col(order), cuts).alias("b")).agg(F.sum(size).alias("s")).collect()}
-    bounds, held = [], 0
-    for i, c in enumerate(cuts):
-        held += sums.get(i, 0)
-        if held + sums.get(i + 1, 0) / 2 >= target:
-            bounds.append(c)
-            held = 0
-    return bounds
-
-
-def place_of(value: Column, bounds: list[int]) -> Column:
-    """Number of bounds below the value, by binary search; null lies below all."""
-    cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(len(bounds).bit_length()))]).cast("array<int>")
-    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(cuts, at + s - 1) < value, F.lit(False)), at + s).otherwise(at))
-
-
-def with_next(docs: DataFrame, order: str, columns: list[str], buckets: int = 1, bounds: list[int] | None = None, derived: dict[str, Column] | None = None) -> DataFrame:
+    total = sizes.agg(F.sum("_size")).head()[0] or 0
+    ranges = min(most, max(least, -(-total // target)))
+    parts = max(1, ranges // 8)
+    target = max(1, total // ranges)
+    dealt = sizes.repartitionByRange(parts, "_key").withColumn("_part", F.spark_partition_id())
+    run = F.sum("_size").over(Window.partitionBy("_part").orderBy("_key"))
+    # the middle of a row decides where it lies; rows of one key share the running sum and with it the piece
+    dealt = dealt.groupBy("_part", "_key").agg(F.sum("_size").alias("_size")).withColumn("_piece", F.floor((run - F.col("_size") / 2) / target))
+    heads = dealt.groupBy("_part", "_piece").agg(F.min("_key").alias("_key")).select("_key.*").collect()
+    return sorted((r["f"], r["o"], r["t"]) for r in heads)
+
+
+def range_of(key: Column, heads: list) -> Column:
+    """Number of the range, from 0, whose first key is the last that is not above `key`, by binary search in one array."""
+    cuts = F.from_json(F.lit(json.dumps([{"f": f, "o": o, "t": t} for f, o, t in heads[1:]])), "array<struct<f:int,o:bigint,t:bigint>>")
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(len(heads[1:]).bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(cuts, at + s - 1) <= key, F.lit(False)), at + s).otherwise(at))
+
+
+def with_next(docs: DataFrame, order: str, columns: list[str], buckets: int = 1, heads: list | None = None, derived: dict[str, Column] | None = None) -> DataFrame:
     """docs plus `derived` columns, and next_<column> of both of the following row in ascending `order` (cyclic), in bounded tasks.
 
-    Rows are dealt to the ranges of `order` that `bounds` end (by default `buckets` of about as many rows), one task each; each range also gets a
+    Rows are dealt to the ranges that begin at `heads` (by default about `buckets` of about as many rows), one task each; each range also gets a
     copy of the first row of the range after it, so the lead never leaves a task. Ties of
     `order` are broken by the columns' hash. Derived columns are made once per row, in its task.
     """
-    spark, derived = docs.sparkSession, derived or {}
-    if bounds is None:
-        bounds = range_bounds(docs.select(order, F.lit(1).alias("_size")), order, "_size", 2**62, buckets)
-    d = docs.withColumn("_b", place_of(F.col(order), bounds)).withColumn("_tie", F.xxhash64(*columns))
-    heads = d.groupBy("_b").agg(F.min(F.struct(order, "_tie")).alias("_m")).orderBy("_b").collect()  # one small row per range
+    derived, key = derived or {}, place_key(order, F.xxhash64(*columns))
+    if heads is None:
+        heads = range_heads(docs.select(key.alias("_key"), F.lit(1).cast("long").alias("_size")), 2**62, buckets)
     if not heads:
         return docs.withColumns(derived).select("*", *[F.col(c).alias(f"next_{c}") for c in [*columns, *derived]])
-    follow = [(heads[i]["_b"], heads[i]["_m"][order], heads[i]["_m"]["_tie"], heads[i - 1]["_b"]) for i in range(len(heads))]
-    f = spark.createDataFrame(follow, "_b int, _o bigint, _t bigint, _to int")
-    ghosts = d.join(F.broadcast(f), "_b").where(F.col(order).eqNullSafe(F.col("_o")) & (F.col("_tie") == F.col("_t")))
-    ghosts = ghosts.dropDuplicates(["_b"]).withColumn("_b", F.col("_to")).drop("_o", "_t", "_to").withColumn("_ghost", F.lit(1))
-    w = Window.partitionBy("_b").orderBy("_ghost", F.col(order).asc_nulls_first(), "_tie")
-    both = d.withColumn("_ghost", F.lit(0)).unionByName(ghosts).repartitionById(len(bounds) + 1, F.col("_b")).withColumns(derived)
+    d = docs.withColumn("_key", key).withColumn("_b", range_of(F.col("_key"), heads))
+    # the first row of a range, one of repeated ones, follows the range before
+    first = F.from_json(F.lit(json.dumps([{"f": f, "o": o, "t": t} for f, o, t in heads])), "array<struct<f:int,o:bigint,t:bigint>>")
+    ghosts = d.where(F.get(first, F.col("_b")) == F.col("_key")).dropDuplicates(["_b"]).withColumn("_b", F.pmod(F.col("_b") - 1, F.lit(len(heads)))).withColumn("_ghost", F.lit(1))
+    w = Window.partitionBy("_b").orderBy("_ghost", "_key")
+    both = d.withColumn("_ghost", F.lit(0)).unionByName(ghosts).repartitionById(len(heads), F.col("_b")).withColumns(derived)
     out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in [*columns, *derived]])
-    return out.where(F.col("_ghost") == 0).drop("_ghost", "_b", "_tie")
+    return out.where(F.col("_ghost") == 0).drop("_ghost", "_b", "_key")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -145,13 +151,13 @@ def edited_text(text: Column, following: Column) -> Column:
 def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", k: int = 128, width: int = 5, buckets: int | None = None, range_bytes: int = 128 * 2**20) -> DataFrame:
     """Per document: key, n_chars, edited (text), sketch, edited_sketch, next_sketch.
 
-    The lead's tasks are ranges of ids with about equally many bytes of text: `buckets` (by default the shuffle partitions), and more where a range would have more than `range_bytes`.
+    The lead's tasks are ranges of ids, and of hashes where ids repeat or are null, with about equally many bytes of text: about `buckets` (by default the shuffle partitions), and more where a range would have more than `range_bytes`.
     """
-    sizes = docs.select(F.col(key), (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("_size"))
+    base = docs.select(F.col(key), F.coalesce("text", F.lit("")).alias("text"))
+    sizes = base.select(place_key(key, F.xxhash64("text")).alias("_key"), (F.octet_length("text") + 64).cast("long").alias("_size"))
     sizes = table(sizes, "fingerprint-sizes")
-    bounds = range_bounds(sizes, key, "_size", range_bytes, buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heads = range_heads(sizes, range_bytes, buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     discard(sizes)
-    base = docs.select(F.col(key), F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(base, key, ["text"], bounds=bounds, derived={"sketch": sketch(F.col("text"), k, width)})
+    d = with_next(base, key, ["text"], heads=heads, derived={"sketch": sketch(F.col("text"), k, width)})
     d = d.select(key, F.length("text").cast("long").alias("n_chars"), edited_text(F.col("text"), F.col("next_text")).alias("edited"), "sketch", "next_sketch")
     return d.select("*", sketch(F.col("edited"), k, width).alias("edited_sketch"))

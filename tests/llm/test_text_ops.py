@@ -472,16 +472,36 @@ def test_fingerprints(spark):
 
 
 def test_ranges_hold_about_as_many_bytes_each(spark):
-    from quarrydoc.llm.fingerprints import place_of, range_bounds
-
-    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, 1000).otherwise(10).cast("long").alias("size"))
-    bounds = range_bounds(df, "doc_id", "size", 10**9, 8)
-    sums = [r.s for r in df.groupBy(place_of(F.col("doc_id"), bounds).alias("b")).agg(F.sum("size").alias("s")).collect()]
-    assert 6 <= len(sums) <= 9 and max(sums) <= 2 * 436_000 / 8
-    assert len(range_bounds(df, "doc_id", "size", 4360, 1)) >= 60  # no cap on the number of ranges
-    assert range_bounds(df.limit(0), "doc_id", "size", 100, 4) == []
-    rows = spark.createDataFrame([(None,), (1,), (5,), (5,), (9,)], "x long").select(place_of(F.col("x"), [1, 5, 7]).alias("b")).collect()
-    assert sorted(r.b for r in rows) == [0, 0, 1, 1, 3]
+    from quarrydoc.llm.fingerprints import place_key, range_heads, range_of
+
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, 1000).otherwise(10).cast("long").alias("_size"))
+    df = df.withColumn("_key", place_key("doc_id", F.xxhash64("doc_id")))
+    heads = range_heads(df, 10**9, 8)
+    sums = [r.s for r in df.groupBy(range_of(F.col("_key"), heads).alias("b")).agg(F.sum("_size").alias("s")).collect()]
+    assert 6 <= len(sums) <= 12 and max(sums) <= 2 * 436_000 / 8
+    assert len(range_heads(df, 4360, 1)) >= 60
+    assert len(range_heads(df, 4360, 1, most=10)) <= 20  # larger ranges then
+    assert range_heads(df.limit(0), 100, 4) == []
+    rows = spark.createDataFrame([(None,), (1,), (5,), (5,), (9,)], "x long").select(range_of(place_key("x", F.lit(0).cast("long")), [(0, 0, 0), (1, 5, 0), (1, 7, 0)]).alias("b")).collect()
+    assert sorted(r.b for r in rows) == [0, 0, 1, 1, 2]
+
+
+def test_null_ids_are_split_and_plans_do_not_grow_with_ranges(spark):
+    """Rows without an id, and those of one id, lie in many ranges, ordered by the hash of their text; every row has its successor."""
+    from quarrydoc.llm.fingerprints import place_key, range_heads, range_of, with_next
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    key = place_key("doc_id", F.xxhash64("text"))
+    heads = range_heads(df.select(key.alias("_key"), F.lit(1).cast("long").alias("_size")), 10, 1)
+    per = df.groupBy("doc_id", range_of(key, heads).alias("b")).count().collect()
+    assert len({r.b for r in per if r.doc_id is None}) > 50 and len({r.b for r in per if r.doc_id == 7}) > 50 and max(r["count"] for r in per) <= 40
+    out = with_next(df, "doc_id", ["text"], heads=heads)
+    order = [r.text for r in df.orderBy(key).collect()]
+    follows = dict(zip(order, order[1:] + order[:1]))
+    rows = out.collect()
+    assert len(rows) == 3000 and all(r.next_text == follows[r.text] for r in rows)
+    few = with_next(df, "doc_id", ["text"], heads=heads[:3])._jdf.queryExecution().logical().toString()
+    assert out._jdf.queryExecution().logical().toString().count("\n") == few.count("\n")
 
 
 def test_edited_hash(spark):
