@@ -331,11 +331,23 @@ def body_font_mode(spark, d):
     return layout.body_size(views.spans(spark, d))
 
 
-@query(f"WITH {LINE_SQL}, sc AS (SELECT doc, page, ordinal, text, CASE WHEN size / body_size >= 1.3 THEN 3 WHEN size / body_size >= 1.15 THEN 2 WHEN size / body_size >= 1.05 THEN 1 ELSE 0 END + CASE WHEN bold THEN 1 ELSE 0 END + CASE WHEN len(string_split_regex(text, '\\s+')) <= 8 THEN 1 WHEN len(string_split_regex(text, '\\s+')) > 15 THEN -3 ELSE 0 END + CASE WHEN regexp_matches(text, '[.,;:]$') THEN -2 ELSE 0 END + CASE WHEN text = upper(text) AND text <> lower(text) AND len(string_split_regex(text, '\\s+')) <= 10 THEN 1 ELSE 0 END AS score FROM ordered JOIN body USING (doc, page)) SELECT doc, page, ordinal, text, score >= 3 AS is_heading FROM sc")
+HEADING_SQL = LINE_SQL + ", sc AS (SELECT doc, page, block_no, ordinal, text, CASE WHEN size / body_size >= 1.3 THEN 3 WHEN size / body_size >= 1.15 THEN 2 WHEN size / body_size >= 1.05 THEN 1 ELSE 0 END + CASE WHEN bold THEN 1 ELSE 0 END + CASE WHEN len(string_split_regex(text, '\\s+')) <= 8 THEN 1 WHEN len(string_split_regex(text, '\\s+')) > 15 THEN -3 ELSE 0 END + CASE WHEN regexp_matches(text, '[.,;:]$') THEN -2 ELSE 0 END + CASE WHEN text = upper(text) AND text <> lower(text) AND len(string_split_regex(text, '\\s+')) <= 10 THEN 1 ELSE 0 END AS score FROM ordered JOIN body USING (doc, page))"
+
+
+@query(f"WITH {HEADING_SQL} SELECT doc, page, ordinal, text, score >= 3 AS is_heading FROM sc")
 def heading_lines(spark, d):
     return layout.headings(views.spans(spark, d)).select("doc", "page", "ordinal", "text", "is_heading")
 
 
+@query(f"""WITH {HEADING_SQL}, st AS (SELECT *, coalesce(score >= 3 AND lag(score >= 3) OVER w AND lag(block_no) OVER w = block_no, false) AS same FROM sc WINDOW w AS (PARTITION BY doc, page ORDER BY ordinal)),
+ru AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc, page ORDER BY ordinal) AS run FROM st),
+ag AS (SELECT doc, page, run, bool_or(score >= 3) AS h, string_agg(text, ' ' ORDER BY ordinal) AS title, string_agg(text, chr(10) ORDER BY ordinal) AS body FROM ru GROUP BY ALL)
+SELECT doc, page, md5(string_agg(CASE WHEN h AND len(list_filter(string_split_regex(title, '\\s+'), lambda x: x <> '')) <= 20 THEN '# ' || title ELSE body END, chr(10) ORDER BY run)) AS text FROM ag GROUP BY 1, 2""")
+def page_texts(spark, d):
+    """Spans to the text of pages: runs of heading lines of one block become heading lines."""
+    return layout.page_text(views.spans(spark, d)).withColumn("text", F.md5("text"))
+
+
 @query(f"WITH {LINE_SQL} SELECT doc, page, ordinal, block_no, line_no FROM ordered")
 def reading_order(spark, d):
     return layout.reading_order(layout.lines(views.spans(spark, d))).select("doc", "page", "ordinal", "block_no", "line_no")

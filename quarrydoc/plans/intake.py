@@ -128,6 +128,34 @@ def word_windows(spark, d):
     return t.groupBy("doc_id", F.md5("part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH RECURSIVE q AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
+n AS (SELECT doc_id, i, length(l) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS n FROM q WHERE i > 1 OR l <> ''),
+c AS (SELECT doc_id, n, sum(n) OVER w AS e, sum(n) OVER w - n AS s, sum(CASE WHEN n >= 256 THEN 1 ELSE 0 END) OVER w AS g FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, g, s, e FROM c WHERE n < 256), o AS (SELECT doc_id, g, min(s) AS s FROM r GROUP BY ALL),
+win AS (SELECT doc_id, g, o.s AS s, max(r.e) AS e FROM o JOIN r USING (doc_id, g) WHERE r.e - o.s <= 256 GROUP BY ALL
+UNION ALL (WITH nxt AS (SELECT w.doc_id, w.g, min(r.s) AS s FROM win w JOIN r f ON f.doc_id = w.doc_id AND f.g = w.g AND f.s = w.e JOIN r ON r.doc_id = w.doc_id AND r.g = w.g AND r.s >= w.s AND r.s <= w.e WHERE w.e - r.s <= 50 AND f.e - r.s <= 256 GROUP BY 1, 2)
+SELECT nxt.doc_id, nxt.g, any_value(nxt.s), max(r.e) FROM nxt JOIN r ON r.doc_id = nxt.doc_id AND r.g = nxt.g AND r.s >= nxt.s AND r.e - nxt.s <= 256 GROUP BY 1, 2)),
+long AS (SELECT doc_id, s, e, unnest(range(CASE WHEN n = 256 THEN 1 ELSE 1 + ceil((n - 256) / 206)::BIGINT END)) AS k FROM c WHERE n >= 256),
+cut AS (SELECT doc_id, s, e FROM win UNION ALL SELECT doc_id, s + 206 * k, least(e, s + 206 * k + 256) FROM long),
+t AS (SELECT doc_id, regexp_replace(substr(text, (s + 1)::BIGINT, (e - s)::BIGINT), '^\\s+|\\s+$', '', 'g') AS part FROM cut JOIN documents USING (doc_id))
+SELECT doc_id, md5(part) AS part, count(*) AS n FROM t WHERE part <> '' GROUP BY ALL""")
+def line_windows(spark, d):
+    """The splitter's recursion: greedy windows of lines, and lines of 256 characters or more split by characters."""
+    t = views.read(spark, d, "documents").select("doc_id", F.explode(chunking.split_column(256, 50, ("\n", ""))(F.col("text"))).alias("part"))
+    return t.groupBy("doc_id", F.md5("part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents),
+u AS (SELECT w, hex(w) AS h FROM (SELECT DISTINCT w FROM w)), b AS (SELECT w, flatten(list_transform(range(len(h) // 2), lambda i: [('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS b FROM u),
+k AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295) % 64 AS dim FROM b),
+n AS (SELECT doc_id, dim, count(*) AS n FROM w JOIN k USING (w) GROUP BY ALL)
+SELECT doc_id, dim::INT AS dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM n""")
+def chunk_vectors(spark, d):
+    """The embedder's vectors, one row per dimension that is not 0."""
+    v = views.read(spark, d, "documents").select("doc_id", F.posexplode(provider("embedder")(F.col("text"))).alias("dim", "value"))
+    return v.where("value <> 0").withColumn("value", F.round("value", 6))
+
+
 @query("SELECT 'en' AS chat_session_id, source AS filename, left(md5(source), 8) || '_p' || doc_id || '_c1' AS chunk_id, CASE WHEN regexp_replace(text, '\\s+', '', 'g') = '' THEN 0.0 ELSE 1.0 END AS length, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS stored FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3') AND text IS NOT NULL")
 def chunk_store(spark, d):
     """Chunks embedded and stored, then read back for one session and three files."""
