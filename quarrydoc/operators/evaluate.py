@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import hinted, table
+from ..scratch import BROADCAST_BYTES, hinted, size_of, table
 
 #: White space between words for matching; a word is what lies between.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -15,25 +15,42 @@ def holding(texts: DataFrame, items: DataFrame, text: str, item: str, width: int
     """Pairs of rows whose `text` contains `item` as it stands.
 
     An item's words but the first and the last are whole words of any text that contains it, so texts and items meet by
-    hash of their first `width` such words, and the pairs are verified. Only words that head some item are hashed in the
-    texts: their table is broadcast after a count, and joined by key beyond. Items of fewer words meet all texts one block of items at a time.
+    hash of the first `width` such words, or of all where an item has fewer, and the pairs are verified. Only (row, hash) and (row, item) travel
+    before that; texts are fetched last, for rows that met an item. Items of one or two words have no such word: they meet all
+    texts, as blocks of items that are broadcast one after the other.
     """
-    inner = F.filter(F.split(item, SPACES), lambda w: w != "")
-    its = items.withColumn("_w", F.slice(inner, 2, width)).withColumn("_last", F.size(inner) - 1)
-    long = table(its.where(F.col("_last") > width).withColumn("_h", F.xxhash64(*[F.xxhash64(F.get(F.col("_w"), F.lit(j))) for j in range(width)])).drop("_w", "_last"), "held-items")
-    short = table(its.where(F.col("_last") <= width).drop("_w", "_last"), "held-short")
+    bare = F.filter(F.split(item, SPACES), lambda w: w != "")
+    its = items.withColumns({"_i": F.xxhash64(*items.columns), "_n": F.least(F.greatest(F.size(bare) - 2, F.lit(0)), F.lit(width))})
+    widths = sorted(r["_n"] for r in its.select("_n").distinct().collect())  # at most width + 1
+    rows = texts.withColumn("_k", F.xxhash64(*texts.columns))
+    out = _met(rows, its, bare, [n for n in widths if n] or [width], text, item)
+    if 0 in widths:
+        short = table(its.where("_n = 0").drop("_n"), "held-short")
+        blocks = -(-size_of(short) // BROADCAST_BYTES)
+        for i in range(blocks):
+            block = short.where(F.pmod("_i", F.lit(blocks)) == i).drop("_i")
+            out = out.unionByName(texts.join(F.broadcast(block), F.col(text).contains(F.col(item))))
+    return out
+
+
+def _met(rows: DataFrame, items: DataFrame, bare: Column, widths: list[int], text: str, item: str) -> DataFrame:
+    """The pairs that share the hash of `_n` words in a row, verified. Rows and items of equal columns share their keys."""
+
+    def windows(h: Column, n: int) -> Column:
+        at = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(F.lit(n), *[F.get(h, i + j) for j in range(n)]))
+
+    key = F.lit(None).cast("long")
+    for n in widths:
+        key = F.when(F.col("_n") == n, F.xxhash64(F.lit(n), *[F.xxhash64(F.get(bare, F.lit(j + 1))) for j in range(n)])).otherwise(key)
+    long = table(items.where("_n > 0").withColumn("_h", key).drop("_n"), "held-items")
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
-
-    def windows(h: Column) -> Column:
-        at = F.when(F.size(h) >= width, F.sequence(F.lit(0), F.size(h) - width))
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)])))
-
     # a one-element array binds the words' hashes to a variable, so that they are made once per text
-    d = texts.withColumn("_at", F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), windows)[0])
-    found = d.select("*", F.explode("_at").alias("_h")).drop("_at").join(hinted(long), "_h").drop("_h").where(F.col(text).contains(F.col(item)))
-    if not short.head(1):
-        return found
-    return found.unionByName(texts.join(hinted(short), F.col(text).contains(F.col(item))))
+    hashes = F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.array_distinct(F.concat(*[windows(h, n) for n in widths])))[0]
+    named = table(long.select("_h", "_i").distinct(), "held-hashes")
+    pairs = table(rows.select("_k", F.explode(hashes).alias("_h")).join(hinted(named), "_h").select("_k", "_i").distinct(), "held-pairs")
+    found = rows.join(hinted(pairs), "_k").join(hinted(long), "_i").drop("_k", "_i", "_h")
+    return found.where(F.col(text).contains(F.col(item)))
 
 
 def hits(text: Column, keywords: Column) -> Column:

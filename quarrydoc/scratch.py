@@ -55,10 +55,15 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(hpath, True)
 
 
+def size_of(side: DataFrame) -> int:
+    """Bytes of the files of a table of `table`."""
+    hpath, fs = hadoop(side.sparkSession, side.scratch_path)
+    return fs.getContentSummary(hpath).getLength()
+
+
 def is_small(side: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     """Whether the files of a table of `table` are small."""
-    hpath, fs = hadoop(side.sparkSession, side.scratch_path)
-    return fs.getContentSummary(hpath).getLength() <= most
+    return size_of(side) <= most
 
 
 def hinted(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:

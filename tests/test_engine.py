@@ -371,6 +371,21 @@ def test_holding_equals_all_pairs(spark):
     assert got == sorted((i, j) for i, x in enumerate(texts) if x is not None for j, y in enumerate(items) if y in x)
 
 
+def test_holding_repeated_rows_and_blocks_of_short_items(spark, monkeypatch):
+    """Repeated texts and items each give their pairs; short items beyond the broadcast bound come in blocks; no items, no pairs."""
+    from quarrydoc import scratch
+
+    texts = ["a b c d e f g", "a b c d e f g", "a b", "c d e", None]
+    items = ["b c d e f g", "b c d e f g", "b", "b", "d e", "c d e", None, "b c"]
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    q = spark.createDataFrame([(x,) for x in items], "item string")
+    want = sorted((x, y) for x in texts if x for y in items if y and y in x)
+    for bytes_ in (scratch.BROADCAST_BYTES, 700):
+        monkeypatch.setattr(evaluate, "BROADCAST_BYTES", bytes_)
+        assert sorted((r.text, r.item) for r in evaluate.holding(t, q, "text", "item").collect()) == want
+    assert evaluate.holding(t, q.limit(0), "text", "item").count() == 0
+
+
 def test_index_versions(spark, tmp_path):
     rows = [("a", f"c{i}", "f", i, f"word{i} cat") for i in range(5)] + [("b", "z", "f", 1, "cat dog")]
     q = spark.createDataFrame([(1, "a", "cat word9"), (2, "b", "dog")], "query_id int, chat_session_id string, question string")
