@@ -158,7 +158,8 @@ def summarised(question: Column) -> Column:
 
 
 def data_url(image: Column, mime: str = "image/png") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(image))
+    """Spark breaks base64 at 76 characters; a data URL is one line."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(image), "\r\n", ""))
 
 
 def portable_hash(c: Column) -> Column:

@@ -1,5 +1,6 @@
 """Prefix scans, automata, binned ranges, pivots, the file source and timers, each against the plain way."""
 
+import base64
 import random
 import time
 
@@ -175,3 +176,11 @@ def test_sessions_expire_without_a_later_event(spark, tmp_path):
         assert found() == [(1, 2, "2024-01-01 00:00:00", "2024-01-01 05:00:00"), (2, 1, "2024-01-03 00:00:00", "2024-01-03 00:00:00")]
     finally:
         spark.conf.set(expiry.STATE_STORE[0], before)
+
+
+def test_data_url_is_one_line(spark):
+    """Addresses of 58 bytes and more took a second line of base64."""
+    from quarrydoc.functions.text import data_url
+
+    got = spark.createDataFrame([(n, b"x" * n) for n in (0, 57, 58, 300)], "n int, b binary").select("n", data_url(F.col("b")).alias("u")).collect()
+    assert all(r.u == "data:image/png;base64," + base64.b64encode(b"x" * r.n).decode() for r in got)
