@@ -25,8 +25,8 @@ from ..sources.snapshots import GONE, Snapshot
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Chunks of a slice; folders of a segment's blocks, by session; slices per query that are scored for a first bound.
 SLICE, PARTS, SEEDS = 128, 256, 4
-#: Tokens of a task of the build: some tasks per core, between these bounds.
-TASK_TOKENS = (250_000, 4_000_000)
+#: Tokens of a task of the build: some tasks per core, between these bounds. What a task sorts stays in memory at any size of the collection.
+TASK_TOKENS = (250_000, 1_000_000)
 #: More names than these are joined, not listed in a filter.
 LISTED = 500
 POSTINGS = "part int, session string, term string, slice long, n int, max_tf int, min_dl long, docs array<struct<chunk:string,tf:int,dl:bigint>>"
@@ -76,17 +76,6 @@ def part_score(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def term_counts(text: Column) -> Column:
-    """array<struct<term, tf>> of a text, counted in its row: sorted tokens, cut where they change."""
-
-    def counted(x: Column) -> Column:
-        changes = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
-        pairs = F.transform(F.array(changes), lambda at: F.transform(at, lambda i, j: F.struct(F.get(x, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(x)) - i).alias("tf"))))
-        return F.when(F.size(x) > 0, F.get(pairs, F.lit(0)))
-
-    return F.get(F.transform(F.array(F.sort_array(tokens(text))), counted), F.lit(0))
-
-
 def _class(dl: Column) -> Column:
     """Chunks of one class differ in length by less than half."""
     return F.floor(2 * F.log2(dl + 1.0)).cast("long")
@@ -109,12 +98,66 @@ def _placed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return d.withColumn("shard", F.pmod(F.xxhash64("session", "slice"), F.greatest(F.lit(1), F.col("shards")))).repartition(int(2 * total // share + 1), "part", "shard").drop("class", "slices", "shards")
 
 
+def _written(blocks: DataFrame) -> Callable[[str], None]:
+    return lambda path: blocks.sortWithinPartitions("part", "session", "term", "slice").write.partitionBy("part").parquet(path)
+
+
 def _blocks(entries: DataFrame) -> Callable[[str], None]:
     """A writer of posting blocks from placed entries (part, shard, session, slice, term, chunk, tf, dl); no further shuffle."""
     doc = F.struct("chunk", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("long").alias("dl"))
     agg = [F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("long").alias("min_dl"), F.collect_list(doc).alias("docs")]
     d = entries.groupBy("part", "shard", "session", "slice", "term").agg(*agg).select("part", "session", "term", "slice", "n", "max_tf", "min_dl", "docs")
-    return lambda path: d.sortWithinPartitions("part", "session", "term", "slice").write.partitionBy("part").parquet(path)
+    return _written(d)
+
+
+def _slice_blocks(part: int, session: str | None, slice_: int, chunks, words, dl):
+    """The posting blocks of one slice: its chunks, their words (lists) and lengths as Arrow arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    coded = words.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(chunks)), words.value_lengths().to_numpy(zero_copy_only=False))
+    pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(chunks) + owner, return_counts=True)
+    code, at = pairs // len(chunks), pairs % len(chunks)
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    dl = dl.to_numpy(zero_copy_only=False)[at]
+    n, tf = np.diff(np.append(first, len(pairs))).astype(np.int32), tf.astype(np.int32)
+    docs = pa.StructArray.from_arrays([chunks.take(pa.array(at)), pa.array(tf), pa.array(dl)], ["chunk", "tf", "dl"])
+    docs = pa.ListArray.from_arrays(pa.array(np.append(first, len(pairs)).astype(np.int32)), docs)
+    whole = lambda v, kind: pa.repeat(pa.scalar(v, kind), len(first))
+    columns = [whole(part, pa.int32()), whole(session, pa.string()), coded.dictionary.take(pa.array(code[first])), whole(slice_, pa.int64()), pa.array(n), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl, first)), docs]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "session", "term", "slice", "n", "max_tf", "min_dl", "docs"])
+
+
+def _blocks_of_words(placed: DataFrame) -> Callable[[str], None]:
+    """A writer of posting blocks from placed chunks (part, shard, session, slice, chunk, dl, words): words are counted slice by slice, where the slice lies."""
+
+    def build(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def blocks(rows):
+            part, session, at = (rows.column(n)[0].as_py() for n in ("part", "session", "slice"))
+            return _slice_blocks(part, session, at, rows["chunk"].combine_chunks(), pc.split_pattern(rows["words"].combine_chunks(), " "), rows["dl"].combine_chunks())
+
+        open_ = None  # the rows of the last slice seen, which may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if open_ is None else pa.concat_tables([open_, rows])
+            if not rows.num_rows:
+                continue
+            at = rows["slice"].to_numpy()
+            own = pc.fill_null(rows["session"], "").combine_chunks().dictionary_encode().indices.to_numpy()
+            cuts = np.flatnonzero((at[1:] != at[:-1]) | (own[1:] != own[:-1])) + 1
+            for start, end in zip(np.append(0, cuts), cuts):
+                yield blocks(rows.slice(start, end - start))
+            open_ = rows.slice(cuts[-1] if len(cuts) else 0)
+        if open_ is not None and open_.num_rows:
+            yield blocks(open_)
+
+    d = placed.where("dl > 0").select("part", "session", "slice", "chunk", "dl", "words").sortWithinPartitions("part", "session", "slice")
+    return _written(d.mapInArrow(build, POSTINGS))
 
 
 def _merged_stats(spark: SparkSession, path: str, touched: DataFrame, fresh: DataFrame) -> Callable[[Snapshot, Snapshot], dict[str, DataFrame]]:
@@ -141,14 +184,13 @@ def _without_gone(base: Snapshot, new: Snapshot) -> Snapshot:
 
 def segment(chunks: DataFrame, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text"):
     """(rows for `snapshots.publish`, derive, tables to discard afterwards) that add chunks to the index of a store."""
-    c = chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), term_counts(F.col(text)).alias("terms"))
-    dl = F.coalesce(F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]), F.lit(0).cast("long"))
-    c = table(c.withColumn("dl", dl), "bm25-terms")
+    # a one-element array binds the tokens to a variable, so that they are made once per text
+    found = F.transform(F.array(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))), lambda x: F.struct(F.array_join(x, " ").alias("words"), F.size(x).cast("long").alias("dl")))[0]
+    c = table(chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), found.alias("t")).select("session", "chunk", "t.*"), "bm25-words")
     sizes = table(c.groupBy("session", _class(F.col("dl")).alias("class")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens")), "bm25-sizes")
-    entries = _placed(c, sizes).select("part", "shard", "session", "slice", "chunk", "dl", F.explode("terms").alias("t")).select("*", "t.*").drop("t")
     fresh = sizes.groupBy("session").agg(F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens"))
     touched = table(fresh.select("session"), "bm25-sessions")
-    rows = {"postings": _blocks(entries), "lengths": c.select("session", "chunk", "dl")}
+    rows = {"postings": _blocks_of_words(_placed(c, sizes)), "lengths": c.select("session", "chunk", "dl")}
     return rows, lambda path: _merged_stats(chunks.sparkSession, path, touched, fresh), [c, sizes, touched]
 
 
