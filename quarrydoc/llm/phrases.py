@@ -6,7 +6,8 @@ and another at p + 1, the first goes on with the last word of the second, and al
 over the blocks counts the extensions, by the lengths of their lists; sums over the blocks are exact frequencies, and those of `min_count` or more in the
 whole corpus of their language get a number. A second pass keeps their lists as the blocks of the next level. Only counts are shuffled, summed per block before.
 
-Frequent phrases are sent to all blocks where their table is small; beyond, each block is joined with those of its own phrases that are frequent.
+Frequent phrases are sent to all blocks where their table is small; beyond, each block is preceded in its task by rows of those of its own phrases that are frequent,
+so that no task holds more than a block's.
 Numbers become words again for frequent phrases alone, of which there are at most n / min_count per length.
 
 Defined results: null text is empty, null language is `und`; repeated rows count each time, whatever their ids; pieces without words are nothing;
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import discard, is_small, table
 
 BLOCK_WORDS = 1_000_000
+#: Bytes of a row group of a table of blocks; blocks of a task in which they meet their own phrases, about.
+GROUP_BYTES, TASK_BLOCKS = 16 * 2**20, 2
 #: Bytes that end a piece (become LF) and the tab that separates words as a space does.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 PIECES = bytes(10 if b in ENDS else (32 if b == 9 else b) for b in range(256))
@@ -130,14 +133,32 @@ def numbered(keys: DataFrame, by: list[str], min_count: int, name: str) -> DataF
 
 
 def with_known(blocks: DataFrame, keys: DataFrame, found: DataFrame, by: list[str], known: DataFrame):
-    """(blocks, what is sent to all of them): frequent keys that are few are sent, else each block gets those of its own keys as the column `known`.
+    """(rows, what is sent to all of them): frequent keys that are few are sent, else each block gets those of its own keys, as rows before its own (`own_keys`).
 
     keys: (block, by) of the blocks; known: the columns of `found` that blocks need.
     """
     if is_small(found):
-        return blocks, blocks.sparkSession.sparkContext.broadcast(known.toPandas())
-    own = keys.join(known, by).groupBy("block").agg(F.collect_list(F.struct(*known.columns)).alias("known"))
-    return blocks.join(own, "block"), None
+        return blocks, blocks.sparkSession.sparkContext.broadcast(known.toArrow())
+    own = keys.join(known, by).select("block", *[F.col(c).alias(f"own_{c}") for c in known.columns], F.lit(0).alias("_last"))
+    tasks = -(-blocks.count() // TASK_BLOCKS) or 1
+    rows = blocks.withColumn("_last", F.lit(1)).unionByName(own, allowMissingColumns=True)
+    return rows.repartition(tasks, "block").sortWithinPartitions("block", "_last"), None
+
+
+def own_keys(batches, columns: list[str]):
+    """(batch, place of a block in it, the block's own frequent keys) of the rows of `with_known`."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = []
+    for batch in batches:
+        own = batch.select([f"own_{c}" for c in columns]).rename_columns(columns)
+        start = 0
+        for i in np.flatnonzero(batch.column("_last").to_numpy()).tolist():
+            parts.append(own.slice(start, i - start))
+            yield batch, i, pa.Table.from_batches(parts)
+            parts, start = [], i + 1
+        parts.append(own.slice(start))
 
 
 def first_lists(posts: DataFrame, found: DataFrame) -> DataFrame:
@@ -148,16 +169,23 @@ def first_lists(posts: DataFrame, found: DataFrame) -> DataFrame:
     def renumber(batches):
         import numpy as np
         import pyarrow as pa
-
-        ids: dict[tuple, int] = {(lang, w): i for lang, w, i in sent.value.itertuples(index=False)} if sent else {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = ids if sent else {(k["lang"], k["word"]): k["id"] for k in batch.column("known")[i].as_py()}
-                lang = batch.column("lang")[i].as_py()
-                new = np.array([own.get((lang, w), -1) for w in batch.column("words")[i].as_py()], np.int64)
-                sizes, gaps = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("sizes", "gaps"))
-                each = np.repeat(new, sizes)
-                phrases, sizes, gaps = lists_of(each[each >= 0], np.cumsum(gaps)[each >= 0])
+        import pyarrow.compute as pc
+
+        every: dict[str, pa.Table] = {}
+
+        def of(lang):
+            if lang not in every:
+                every[lang] = sent.value.filter(pc.equal(sent.value["lang"], lang))
+            return every[lang]
+
+        each_block = ((b, i, of(b.column("lang")[i].as_py())) for b in batches for i in range(b.num_rows)) if sent else own_keys(batches, ["lang", "word", "id"])
+        for batch, i, known in each_block:
+            at = pc.index_in(batch.column("words")[i].values, value_set=known["word"].combine_chunks())
+            new = pc.fill_null(known["id"].combine_chunks().take(at), -1).to_numpy(zero_copy_only=False)
+            sizes, gaps = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("sizes", "gaps"))
+            each = np.repeat(new, sizes)
+            phrases, sizes, gaps = lists_of(each[each >= 0], np.cumsum(gaps)[each >= 0])
+            if len(phrases):
                 yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), one(pa.array(phrases)), one(pa.array(phrases)), one(pa.array(sizes)), one(pa.array(gaps))], names=["block", "phrases", "lasts", "sizes", "gaps"])
 
     return blocks.mapInArrow(renumber, LISTS)
@@ -202,37 +230,37 @@ def longer_lists(blocks: DataFrame, found: DataFrame) -> DataFrame:
             i = np.minimum(np.searchsorted(where, values), max(0, len(where) - 1))
             return i, (where[i] == values if len(where) else np.zeros(len(values), bool))
 
-        known = index(*(sent.value[c].to_numpy(np.int64) for c in ("phrase", "word", "id"))) if sent else None
-        for batch in batches:
-            for i, (phrases, lasts, sizes, gaps) in enumerate(arrays(batch, ["phrases", "lasts", "sizes", "gaps"])):
-                if not sent:
-                    own = batch.column("known")[i].values
-                    known = index(*(own.field(c).to_numpy(zero_copy_only=False) for c in ("phrase", "word", "id")))
-                heads, tails, keys, new = known
-                at, a, b, words = neighbours(lasts, sizes, gaps)
-                h, ok_h = find(phrases, heads)
-                t, ok_t = find(words, tails)
-                k, ok = find(h[a] * len(tails) + t[b], keys)
-                ok &= ok_h[a] & ok_t[b]
-                ids, sizes, gaps = lists_of(new[k[ok]], at[ok])
-                last = np.empty(len(ids), np.int64)
-                last[np.searchsorted(ids, new[k[ok]])] = words[b[ok]]
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), one(pa.array(ids)), one(pa.array(last)), one(pa.array(sizes)), one(pa.array(gaps))], names=["block", "phrases", "lasts", "sizes", "gaps"])
+        columns = lambda t: [t[c].to_numpy() for c in ("phrase", "word", "id")]
+        every = index(*columns(sent.value)) if sent else None
+        each_block = ((b, i, None) for b in batches for i in range(b.num_rows)) if sent else own_keys(batches, ["phrase", "word", "id"])
+        for batch, i, own in each_block:
+            phrases, lasts, sizes, gaps = next(arrays(batch.slice(i, 1), ["phrases", "lasts", "sizes", "gaps"]))
+            known = every if sent else index(*columns(own))
+            heads, tails, keys, new = known
+            at, a, b, words = neighbours(lasts, sizes, gaps)
+            h, ok_h = find(phrases, heads)
+            t, ok_t = find(words, tails)
+            k, ok = find(h[a] * len(tails) + t[b], keys)
+            ok &= ok_h[a] & ok_t[b]
+            ids, sizes, gaps = lists_of(new[k[ok]], at[ok])
+            last = np.empty(len(ids), np.int64)
+            last[np.searchsorted(ids, new[k[ok]])] = words[b[ok]]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), one(pa.array(ids)), one(pa.array(last)), one(pa.array(sizes)), one(pa.array(gaps))], names=["block", "phrases", "lasts", "sizes", "gaps"])
 
     return blocks.mapInArrow(grow, LISTS)
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = 5, min_count: int = 100, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """((lang, n): words per language, (lang, phrase, k, f): all phrases of up to max_words words with min_count occurrences)."""
-    posts = table(word_lists(docs, block_words), "phrase-words", "zstd")
+    posts = table(word_lists(docs, block_words), "phrase-words", "zstd", GROUP_BYTES)
     totals = table(posts.groupBy("lang").agg(F.sum(F.size("gaps").cast("long")).alias("n")), "phrase-totals")
     size = F.arrays_zip(F.col("words").alias("word"), F.col("sizes").alias("n"))
     found = numbered(posts.select("lang", F.explode(size).alias("w")).select("lang", "w.*"), ["lang", "word"], min_count, "phrase-frequent-1")
     words = found.select(F.col("id").alias("word"), F.col("word").alias("spelt"))
     words = F.broadcast(words) if is_small(found) else words
     names = found.select("id", "lang", F.col("word").alias("text"), F.lit(1).alias("k"), "f")
-    levels, blocks = [names], table(first_lists(posts, found), "phrase-lists-1", "zstd")
+    levels, blocks = [names], table(first_lists(posts, found), "phrase-lists-1", "zstd", GROUP_BYTES)
     discard(posts)
     for k in range(2, max_words + 1):
         found = numbered(extensions(blocks), ["phrase", "word"], min_count, f"phrase-frequent-{k}")
@@ -240,7 +268,7 @@ def frequent_phrases(docs: DataFrame, max_words: int = 5, min_count: int = 100,
         named = found.join(parent, "phrase").join(words, "word")
         names = table(named.select("id", "lang", F.concat_ws(" ", "head", "spelt").alias("text"), F.lit(k).alias("k"), "f"), f"phrase-names-{k}")
         levels.append(names)
-        longer = table(longer_lists(blocks, found), f"phrase-lists-{k}", "zstd") if k < max_words else None
+        longer = table(longer_lists(blocks, found), f"phrase-lists-{k}", "zstd", GROUP_BYTES) if k < max_words else None
         discard(blocks)
         blocks = longer
     every = levels[0]

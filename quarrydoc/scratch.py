@@ -39,10 +39,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor costs nothing done. codec: other than the session's."""
+def table(df: DataFrame, name: str, codec: str | None = None, group_bytes: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor costs nothing done.
+
+    codec: other than the session's; group_bytes: of a row group, which writers and readers hold whole, where rows are large (else looked at each hundred rows).
+    """
     path = fresh_path(df.sparkSession, name)
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1)
+    writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -28,3 +28,34 @@ def test_blocks_of_words(spark, tmp_path, monkeypatch):
 def test_build_tasks_do_not_grow():
     """A task of the build sorts a million tokens at most; four times as many spilled."""
     assert lexical.TASK_TOKENS[1] <= 1_000_000
+
+
+def test_large_rows_share_no_row_group(spark):
+    """Rows of a megabyte: a row group holds few of them, however many a task writes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from quarrydoc.scratch import table
+
+    rows = spark.range(0, 40, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(250_000)), lambda i: F.hash(F.col("id"), i)).alias("x"))
+    t = table(rows, "large-rows", "zstd", 4 * 2**20)
+    files = glob.glob(t.scratch_path.removeprefix("file://") + "/*.parquet")
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 8
+    assert t.count() == 40
+
+
+def test_own_phrases_come_as_rows(spark, monkeypatch):
+    """Beyond a broadcast, a block's frequent phrases are rows of its task; no row or group holds all of them."""
+    from quarrydoc.llm import phrases
+
+    docs = spark.createDataFrame([(f"a b c d{i % 3} e", "en") for i in range(300)], "text string, lang string")
+    sent = sorted(map(tuple, phrases.collocations(docs, block_words=40).collect()))
+    monkeypatch.setattr(phrases, "is_small", lambda *_: False)
+    assert sorted(map(tuple, phrases.collocations(docs, block_words=40).collect())) == sent and sent
+    posts = phrases.table(phrases.word_lists(docs, 40), "posts")
+    found = phrases.numbered(posts.select("lang", F.explode("words").alias("word"), F.lit(1).alias("n")), ["lang", "word"], 1, "found")
+    rows, _ = phrases.with_known(posts, posts.select("block", "lang", F.explode("words").alias("word")), found, ["lang", "word"], found.select("lang", "word", "id"))
+    assert not [n for n, kind in rows.dtypes if kind.startswith("array<struct")]
+    assert rows.groupBy(F.spark_partition_id()).agg(F.countDistinct("block").alias("n")).agg(F.max("n")).head()[0] <= 8 * phrases.TASK_BLOCKS
