@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import BROADCAST_BYTES, hinted, size_of, table
+from ..scratch import BROADCAST_BYTES, hinted, is_small, size_of, table
 
 #: White space between words for matching; a word is what lies between.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -54,7 +54,8 @@ def _met(rows: DataFrame, items: DataFrame, bare: Column, widths: list[int], tex
 
 
 def hits(text: Column, keywords: Column) -> Column:
-    return F.size(F.filter(keywords, lambda k: F.lower(text).contains(F.lower(k))))
+    # a one-element array binds the lower-cased text to a variable, so that it is made once per row
+    return F.transform(F.array(F.lower(text)), lambda t: F.size(F.filter(keywords, lambda k: t.contains(F.lower(k)))))[0]
 
 
 def keyword_match(text: Column, keywords: Column, share: float = 0.5) -> Column:
@@ -80,8 +81,13 @@ def recall_mrr(ranks: DataFrame, k: int) -> DataFrame:
 
 
 def verify_gold(gold: DataFrame, pages: DataFrame) -> DataFrame:
-    """Per item: the pages of its source that hold most of its keywords, and whether the expected one is among them."""
-    d = gold.join(pages.withColumnRenamed("source", "expected_source"), "expected_source")
+    """Per item: the pages of its source that hold most of its keywords, and whether the expected one is among them.
+
+    The items travel to the pages, so that no text does, unless there are too many.
+    """
+    gold = table(gold, "gold-items")
+    sought = gold.select("query_id", "expected_source", "expected_keywords")
+    d = pages.withColumnRenamed("source", "expected_source").join(F.broadcast(sought) if is_small(gold) else sought, "expected_source")
     d = d.where(majority_match(F.col("text"), F.col("expected_keywords"))).groupBy("query_id").agg(F.array_sort(F.collect_set("page")).alias("found"))
     out = gold.select("query_id", "expected_page").join(d, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<int>")))
     return out.withColumn("status", F.when(F.array_contains("found", F.col("expected_page")), "OK").otherwise("MISMATCH"))

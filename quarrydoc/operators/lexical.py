@@ -23,7 +23,7 @@ from ..sources import snapshots
 from ..sources.snapshots import GONE, Snapshot
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Chunks of a slice; folders of a segment's blocks, by session; slices per query that are scored for a first bound.
+#: Chunks of a slice; folders of a segment's blocks, by session; slices per query that are scored for a first bound, at least.
 SLICE, PARTS, SEEDS = 128, 256, 4
 #: Tokens of a task of the build: some tasks per core, between these bounds. What a task sorts stays in memory at any size of the collection.
 TASK_TOKENS = (250_000, 1_000_000)
@@ -309,7 +309,8 @@ class Search:
         self.few = is_small(self.raw) and is_small(self.q)
         slices = table(self.slices(), "bm25-slices")
         first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "batch", "slice")
-        seeds = slices.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SEEDS).select("query_id", "batch", "slice")
+        # the best chunks may lie in a slice each, so the k-th score is a high one only if so many are looked at
+        seeds = slices.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= max(SEEDS, self.k)).select("query_id", "batch", "slice")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"))
         kth = self.scored(seeds, is_small(self.q)).where("score > 0").withColumn("_r", F.row_number().over(best)).where(F.col("_r") == self.k).select("query_id", F.col("score").alias("beat"))
         # ranks are by nine decimals, and sums differ in their last bits with the order of their parts

@@ -59,3 +59,13 @@ def test_own_phrases_come_as_rows(spark, monkeypatch):
     rows, _ = phrases.with_known(posts, posts.select("block", "lang", F.explode("words").alias("word")), found, ["lang", "word"], found.select("lang", "word", "id"))
     assert not [n for n, kind in rows.dtypes if kind.startswith("array<struct")]
     assert rows.groupBy(F.spark_partition_id()).agg(F.countDistinct("block").alias("n")).agg(F.max("n")).head()[0] <= 8 * phrases.TASK_BLOCKS
+
+
+def test_gold_is_verified_without_a_search(spark, data, monkeypatch):
+    """The check of the items needs no index and moves no text."""
+    from quarrydoc.plans import catalog
+
+    monkeypatch.setattr(catalog, "index_of", None)
+    got = catalog.QUERIES["gold_verify"](spark, data)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString().split("FileScan parquet [source")[0]
+    assert all(r.n_found > 0 for r in got.collect())
