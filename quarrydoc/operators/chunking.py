@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from .prefix import carry_forward, page_bucket
 #: Separators from coarse to fine, characters of a chunk, characters shared with the one before.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 SIZE, OVERLAP = 512, 100
+#: Characters of parts that a worker holds as Python strings.
+HELD = 2**20
 
 
 def sections(pages: DataFrame) -> DataFrame:
@@ -89,13 +91,22 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, seps: tuple[
 
 
 def split_column(size: int = SIZE, overlap: int = OVERLAP, seps: tuple[str, ...] = SEPARATORS):
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    @pandas_udf("array<string>")
-    def split_series(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t or "", size, overlap, seps))
-
-    return split_series
+    """Texts become Python strings one at a time, and their parts Arrow's after every few, so that a worker holds a batch's bytes and little more."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<string>")
+    def split_texts(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        done, parts, held = [], [], 0
+        for t in texts:
+            parts.append(split_text(t.as_py() or "", size, overlap, seps))
+            held += sum(map(len, parts[-1]))
+            if held >= HELD:
+                done.append(pa.array(parts, kind))
+                parts, held = [], 0
+        return pa.concat_arrays([*done, pa.array(parts, kind)])
+
+    return split_texts
 
 
 def chunk_pages(pages: DataFrame, extras: DataFrame | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,21 +40,24 @@ def model_column(load: Callable[[], Callable], kind: str, threads: int = 0) -> P
 def hashing_embedder(text: Column, dims: int = 64) -> Column:
     """Unit vector of token counts by hash; a stand-in for a sentence model, with the batches and the one load per worker that such a model has."""
 
-    def load():
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import zlib
 
         import numpy as np
 
-        def embed(batch: list) -> list:
-            out = []
-            for words in batch:
-                v = np.bincount([zlib.crc32(w.encode()) % dims for w in words], minlength=dims).astype(float) if len(words) else np.zeros(dims)
-                out.append((v / (np.sqrt((v * v).sum()) or 1.0)).tolist())
-            return out
-
-        return embed
+        for batch in batches:
+            out = np.zeros((len(batch), dims))
+            for i, words in enumerate(batch):  # one list of words at a time becomes Python's
+                found = words.as_py()
+                if found:
+                    out[i] = np.bincount([zlib.crc32(w.encode()) % dims for w in found], minlength=dims)
+            out /= np.sqrt((out * out).sum(axis=1, keepdims=True)).clip(min=1e-300)
+            yield pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * dims, pa.array(out.ravel()))
 
-    return model_column(load, "array<double>")(F.coalesce(tokens(text), F.array().cast("array<string>")))
+    return embed(F.coalesce(tokens(text), F.array().cast("array<string>")))
 
 
 def described(image: Column, caption: Column) -> Column:
