@@ -93,21 +93,14 @@ def _placed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     shards = sizes.groupBy(part.alias("part")).agg(F.ceil(F.sum("tokens") / share).alias("shards"))  # PARTS rows at most
     known = sizes.select("session", "class", F.greatest(F.lit(1), F.ceil(F.col("chunks") / SLICE)).alias("slices"))
     known = F.broadcast(known) if is_small(sizes) else known
-    d = rows.withColumns({"class": _class(F.col("dl")), "part": part}).join(known, ["session", "class"]).join(F.broadcast(shards), "part")
+    # every row has its size, so the left join loses none; an inner one would have the class made once more to see that it is not null
+    d = rows.where("session is not null").withColumns({"class": _class(F.col("dl")), "part": part}).join(known, ["session", "class"], "left").join(F.broadcast(shards), "part")
     d = d.withColumn("slice", F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk"), F.col("slices")))
     return d.withColumn("shard", F.pmod(F.xxhash64("session", "slice"), F.greatest(F.lit(1), F.col("shards")))).repartition(int(2 * total // share + 1), "part", "shard").drop("class", "slices", "shards")
 
 
 def _written(blocks: DataFrame) -> Callable[[str], None]:
-    return lambda path: blocks.sortWithinPartitions("part", "session", "term", "slice").write.partitionBy("part").parquet(path)
-
-
-def _blocks(entries: DataFrame) -> Callable[[str], None]:
-    """A writer of posting blocks from placed entries (part, shard, session, slice, term, chunk, tf, dl); no further shuffle."""
-    doc = F.struct("chunk", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("long").alias("dl"))
-    agg = [F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").cast("long").alias("min_dl"), F.collect_list(doc).alias("docs")]
-    d = entries.groupBy("part", "shard", "session", "slice", "term").agg(*agg).select("part", "session", "term", "slice", "n", "max_tf", "min_dl", "docs")
-    return _written(d)
+    return lambda path: blocks.sortWithinPartitions("part", "session", "term", "slice").write.option("compression", "zstd").partitionBy("part").parquet(path)
 
 
 def _slice_blocks(part: int, session: str | None, slice_: int, chunks, words, dl):
@@ -144,6 +137,7 @@ def _blocks_of_words(placed: DataFrame) -> Callable[[str], None]:
         open_ = None  # the rows of the last slice seen, which may go on in the next batch
         for batch in batches:
             rows = pa.Table.from_batches([batch])
+            rows = rows.filter(pc.greater(rows["dl"], 0))
             rows = rows if open_ is None else pa.concat_tables([open_, rows])
             if not rows.num_rows:
                 continue
@@ -156,7 +150,7 @@ def _blocks_of_words(placed: DataFrame) -> Callable[[str], None]:
         if open_ is not None and open_.num_rows:
             yield blocks(open_)
 
-    d = placed.where("dl > 0").select("part", "session", "slice", "chunk", "dl", "words").sortWithinPartitions("part", "session", "slice")
+    d = placed.select("part", "session", "slice", "chunk", "dl", "words").sortWithinPartitions("part", "session", "slice")
     return _written(d.mapInArrow(build, POSTINGS))
 
 
@@ -183,15 +177,19 @@ def _without_gone(base: Snapshot, new: Snapshot) -> Snapshot:
 
 
 def segment(chunks: DataFrame, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text"):
-    """(rows for `snapshots.publish`, derive, tables to discard afterwards) that add chunks to the index of a store."""
+    """(rows for `snapshots.publish`, derive, tables to discard afterwards) that add chunks to the index of a store.
+
+    The first table has a row (session, chunk, dl) per chunk. Texts are read twice, for their lengths and for their words, so that no copy of the words is written.
+    """
     # a one-element array binds the tokens to a variable, so that they are made once per text
     found = F.transform(F.array(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))), lambda x: F.struct(F.array_join(x, " ").alias("words"), F.size(x).cast("long").alias("dl")))[0]
-    c = table(chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), found.alias("t")).select("session", "chunk", "t.*"), "bm25-words")
-    sizes = table(c.groupBy("session", _class(F.col("dl")).alias("class")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens")), "bm25-sizes")
+    c = chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), found.alias("t")).select("session", "chunk", "t.*")
+    dl = table(lengths(chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), F.coalesce(text, F.lit("")).alias("text")), "session", "chunk"), "bm25-lengths")
+    sizes = table(dl.groupBy("session", _class(F.col("dl")).alias("class")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens")), "bm25-sizes")
     fresh = sizes.groupBy("session").agg(F.sum("chunks").alias("n"), F.sum("tokens").alias("tokens"))
     touched = table(fresh.select("session"), "bm25-sessions")
-    rows = {"postings": _blocks_of_words(_placed(c, sizes)), "lengths": c.select("session", "chunk", "dl")}
-    return rows, lambda path: _merged_stats(chunks.sparkSession, path, touched, fresh), [c, sizes, touched]
+    rows = {"postings": _blocks_of_words(_placed(c, sizes)), "lengths": dl}
+    return rows, lambda path: _merged_stats(chunks.sparkSession, path, touched, fresh), [dl, sizes, touched]
 
 
 def add_to_index(chunks: DataFrame, path: str, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text", once: tuple[str, int] | None = None, anew: bool = False) -> Snapshot:
@@ -201,7 +199,7 @@ def add_to_index(chunks: DataFrame, path: str, session: str = "chat_session_id",
         return snapshots.current(spark, path)
     rows, derive, used = segment(chunks, session, key, text)
     if anew:
-        rows[GONE] = used[2].select("session")
+        rows[GONE] = used[-1].select("session")
     s = snapshots.publish(spark, path, rows, derive(path), once)
     discard(*used)
     return s
@@ -217,14 +215,33 @@ def invalidate(spark: SparkSession, path: str, sessions: DataFrame, session: str
     snapshots.delete_sessions(spark, path, sessions.select(session))
 
 
+def _moves(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """A table (session, batch, slice, to, alone, postings) of the numbers that slices take in one segment, and the tasks that merge those not alone.
+
+    A slice has as many chunks at least as its commonest term has, and as its postings fill at the greatest length of its class; merged slices
+    have about SLICE of these together.
+    """
+    base = F.lit(1 << 40)
+    d = blocks.groupBy("session", "batch", "slice").agg(F.max("n").alias("most"), F.sum("n").alias("postings")).withColumn("class", F.floor(F.col("slice") / base))
+    d = d.withColumn("chunks", F.greatest(F.col("most").cast("double"), F.col("postings") / F.pow(F.lit(2.0), (F.col("class") + 1) / 2))).withColumn("whole", F.col("chunks") >= SLICE / 2)
+    w = Window.partitionBy("session", "class", "whole").orderBy("batch", "slice")
+    before = F.coalesce(F.sum("chunks").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    number = F.when(F.col("whole"), 2 * F.row_number().over(w)).otherwise(2 * F.floor(before / SLICE) + 1)
+    d = d.withColumn("to", (F.col("class") * base + number).cast("long"))
+    d = table(d.withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("session", "to")) == 1).select("session", "batch", "slice", "to", "alone", "postings"), "bm25-moves")
+    moved = d.where("not alone").agg(F.sum("postings")).head()[0] or 0
+    return d, int(2 * moved // TASK_TOKENS[1] + 1)
+
+
 def rewritten(spark: SparkSession, path: str) -> dict[str, Callable[[Snapshot], snapshots.Rows]]:
-    """For `snapshots.compact`: the index tables as one segment, blocks cut anew from the postings that are left."""
+    """For `snapshots.compact`: the index tables as one segment. Slices of half the size or more only take new numbers, where they lie; smaller ones of a class are merged whole."""
 
     def blocks(s: Snapshot) -> Callable[[str], None]:
-        left = snapshots.scan(spark, path, "lengths", LENGTHS, s)
-        sizes = table(left.groupBy("session", _class(F.col("dl")).alias("class")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens")), "bm25-sizes")
-        docs = _postings(spark, path, s).select("session", "term", F.explode("docs").alias("d")).select("session", "term", "d.*")
-        return _blocks(_placed(docs, sizes))
+        moves, n = _moves(_postings(spark, path, s))
+        d = _postings(spark, path, s).join(hinted(moves), ["session", "batch", "slice"]).select("part", "session", "term", F.col("to").alias("slice"), "n", "max_tf", "min_dl", "docs", "alone")
+        agg = [F.sum("n").cast("int").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"), F.flatten(F.collect_list("docs")).alias("docs")]
+        few = d.where("not alone").repartition(n, "part", "session", "slice").groupBy("part", "session", "term", "slice").agg(*agg)
+        return _written(d.where("alone").drop("alone").unionByName(few))
 
     return {
         "postings": blocks,

@@ -46,23 +46,21 @@ def rows_of(spark: SparkSession, store: str, name: str, snapshot: Snapshot | Non
 
 
 def _batch(rows: DataFrame, name: str) -> snapshots.Writer:
-    """Rows in the columns of their table; a session's rows lie together, so that session filters skip most of the files' parts."""
+    """Rows in the columns of their table; a session's rows lie together in each file, so that session filters skip most of the files' pages. Nothing is shuffled."""
     columns = [F.col(n).cast(kind).alias(n) for n, kind in (c.split() for c in TABLES[name].split(", "))]
-    return lambda path: rows.select(*columns).hint("rebalance", "chat_session_id").sortWithinPartitions("chat_session_id").write.parquet(path)
-
-
-def _chunk_rows(chunks: DataFrame, embed: Callable[[Column], Column]):
-    """(rows to publish, derive, tables to discard, number) of chunks with their vectors and postings."""
-    d = chunks.withColumn("embedding", embed(F.col("text")).cast("array<float>"))
-    batch = table(d.select(*[c.split()[0] for c in CHUNKS.split(", ")]), "chunk-batch")
-    rows, derive, used = lexical.segment(batch)
-    return {"chunks": _batch(batch, "chunks")} | rows, derive, [batch, *used], batch.count()
+    return lambda path: rows.select(*columns).sortWithinPartitions("chat_session_id").write.option("compression", "zstd").parquet(path)
 
 
 def add_chunks(chunks: DataFrame, store: str, embed: Callable[[Column], Column], more: dict[str, snapshots.Rows] | None = None) -> int:
-    """Embed chunks by `embed`, add them and their postings to the store in one step (with rows of other tables, `more`), and return how many there were."""
-    rows, derive, used, n = _chunk_rows(chunks, embed)
-    snapshots.publish(chunks.sparkSession, store, rows | (more or {}), derive(store))
+    """Embed chunks by `embed`, add them and their postings to the store in one step (with rows of other tables, `more`), and return how many there were.
+
+    The chunks are written once, where they stay; their postings are made from what was written.
+    """
+    d = chunks.withColumn("embedding", embed(F.col("text")).cast("array<float>"))
+    batch, written = snapshots.staged(chunks.sparkSession, store, "chunks", _batch(d, "chunks"), CHUNKS)
+    rows, derive, used = lexical.segment(written)
+    snapshots.publish(chunks.sparkSession, store, {"chunks": batch} | rows | (more or {}), derive(store))
+    n = used[0].count()  # a row per chunk
     discard(*used)
     return n
 

@@ -79,3 +79,41 @@ def test_splitting_holds_few_parts(spark, monkeypatch):
     monkeypatch.setattr(chunking, "HELD", 10)
     got = df.select("i", chunking.split_column(50, 10)(F.col("t")).alias("p")).collect()
     assert all(r.p == chunking.split_text(texts[r.i] or "", 50, 10) for r in got) and len(got) == 25
+
+
+def test_store_keeps_one_copy_of_texts(spark, tmp_path, monkeypatch):
+    """Texts and words are written where they stay, not to tables beside the store."""
+    from quarrydoc.providers import provider
+    from quarrydoc.sources import stores
+
+    made = []
+    for module in (lexical, stores):
+        monkeypatch.setattr(module, "table", lambda df, name, *a, f=module.table: (made.extend(df.columns), f(df, name, *a))[1])
+    rows = [(f"c{i}", "f", i, t, "text", None, "s") for i, t in enumerate(["Cat dog", "", None, "cat", "  "])]
+    c = spark.createDataFrame(rows, "chunk_id string, filename string, page int, text string, element_type string, section_title string, chat_session_id string")
+    assert stores.add_chunks(c, str(tmp_path), provider("embedder")) == 5
+    assert made and not {"text", "words", "embedding"} & set(made)
+    assert stores.rows_of(spark, str(tmp_path), "chunks").count() == 5 and lexical.in_force(spark, str(tmp_path)).head().n == 5
+
+
+def test_compaction_moves_whole_slices(spark, tmp_path, monkeypatch):
+    """Slices of half the size or more keep their chunks and are not shuffled; small ones are merged; postings and answers stay."""
+    monkeypatch.setattr(lexical, "SLICE", 8)
+    path, schema = str(tmp_path / "index"), "chat_session_id string, chunk_id string, text string"
+    text = lambda i: " ".join(f"w{(i * j) % 11}" for j in range(6))
+    for part in (range(0, 60), range(60, 62), range(62, 64), range(64, 66)):
+        lexical.add_to_index(spark.createDataFrame([("s", f"c{i:03d}", "every " + text(i)) for i in part], schema), path)
+
+    def slices():
+        rows = lexical._postings(spark, path, snapshots.current(spark, path)).where("term = 'every'").collect()
+        assert all(r.n == len(r.docs) for r in rows) and len({(r.batch, r.slice) for r in rows}) == len(rows)
+        return {frozenset(d.chunk for d in r.docs) for r in rows}
+
+    q = spark.createDataFrame([(1, "s", "w3 w5"), (2, "s", "every w10")], "query_id int, chat_session_id string, question string")
+    ask = lambda: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 8)) for r in lexical.search_index(spark, path, q, 9).collect())
+    before, answers = slices(), ask()
+    lexical.compact_index(spark, path)
+    after = slices()
+    assert {x for x in before if len(x) >= 4} <= after and ask() == answers
+    assert frozenset(f"c{i:03d}" for i in range(60, 66)) <= max((x for x in after if "c060" in x), key=len)
+    assert sorted(c for x in after for c in x) == [f"c{i:03d}" for i in range(66)]
