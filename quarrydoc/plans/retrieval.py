@@ -46,19 +46,37 @@ def answer_contexts(chunks: DataFrame, questions: DataFrame, documents: DataFram
     best = fusion.rerank(fused, fusion.coverage_score(F.col("question"), F.col("text")), k)
     a = best.select("query_id", F.lit("specific").alias("mode"), F.col("rerank_rank").alias("rank"), "source", "page", "text", "rerank_score")
     a = a.where("rerank_score >= -3.0")
-    spread = routing.spread_sample(chunks)
+    spread = spread_texts(chunks, ask.where("mode = 'broad'").select("chat_session_id").distinct())
     b = spread.join(ask.where("mode = 'broad'"), "chat_session_id").select("query_id", F.lit("broad").alias("mode"), F.row_number().over(_window("filename", "page")).alias("rank"), F.col("filename").alias("source"), "page", "text", F.lit(None).cast("double").alias("rerank_score"))
     compare = ask.where("mode = 'comparison'")
     targets = routing.comparison_targets(questions.join(compare.select("query_id"), "query_id"), documents)
-    pairs = targets.join(compare.select("query_id", "chat_session_id"), "query_id").withColumn("document", F.to_json(F.struct("chat_session_id", "filename")))
-    place = meta.select("chunk_id", F.to_json(F.struct("chat_session_id", F.col("source").alias("filename"))).alias("document"))
-    own = vectors.select("chunk_id", "embedding").join(place, "chunk_id").join(pairs.select("document").distinct(), "document", "left_semi")
+    pairs = table(targets.join(compare.select("query_id", "chat_session_id"), "query_id").withColumn("document", F.to_json(F.struct("chat_session_id", "filename"))), "targets")
+    place = meta.select("chunk_id", F.to_json(F.struct("chat_session_id", F.col("source").alias("filename"))).alias("document")).join(hinted(pairs).select("document").distinct(), "document", "left_semi")
+    own = vectors.select("chunk_id", "embedding").join(place, "chunk_id")
     near = dense.knn(own, query_vectors.join(compare.select("query_id"), "query_id", "left_semi"), k, group="document")
-    found = near.join(pairs.select("query_id", "document"), ["query_id", "document"], "left_semi").join(meta, "chunk_id")
-    c = found.select("query_id", F.lit("comparison").alias("mode"), F.row_number().over(_window("source", found["rank"])).alias("rank"), "source", "page", "text", F.lit(None).cast("double").alias("rerank_score"))
+    near = table(near.join(pairs.select("query_id", "document"), ["query_id", "document"], "left_semi").select("query_id", "chunk_id", "rank"), "nearest")  # k rows per target
+    found = hinted(near).join(meta, "chunk_id")
+    c = found.select("query_id", F.lit("comparison").alias("mode"), F.row_number().over(_window("source", F.col("rank"))).alias("rank"), "source", "page", "text", F.lit(None).cast("double").alias("rerank_score"))
     return a.unionByName(b).unionByName(c)
 
 
+def spread_texts(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(chat_session_id, filename, page, text): the spread samples of every document of the sessions; texts are read for these chunks only.
+
+    Of chunks alike in session, file, page and id as many are taken as were sampled, the least texts first.
+    """
+    from pyspark.sql import Window
+
+    keys = ["chat_session_id", "filename", "page", "chunk_id"]
+    sampled = routing.spread_sample(chunks.select(*keys).join(hinted(table(sessions, "broad-sessions")), "chat_session_id", "left_semi"))
+    taken = table(sampled.groupBy(*keys).agg(F.count(F.lit(1)).alias("taken")), "spread")
+    t = hinted(taken).select(*[F.col(k).alias(f"_{k}") for k in keys], "taken")
+    on = [F.col("chat_session_id") == F.col("_chat_session_id"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys[1:]]]
+    w = Window.partitionBy(*keys).orderBy("text")
+    d = chunks.select(*keys, "text").join(t, on).withColumn("_r", F.row_number().over(w)).where("_r <= taken")
+    return d.select("chat_session_id", "filename", "page", "text")
+
+
 def _window(*order):
     from pyspark.sql import Window
 

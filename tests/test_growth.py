@@ -117,3 +117,17 @@ def test_compaction_moves_whole_slices(spark, tmp_path, monkeypatch):
     assert {x for x in before if len(x) >= 4} <= after and ask() == answers
     assert frozenset(f"c{i:03d}" for i in range(60, 66)) <= max((x for x in after if "c060" in x), key=len)
     assert sorted(c for x in after for c in x) == [f"c{i:03d}" for i in range(66)]
+
+
+def test_spread_samples_travel_without_texts(spark, monkeypatch):
+    """A broad question's sample is placed by ids, of its sessions alone; texts are read for the chunks taken, alike ones as often as sampled."""
+    from quarrydoc.plans import retrieval
+
+    rows = [(f"c{i:02d}", s, "f", i, f"text {i}") for i in range(20) for s in "ab"] + [("c00", "a", "f", 0, "other"), ("n", "a", None, None, "null")]
+    c = spark.createDataFrame(rows, "chunk_id string, chat_session_id string, filename string, page int, text string")
+    seen, sample = [], retrieval.routing.spread_sample
+    monkeypatch.setattr(retrieval.routing, "spread_sample", lambda d: (seen.append((set(d.columns), d.count())), sample(d))[1])
+    got = retrieval.spread_texts(c, spark.createDataFrame([("a",)], "chat_session_id string")).collect()
+    assert seen == [({"chunk_id", "chat_session_id", "filename", "page"}, 22)]
+    want = sorted((r.page or -1) for r in sample(c.where("chat_session_id = 'a'")).collect())
+    assert sorted((r.page or -1) for r in got) == want and len(got) == 9 and "null" in {r.text for r in got}
