@@ -35,10 +35,55 @@ STATS = "session string, n long, tokens long, mean_idf double"
 TABLES = ("postings", "lengths", "stats")
 
 
+#: Rows whose words are counted at once.
+COUNTED = 256
+
+
 def postings(chunks: DataFrame, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(session, term, chunk, tf): one row per chunk and distinct term."""
-    words = chunks.select(session, key, F.explode(tokens(F.col(text))).alias("term"))
-    return words.groupBy(session, "term", key).agg(F.count(F.lit(1)).alias("tf"))
+    """(session, term, chunk, tf): one row per chunk and distinct term. Texts, not words, are dealt by chunk; words are counted in Arrow where the chunk lies."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    kinds = {f.name: f.dataType for f in chunks.select(session, key).schema}
+    out = StructType([StructField(session, kinds[session]), StructField("term", StringType()), StructField(key, kinds[key]), StructField("tf", LongType())])
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def counted(rows, run):
+            words = pc.split_pattern(rows["words"].combine_chunks(), " ")
+            coded = words.flatten().dictionary_encode()
+            owner = np.repeat(run - run[0], words.value_lengths().to_numpy(zero_copy_only=False))
+            pairs, tf = np.unique(owner * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+            at = pa.array(np.searchsorted(run - run[0], pairs // len(coded.dictionary)))
+            columns = [rows[session].combine_chunks().take(at), coded.dictionary.take(pa.array(pairs % len(coded.dictionary))), rows[key].combine_chunks().take(at), pa.array(tf.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=[session, "term", key, "tf"])
+
+        def runs(rows):
+            """The number of each row's run of rows with one session and chunk."""
+            new = np.zeros(rows.num_rows, bool)
+            for name in (session, key):
+                codes = rows[name].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            return np.cumsum(new).astype(np.int64)
+
+        open_ = None  # the rows of the last chunk seen, which may go on
+        for batch in batches:
+            for start in range(0, batch.num_rows, COUNTED):
+                rows = pa.Table.from_batches([batch.slice(start, COUNTED)])
+                rows = rows if open_ is None else pa.concat_tables([open_, rows])
+                run = runs(rows)
+                cut = int(np.searchsorted(run, run[-1]))
+                if cut:
+                    yield counted(rows.slice(0, cut), run[:cut])
+                open_ = rows.slice(cut)
+        if open_ is not None:
+            yield counted(open_, runs(open_))
+
+    words = F.array_join(tokens(F.col(text)), " ").alias("words")
+    d = chunks.repartition(session, key).sortWithinPartitions(session, key).select(session, key, words)
+    return d.mapInArrow(count, out).where("term <> ''")
 
 
 def lengths(chunks: DataFrame, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -131,3 +131,15 @@ def test_spread_samples_travel_without_texts(spark, monkeypatch):
     assert seen == [({"chunk_id", "chat_session_id", "filename", "page"}, 22)]
     want = sorted((r.page or -1) for r in sample(c.where("chat_session_id = 'a'")).collect())
     assert sorted((r.page or -1) for r in got) == want and len(got) == 9 and "null" in {r.text for r in got}
+
+
+def test_words_are_counted_without_a_shuffle_of_words(spark, monkeypatch):
+    """Texts are dealt by chunk; chunks of several rows, across slices and batches, are counted as one, nulls and blanks have no postings."""
+    monkeypatch.setattr(lexical, "COUNTED", 3)
+    rows = [("s", f"c{i % 7}", f"A b{i % 3}  a") for i in range(40)] + [("s", "n", None), ("s", "e", " \t"), (None, "c1", "x"), ("s", None, "y y")]
+    c = spark.createDataFrame(rows, "chat_session_id string, chunk_id string, text string")
+    d = lexical.postings(c)
+    want = Counter((s, w, k) for s, k, t in rows for w in (t or "").lower().split())
+    assert Counter({tuple(r)[:3]: r.tf for r in d.collect()}) == want and d.count() == len(want)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
