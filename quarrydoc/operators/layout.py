@@ -72,9 +72,41 @@ def page_text(spans: DataFrame) -> DataFrame:
     return runs.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "t"))), lambda x: x["t"]), "\n").alias("text"))
 
 
+def _marked(words: DataFrame) -> DataFrame:
+    """words (doc, page, _y, seq, text), where a run of one line with more words than a caption has is one row, a text of too many words.
+
+    So a line too long for a caption is not shuffled. A run shorter than that stays as it is, so lines that come in parts lose nothing.
+    """
+    schema = words.schema
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = False
+            for name in (*PAGE, "_y"):
+                codes = batch[name].dictionary_encode("encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            at = np.cumsum(new) - 1
+            full = pc.fill_null(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(batch["text"])), 0), False).to_numpy(zero_copy_only=False)
+            long = (np.bincount(at, weights=full) > CAPTION_WORDS)[at]
+            text = pc.if_else(pa.array(long), pa.scalar("- " * (CAPTION_WORDS + 1), batch["text"].type), batch["text"])
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", text).filter(pa.array(~long | new))
+
+    return words.mapInArrow(run, schema)
+
+
 def captions(elements: DataFrame, words: DataFrame, prefixes: tuple[str, ...] = TABLE_CAPTIONS) -> DataFrame:
     """elements plus caption: the nearest caption-like line within 60 points above, else below. A range join by bins of a page's height."""
-    text = words.groupBy(*PAGE, F.bround("top").alias("y")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("line"))
+    # lines out of the reach of all elements go before words are shuffled
+    span = elements.agg((F.min("top") - CAPTION_REACH).alias("_low"), (F.max(F.greatest("top", "bottom")) + CAPTION_REACH).alias("_high"))
+    words = words.withColumn("_y", F.bround("top")).join(F.broadcast(span), F.col("_y").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    text = _marked(words.select(*PAGE, "_y", "seq", "text")).groupBy(*PAGE, F.col("_y").alias("y")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("line"))
     text = text.withColumn("line", strip(F.col("line")))
     starts = None
     for p in prefixes:

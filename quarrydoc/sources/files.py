@@ -25,6 +25,8 @@ FORMAT, SINK = "document_items", "document_files"
 GROUP_BYTES = 16 * 2**20
 #: A file counts as so many bytes more, so that many small ones make groups too.
 OPEN_BYTES = 64 * 2**10
+#: Bytes of files, and items, whose rows become an Arrow batch.
+HELD_BYTES, HELD_ROWS = 2**20, 1000
 
 
 def file_system(path: str):
@@ -45,7 +47,7 @@ class ItemReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.parser = options["path"], options["parser"]
         self.group = int(options.get("bytesPerPartition", GROUP_BYTES))
-        self.names = [f.name for f in schema.fields]
+        self.schema, self.names = schema, [f.name for f in schema.fields]
         self.only: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -73,7 +75,27 @@ class ItemReader(DataSourceReader):
             size += f.size + OPEN_BYTES
         return [FileGroup(g) for g in groups if g] or [FileGroup([])]
 
-    def read(self, partition: FileGroup) -> Iterator[tuple]:
+    def read(self, partition: FileGroup) -> Iterator:
+        """Arrow batches of some rows, made column by column; about HELD_BYTES of files to a batch."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds, held, size = to_arrow_schema(self.schema), [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+        for length, rows in self._parsed(partition):
+            held += rows
+            size += length
+            if size >= HELD_BYTES or len(held) >= HELD_ROWS:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
+
+    def _parsed(self, partition: FileGroup) -> Iterator[tuple[int, list[tuple]]]:
+        """The size of each file, and its rows."""
         module, _, function = self.parser.partition(":")
         parse = getattr(importlib.import_module(module), function)
         where, _ = file_system(self.path)
@@ -86,7 +108,7 @@ class ItemReader(DataSourceReader):
                 rows = rows or [tuple((known | {"status": "empty"}).get(n) for n in self.names)]
             except Exception as e:  # the parser refuses the file, whatever it found before
                 rows = [tuple((known | {"status": type(e).__name__}).get(n) for n in self.names)]
-            yield from rows
+            yield len(data), rows
 
 
 class DocumentItems(DataSource):

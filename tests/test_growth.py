@@ -143,3 +143,19 @@ def test_words_are_counted_without_a_shuffle_of_words(spark, monkeypatch):
     assert Counter({tuple(r)[:3]: r.tf for r in d.collect()}) == want and d.count() == len(want)
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_lines_too_long_for_captions_are_not_shuffled(spark):
+    """A long line is one row before the shuffle, one out of all elements' reach none; captions are those of all words, also of lines in parts."""
+    from quarrydoc.operators import layout
+
+    line = lambda seq, top, n: [("d", 1, seq + j, "Table" if j == 0 else ("" if j % 2 else f"w{j}"), top) for j in range(n)]
+    words = line(0, 50.0, 60) + line(100, 60.0, 30) + line(200, 400.0, 5) + line(300, 55.0, 30)[15:] + line(300, 55.0, 15) + line(400, 58.0, 25) + line(425, 58.0, 25)
+    schema = "doc string, page int, seq long, text string, top double"
+    w = spark.createDataFrame(words, schema).coalesce(1)
+    marked = layout._marked(w.withColumn("_y", F.bround("top")).select("doc", "page", "_y", "seq", "text"))
+    assert marked.where("_y = 50").count() == 1 and marked.where("_y = 60").count() == 30
+    e = spark.createDataFrame([("d", 1, 1, 70.0, 90.0), ("d", 1, 2, 56.0, 57.0), ("d", 2, 1, 70.0, 90.0)], "doc string, page int, elem int, top double, bottom double")
+    got = {(r.page, r.elem): r.caption for r in layout.captions(e, w).collect()}
+    assert got[1, 1].startswith("Table ") and got[1, 1] == " ".join(x[3] for x in line(100, 60.0, 30)).strip()
+    assert got[1, 2] == " ".join(x[3] for x in line(300, 55.0, 30)).strip() and got[2, 1] is None
