@@ -81,7 +81,7 @@ def postings(chunks: DataFrame, session: str = "chat_session_id", key: str = "ch
         if open_ is not None:
             yield counted(open_, runs(open_))
 
-    words = F.array_join(tokens(F.col(text)), " ").alias("words")
+    words = F.coalesce(F.array_join(tokens(F.col(text)), " "), F.lit("")).alias("words")
     d = chunks.repartition(session, key).sortWithinPartitions(session, key).select(session, key, words)
     return d.mapInArrow(count, out).where("term <> ''")
 
