@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import heading_score, strip, tokens
+from ..functions.text import WS, heading_score, strip, tokens
 
 PAGE = ("doc", "page")
+#: A text with a character that is no white space.
+NOT_BLANK = "[^" + WS[1:-2] + "]"
 #: Score and most words of a heading, body size where there is none.
 HEADING_SCORE, HEADING_WORDS, DEFAULT_SIZE = 3, 20, 10.0
 #: Caption prefixes.
@@ -128,21 +130,21 @@ def captions(elements: DataFrame, words: DataFrame, prefixes: tuple[str, ...] =
 
 
 def _filled(c: Column) -> Column:
-    return F.length(strip(F.coalesce(c, F.lit("")))) > 0
+    return F.coalesce(F.rlike(c, F.lit(NOT_BLANK)), F.lit(False))
 
 
-def _rows(rows: Column) -> Column:
-    return F.filter(rows, lambda r: F.exists(r, _filled))
+def plausible_table(rows: Column) -> Column:
+    """Two rows or more, 2 to 12 columns in the first, at most half the cells empty, two rows with two filled cells. Each cell is looked at once."""
+    counts = F.transform(rows, lambda r: F.struct(F.size(r).alias("n"), F.size(F.filter(r, _filled)).alias("filled")))
 
+    def plausible(counts: Column) -> Column:
+        total = lambda part: F.aggregate(counts, F.lit(0), lambda a, x: a + part(x))
+        cols = F.get(counts, 0)["n"]
+        cells, filled, full = total(lambda x: x["n"]), total(lambda x: x["filled"]), total(lambda x: (x["filled"] >= 2).cast("int"))
+        return F.coalesce((F.size(counts) >= MIN_ROWS) & (cols >= 2) & (cols <= MAX_COLS) & (cells - filled <= EMPTY_SHARE * cells) & (full >= MIN_FULL_ROWS), F.lit(False))
 
-def plausible_table(rows: Column) -> Column:
-    """Two rows or more, 2 to 12 columns in the first, at most half the cells empty, two rows with two filled cells."""
-    kept = _rows(rows)
-    cells = F.flatten(kept)
-    cols = F.size(F.get(kept, 0))
-    empty = F.size(F.filter(cells, lambda c: ~_filled(c)))
-    full = F.size(F.filter(kept, lambda r: F.size(F.filter(r, _filled)) >= 2))
-    return F.coalesce((F.size(kept) >= MIN_ROWS) & (cols >= 2) & (cols <= MAX_COLS) & (empty <= EMPTY_SHARE * F.size(cells)) & (full >= MIN_FULL_ROWS), F.lit(False))
+    # a one-element array binds the counts of the rows with a filled cell to a variable
+    return F.transform(F.array(F.filter(counts, lambda x: x["filled"] > 0)), plausible)[0]
 
 
 def table_markdown(rows: Column) -> Column:
