@@ -8,6 +8,8 @@ Deleted sessions are hidden at once and go with `compact_index`.
 
 A search first reads block heads alone. The slices with the highest bounds give each query k scores to beat; blocks of slices whose summed bound stays
 below are skipped, as nothing in them can enter the first k. Results are those of scoring every posting.
+
+A few questions need no index: `bm25_search` without one answers them from the texts, with the same results.
 """
 
 from __future__ import annotations
@@ -322,14 +324,31 @@ def _listed(d: DataFrame, column: str, values: set) -> DataFrame:
     return d.where(F.col(column).isin(*sorted(values))) if 0 < len(values) <= LISTED else d
 
 
+def _asked(queries: DataFrame, session: str) -> DataFrame:
+    """(query_id, session, terms) of the questions."""
+    return queries.select("query_id", F.col(session).cast("string").alias("session"), F.coalesce(tokens(F.col("question")), F.array().cast("array<string>")).alias("terms"))
+
+
+def _first(q: DataFrame, scored: DataFrame, every: DataFrame, k: int, key_type: str, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(query_id, chunk, score, rank) of the first k; chunks without a match score 0 and fill up. scored: a table (query_id, chunk, score); every: (session, chunk)."""
+    found = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("positive"))
+    short = q.select("query_id", "session").join(small(found), "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).drop("positive")
+    # queries whose positive matches do not fill k ranks: the first k chunks in key order that did not match, cut before they are shuffled
+    fill = every.join(small(short), "session").select("query_id", "chunk")
+    fill = fill.join(hinted(scored).select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
+    first = Window.partitionBy("query_id").orderBy(F.col("chunk").cast(key_type))
+    fill = fill.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("query_id", "chunk", F.lit(0.0).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("chunk").cast(key_type))
+    return scored.unionByName(fill).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 class Search:
     """One search of a stated query set: heads of blocks, bounds, the slices that can matter, scores."""
 
     def __init__(self, spark: SparkSession, path: str, queries: DataFrame, k: int, session: str):
         self.spark, self.path, self.k = spark, path, k
         self.snapshot = snapshots.current(spark, path)
-        q = queries.select("query_id", F.col(session).cast("string").alias("session"), F.coalesce(tokens(F.col("question")), F.array().cast("array<string>")).alias("terms"))
-        self.q = table(q.join(in_force(spark, path, self.snapshot, raw=True).drop("since"), "session"), "bm25-queries")  # sessions without chunks have no answers
+        self.q = table(_asked(queries, session).join(in_force(spark, path, self.snapshot, raw=True).drop("since"), "session"), "bm25-queries")  # sessions without chunks have no answers
         named = self.q.select("session", F.explode_outer("terms").alias("term")).distinct().collect()  # the stated questions' own words
         self.sessions, self.terms = {r["session"] for r in named}, {r["term"] for r in named if r["term"] is not None}
         self.small = F.broadcast if is_small(self.q) else (lambda d: d)
@@ -380,19 +399,10 @@ class Search:
 
     def ranked(self, key: str, key_type: str) -> DataFrame:
         """(query_id, chunk, score, rank); chunks without a match score 0 and fill up the first k."""
-        k = self.k
         wanted = self.needed().drop("n")
         scored = table(self.scored(wanted, self.few), "bm25-scored")
-        found = scored.where("score > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("positive"))
-        short = self.q.select("query_id", "session").join(self.small(found), "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).drop("positive")
-        # queries whose positive matches do not fill k ranks: the first k chunks in key order that did not match, cut before they are shuffled
-        fill = _listed(snapshots.scan(self.spark, self.path, "lengths", LENGTHS, self.snapshot), "session", self.sessions).join(self.small(short), "session").select("query_id", "chunk")
-        fill = fill.join(hinted(scored).select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
-        first = Window.partitionBy("query_id").orderBy(F.col("chunk").cast(key_type))
-        fill = fill.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("query_id", "chunk", F.lit(0.0).alias("score"))
-        w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("chunk").cast(key_type))
-        every = scored.unionByName(fill).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        return every.select("query_id", F.col("chunk").cast(key_type).alias(key), "score", "rank")
+        every = _listed(snapshots.scan(self.spark, self.path, "lengths", LENGTHS, self.snapshot), "session", self.sessions).select("session", "chunk")
+        return _first(self.q, scored, every, self.k, key_type, self.small).select("query_id", F.col("chunk").cast(key_type).alias(key), "score", "rank")
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, session: str = "chat_session_id", key: str = "chunk_id", key_type: str = "string") -> DataFrame:
@@ -410,13 +420,55 @@ def postings_read(spark: SparkSession, path: str, queries: DataFrame, k: int = 2
     return s.slices().groupBy("query_id").agg(F.sum("n").alias("postings")).join(read, "query_id")
 
 
+def _text_weights(c: DataFrame, q: DataFrame) -> DataFrame:
+    """A table (query_id, session, term, weight, avgdl) of a few queries' words, from the texts of c (session, dl, terms). One without words, or without any that a text has, has no term.
+
+    A session needs the counts of all its words for their mean idf. These are shuffled once; what is written is how many words have each count.
+    """
+    times = q.select("query_id", "session", F.explode("terms").alias("term")).groupBy("query_id", "session", "term").agg(F.count(F.lit(1)).alias("times"))
+    first = F.coalesce("pos", F.lit(0)) == 0  # a row per word and chunk; the first one of a chunk, also of one without words, brings its length
+    rows = c.select("session", "dl", F.posexplode_outer(F.array_distinct("terms")).alias("pos", "term"))
+    agg = [F.count(F.lit(1)).alias("df"), F.count(F.when(first, 1)).alias("n"), F.coalesce(F.sum(F.when(first, F.col("dl"))), F.lit(0)).alias("tokens")]
+    asked = times.select("session", "term", F.col("term").alias("word")).distinct()
+    counts = rows.groupBy("session", "term").agg(*agg).join(F.broadcast(asked), ["session", "term"], "left")
+    counts = counts.groupBy("session", "word", "df", F.col("term").isNull().alias("none")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    counts = table(counts, "bm25-counts")
+    sums = counts.groupBy("session").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    idf = plain_idf(F.col("n"), F.col("df"))
+    mean = counts.where("not none").select("session", "df", "words").join(sums, "session").groupBy("session").agg((F.sum(F.col("words") * idf) / F.sum("words")).alias("mean_idf"))
+    known = counts.where("word is not null").select("session", F.col("word").alias("term"), "df")
+    weighed = times.join(known, ["session", "term"]).join(sums, "session").join(mean, "session")
+    return table(weighed.select("query_id", "session", "term", (F.col("times") * floored_idf(idf, F.col("mean_idf"))).alias("weight"), (F.col("tokens") / F.col("n")).alias("avgdl")), "bm25-weights")
+
+
+def _search_texts(chunks: DataFrame, q: DataFrame, k: int, session: str, key: str, text: str) -> DataFrame:
+    """(query_id, chunk, score, rank) as of `search_index`, from the texts. q: a small table of `_asked`.
+
+    Texts are split where they lie, for the counts of words and for the asked words; neither texts nor postings are shuffled or written.
+    """
+    kind = dict(chunks.dtypes)[key]
+    c = chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), F.col(text).alias("text")).join(F.broadcast(q.select("session").distinct()), "session", "left_semi")
+    # a one-element array binds the tokens to a variable, so that they are made once per text
+    found = F.transform(F.array(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))), lambda x: F.struct(F.size(x).cast("long").alias("dl"), x.alias("terms")))[0]
+    split = c.select("session", "chunk", found.alias("t")).select("session", "chunk", "t.*")
+    weights = _text_weights(split, q)
+    # a chunk is a row, whatever its name
+    hits = split.withColumn("row", F.monotonically_increasing_id()).select("session", "row", "chunk", "dl", F.explode("terms").alias("term")).join(F.broadcast(weights), ["session", "term"])
+    tf = hits.groupBy("query_id", "row", "chunk", "dl", "term", "weight", "avgdl").agg(F.count(F.lit(1)).alias("tf"))
+    scored = tf.groupBy("query_id", "chunk").agg(F.sum(F.col("weight") * part_score(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    return _first(q, table(scored, "bm25-scored"), c.select("session", "chunk"), k, kind, F.broadcast).select("query_id", F.col("chunk").cast(kind).alias(key), "score", "rank")
+
+
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text", index: str | None = None) -> DataFrame:
     """(query_id, chunk, score, rank) of the k best chunks of each query's session.
 
-    `index` names a folder of `build_index` that holds these chunks; without one, an index of the queries' sessions is made for this search.
+    `index` names a folder of `build_index` that holds these chunks; without one, the texts are searched for a few questions, and an index of the queries' sessions
+    is made for many.
     """
     if index is None:
+        asked = table(_asked(queries, session), "bm25-asked")
+        if is_small(asked):
+            return _search_texts(chunks, asked, k, session, key, text)
         index = fresh_path(chunks.sparkSession, "bm25-index")
-        asked = queries.select(session).distinct()
-        build_index(chunks.join(asked, session, "left_semi"), index, session, key, text)
+        build_index(chunks.join(queries.select(session).distinct(), session, "left_semi"), index, session, key, text)
     return search_index(chunks.sparkSession, index, queries, k, session, key, dict(chunks.dtypes)[key])

@@ -25,9 +25,18 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(hpath)))
 
 
+def _state(spark: SparkSession, d: str, scope: str) -> tuple:
+    return spark.sparkContext.applicationId, _files(spark, f"{d}/documents.parquet"), scope
+
+
+def index_there(spark: SparkSession, d: str) -> str | None:
+    """The stored index by session where one was built for these files; a few questions alone are no reason to build it."""
+    return _INDEXES.get(_state(spark, d, ""))
+
+
 def index_of(spark: SparkSession, d: str, scope: str = "") -> str:
     """The stored index over the chunks of `d`, built once while their files stay: by session, or with scope "all" over one session of all chunks."""
-    at = (spark.sparkContext.applicationId, _files(spark, f"{d}/documents.parquet"), scope)
+    at = _state(spark, d, scope)
     if at not in _INDEXES:
         path = fresh_path(spark, "bm25-index")
         c = views.chunks(spark, d)

@@ -21,7 +21,7 @@ def dense_leg(vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame,
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 20, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, index: str | None = None) -> DataFrame:
     """Fused candidates per query. The lexical leg is BM25; the dense leg is exact kNN over `vectors` of the session, where there are any.
 
-    index: a folder of lexical.build_index over `chunks`. Texts are read for the ranked chunks only.
+    index: a folder of lexical.build_index over `chunks`; without one, a few questions are answered from the texts. Texts are read again for the ranked chunks only.
     """
     meta = chunks.select("chunk_id", F.col("filename").alias("source"), "page", "text")
     leg = lexical.bm25_search(chunks, queries, LEG_K, index=index).select("query_id", F.lit(1).alias("leg"), "rank", "chunk_id")

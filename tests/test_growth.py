@@ -170,3 +170,46 @@ def test_cells_of_a_table_are_looked_at_once(spark):
     d = spark.createDataFrame([(i, rows) for i, (rows, _) in enumerate(cases)], "i int, rows array<array<string>>").select("i", layout.plausible_table(F.col("rows")).alias("p"))
     assert {r.i: r.p for r in d.collect()} == {i: want for i, (_, want) in enumerate(cases)}
     assert d._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike") == 1
+
+
+def test_few_questions_are_answered_from_texts(spark, tmp_path, monkeypatch):
+    """Without an index a few questions make none; ranks and scores are those of an index over the same chunks, as are those of many questions."""
+    texts = ["Cat dog cat", "dog", "", None, " \t", "bird the the", "the cat"] + [f"the w{i % 4} w{i}" for i in range(12)]
+    rows = [(s, i, t) for i, t in enumerate(texts) for s in "ab"] + [("a", 3, "cat cat again"), ("a", 1, "dog"), (None, 99, "cat"), ("c", 5, "bird"), ("e", 1, None)]
+    c = spark.createDataFrame(rows, "chat_session_id string, chunk_id int, text string").repartition(5)
+    asked = [(1, "a", "cat the CAT"), (2, "b", "the"), (3, "a", ""), (4, "b", "zzz w1 w1"), (5, "c", "bird"), (6, "d", "cat"), (7, "a", None), (8, "a", "the dog w3"), (9, "e", "cat")]
+    q = spark.createDataFrame(asked, "query_id int, chat_session_id string, question string")
+    path = str(tmp_path / "index")
+    lexical.build_index(c, path)
+    plain = lambda d: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in d.collect())
+    made, build = [], lexical.build_index
+    monkeypatch.setattr(lexical, "build_index", lambda *a: (made.append(a), build(*a)))
+    for k in (3, 30):
+        want = plain(lexical.search_index(spark, path, q, k, key_type="int"))
+        assert plain(lexical.bm25_search(c, q, k)) == want and want and not made
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "is_small", lambda *_: False)
+        assert plain(lexical.bm25_search(c, q, 30)) == want and len(made) == 1
+
+
+def test_reranking_builds_no_index(spark, data, monkeypatch):
+    """Four questions alone are answered from the texts, with the rows of the SQL; an index that is there is used."""
+    import duckdb
+
+    from quarrydoc.plans import catalog, registry
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    monkeypatch.setattr(registry, "_INDEXES", {})
+    columns = ["query_id", "rerank_rank", "rerank_score", "source", "page"]
+    ask = lambda: sorted(tuple(r[n] for n in columns) for r in catalog.QUERIES["rerank_lexical"](spark, data).collect())
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "build_index", None)
+        got = ask()
+    want = c.execute(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES['rerank_lexical']})").fetchall()
+    assert got == sorted(want) and got
+    registry.index_of(spark, data)
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "_search_texts", None)
+        assert ask() == got
