@@ -335,7 +335,8 @@ def _first(q: DataFrame, scored: DataFrame, every: DataFrame, k: int, key_type:
     short = q.select("query_id", "session").join(small(found), "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).drop("positive")
     # queries whose positive matches do not fill k ranks: the first k chunks in key order that did not match, cut before they are shuffled
     fill = every.join(small(short), "session").select("query_id", "chunk")
-    fill = fill.join(hinted(scored).select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
+    matched = scored.select("query_id", "chunk").join(small(short.select("query_id")), "query_id", "left_semi")  # of these queries alone
+    fill = fill.join(F.broadcast(matched) if is_small(scored) else matched, ["query_id", "chunk"], "left_anti")
     first = Window.partitionBy("query_id").orderBy(F.col("chunk").cast(key_type))
     fill = fill.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("query_id", "chunk", F.lit(0.0).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("chunk").cast(key_type))

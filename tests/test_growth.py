@@ -190,6 +190,9 @@ def test_few_questions_are_answered_from_texts(spark, tmp_path, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(lexical, "is_small", lambda *_: False)
         assert plain(lexical.bm25_search(c, q, 30)) == want and len(made) == 1
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "is_small", lambda side, *_: "score" not in side.columns)
+        assert plain(lexical.bm25_search(c, q, 30)) == want and len(made) == 1
 
 
 def test_reranking_builds_no_index(spark, data, monkeypatch):
