@@ -37,8 +37,10 @@ STATS = "session string, n long, tokens long, mean_idf double"
 TABLES = ("postings", "lengths", "stats")
 
 
-#: Rows whose words are counted at once.
-COUNTED = 256
+#: Rows whose words are counted at once; pairs of a text and a question that are scored at once, about.
+COUNTED, CELLS = 256, 2**21
+#: What ranks by nine decimals, and sums in another order, can differ from the scores.
+TIE = 2e-9
 
 
 def postings(chunks: DataFrame, session: str = "chat_session_id", key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -442,10 +444,118 @@ def _text_weights(c: DataFrame, q: DataFrame) -> DataFrame:
     return table(weighed.select("query_id", "session", "term", (F.col("times") * floored_idf(idf, F.col("mean_idf"))).alias("weight"), (F.col("tokens") / F.col("n")).alias("avgdl")), "bm25-weights")
 
 
+def _ranked_matches(found, k: int):
+    """(rows, least) of a table (q, score, chunk) of Arrow: those that can be among the first k of q, and the score that further ones must reach (by q; -inf while there are fewer).
+
+    Scores are compared with `TIE` to spare, as ranks are by nine decimals; of equal scores the k lowest chunks stay.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    keyed = found.append_column("tie", pa.array(-np.round(found["score"].to_numpy(), 12)))
+    found = keyed.take(pc.sort_indices(keyed, sort_keys=[("q", "ascending"), ("tie", "ascending"), ("chunk", "ascending")], null_placement="at_start"))
+    q, tie, at = found["q"].to_numpy(), found["tie"].to_numpy(), np.arange(found.num_rows)
+    new = np.append(True, q[1:] != q[:-1])[: len(q)]
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(q)))
+    full = counts >= k
+    least = np.full(len(first), -np.inf)
+    least[full] = -tie[first[full] + k - 1] - TIE
+    equal = np.maximum.accumulate(np.where(new | np.append(True, tie[1:] != tie[:-1])[: len(q)], at, 0))
+    stays = (-tie >= np.repeat(least, counts)) & (at - equal < k)
+    return found.filter(pa.array(stays)).drop_columns("tie"), dict(zip(q[first].tolist(), least.tolist()))
+
+
+def _best_matches(split: DataFrame, weights: DataFrame, k: int, kind: str) -> DataFrame:
+    """(query_id, chunk, score) of the matches that can be among the first k, each task those of its texts. split: (session, dl, chunk, terms); weights: of `_text_weights`.
+
+    Matches that are summed with others, as their chunk's name is repeated, and those that do not score above 0 are all passed on: the former have no rank yet, the latter are
+    matches still, which must not fill up.
+    """
+    twice = table(split.groupBy("session", "chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("session").alias("_s"), F.col("chunk").alias("_c"), F.lit(False).alias("alone")), "bm25-repeated")
+    rows = split.select("session", "chunk", "dl", F.array_join("terms", " ").alias("words"))
+    if twice.isEmpty():
+        rows = rows.withColumn("alone", F.lit(True))
+    else:
+        rows = rows.join(hinted(twice), (F.col("session") == F.col("_s")) & F.col("chunk").eqNullSafe(F.col("_c")), "left").withColumn("alone", F.coalesce("alone", F.lit(True)))
+    sent = split.sparkSession.sparkContext.broadcast(weights.toArrow())
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        class Asked:
+            """The questions of one session, by term, and the matches of the task so far."""
+
+            def __init__(self, session):
+                t = sent.value.filter(pc.equal(sent.value["session"], session)).combine_chunks()
+                one = lambda name: pa.concat_arrays(t[name].chunks) if t.num_rows else pa.array([], t.schema.field(name).type)
+                ids, terms = one("query_id").dictionary_encode("encode"), one("term").dictionary_encode()
+                order = np.argsort(terms.indices.to_numpy(), kind="stable")
+                self.ids, self.terms, self.n = ids.dictionary, terms.dictionary, len(ids.dictionary)
+                self.start = np.searchsorted(terms.indices.to_numpy()[order], np.arange(len(self.terms) + 1))
+                self.q, self.weight = ids.indices.to_numpy()[order], t["weight"].to_numpy()[order]
+                self.avgdl = t["avgdl"][0].as_py() if t.num_rows else 1.0
+                self.least, self.best, self.held = np.full(self.n, -np.inf), [], 0
+                self.step = max(1, min(COUNTED, CELLS // max(1, self.n), CELLS // max(1, len(order))))
+
+            def out(self, m):
+                return pa.RecordBatch.from_arrays([self.ids.take(m["q"].combine_chunks()), m["chunk"].combine_chunks(), m["score"].combine_chunks()], names=["query_id", "chunk", "score"])
+
+            def matches(self, rows):
+                """The matches of some texts: those to pass on at once; others are held."""
+                words = pc.split_pattern(rows["words"].combine_chunks(), " ")
+                code = pc.fill_null(pc.index_in(words.flatten(), value_set=self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(rows.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+                pairs, tf = np.unique(owner[code >= 0] * len(self.terms) + code[code >= 0], return_counts=True)
+                row, term = pairs // len(self.terms), pairs % len(self.terms)
+                part = part_score(tf, rows["dl"].to_numpy()[row], self.avgdl)
+                n = self.start[term + 1] - self.start[term]  # questions that have the term
+                at = np.repeat(self.start[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                cell = np.repeat(row, n) * self.n + self.q[at]
+                score = np.bincount(cell, np.repeat(part, n) * self.weight[at], rows.num_rows * self.n)
+                hit = np.flatnonzero(np.bincount(cell, minlength=rows.num_rows * self.n))
+                score, row, q = score[hit], hit // self.n, hit % self.n
+                whole = (score <= 0) | ~rows["alone"].to_numpy()[row]
+                chosen = lambda i: pa.table({"q": pa.array(q[i]), "score": pa.array(score[i]), "chunk": rows["chunk"].combine_chunks().take(pa.array(row[i]))})
+                self.best.append(chosen(np.flatnonzero(~whole & (score >= self.least[q]))))
+                self.held += self.best[-1].num_rows
+                if self.held > 4 * k * self.n + CELLS // 16:
+                    self.settle()
+                return chosen(np.flatnonzero(whole))
+
+            def settle(self):
+                best, least = _ranked_matches(pa.concat_tables(self.best).combine_chunks(), k)
+                self.least[list(least)] = list(least.values())
+                self.best, self.held = [best], best.num_rows
+
+        asked: dict[str, Asked] = {}
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for session in pc.unique(t["session"]).to_pylist():
+                a = asked[session] if session in asked else asked.setdefault(session, Asked(session))
+                own = t.filter(pc.equal(t["session"], session))
+                for start in range(0, own.num_rows if a.n else 0, a.step):
+                    now = a.matches(own.slice(start, a.step))
+                    if now.num_rows:
+                        yield a.out(now)
+        for a in asked.values():
+            if a.held:
+                a.settle()
+                yield a.out(a.best[0])
+
+    rows = rows.select("session", F.col("chunk").cast(kind).alias("chunk"), "dl", "words", "alone")
+    out = rows.mapInArrow(scan, f"query_id {dict(weights.dtypes)['query_id']}, chunk {kind}, score double")
+    return out.withColumn("chunk", F.col("chunk").cast("string"))
+
+
 def _search_texts(chunks: DataFrame, q: DataFrame, k: int, session: str, key: str, text: str) -> DataFrame:
     """(query_id, chunk, score, rank) as of `search_index`, from the texts. q: a small table of `_asked`.
 
-    Texts are split where they lie, for the counts of words and for the asked words; neither texts nor postings are shuffled or written.
+    Texts are split where they lie, for the counts of words and for the asked words; neither texts nor postings are shuffled or written, and of the matches those alone that can
+    be among the first k.
     """
     kind = dict(chunks.dtypes)[key]
     c = chunks.select(F.col(session).cast("string").alias("session"), F.col(key).cast("string").alias("chunk"), F.col(text).alias("text")).join(F.broadcast(q.select("session").distinct()), "session", "left_semi")
@@ -453,10 +563,9 @@ def _search_texts(chunks: DataFrame, q: DataFrame, k: int, session: str, key: st
     found = F.transform(F.array(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))), lambda x: F.struct(F.size(x).cast("long").alias("dl"), x.alias("terms")))[0]
     split = c.select("session", "chunk", found.alias("t")).select("session", "chunk", "t.*")
     weights = _text_weights(split, q)
-    # a chunk is a row, whatever its name
-    hits = split.withColumn("row", F.monotonically_increasing_id()).select("session", "row", "chunk", "dl", F.explode("terms").alias("term")).join(F.broadcast(weights), ["session", "term"])
-    tf = hits.groupBy("query_id", "row", "chunk", "dl", "term", "weight", "avgdl").agg(F.count(F.lit(1)).alias("tf"))
-    scored = tf.groupBy("query_id", "chunk").agg(F.sum(F.col("weight") * part_score(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    # a chunk is a row, whatever its name; scores of rows of one name are summed
+    found = _best_matches(split, weights, k, kind)
+    scored = found.groupBy("query_id", "chunk").agg(F.sum("score").alias("score"))
     return _first(q, table(scored, "bm25-scored"), c.select("session", "chunk"), k, kind, F.broadcast).select("query_id", F.col("chunk").cast(kind).alias(key), "score", "rank")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import lexical
 from ..scratch import fresh_path, hadoop
@@ -15,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Lexical indexes made by this process: (application, files of the chunks, scope) -> path.
+#: Lexical indexes made by this process: (application, files of the chunks) -> path.
 _INDEXES: dict[tuple, str] = {}
 
 
@@ -25,22 +24,21 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(hpath)))
 
 
-def _state(spark: SparkSession, d: str, scope: str) -> tuple:
-    return spark.sparkContext.applicationId, _files(spark, f"{d}/documents.parquet"), scope
+def _state(spark: SparkSession, d: str) -> tuple:
+    return spark.sparkContext.applicationId, _files(spark, f"{d}/documents.parquet")
 
 
 def index_there(spark: SparkSession, d: str) -> str | None:
     """The stored index by session where one was built for these files; a few questions alone are no reason to build it."""
-    return _INDEXES.get(_state(spark, d, ""))
+    return _INDEXES.get(_state(spark, d))
 
 
-def index_of(spark: SparkSession, d: str, scope: str = "") -> str:
-    """The stored index over the chunks of `d`, built once while their files stay: by session, or with scope "all" over one session of all chunks."""
-    at = _state(spark, d, scope)
+def index_of(spark: SparkSession, d: str) -> str:
+    """The stored index over the chunks of `d` by session, built once while their files stay."""
+    at = _state(spark, d)
     if at not in _INDEXES:
         path = fresh_path(spark, "bm25-index")
-        c = views.chunks(spark, d)
-        lexical.build_index(c.withColumn("chat_session_id", F.lit(scope)) if scope else c, path)
+        lexical.build_index(views.chunks(spark, d), path)
         _INDEXES[at] = path
     return _INDEXES[at]
 

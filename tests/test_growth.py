@@ -1,5 +1,6 @@
 """Steps whose cost must not outgrow their input."""
 
+import math
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -216,3 +217,58 @@ def test_reranking_builds_no_index(spark, data, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(lexical, "_search_texts", None)
         assert ask() == got
+
+
+def test_matches_are_cut_where_the_texts_lie(spark, monkeypatch):
+    """Tasks pass on k matches per question, not all of them, and ranks are those of all: ties, copies, repeated and null names, and scores not above 0."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{min(rng.randrange(30), rng.randrange(30))}" for _ in range(4000)]
+    rows = [("s", f"c{i}", " ".join(words[9 * i % 3900 :][: rng.randrange(1, 40)])) for i in range(600)] + [("s", f"x{i}", "w0 w1 rare") for i in range(300)]
+    more = [("s", "c7", "w0 rare"), ("s", "c7", "rare"), ("s", None, "rare w3"), ("s", None, "w1"), ("s", "n", None), *[("t", f"t{i}", "all of it" if i else "all") for i in range(8)]]
+    asked = [(i, "s", " ".join(rng.choices(words, k=6))) for i in range(20)] + [(90, "s", "rare"), (91, "s", "w0 rare w0"), (92, "s", "none"), (93, "t", "all"), (94, "t", "of it"), (95, "u", "all"), (96, "s", "")]
+    q = spark.createDataFrame(asked, "query_id int, chat_session_id string, question string")
+    seen, best = [], lexical._best_matches
+    monkeypatch.setattr(lexical, "_best_matches", lambda *a: seen.append(best(*a)) or seen[-1])
+    monkeypatch.setattr(lexical, "CELLS", 500)
+    for given, k in ((rows, 3), (rows + more, 3), (rows + more, 40)):
+        c = spark.createDataFrame(given, "chat_session_id string, chunk_id string, text string").repartition(3)
+        got = sorted((r.query_id, r["rank"], r.chunk_id or "", round(r.score, 8)) for r in lexical.bm25_search(c, q, k).collect())
+        texts = {}
+        for s, name, t in given:
+            texts.setdefault(s, []).append((name, (t or "").split()))
+        want = []
+        for i, s, question in asked:
+            here = texts.get(s, [])
+            df = Counter(w for _, ws in here for w in set(ws))
+            idf = {w: math.log(len(here) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+            mean = sum(idf.values()) / len(idf) if idf else 0
+            avgdl = sum(len(ws) for _, ws in here) / len(here) if here else 0
+            score, names = {}, set()
+            for at, (name, ws) in enumerate(here):
+                for w in question.split():
+                    if w in ws:
+                        x = mean * 0.25 if idf[w] < 0 else idf[w]
+                        score[name] = score.get(name, 0) + x * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avgdl))
+            full = list(score.items()) + [(name, 0.0) for name, _ in here if name is None or name not in score] * (sum(x > 0 for x in score.values()) < k)
+            first = sorted(full, key=lambda x: (-round(x[1], 9), x[0] is not None, x[0] or ""))[:k]
+            want += [(i, r, name or "", round(x, 8)) for r, (name, x) in enumerate(first, 1)]
+        assert got == sorted(want)
+        if given is rows and k == 3:
+            assert 0 < seen[-1].count() <= 3 * k * len(asked)
+
+
+def test_evaluation_builds_no_index(spark, data, monkeypatch):
+    """The few items are answered from the texts, with the rows of the SQL."""
+    import duckdb
+
+    from quarrydoc.plans import catalog
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    monkeypatch.setattr(lexical, "build_index", None)
+    for name in ("eval_recall_mrr",):
+        got = [tuple(r) for r in catalog.QUERIES[name](spark, data).collect()]
+        assert got == c.execute(catalog.ORACLES[name]).fetchall() and got
