@@ -269,6 +269,6 @@ def test_evaluation_builds_no_index(spark, data, monkeypatch):
     for t in ("documents", "benchmark"):
         c.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
     monkeypatch.setattr(lexical, "build_index", None)
-    for name in ("eval_recall_mrr",):
+    for name in ("eval_recall_mrr", "eval_keyword"):
         got = [tuple(r) for r in catalog.QUERIES[name](spark, data).collect()]
         assert got == c.execute(catalog.ORACLES[name]).fetchall() and got
