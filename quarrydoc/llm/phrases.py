@@ -4,10 +4,11 @@ The corpus is cut into blocks of about `BLOCK_WORDS` words of one language, at t
 ascending positions of the phrase, and the phrase's last word. Phrases of k words are extended by merging positions: where one stands at p
 and another at p + 1, the first goes on with the last word of the second, and all other extensions hold a rarer phrase. A first pass
 over the blocks counts the extensions, by the lengths of their lists; sums over the blocks are exact frequencies, and those of `min_count` or more in the
-whole corpus of their language get a number. A second pass keeps their lists as the blocks of the next level. Only counts are shuffled, summed per block before.
+whole corpus of their language get a number. A second pass keeps their lists as the blocks of the next level. Only counts are shuffled, summed per block before,
+as arrays per block and part of the extensions.
 
 Frequent phrases are sent to all blocks where their table is small; beyond, each block is preceded in its task by rows of those of its own phrases that are frequent,
-so that no task holds more than a block's.
+so that no task holds more than a block's. For extensions these rows come out of the sums, where each block's counts lie, so that counts are not joined with what is frequent.
 Numbers become words again for frequent phrases alone, of which there are at most n / min_count per length.
 
 Defined results: null text is empty, null language is `und`; repeated rows count each time, whatever their ids; pieces without words are nothing;
@@ -27,13 +28,16 @@ from .common import discard, is_small, table
 BLOCK_WORDS = 1_000_000
 #: Bytes of a row group of a table of blocks; blocks of a task in which they meet their own phrases, about.
 GROUP_BYTES, TASK_BLOCKS = 16 * 2**20, 2
+#: Bytes of text that are split at once; positions whose extensions are summed in one group, about; positions from which blocks' own extensions are kept with the sums.
+HELD_BYTES, PART_POSITIONS, MANY = 2**21, 2**22, 2**28
 #: Bytes that end a piece (become LF) and the tab that separates words as a space does.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 PIECES = bytes(10 if b in ENDS else (32 if b == 9 else b) for b in range(256))
 PIECE_END = re.compile("[.,;:!?\x0a-\x0d]")
 WORD_LISTS = "block long, lang string, words array<string>, sizes array<int>, gaps array<int>"
 LISTS = "block long, phrases array<bigint>, lasts array<bigint>, sizes array<int>, gaps array<int>"
-COUNTS = "phrase long, word long, n long"
+COUNTS = "part int, block long, phrases array<bigint>, words array<bigint>, n array<int>"
+SUMS = "part int, block long, phrases array<bigint>, words array<bigint>, f array<bigint>, ids array<int>"
 UNKNOWN = "und"
 
 
@@ -47,10 +51,9 @@ def slices(text: str, size: int = 2**22):
         at = to
 
 
-def piece_tokens(text: str) -> list[bytes]:
-    """Words in order, with LF wherever a piece ends; letters A to Z in lower case."""
-    b = text.encode("utf-8", "surrogatepass").lower().translate(PIECES).replace(b"\n", b" \n ")
-    return [w for w in b.split(b" ") if w]
+def piece_bytes(text: str) -> bytes:
+    """Words between spaces, with LF as one wherever a piece ends; letters A to Z in lower case."""
+    return text.encode().lower().translate(PIECES).replace(b"\n", b" \n ")
 
 
 def lists_of(ids, positions):
@@ -69,31 +72,44 @@ def word_lists(docs: DataFrame, block_words: int) -> DataFrame:
     def scan(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        open_: dict[str, tuple[dict, list, list]] = {}  # language -> numbers of words, arrays of them, their sizes
+        most = min(HELD_BYTES, 4 * block_words)
+        open_: dict[str, tuple[list, list]] = {}  # language -> arrays of words, texts that are not split yet
+
+        def split(lang):
+            """Turn the held texts into an array of words, with LF where a piece ends."""
+            parts, held = open_[lang]
+            if held:
+                words = pc.split_pattern(pa.array([b" \n ".join(held) + b" \n"]), b" ").flatten()
+                parts.append(words.filter(pc.greater(pc.binary_length(words), 0)))
+                held.clear()
 
         def row(lang):
             nonlocal block
-            numbers, parts, _ = open_.pop(lang)
-            every = np.concatenate(parts)
-            at = np.flatnonzero(every >= 0)
-            used, sizes, gaps = lists_of(every[at], at)
-            names = list(numbers)
-            spelt = pa.array([names[i].decode("utf-8", "replace") for i in used.tolist()], pa.string())
+            split(lang)
+            every = pa.concat_arrays(open_.pop(lang)[0]).dictionary_encode()
+            codes = every.indices.to_numpy()
+            at = np.flatnonzero(codes != pc.index(every.dictionary, b"\n").as_py())
+            used, sizes, gaps = lists_of(codes[at], at)
+            spelt = every.dictionary.take(pa.array(used)).cast(pa.string())
             block += 1
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), one(spelt), one(pa.array(sizes)), one(pa.array(gaps))], names=["block", "lang", "words", "sizes", "gaps"])
 
+        waiting: dict[str, int] = {}  # bytes held
         for batch in batches:
             for lang, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for part in slices(t.as_py()):
-                    numbers, parts, size = open_.setdefault(lang, ({}, [], []))
-                    tokens = piece_tokens(part)
-                    parts += [np.fromiter((-1 if w == b"\n" else numbers.setdefault(w, len(numbers)) for w in tokens), np.int32, len(tokens)), np.array([-1], np.int32)]
-                    size.append(len(tokens))
-                    if sum(size) >= block_words:
-                        yield row(lang)
+                    parts, held = open_.setdefault(lang, ([], []))
+                    held.append(piece_bytes(part))
+                    waiting[lang] = waiting.get(lang, 0) + len(held[-1])
+                    if waiting[lang] >= most:
+                        split(lang)
+                        waiting[lang] = 0
+                        if sum(map(len, parts)) >= block_words:
+                            yield row(lang)
         for lang in list(open_):
             yield row(lang)
 
@@ -139,10 +155,15 @@ def with_known(blocks: DataFrame, keys: DataFrame, found: DataFrame, by: list[st
     """
     if is_small(found):
         return blocks, blocks.sparkSession.sparkContext.broadcast(known.toArrow())
-    own = keys.join(known, by).select("block", *[F.col(c).alias(f"own_{c}") for c in known.columns], F.lit(0).alias("_last"))
+    return with_own(blocks, keys.join(known, by).select("block", *known.columns)), None
+
+
+def with_own(blocks: DataFrame, own: DataFrame) -> DataFrame:
+    """Each block after the rows of `own` (block, ...) that are its own."""
+    rows = own.select("block", *[F.col(c).alias(f"own_{c}") for c in own.columns if c != "block"], F.lit(0).alias("_last"))
     tasks = -(-blocks.count() // TASK_BLOCKS) or 1
-    rows = blocks.withColumn("_last", F.lit(1)).unionByName(own, allowMissingColumns=True)
-    return rows.repartition(tasks, "block").sortWithinPartitions("block", "_last"), None
+    rows = blocks.withColumn("_last", F.lit(1)).unionByName(rows, allowMissingColumns=True)
+    return rows.repartition(tasks, "block").sortWithinPartitions("block", "_last")
 
 
 def own_keys(batches, columns: list[str]):
@@ -191,30 +212,107 @@ def first_lists(posts: DataFrame, found: DataFrame) -> DataFrame:
     return blocks.mapInArrow(renumber, LISTS)
 
 
-def extensions(blocks: DataFrame, with_block: bool = False) -> DataFrame:
-    """(phrase, word, n): how often each phrase of a block goes on with which word."""
+def part_of(phrase, word, parts: int):
+    """The part of 0 to parts - 1 in which an extension is summed."""
+    import numpy as np
+
+    h = phrase.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
+
+
+def block_pairs(phrases, lasts, sizes, gaps, parts: int):
+    """(positions, their extensions' places, phrases, words, counts, parts, order by part) of a block; the distinct extensions in a definite order."""
+    import numpy as np
+
+    at, a, b, words = neighbours(lasts, sizes, gaps)
+    width = max(1, len(words))
+    pairs, place, n = np.unique(a.astype(np.int64) * width + b, return_inverse=True, return_counts=True)
+    phrase, word = phrases[pairs // width], words[pairs % width]
+    part = part_of(phrase, word, parts)
+    return at, place, phrase, word, n, part, np.argsort(part, kind="stable")
+
+
+def extensions(blocks: DataFrame, parts: int) -> DataFrame:
+    """(part, block, phrases, words, n): how often each phrase of a block goes on with which word, as a row of arrays per block and part."""
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for i, (phrases, lasts, sizes, gaps) in enumerate(arrays(batch, ["phrases", "lasts", "sizes", "gaps"])):
-                _, a, b, words = neighbours(lasts, sizes, gaps)
-                pairs, n = np.unique(a.astype(np.int64) * max(1, len(words)) + b, return_counts=True)
-                rows = [pa.array(phrases[pairs // max(1, len(words))]), pa.array(words[pairs % max(1, len(words))]), pa.array(n.astype(np.int64))]
-                if with_block:
-                    rows = [pa.array(np.full(len(pairs), batch.column("block")[i].as_py(), np.int64)), *rows]
-                yield pa.RecordBatch.from_arrays(rows, names=[*(["block"] if with_block else []), "phrase", "word", "n"])
+            for i, columns in enumerate(arrays(batch, ["phrases", "lasts", "sizes", "gaps"])):
+                _, _, phrase, word, n, part, order = block_pairs(*columns, parts)
+                own, start = np.unique(part[order], return_index=True)
+                offsets = pa.array(np.append(start, len(order)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in (phrase, word, n.astype(np.int32))]
+                block = np.full(len(own), batch.column("block")[i].as_py(), np.int64)
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(block), *lists], names=["part", "block", "phrases", "words", "n"])
+
+    return blocks.mapInArrow(count, COUNTS)
+
 
-    return blocks.mapInArrow(count, ("block long, " if with_block else "") + COUNTS)
+def summed(blocks: DataFrame, parts: int, min_count: int, own: bool) -> DataFrame:
+    """Sums over the blocks, part by part: a row without block (phrases, words, f) of the extensions of `min_count` or more, numbered in that order.
 
+    own: also a row (block, ids) per block: the numbers of its extensions in their order in `extensions`, -1 for rarer ones; a block without frequent ones has no row.
+    """
+
+    def add(t):
+        import numpy as np
+        import pyarrow as pa
 
-def longer_lists(blocks: DataFrame, found: DataFrame) -> DataFrame:
+        flat = lambda name: pa.concat_arrays([c.flatten() for c in t[name].chunks]).to_numpy(zero_copy_only=False)
+        phrase, word, n = flat("phrases"), flat("words"), flat("n").astype(np.int64)
+        order = np.lexsort((word, phrase))
+        phrase, word = phrase[order], word[order]
+        first = np.flatnonzero(np.append(True, (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])))
+        f = np.add.reduceat(n[order], first)
+        frequent = f >= min_count
+        part, at = t["part"][0].as_py(), first[frequent]
+        rows = [[part], [None], [phrase[at]], [word[at]], [f[frequent]], [None]]
+        if own:
+            ids = np.empty(len(order), np.int32)
+            ids[order] = np.repeat(np.where(frequent, np.cumsum(frequent) - 1, -1), np.diff(np.append(first, len(order))))
+            lists = np.split(ids, np.cumsum(np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in t["n"].chunks]))[:-1])
+            for block, x in zip(t["block"].to_pylist(), lists):
+                if (x >= 0).any():
+                    for column, value in zip(rows, [part, block, None, None, None, x]):
+                        column.append(value)
+        longs = pa.list_(pa.int64())
+        kinds = [pa.int32(), pa.int64(), longs, longs, longs, pa.list_(pa.int32())]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["part", "block", "phrases", "words", "f", "ids"])
+
+    return extensions(blocks, parts).repartition(parts, "part").groupBy("part").applyInArrow(add, SUMS)
+
+
+class Extensions:
+    """The frequent extensions of all blocks: a table `found` (phrase, word, f, id), and each block's own numbers where `found` is not small."""
+
+    def __init__(self, blocks: DataFrame, min_count: int, k: int):
+        positions = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).head()[0] or 0
+        self.parts, self.made, own = positions // PART_POSITIONS + 1, [], positions >= MANY
+        sums = self._kept(blocks, min_count, k, own)
+        at = F.posexplode(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("words").alias("word"), "f")).alias("_at", "x")
+        found = sums.where("block is null").select("part", at).select("x.*", (F.shiftleft(F.col("part").cast("long"), 32) + F.col("_at")).alias("id"))
+        self.found = table(found, f"phrase-frequent-{k}")
+        self.small = is_small(self.found)
+        sums = sums if own or self.small else self._kept(blocks, min_count, k, True)
+        self.own = sums.where("block is not null").select("block", "part", "ids")
+
+    def _kept(self, blocks: DataFrame, min_count: int, k: int, own: bool) -> DataFrame:
+        self.made.append(table(summed(blocks, self.parts, min_count, own), f"phrase-sums-{k}", "zstd", GROUP_BYTES))
+        return self.made[-1]
+
+
+def longer_lists(blocks: DataFrame, known: Extensions) -> DataFrame:
     """Blocks of the frequent extensions under their numbers."""
-    by = ["phrase", "word"]
-    keys = None if is_small(found) else extensions(blocks, with_block=True).select("block", *by)
-    blocks, sent = with_known(blocks, keys, found, by, found.select(*by, "id"))
+    parts = known.parts
+    if known.small:
+        sent = blocks.sparkSession.sparkContext.broadcast(known.found.select("phrase", "word", "id").toArrow())
+    else:
+        sent, blocks = None, with_own(blocks, known.own)
 
     def grow(batches):
         import numpy as np
@@ -230,21 +328,32 @@ def longer_lists(blocks: DataFrame, found: DataFrame) -> DataFrame:
             i = np.minimum(np.searchsorted(where, values), max(0, len(where) - 1))
             return i, (where[i] == values if len(where) else np.zeros(len(values), bool))
 
-        columns = lambda t: [t[c].to_numpy() for c in ("phrase", "word", "id")]
-        every = index(*columns(sent.value)) if sent else None
-        each_block = ((b, i, None) for b in batches for i in range(b.num_rows)) if sent else own_keys(batches, ["phrase", "word", "id"])
+        def sought(phrase, word):
+            """Numbers of extensions among those sent, -1 for others."""
+            h, ok_h = find(phrase, heads)
+            t, ok_t = find(word, tails)
+            k, ok = find(h * len(tails) + t, keys)
+            ok &= ok_h & ok_t
+            return np.where(ok, numbers[k], -1) if len(numbers) else np.full(len(phrase), -1)
+
+        def given(own, part, order):
+            """Numbers of a block's extensions from its own rows."""
+            new, dealt = np.full(len(part), -1, np.int64), part[order]
+            for p, x in zip(own["part"].to_pylist(), own["ids"]):
+                ids = x.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                start = np.searchsorted(dealt, p)
+                new[order[start : start + len(ids)]] = np.where(ids >= 0, (p << 32) + ids, -1)
+            return new
+
+        heads, tails, keys, numbers = index(*[sent.value[c].to_numpy() for c in ("phrase", "word", "id")]) if sent else [None] * 4
+        each_block = ((b, i, None) for b in batches for i in range(b.num_rows)) if sent else own_keys(batches, ["part", "ids"])
         for batch, i, own in each_block:
-            phrases, lasts, sizes, gaps = next(arrays(batch.slice(i, 1), ["phrases", "lasts", "sizes", "gaps"]))
-            known = every if sent else index(*columns(own))
-            heads, tails, keys, new = known
-            at, a, b, words = neighbours(lasts, sizes, gaps)
-            h, ok_h = find(phrases, heads)
-            t, ok_t = find(words, tails)
-            k, ok = find(h[a] * len(tails) + t[b], keys)
-            ok &= ok_h[a] & ok_t[b]
-            ids, sizes, gaps = lists_of(new[k[ok]], at[ok])
+            at, place, phrase, word, _, part, order = block_pairs(*next(arrays(batch.slice(i, 1), ["phrases", "lasts", "sizes", "gaps"])), parts)
+            new = sought(phrase, word) if sent else given(own, part, order)
+            each = new[place]
+            ids, sizes, gaps = lists_of(each[each >= 0], at[each >= 0])
             last = np.empty(len(ids), np.int64)
-            last[np.searchsorted(ids, new[k[ok]])] = words[b[ok]]
+            last[np.searchsorted(ids, new[new >= 0])] = word[new >= 0]
             if len(ids):
                 yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), one(pa.array(ids)), one(pa.array(last)), one(pa.array(sizes)), one(pa.array(gaps))], names=["block", "phrases", "lasts", "sizes", "gaps"])
 
@@ -263,13 +372,14 @@ def frequent_phrases(docs: DataFrame, max_words: int = 5, min_count: int = 100,
     levels, blocks = [names], table(first_lists(posts, found), "phrase-lists-1", "zstd", GROUP_BYTES)
     discard(posts)
     for k in range(2, max_words + 1):
-        found = numbered(extensions(blocks), ["phrase", "word"], min_count, f"phrase-frequent-{k}")
+        grown = Extensions(blocks, min_count, k)
+        found = grown.found
         parent = names.select(F.col("id").alias("phrase"), "lang", F.col("text").alias("head"))
         named = found.join(parent, "phrase").join(words, "word")
         names = table(named.select("id", "lang", F.concat_ws(" ", "head", "spelt").alias("text"), F.lit(k).alias("k"), "f"), f"phrase-names-{k}")
         levels.append(names)
-        longer = table(longer_lists(blocks, found), f"phrase-lists-{k}", "zstd", GROUP_BYTES) if k < max_words else None
-        discard(blocks)
+        longer = table(longer_lists(blocks, grown), f"phrase-lists-{k}", "zstd", GROUP_BYTES) if k < max_words else None
+        discard(blocks, *grown.made)
         blocks = longer
     every = levels[0]
     for level in levels[1:]:

@@ -272,3 +272,25 @@ def test_evaluation_builds_no_index(spark, data, monkeypatch):
     for name in ("eval_recall_mrr", "eval_keyword"):
         got = [tuple(r) for r in catalog.QUERIES[name](spark, data).collect()]
         assert got == c.execute(catalog.ORACLES[name]).fetchall() and got
+
+
+def test_extensions_travel_as_arrays(spark, monkeypatch):
+    """Counts of extensions are a row per block and part, not one each, and blocks learn their numbers from the sums, without a join of counts; results are those of sending."""
+    from quarrydoc.llm import phrases
+
+    docs = spark.createDataFrame([(f"a b c d{i % 3} e, Ä {'b c ' * (i % 4)}x{i % 50} y{i % 7}\x0bz", "en" if i % 3 else "de") for i in range(400)], "text string, lang string")
+    plain = lambda: sorted(map(tuple, phrases.collocations(docs, min_count=30, block_words=100).collect()))
+    sent, summed, owns = plain(), phrases.summed, []
+    monkeypatch.setattr(phrases, "PART_POSITIONS", 200)
+    monkeypatch.setattr(phrases, "summed", lambda *a: owns.append(a[3]) or summed(*a))
+    assert plain() == sent and sent and not any(owns)
+    monkeypatch.setattr(phrases, "is_small", lambda *_: False)
+    for many, want in ((10**9, [False, True] * 4), (0, [True] * 4)):
+        monkeypatch.setattr(phrases, "MANY", many)
+        owns.clear()
+        assert plain() == sent and owns == want
+    posts = phrases.table(phrases.word_lists(docs, 100), "posts")
+    found = phrases.numbered(posts.select("lang", F.explode("words").alias("word"), F.lit(1).alias("n")), ["lang", "word"], 1, "found")
+    blocks = phrases.table(phrases.first_lists(posts, found), "lists")
+    rows = phrases.extensions(blocks, 5).collect()
+    assert blocks.count() > 5 and len(rows) == len({(r.block, r.part) for r in rows}) <= 5 * blocks.count() < sum(len(r.n) for r in rows)
